@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, need, words_of
+from .common import as_bytes, cut, hashes, mix, need, words_of
 
 SEED = 42
 #: Keys with more fingerprints than FEW are handled in blocks of about BLOCK fingerprints.
@@ -215,13 +215,92 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, most: int = 3) -> DataFrame:
-    """The rows of docs without near copies: of each component the row with the smallest id, and of repeated rows one.
+#: Fingerprints of a text's words that find candidates, and of its shingles (64 bits each) that verify them.
+FINDERS, VERIFIERS = 3, 8
+#: Texts with the same words' fingerprint that are all compared; of more, each is compared with the smallest and the largest.
+ALIKE = 16
 
-    Rows with a null or blank text carry nothing to compare and so aren't near copies of one another; they stay.
+
+def _signed_bits(h: np.ndarray, seed: int) -> int:
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(h), 8192):
+        ones += np.unpackbits(mix(h[a : a + 8192] + np.uint64(seed)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
+def _profiles(width: int):
+    """A row's node (a hash of its words in order) with the fingerprints of its words and of its distinct shingles."""
+    names = ["node", *(f"w{i}" for i in range(FINDERS)), *(f"v{i}" for i in range(VERIFIERS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in as_bytes(batch.column(1)):
+                words = hashes(words_of(text.lower()))
+                n = max(1, len(words) - width + 1)
+                shingles = np.zeros(n, np.uint64)
+                for i in range(min(width, len(words))):
+                    shingles = mix(shingles + words[i : i + n])
+                shingles = np.unique(shingles)
+                node = xxhash.xxh64_intdigest(words.tobytes()) - (1 << 63)
+                rows.append((node, *(_signed_bits(words, 7919 * i + 1) for i in range(FINDERS)), *(_signed_bits(shingles, 7919 * i + 5) for i in range(VERIFIERS))))
+            columns = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", *names])
+
+    return run, names
+
+
+def bits_apart(similarity: float) -> int:
+    """Differing bits of the shingles' fingerprints that stand for a Jaccard similarity, with one and a half standard deviations added."""
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * VERIFIERS
+    return int(n * angle + 1.5 * np.sqrt(n * angle * (1 - angle)))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) of every row with an id and a text that isn't blank: groups of near copies.
+
+    Fingerprints of a text's words, repeats included, move little under a few edits; texts that are within 3 bits in one of FINDERS of them are
+    candidates, found by the Golay keys. A candidate pair is a link if the fingerprints of its distinct shingles of `width`
+    words are as near as the similarity asks (see bits_apart). Equal texts, but for case and white space, are one node.
+    """
+    run, names = _profiles(width)
+    full = need(docs, id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = cut(full.mapInArrow(run, f"id {id_type}, " + ", ".join(f"{n} long" for n in names)))
+    nodes = cut(rows.groupBy(*names).agg(F.min("id").alias("least")))
+    found = None
+    for i in range(FINDERS):
+        mine = nodes.select(F.col(f"w{i}").alias("fp"), "node")
+        size = mine.groupBy("fp").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+        sized = mine.join(size, "fp")
+        acting = sized.where((F.col("n") <= ALIKE) | F.col("node").isin(F.col("lo"), F.col("hi"))).select("fp", "node")
+        far = links(size.select("fp"))
+        far = far.join(acting.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(acting.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
+        same = sized.where("n > 1")
+        ends = same.select(F.col("node").alias("x"), F.explode(F.array("lo", "hi")).alias("y"))
+        few = same.where(F.col("n") <= ALIKE)
+        each = few.select("fp", F.col("node").alias("x")).join(few.select("fp", F.col("node").alias("y")), "fp").select("x", "y")
+        part = far.unionByName(ends).unionByName(each).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        found = part if found is None else found.unionByName(part)
+    verify = [f"v{i}" for i in range(VERIFIERS)]
+    left = nodes.select(F.col("node").alias("x"), *[F.col(v).alias(f"x{v}") for v in verify])
+    right = nodes.select(F.col("node").alias("y"), *[F.col(v).alias(f"y{v}") for v in verify])
+    apart = sum((_apart(F.col(f"x{v}"), F.col(f"y{v}")) for v in verify), F.lit(0))
+    edges = found.distinct().join(left, "x").join(right, "y").where(apart <= bits_apart(similarity)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = components(edges)
+    named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(groups, "root").select("node", "component_id")
+    return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near copies: of each group the row with the smallest id, and of several rows with that id one.
+
+    Rows with a null id or a null or blank text have nothing to compare and stay.
     """
-    blank = F.length(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x09-\\x0D]", " "))) == 0
-    full = docs.where(~blank & F.col(id_col).isNotNull())
-    keep = near_duplicates(full, id_col, text_col, width, most).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = full.join(keep, id_col, "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.where(blank | F.col(id_col).isNull()))
+    compared = F.col(id_col).isNotNull() & F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    keep = near_copies(docs, id_col, text_col, width, similarity).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = docs.where(compared).join(keep, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(~compared))
