@@ -20,7 +20,7 @@ from .common import as_bytes, need, slices, words_of
 from .pieces import Vocabulary, load
 
 #: Pre-tokens whose counts a task keeps; beyond it, it starts afresh, which changes no count.
-KEPT = 1_000_000
+KEPT = 400_000
 SPACE = "▁"
 
 
