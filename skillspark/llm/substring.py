@@ -48,11 +48,20 @@ def rolling(h: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
 
 
 def anchors(h: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all windows, for each window the place of its anchor, and the hashes of all k-grams."""
+    """Hashes of all windows, for each window the place of its anchor, and the hashes of all k-grams.
+
+    The anchor is the first of the k-grams whose hash has the smallest upper 40 bits (64 less the bits of a place in very long texts).
+    """
     grams, windows = rolling(h, (k, length))
-    view = np.lib.stride_tricks.sliding_window_view(grams, length - k + 1)
-    at = np.concatenate([view[a : a + 65536].argmin(axis=1) for a in range(0, len(view), 65536)])
-    return windows, at + np.arange(len(windows)), grams
+    bits = np.uint64(max(24, len(h).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    width, wide = 1, length - k + 1
+    while 2 * width <= wide:  # least of runs of 2, 4, 8 ... and then of two runs that overlap
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    least = np.minimum(least[: len(windows)], least[wide - width : wide - width + len(windows)])
+    return windows, (least & low).astype(np.int64), grams
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -108,18 +117,18 @@ def _block_rows(length: int, k: int):
 
 def factors(starts: np.ndarray, refs: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     """Greedy factors (first word, words, reference) of a document; refs has two references for each window in starts."""
-    out = []
-    i, n = 0, len(starts)
-    # run[j, c]: the last window that follows reference c of window j without a break, on that reference
-    last = np.tile(np.arange(n)[:, None], (1, 2))
-    for j in range(n - 2, -1, -1):
-        if starts[j + 1] == starts[j] + 1:
-            for c in (0, 1):
-                follow = [last[j + 1, d] for d in (0, 1) if refs[j + 1, d] == refs[j, c] + 1]
-                if follow:
-                    last[j, c] = max(follow)
+    n = len(starts)
+    if not n:
+        return []
+    last = np.empty((n, 2), np.int64)  # the last window that follows reference c of window j without a break
+    for c in (0, 1):
+        breaks = np.flatnonzero((np.diff(starts) != 1) | (np.diff(refs[:, c]) != 1))
+        ends = np.r_[breaks, n - 1]
+        last[:, c] = ends[np.searchsorted(ends, np.arange(n))]
+    best = last.argmax(axis=1)
+    out, i = [], 0
     while i < n:
-        c = int(last[i].argmax())
+        c = int(best[i])
         j = int(last[i, c])
         out.append((int(starts[i]), int(starts[j] - starts[i]) + length, int(refs[i, c])))
         i = j + 1
@@ -138,12 +147,13 @@ def _parse(length: int):
                     rows = found.values
                     first = rows.field("first").to_numpy().astype(np.int64)
                     hits = rows.field("hits")
-                    count = np.diff(hits.offsets.to_numpy())
+                    first = np.repeat(first, np.diff(hits.offsets.to_numpy()))
                     hits = hits.flatten()
-                    start = np.repeat(first, count) + hits.field("i").to_numpy()
-                    both = np.stack([hits.field("lo").to_numpy(), hits.field("hi").to_numpy()], axis=1)
-                    start, order = np.unique(start, return_index=True)
-                    both = both[order]
+                    mask = hits.field("mask").to_numpy().view(np.uint64)
+                    row, i = np.nonzero((mask[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
+                    start, order = np.unique(first[row] + i, return_index=True)
+                    row, i = row[order], i[order]
+                    both = np.stack([hits.field("lo").to_numpy()[row] + i, hits.field("hi").to_numpy()[row] + i], axis=1)
                     own = (_own(k1, k2) + start)[:, None]
                     both = np.where(both == own, both[:, ::-1], both)  # the other place where the window starts
                     parts = factors(start, both, length)
@@ -175,6 +185,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows are told apart by id and text; of a row that is there twice both lose all their windows, since each window
     starts in both. A null id is a value like others.
     """
+    if not 0 < length - k < 64:
+        raise ValueError("an anchor has at most 64 windows")
     rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, F.lit(7)).alias("k1"), F.xxhash64(text_col, F.lit(11)).alias("k2"))
     found = need(rows, "k1", "k2", "text").mapInArrow(_anchor_rows(length, k), "anchor long, k1 long, k2 long, at int")
     again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
@@ -189,10 +201,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     index = index.selectExpr(
         "part", "block", "i",
         "sum(n) over (partition by part, anchor, win) n",
-        "min(lo + i) over (partition by part, anchor, win) lo",
-        "max(hi + i) over (partition by part, anchor, win) hi",
+        "min(lo + i) over (partition by part, anchor, win) - i lo",
+        "max(hi + i) over (partition by part, anchor, win) - i hi",
     )
-    hits = index.where("n > 1").groupBy("part", "block").agg(F.collect_list(F.struct("i", "lo", "hi")).alias("hits"))
+    # A block's windows with the same two references are one row: a bit for each window.
+    hits = index.where("n > 1").groupBy("part", "block", "lo", "hi").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+    hits = hits.groupBy("part", "block").agg(F.collect_list(F.struct("lo", "hi", "mask")).alias("hits"))
     per_row = need(blocks, "part", "block", "k1", "k2", "first").join(hits, ["part", "block"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "hits")).alias("found"))
     out = rows.join(per_row, ["k1", "k2"], "left").select("id", "text", "k1", "k2", "found")
     id_type = docs.schema[id_col].dataType.simpleString()
