@@ -112,6 +112,8 @@ def with_views(names: tuple[str, ...], query: str) -> str:
                 order.append(x)
     parts = [f"{x} AS ({VIEWS[x].strip()})" for x in order]
     text = query.strip()
+    if text[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join([*parts, text[15:]])
     if text[:5].upper() == "WITH ":
         return "WITH " + ",\n".join([*parts, text[5:]])
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + text
