@@ -280,7 +280,7 @@ def test_patterns_equal_a_search():
         t = "".join(rng.choice("a1.@-+ é") for _ in range(rng.randrange(20)))
         assert list(pii.emails(t)) == [m.span() for m in EMAIL.finditer(t)]
         assert [m.span() for m in pii._IP.finditer(t)] == [m.span() for m in IP.finditer(t)]
-    text = "é a@b.co 300.1.1.1 10.0.0.1 4111 1111 1111 1111 4111111111111112 +1 (555) 123-4567 +12"
+    text = "é a@b.co 300.1.1.1, 10.0.0.1, 4111 1111 1111 1111, 4111111111111112, +1 (555) 123-4567, +12"
     assert [(k, text[a:b]) for k, a, b in pii.base_spans(text)] == [("email", "a@b.co"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 123-4567")]
 
 
@@ -307,6 +307,10 @@ def test_reparameterised_questions_are_caught(spark, docs, none):
     bench = spark.createDataFrame([(9, ask.format("Zed", 5, "Yan", 9)), (10, None), (11, ""), (None, prose(9, 100)), (12, "tiny one")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_windows, r.n_exact) for r in decontaminate.contaminated(df, bench).collect()}
     assert {k[0] for k in got} == {1, 2, 6} and {k[1] for k in got} == {9}
-    assert got[1, 9][1] == 0 and got[6, 9][0] == got[6, 9][1] > got[2, 9][0]
+    assert got[1, 9][1] == 0 and got[6, 9][0] == got[6, 9][1] >= got[2, 9][0]
     assert sorted(str(r.doc_id) for r in decontaminate.drop_contaminated(df, bench).collect()) == ["3", "4", "5", "None"]
+    meet = "so when {} meets {} again near the bridge all is well"
+    df = spark.createDataFrame([(1, meet.format("Bob", "Bob")), (2, meet.format("Bob", "Cid"))], "doc_id long, text string")
+    same = {r.doc_id: r.n_windows for r in decontaminate.contaminated(df, spark.createDataFrame([(1, meet.format("Ann", "Ann"))], "item_id long, text string")).collect()}
+    assert same[1] > same[2]  # windows with both names of the second don't correspond
     assert decontaminate.contaminated(none, bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
