@@ -15,8 +15,9 @@ after another character, at other characters after letters and at line feeds, wh
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, cached_property
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import slices
 from .pieces import Vocabulary, load
 
-KEPT = 300_000
+KEPT = 250_000
 MARK = "▁"
 
 
@@ -106,43 +107,56 @@ class Transducer:
             else:
                 return True
 
-    def shortest(self, part: str) -> tuple[int, ...]:
-        """Ids of the lightest path; of equally light ones, that with the longest last piece at each place."""
+    def learn(self, parts: Iterable[str]) -> None:
+        """Keeps the ids of the lightest path of each part; of equally light ones, that with the longest last piece at each place.
+
+        Distances and last pieces of a prefix are those of every part that begins with it, so the parts are taken in order and each goes on from
+        where it leaves the one before.
+        """
         v = self.v
-        pieces, suffixes, weights = v.pieces, v.suffixes, v.weights
-        far = [0.0]  # distance of each place
-        last = [""]  # and the piece that ends there on the lightest path
-        for end in range(1, len(part) + 1):
-            best, by, start = np.inf, "", end - 1
-            while start >= 0 and (tail := part[start:end]) in suffixes:
-                if tail in pieces:
-                    if v.merges:
-                        if not start or self.stands(last[start], tail):
-                            best, by = far[start], tail
-                    elif (weight := far[start] - weights[tail]) <= best:
-                        best, by = weight, tail
-                start -= 1
-            if (c := part[end - 1]) not in pieces and (weight := far[end - 1] + (0 if v.merges else -v.unknown_weight)) < best:
-                best, by = weight, c
-            far.append(best)
-            last.append(by)
-        ids: list[int] = []
-        place = len(part)
-        while place:
-            by = last[place]
-            ids += [pieces[by][0]] if by in pieces else [v.byte_ids[b] for b in reversed(by.encode())] if v.byte_ids else [v.unknown_id]
-            place -= len(by)
-        return tuple(reversed(ids))
-
-    def encode(self, text: str) -> list[int]:
+        pieces, suffixes, weights, merges, stands, known_pairs = v.pieces, v.suffixes, v.weights, v.merges, self.stands, self.pairs
+        far, last, before = [0.0], [""], ""  # of each place: its distance, and the piece that ends there
+        for part in sorted(parts):
+            d = len(commonprefix((part, before)))
+            del far[d + 1 :], last[d + 1 :]
+            for end in range(d + 1, len(part) + 1):
+                best, by, start = np.inf, "", end - 1
+                while start >= 0 and (tail := part[start:end]) in suffixes:
+                    if tail in pieces:
+                        if merges:  # one piece at most has finite weight
+                            if not start or known_pairs.get((last[start], tail)) or stands(last[start], tail):
+                                best, by = far[start], tail
+                                break
+                        elif (weight := far[start] - weights[tail]) <= best:
+                            best, by = weight, tail
+                    start -= 1
+                if not by or not merges:
+                    c = part[end - 1]
+                    if c not in pieces and (weight := far[end - 1] + (0 if merges else -v.unknown_weight)) < best:
+                        best, by = weight, c
+                far.append(best)
+                last.append(by)
+            before = part
+            ids: list[int] = []
+            place = len(part)
+            while place:
+                by = last[place]
+                ids += [pieces[by][0]] if by in pieces else [v.byte_ids[b] for b in reversed(by.encode())] if v.byte_ids else [v.unknown_id]
+                place -= len(by)
+            self.known[part] = tuple(reversed(ids))
+
+    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
+        """Ids of each text; null for null."""
+        rows = [None if x is None else self.parts.findall(self.normalise(x)) for x in texts]
+        if len(self.known) > KEPT:
+            self.known.clear()
+        self.learn({p for row in rows if row for p in row}.difference(self.known))
         known, out = self.known, []
-        for part in self.parts.findall(self.normalise(text)):
-            ids = known.get(part)
-            if ids is None:
-                if len(known) > KEPT:
-                    known.clear()
-                ids = known[part] = self.shortest(part)
-            out += ids
+        for row in rows:
+            ids: list[int] | None = None if row is None else []
+            for part in row or ():
+                ids += known[part]
+            out.append(ids)
         return out
 
     @cached_property
@@ -169,7 +183,7 @@ def _run(path: str | None, encode: bool):
             for batch in slices(big, "text", 4 << 20) if encode else [big]:
                 if encode:
                     texts = batch.column("text").to_pylist()
-                    ids = [np.array(transducer.encode(x), np.int32) if x is not None else None for x in texts]
+                    ids = [None if x is None else np.array(x, np.int32) for x in transducer.encode(texts)]
                     yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
                 else:
                     texts = [None if not x.is_valid else transducer.decode(x.values.to_pylist()) for x in batch.column("ids")]
@@ -208,7 +222,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         for big in batches:
             for batch in slices(big, "text", 4 << 20):
                 texts = batch.column("text").to_pylist()
-                ids = [transducer.encode(x) if x is not None else None for x in texts]
+                ids = transducer.encode(texts)
                 back = [transducer.decode(x) if x is not None else None for x in ids]
                 whole = [None if x is None else transducer.normalise(x) == transducer.normalise(y) for x, y in zip(texts, back)]
                 flat = [np.array(x, np.int32) if x is not None else None for x in ids]
