@@ -140,3 +140,23 @@ def a32_mean_prob_by_level(v):
     l = v("puzzles").withColumn("level", F.explode(F.sequence(F.lit(1100), F.lit(1900), F.lit(100))))
     p = F.least(F.lit(0.99), F.greatest(F.lit(0.01), ((F.col("seq") * 13 + F.col("level")) % 97) / 97.0))
     return l.groupBy("level").agg(F.round(F.avg(p), 6).alias("mean_p"), F.round(F.avg(F.log(p)), 6).alias("mean_log"))
+
+
+STYLE = """gm AS (SELECT game_id, player_id, won, CASE game_id % 4 WHEN 0 THEN 'checkmate' WHEN 1 THEN 'resignation' WHEN 2 THEN 'timeout' ELSE 'other' END AS termination, game_id % 5 AS eco FROM games),
+mv AS (SELECT game_id, count(*) AS moves, count(*) FILTER (WHERE l_partkey % 200 < 30) AS low, count(*) FILTER (WHERE (l_suppkey % 10) * 100 > (l_partkey % 4) * 100 + 400) AS sac FROM positions GROUP BY 1),
+t AS (SELECT player_id, count(*) AS games, count(*) FILTER (WHERE won) AS wins, count(*) FILTER (WHERE NOT won) AS losses, count(*) FILTER (WHERE won AND termination = 'checkmate') AS mates, count(*) FILTER (WHERE NOT won AND termination = 'resignation') AS resigned,
+  coalesce(sum(moves), 0) AS moves, coalesce(sum(low), 0) AS low, coalesce(sum(sac), 0) AS sac, count(DISTINCT eco) AS breadth FROM gm LEFT JOIN mv USING (game_id) GROUP BY 1),
+r AS (SELECT player_id, games, breadth, wins / games::DOUBLE AS win_rate, coalesce(mates / nullif(wins, 0)::DOUBLE, 0) AS mate_share, coalesce(resigned / nullif(losses, 0)::DOUBLE, 0) AS resigned_share, coalesce(low / nullif(moves, 0)::DOUBLE, 0) AS pressure, sac / games::DOUBLE AS sacrifice_rate FROM t),
+a AS (SELECT *, least(100, trunc(55 * mate_share + least(70 * sacrifice_rate, 35) + 10 * (1 - resigned_share)))::INT AS aggression FROM r)"""
+
+
+@query(f"""WITH {STYLE} SELECT player_id, games, breadth, round(win_rate, 6) AS win_rate, round(pressure, 6) AS pressure, round(sacrifice_rate, 6) AS sacrifice_rate, aggression,
+CASE WHEN mate_share >= 0.35 OR aggression >= 65 THEN 'Tactical Attacker' WHEN pressure >= 0.15 THEN 'Time-Trouble Gambler' WHEN win_rate >= 0.55 AND breadth >= 3 THEN 'Opening Theorist' WHEN win_rate >= 0.5 AND sacrifice_rate < 0.03 THEN 'Positional Grinder' ELSE 'Balanced Player' END AS archetype FROM a""", ("games", "positions"))
+def a10_a11_style_profile(v):
+    from ..operators.style import style_profile
+
+    k = F.col("game_id") % 4
+    games = v("games").select("player_id", "game_id", "won", F.when(k == 0, "checkmate").when(k == 1, "resignation").when(k == 2, "timeout").otherwise("other").alias("termination"), (F.col("game_id") % 5).alias("eco"))
+    moves = v("positions").select("game_id", (F.col("l_partkey") % 200).alias("clock"), (F.col("l_suppkey") % 10 * 100).alias("attacker"), (F.col("l_partkey") % 4 * 100).alias("captured"))
+    out = style_profile(games, moves).drop("mate_share", "resigned_share")
+    return out.withColumns({c: F.round(c, 6) for c in ("win_rate", "pressure", "sacrifice_rate")})
