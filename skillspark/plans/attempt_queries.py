@@ -36,9 +36,9 @@ def w4_streaks(v):
     return O.streaks(v("attempts"))
 
 
-@query("SELECT attempt_id, round((1 + coalesce(sum(solved::INT) OVER w, 0)) / (2 + count(*) OVER w)::DOUBLE, 6)::DOUBLE AS base_rate FROM attempts WINDOW w AS (ORDER BY ts, attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", AP)
+@query("SELECT attempt_id, round((1 + coalesce(sum(solved::INT) OVER w, 0)) / (2 + count(*) OVER w)::DOUBLE, 9)::DOUBLE AS base_rate FROM attempts WINDOW w AS (ORDER BY ts, attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", AP)
 def w5_running_base_rate(v):
-    return r(O.running_base_rate(v("attempts")).select("attempt_id", "base_rate"), "base_rate")
+    return r(O.running_base_rate(v("attempts")).select("attempt_id", "base_rate"), "base_rate", n=9)
 
 
 BETA = """sums AS (SELECT player_id, category, sum(CASE WHEN solved THEN weight ELSE 0 END) AS a, sum(CASE WHEN solved THEN 0 ELSE weight END) AS b, count(*) AS n FROM kw GROUP BY 1, 2)

@@ -19,9 +19,9 @@ def _counts(v):
     return v("attempts").groupBy("player_id", "category").agg(F.sum(1 - F.col("solved").cast("int")).alias("misses"), F.count("*").alias("n"))
 
 
-@query(f"WITH {RATES} SELECT player_id, category, round(g, 6) AS g, round(cat, 6) AS cat, round(player, 6) AS player FROM b", A)
+@query(f"WITH {RATES} SELECT player_id, category, round(g, 9) AS g, round(cat, 9) AS cat, round(player, 9) AS player FROM b", A)
 def a18_l3_base_rates(v):
-    return O.base_rates(_counts(v)).select("player_id", "category", *[F.round(c, 6).alias(c) for c in ("g", "cat", "player")])
+    return O.base_rates(_counts(v)).select("player_id", "category", *[F.round(c, 9).alias(c) for c in ("g", "cat", "player")])
 
 
 def _lg(x):
