@@ -125,10 +125,8 @@ def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Links of a spanning forest between the stored and the looked-up fingerprints of one pair of blocks."""
-    x = pdf.loc[pdf.stored, "fp"].unique()
-    y = pdf.loc[~pdf.stored, "fp"].unique()
+def _spanning(x: np.ndarray, y: np.ndarray, linked: np.ndarray) -> pd.DataFrame:
+    """A spanning forest of the links between x and y where `linked` is true."""
     parent: dict[int, int] = {}
 
     def root(v: int) -> int:
@@ -137,7 +135,7 @@ def _forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
         return v
 
     out = []
-    for i, j in zip(*np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= most)):
+    for i, j in zip(*np.nonzero(linked)):
         a, b = root(int(x[i])), root(int(y[j]))
         if a != b:
             parent[max(a, b)] = min(a, b)
@@ -145,30 +143,56 @@ def _forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def links(fps: DataFrame, most: int = 3) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that differ in 1 to `most` (3 or fewer) bits.
+def _forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Links of a spanning forest between the stored and the looked-up fingerprints of one pair of blocks."""
+    x = pdf.loc[pdf.stored, "fp"].unique()
+    y = pdf.loc[~pdf.stored, "fp"].unique()
+    return _spanning(x, y, np.bitwise_count(x[:, None] ^ y[None, :]) <= most)
 
-    Where over FEW fingerprints share a key, a spanning forest of their links stands for all of them; every
-    other link is in the result.
-    """
+
+def _verified_forest(pdf: pd.DataFrame, most: int, bits: int) -> pd.DataFrame:
+    """The same for nodes, whose words' fingerprints are within `most` bits and whose shingles' are within `bits`."""
+    x, y = pdf[pdf.stored].drop_duplicates("node"), pdf[~pdf.stored].drop_duplicates("node")
+    apart = lambda c: np.bitwise_count(x[c].to_numpy()[:, None] ^ y[c].to_numpy()[None, :])
+    shingles = np.zeros((len(x), len(y)), np.int16)
+    for i in range(VERIFIERS):
+        shingles += apart(f"v{i}")
+    return _spanning(x["node"].to_numpy(), y["node"].to_numpy(), (apart("fp") <= most) & (shingles <= bits))
+
+
+def _met(fps: DataFrame, most: int) -> DataFrame:
+    """(key, fp, stored, n): the keys under which fingerprints meet, with how many rows each has."""
     if not 0 <= most <= 3:
         raise ValueError("the keys find differences of 3 bits at most")
     keys = _keys(fps)
     # Most keys have one fingerprint only, and so no partner. Counting before the join keeps a frequent key out of any single task.
     met = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("stored").alias("n_stored")).where("n_stored > 0 and n_stored < n and (n > 2 or n_stored = 1)")
-    rows = cut(keys.join(met, "key"))
-    few = rows.where(F.col("n") <= FEW)
+    return cut(keys.join(met, "key").select("key", "fp", "stored", "n"))
+
+
+def _close(few: DataFrame, most: int) -> DataFrame:
+    """(a, b): the pairs of a stored and a looked-up fingerprint of one key within `most` bits."""
     x = few.where("stored").select("key", F.col("fp").alias("a"))
     y = few.where("not stored").select("key", F.col("fp").alias("b"))
-    near = x.join(y, (x["key"] == y["key"]) & (F.col("a") != F.col("b")) & (_apart(F.col("a"), F.col("b")) <= most)).select("a", "b")
-    many = rows.where(F.col("n") > FEW)
+    return x.join(y, (x["key"] == y["key"]) & (F.col("a") != F.col("b")) & (_apart(F.col("a"), F.col("b")) <= most)).select("a", "b")
+
+
+def _spread(many: DataFrame, column: str) -> DataFrame:
+    """Rows of hot keys with the pair of blocks (i, j) that they go to: a stored row meets each looked-up block and the other way round."""
     blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("fp"), blocks)
-    # A stored row meets each looked-up block and the other way round; a pair of blocks is a group of a bounded size.
-    spread = many.select("key", "fp", "stored", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    spread = spread.select("key", "fp", "stored", F.when(F.col("stored"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("stored"), F.col("other")).otherwise(F.col("own")).alias("j"))
-    hot = spread.groupBy("key", "i", "j").applyInPandas(lambda pdf: _forest(pdf, most), "a long, b long")
-    both = near.unionByName(hot.where("a <> b"))
+    rows = many.withColumns({"own": F.pmod(F.xxhash64(column), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    return rows.withColumns({"i": F.when(F.col("stored"), F.col("own")).otherwise(F.col("other")), "j": F.when(F.col("stored"), F.col("other")).otherwise(F.col("own"))}).drop("own", "other", "n")
+
+
+def links(fps: DataFrame, most: int = 3) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column fp) that differ in 1 to `most` (3 or fewer) bits.
+
+    Where over FEW fingerprints share a key, a spanning forest of their links stands for all of them; every
+    other link is in the result.
+    """
+    rows = _met(fps, most)
+    hot = _spread(rows.where(F.col("n") > FEW), "fp").groupBy("key", "i", "j").applyInPandas(lambda pdf: _forest(pdf, most), "a long, b long")
+    both = _close(rows.where(F.col("n") <= FEW), most).unionByName(hot.where("a <> b"))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -219,6 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 FINDERS, VERIFIERS = 3, 8
 #: Texts with the same words' fingerprint that are all compared; of more, each is compared with the smallest and the largest.
 ALIKE = 16
+#: Keys with more fingerprints than this give a spanning forest of verified links in place of all pairs.
+CROWD = 32
 
 
 def _signed_bits(h: np.ndarray, seed: int) -> int:
@@ -269,25 +295,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = cut(full.mapInArrow(run, f"id {id_type}, " + ", ".join(f"{n} long" for n in names)))
     nodes = cut(rows.groupBy(*names).agg(F.min("id").alias("least")))
-    found = None
+    bits, verify = bits_apart(similarity), [f"v{i}" for i in range(VERIFIERS)]
+    found = sure = None
     for i in range(FINDERS):
-        mine = nodes.select(F.col(f"w{i}").alias("fp"), "node")
-        size = mine.groupBy("fp").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+        mine = nodes.select(F.col(f"w{i}").alias("fp"), "node", *verify)
+        size = mine.groupBy("fp").agg(F.count("*").alias("same"), F.min("node").alias("lo"), F.max("node").alias("hi"))
         sized = mine.join(size, "fp")
-        acting = sized.where((F.col("n") <= ALIKE) | F.col("node").isin(F.col("lo"), F.col("hi"))).select("fp", "node")
-        far = links(size.select("fp"))
-        far = far.join(acting.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(acting.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
-        same = sized.where("n > 1")
+        acting = sized.where((F.col("same") <= ALIKE) | F.col("node").isin(F.col("lo"), F.col("hi"))).select("fp", "node", *verify)
+        met = _met(size.select("fp"), 3)
+        # Under a hot key only a spanning forest of verified links is made, in blocks; under others all pairs, verified below.
+        hot = _spread(met.where(F.col("n") > CROWD), "fp").join(acting, "fp")
+        hot = hot.groupBy("key", "i", "j").applyInPandas(lambda pdf: _verified_forest(pdf, 3, bits), "a long, b long")
+        sure = hot if sure is None else sure.unionByName(hot)
+        far = _close(met.where(F.col("n") <= CROWD), 3).distinct()
+        who = acting.select("fp", "node")
+        far = far.join(who.toDF("a", "x"), "a").join(who.toDF("b", "y"), "b").select("x", "y")
+        same = sized.where("same > 1")
         ends = same.select(F.col("node").alias("x"), F.explode(F.array("lo", "hi")).alias("y"))
-        few = same.where(F.col("n") <= ALIKE)
+        few = same.where(F.col("same") <= ALIKE)
         each = few.select("fp", F.col("node").alias("x")).join(few.select("fp", F.col("node").alias("y")), "fp").select("x", "y")
         part = far.unionByName(ends).unionByName(each).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         found = part if found is None else found.unionByName(part)
-    verify = [f"v{i}" for i in range(VERIFIERS)]
     left = nodes.select(F.col("node").alias("x"), *[F.col(v).alias(f"x{v}") for v in verify])
     right = nodes.select(F.col("node").alias("y"), *[F.col(v).alias(f"y{v}") for v in verify])
     apart = sum((_apart(F.col(f"x{v}"), F.col(f"y{v}")) for v in verify), F.lit(0))
-    edges = found.distinct().join(left, "x").join(right, "y").where(apart <= bits_apart(similarity)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = found.distinct().join(left, "x").join(right, "y").where(apart <= bits).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = edges.unionByName(sure.where("a <> b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     roots = components(edges)
     named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
