@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import slices
 from .pieces import Vocabulary, load
 
-KEPT = 250_000
+KEPT = 150_000
 MARK = "▁"
 
 
@@ -180,7 +180,7 @@ def _run(path: str | None, encode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(path)
         for big in batches:
-            for batch in slices(big, "text", 4 << 20) if encode else [big]:
+            for batch in slices(big, "text", 2 << 20) if encode else [big]:
                 if encode:
                     texts = batch.column("text").to_pylist()
                     ids = [None if x is None else np.array(x, np.int32) for x in transducer.encode(texts)]
@@ -220,7 +220,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(path)
         for big in batches:
-            for batch in slices(big, "text", 4 << 20):
+            for batch in slices(big, "text", 2 << 20):
                 texts = batch.column("text").to_pylist()
                 ids = transducer.encode(texts)
                 back = [transducer.decode(x) if x is not None else None for x in ids]
