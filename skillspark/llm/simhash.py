@@ -143,21 +143,24 @@ def _spanning(x: np.ndarray, y: np.ndarray, linked: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _differing(x: pd.Series, y: pd.Series) -> np.ndarray:
+    """Differing bits of each pair; unsigned, as bitwise_count takes absolute values."""
+    return np.bitwise_count(x.to_numpy().view(np.uint64)[:, None] ^ y.to_numpy().view(np.uint64)[None, :])
+
+
 def _forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     """Links of a spanning forest between the stored and the looked-up fingerprints of one pair of blocks."""
-    x = pdf.loc[pdf.stored, "fp"].unique()
-    y = pdf.loc[~pdf.stored, "fp"].unique()
-    return _spanning(x, y, np.bitwise_count(x[:, None] ^ y[None, :]) <= most)
+    x, y = pdf.loc[pdf.stored, "fp"].drop_duplicates(), pdf.loc[~pdf.stored, "fp"].drop_duplicates()
+    return _spanning(x.to_numpy(), y.to_numpy(), _differing(x, y) <= most)
 
 
 def _verified_forest(pdf: pd.DataFrame, most: int, bits: int) -> pd.DataFrame:
     """The same for nodes, whose words' fingerprints are within `most` bits and whose shingles' are within `bits`."""
     x, y = pdf[pdf.stored].drop_duplicates("node"), pdf[~pdf.stored].drop_duplicates("node")
-    apart = lambda c: np.bitwise_count(x[c].to_numpy()[:, None] ^ y[c].to_numpy()[None, :])
     shingles = np.zeros((len(x), len(y)), np.int16)
     for i in range(VERIFIERS):
-        shingles += apart(f"v{i}")
-    return _spanning(x["node"].to_numpy(), y["node"].to_numpy(), (apart("fp") <= most) & (shingles <= bits))
+        shingles += _differing(x[f"v{i}"], y[f"v{i}"])
+    return _spanning(x["node"].to_numpy(), y["node"].to_numpy(), (_differing(x["fp"], y["fp"]) <= most) & (shingles <= bits))
 
 
 def _met(fps: DataFrame, most: int) -> DataFrame:

@@ -92,9 +92,10 @@ def test_components_of_hot_keys_are_whole(spark, monkeypatch):
     monkeypatch.setattr(simhash, "FEW", 4)
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rng = random.Random(3)
-    centre = rng.getrandbits(63)
-    fps = {centre} | {centre ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for _ in range(60)} | {rng.getrandbits(63) for _ in range(40)}
-    rows = [{"doc_id": f, "fingerprint": f"{f:x}"} for f in sorted(fps)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    centre = rng.getrandbits(64)
+    fps = {signed(x) for x in [centre, *(centre ^ (1 << rng.randrange(64)) ^ (1 << 63) * (i % 2) for i in range(60)), *(rng.getrandbits(64) for _ in range(40))]}
+    rows = [{"doc_id": f, "fingerprint": f"{f % (1 << 64):x}"} for f in sorted(fps)]
     roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()}
     assert [roots.get(r["doc_id"], r["doc_id"]) for r in rows] == brute_components(rows)
 
