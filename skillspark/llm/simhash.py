@@ -154,15 +154,6 @@ def _forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     return _spanning(x.to_numpy(), y.to_numpy(), _differing(x, y) <= most)
 
 
-def _verified_forest(pdf: pd.DataFrame, most: int, bits: int) -> pd.DataFrame:
-    """The same for nodes, whose words' fingerprints are within `most` bits and whose shingles' are within `bits`."""
-    x, y = pdf[pdf.stored].drop_duplicates("node"), pdf[~pdf.stored].drop_duplicates("node")
-    shingles = np.zeros((len(x), len(y)), np.int16)
-    for i in range(VERIFIERS):
-        shingles += _differing(x[f"v{i}"], y[f"v{i}"])
-    return _spanning(x["node"].to_numpy(), y["node"].to_numpy(), (_differing(x["fp"], y["fp"]) <= most) & (shingles <= bits))
-
-
 def _met(fps: DataFrame, most: int) -> DataFrame:
     """(key, fp, stored, n): the keys under which fingerprints meet, with how many rows each has."""
     if not 0 <= most <= 3:
@@ -242,89 +233,141 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a text's words that find candidates, and of its shingles (64 bits each) that verify them.
-FINDERS, VERIFIERS = 3, 8
-#: Texts with the same words' fingerprint that are all compared; of more, each is compared with the smallest and the largest.
-ALIKE = 16
-#: Keys with more fingerprints than this give a spanning forest of verified links in place of all pairs.
-CROWD = 32
+#: One text in SAMPLE is counted to learn which shingles are frequent; at most FREQUENT of them are kept.
+SAMPLE, FREQUENT = 32, 500_000
+#: Rounds in which the texts of a shingle meet about SOME of them only; after these, all pairs that still lie apart meet.
+TURNS, SOME = 2, 8
 
 
-def _signed_bits(h: np.ndarray, seed: int) -> int:
-    ones = np.zeros(64, np.int64)
-    for a in range(0, len(h), 8192):
-        ones += np.unpackbits(mix(h[a : a + 8192] + np.uint64(seed)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """The distinct hashes of the shingles of `width` words, sorted; a shorter text is one shingle."""
+    n = max(1, len(words) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(width, len(words))):
+        out = mix(out + words[i : i + n])
+    return np.unique(out)
 
 
-def _profiles(width: int):
-    """A row's node (a hash of its words in order) with the fingerprints of its words and of its distinct shingles."""
-    names = ["node", *(f"w{i}" for i in range(FINDERS)), *(f"v{i}" for i in range(VERIFIERS))]
+def _sampled(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_shingles(hashes(words_of(text.lower())), width) for text in as_bytes(batch.column(0))]
+            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return run
+
+
+def _prefixes(width: int, similarity: float, frequent):
+    """A row's node (a hash of its words in order), its number of distinct shingles, and the first of them, from rare to frequent.
+
+    Two sets of that similarity share one of the first n - ceil(similarity * n) + 1 in any order that all rows have in common.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, rank = frequent.value
         for batch in batches:
-            rows = []
+            node, size, first = [], [], []
             for text in as_bytes(batch.column(1)):
                 words = hashes(words_of(text.lower()))
-                n = max(1, len(words) - width + 1)
-                shingles = np.zeros(n, np.uint64)
-                for i in range(min(width, len(words))):
-                    shingles = mix(shingles + words[i : i + n])
-                shingles = np.unique(shingles)
-                node = xxhash.xxh64_intdigest(words.tobytes()) - (1 << 63)
-                rows.append((node, *(_signed_bits(words, 7919 * i + 1) for i in range(FINDERS)), *(_signed_bits(shingles, 7919 * i + 5) for i in range(VERIFIERS))))
-            columns = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", *names])
+                h = _shingles(words, width)
+                node.append(xxhash.xxh64_intdigest(words.tobytes()) - (1 << 63))
+                size.append(len(h))
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                    h = h[np.argsort(np.where(often[at] == h, rank[at], 0), kind="stable")]
+                first.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].view(np.int64))
+            lists = pa.array(first, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), lists], names=["id", "node", "n", "first"])
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [hashes(words_of(text.lower())) for text in as_bytes(batch.column(0))]
+            node = [xxhash.xxh64_intdigest(w.tobytes()) - (1 << 63) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([_shingles(w, width).tobytes() for w in words], pa.binary())], names=["node", "set"])
+
+    return run
+
+
+def _similar(similarity: float):
+    """The pairs whose shingle sets have at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("xset"), batch.column("yset")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate((x, y)), kind="stable")
+                shared = np.count_nonzero(both[1:] == both[:-1])
+                keep.append(shared * (1 + similarity) >= similarity * (len(x) + len(y)) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run, names
+    return run
 
 
-def bits_apart(similarity: float) -> int:
-    """Differing bits of the shingles' fingerprints that stand for a Jaccard similarity, with one and a half standard deviations added."""
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = 64 * VERIFIERS
-    return int(n * angle + 1.5 * np.sqrt(n * angle * (1 - angle)))
+def _possible(similarity: float) -> Column:
+    """Whether sets of n and m shingles that first meet at their places p and q can have the similarity; exact, as each similar pair passes where it first meets."""
+    n, m = F.col("x.n"), F.col("y.n")
+    return (F.lit(1 + similarity) * F.least(n - F.col("x.p"), m - F.col("y.p")) >= F.lit(similarity) * (n + m) - 1e-9) & (F.col("x.node") < F.col("y.node"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) of every row with an id and a text that isn't blank: groups of near copies.
 
-    Fingerprints of a text's words, repeats included, move little under a few edits; texts that are within 3 bits in one of FINDERS of them are
-    candidates, found by the Golay keys. A candidate pair is a link if the fingerprints of its distinct shingles of `width`
-    words are as near as the similarity asks (see bits_apart). Equal texts, but for case and white space, are one node.
+    Two texts are linked if their sets of distinct shingles of `width` words have a Jaccard similarity of at least `similarity`. Exact: texts that similar share one of
+    the rarest shingles of each (see _prefixes; which are frequent is estimated on a sample, but decides the order only), and every
+    pair that does is compared by its whole sets. Texts first meet about SOME others under a shingle, in TURNS rounds; then all
+    but those that these links have joined, so that a large group of near copies doesn't make all its pairs. Equal texts, but for case and white space, are one node.
     """
-    run, names = _profiles(width)
-    full = need(docs, id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
+    spark = docs.sparkSession
+    full = need(docs, id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = cut(full.mapInArrow(run, f"id {id_type}, " + ", ".join(f"{n} long" for n in names)))
-    nodes = cut(rows.groupBy(*names).agg(F.min("id").alias("least")))
-    bits, verify = bits_apart(similarity), [f"v{i}" for i in range(VERIFIERS)]
-    found = sure = None
-    for i in range(FINDERS):
-        mine = nodes.select(F.col(f"w{i}").alias("fp"), "node", *verify)
-        size = mine.groupBy("fp").agg(F.count("*").alias("same"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-        sized = mine.join(size, "fp")
-        acting = sized.where((F.col("same") <= ALIKE) | F.col("node").isin(F.col("lo"), F.col("hi"))).select("fp", "node", *verify)
-        met = _met(size.select("fp"), 3)
-        # Under a hot key only a spanning forest of verified links is made, in blocks; under others all pairs, verified below.
-        hot = _spread(met.where(F.col("n") > CROWD), "fp").join(acting, "fp")
-        hot = hot.groupBy("key", "i", "j").applyInPandas(lambda pdf: _verified_forest(pdf, 3, bits), "a long, b long")
-        sure = hot if sure is None else sure.unionByName(hot)
-        far = _close(met.where(F.col("n") <= CROWD), 3).distinct()
-        who = acting.select("fp", "node")
-        far = far.join(who.toDF("a", "x"), "a").join(who.toDF("b", "y"), "b").select("x", "y")
-        same = sized.where("same > 1")
-        ends = same.select(F.col("node").alias("x"), F.explode(F.array("lo", "hi")).alias("y"))
-        few = same.where(F.col("same") <= ALIKE)
-        each = few.select("fp", F.col("node").alias("x")).join(few.select("fp", F.col("node").alias("y")), "fp").select("x", "y")
-        part = far.unionByName(ends).unionByName(each).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        found = part if found is None else found.unionByName(part)
-    left = nodes.select(F.col("node").alias("x"), *[F.col(v).alias(f"x{v}") for v in verify])
-    right = nodes.select(F.col("node").alias("y"), *[F.col(v).alias(f"y{v}") for v in verify])
-    apart = sum((_apart(F.col(f"x{v}"), F.col(f"y{v}")) for v in verify), F.lit(0))
-    edges = found.distinct().join(left, "x").join(right, "y").where(apart <= bits).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    edges = edges.unionByName(sure.where("a <> b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = components(edges)
+    counted = full.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sampled(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counted.where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    often, rank = np.asarray(top["h"]).astype(np.int64).view(np.uint64), np.asarray(top["n"]).astype(np.int64)
+    order = np.argsort(often)
+    frequent = spark.sparkContext.broadcast((often[order], rank[order]))
+    rows = cut(full.mapInArrow(_prefixes(width, similarity, frequent), f"id {id_type}, node long, n int, first array<long>"))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("first").alias("first")))
+    keys = nodes.select("node", "n", F.posexplode("first").alias("p", "h"))
+    shared = keys.groupBy("h").agg(F.count("*").alias("same")).where("same > 1")
+    met = cut(keys.join(shared, "h"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.distinct())
+        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node")
+        texts = full.join(named.select(F.col("least").alias("id")).distinct(), "id", "left_semi").select("text")
+        sets = cut(texts.mapInArrow(_sets(width), "node long, set binary").join(named.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("set").alias("set")))
+        both = pairs.join(sets.toDF("a", "xset"), "a").join(sets.toDF("b", "yset"), "b")
+        return cut(both.mapInArrow(_similar(similarity), "a long, b long"))
+
+    def meeting(rest: DataFrame) -> DataFrame:
+        """The pairs of each (h, i, j) that may be similar and aren't joined yet."""
+        x, y = (rest.select("h", "node", "n", "p", "root", F.col(own).alias("i"), F.col(other).alias("j")).alias(name) for name, own, other in (("x", "own", "other"), ("y", "other", "own")))
+        here = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in "hij"]
+        return x.join(y, here[0] & here[1] & here[2] & _possible(similarity) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    rest = met.withColumn("root", F.col("node"))
+    parts = F.greatest(F.lit(1), F.pow(2, F.ceil(F.log2(F.col("same") / SOME)))).cast("long")
+    links = roots = None
+    for turn in range(TURNS + 1):
+        if turn:  # texts under shingles of SOME or fewer have all met, and so have those that are joined
+            rest = met.where(F.col("same") > SOME).join(roots, "node", "left").select("h", "node", "n", "p", "same", F.coalesce("root", "node").alias("root"))
+            apart = rest.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+            rest = rest.join(apart.select("h"), "h", "left_semi")
+        if turn < TURNS:
+            part = F.pmod(F.xxhash64("node", F.lit(turn)), parts)
+            pairs = meeting(rest.withColumns({"own": part, "other": part}))
+        else:
+            blocks = F.ceil(F.col("same") / BLOCK)
+            pairs = meeting(rest.withColumns({"own": F.pmod(F.xxhash64("node"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))}))
+        new = verified(pairs)
+        links = new if links is None else links.unionByName(new)
+        roots = components(links)
     named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(groups, "root").select("node", "component_id")
