@@ -58,3 +58,17 @@ def edited():
 def test_cut_appended_and_changed_copies_of_all_lengths_are_found(spark):
     texts = edited()
     assert groups(spark, texts) == brute_groups(texts)
+
+
+def test_copies_among_hundreds_of_tables_with_one_dominant_word(spark):
+    rng, texts = random.Random(12), []
+    for k in range(300):
+        row = [w for _ in range(40) for w in ("|", f"n{rng.randrange(200)}", "|")]
+        texts.append(row)
+        if k % 10 == 0:  # a copy with its last rows cut, and one with rows in another order
+            texts.append(row[: len(row) * 9 // 10])
+            texts.append(row[60:] + row[:60])
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    want = brute_groups(texts)
+    assert groups(spark, texts) == want and len(set(want.values())) < len(texts) - 50
