@@ -72,3 +72,15 @@ def test_copies_among_hundreds_of_tables_with_one_dominant_word(spark):
     texts = [" ".join(t) for t in texts]
     want = brute_groups(texts)
     assert groups(spark, texts) == want and len(set(want.values())) < len(texts) - 50
+
+
+def test_pairs_just_below_the_similarity_are_kept_and_pairs_at_it_are_not(spark, sf_dir):
+    rng, texts = random.Random(13), []
+    for _ in range(60):
+        base = prose(rng, 84)  # 80 shingles
+        texts += [base, base[: rng.randrange(60, 76)]]  # 56 to 71 of them: similarities of 0.7 to 0.89
+    texts = [" ".join(t) for t in texts]
+    want = brute_groups(texts)
+    assert groups(spark, texts) == want and 0 < len(texts) - len(set(want.values())) < 60
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(want.values())
