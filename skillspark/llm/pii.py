@@ -3,7 +3,8 @@
 Protected entities are the values that the patterns find (an address, a number). Over all documents,
 IC(e) = log2(N / n_e) is what naming the entity e tells, and PMI(e; t) = log2(N n_et / (n_e n_t)) what seeing the
 term t near it tells about e; n are documents. A term within `window` words of e discloses it if PMI reaches
-the share `alpha` of IC and if at least `support` different texts show the two together. Its occurrences near e are
+the share `alpha` of IC, which for an entity of one document asks for a term of at most N ** (1 - alpha) documents; a
+higher `support` also asks for so many documents with both. Its occurrences near e are
 spans too: numbers and names are generalised to a placeholder, other words are removed.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut, need
 
 KINDS = ("email", "ip", "card", "phone", "term")
-ALPHA, SUPPORT, WINDOW = 0.8, 3, 8
+ALPHA, SUPPORT, WINDOW = 0.8, 1, 8
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -147,11 +148,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     base = cut(rows.mapInArrow(_scan(window), f"id {id_type}, k1 long, k2 long, base {_SPAN}, near {_NEAR}"))
     n = base.count()
     near = base.where(F.size("near") > 0).select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.*")
-    pairs = near.groupBy("entity", "term", "k1", "k2").agg(F.lit(1).alias("one")).groupBy("entity", "term", "k2").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("n_texts"))
-    pairs = cut(pairs.where(F.col("n_texts") >= support))
+    pairs = near.groupBy("entity", "term", "k1", "k2").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    pairs = cut(pairs.where(F.col("n_et") >= support))
     entities = near.groupBy("entity", "k1", "k2").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
     terms = need(rows, "text").mapInArrow(_frequencies, "term long, n long")
-    terms = terms.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
+    terms = terms.groupBy("term").agg(F.sum("n").alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
     pmi = F.log2(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     flagged = pairs.join(entities, "entity").join(terms, "term").where(pmi >= alpha * F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))).where(F.col("n_e") < n).select("entity", "term")
     hits = near.join(flagged, ["entity", "term"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "end"))).alias("terms"))
