@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, hashes, mix, need, words_of
@@ -235,60 +235,140 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: One text in SAMPLE is counted to learn which shingles are frequent; at most FREQUENT of them are kept.
 SAMPLE, FREQUENT = 32, 500_000
-#: Rounds in which the texts of a shingle meet about SOME of them only; after these, all pairs that still lie apart meet.
-TURNS, SOME = 2, 8
+#: Shingle hashes of a sketch, and how many of the least 2 * SKETCH of two texts' together may differ: texts of similarity 0.8 have fewer
+#: than half in common with a chance below 1e-8.
+SKETCH = 64
+#: Differing fingerprint bits beyond which a pair isn't looked at: at similarity 0.8 they are 9.7 on average, with a deviation of 2.9.
+WIDE = 27
+#: Bits of the map of the texts whose whole sets are asked for; its size doesn't grow with the documents.
+MAP_BITS = 1 << 23
 
 
-def _shingles(words: np.ndarray, width: int) -> np.ndarray:
-    """The distinct hashes of the shingles of `width` words, sorted; a shorter text is one shingle."""
+def _shingle_rows(words: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of the shingles of `width` words in order; a shorter text is one shingle."""
     n = max(1, len(words) - width + 1)
     out = np.zeros(n, np.uint64)
     for i in range(min(width, len(words))):
         out = mix(out + words[i : i + n])
-    return np.unique(out)
+    return out
+
+
+def _sign_bits(h: np.ndarray) -> int:
+    """The SimHash fingerprint of 64-bit hashes: bit b is 1 if over half of them have it."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(h), 8192):
+        ones += np.unpackbits(h[a : a + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
 def _sampled(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_shingles(hashes(words_of(text.lower())), width) for text in as_bytes(batch.column(0))]
+            sets = [np.unique(_shingle_rows(hashes(words_of(text.lower())), width)) for text in as_bytes(batch.column(0))]
             h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     return run
 
 
-def _prefixes(width: int, similarity: float, frequent):
-    """A row's node (a hash of its words in order), its number of distinct shingles, and the first of them, from rare to frequent.
+def _sketched(width: int, similarity: float, frequent):
+    """Of each text: its number of distinct shingles, its fingerprint, the first shingles from rare to frequent (`rare` of them not known as frequent), and the least hashes.
 
     Two sets of that similarity share one of the first n - ceil(similarity * n) + 1 in any order that all rows have in common.
+    A text that the task has met already is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = frequent.value
+        seen: set[int] = set()
         for batch in batches:
-            node, size, first = [], [], []
-            for text in as_bytes(batch.column(1)):
-                words = hashes(words_of(text.lower()))
-                h = _shingles(words, width)
-                node.append(xxhash.xxh64_intdigest(words.tobytes()) - (1 << 63))
+            node, size, bits, rare, first, least = [], [], [], [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+                if key in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(key)
+                h = np.unique(_shingle_rows(hashes(words_of(text.lower())), width))
+                node.append(key)
                 size.append(len(h))
+                bits.append(_sign_bits(h))
+                least.append(h[:SKETCH].view(np.int64))
+                known = 0
+                keep = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
                 if len(often):
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                    h = h[np.argsort(np.where(often[at] == h, rank[at], 0), kind="stable")]
-                first.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].view(np.int64))
-            lists = pa.array(first, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), lists], names=["id", "node", "n", "first"])
+                    count = np.where(often[at] == h, rank[at], 0)
+                    known = max(0, keep - int(np.count_nonzero(count == 0)))
+                    h = h[np.argsort(count, kind="stable")]
+                first.append(h[:keep].view(np.int64))
+                rare.append(keep - known)
+            long = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.int64()), pa.array(rare, pa.int32()), pa.array(first, long), pa.array(least, long)],
+                names=["node", "n", "fp", "rare", "first", "least"],
+            )
+
+    return run
+
+
+def _wanted(nodes: DataFrame) -> np.ndarray:
+    """A map of MAP_BITS bits with those of the nodes (column node) set; a few others fall on the same bits."""
+    at = F.pmod("node", F.lit(MAP_BITS))
+    words = nodes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {MAP_BITS}) & 63 as int))")).alias("bits"))
+    found = words.toArrow()
+    out = np.zeros(MAP_BITS >> 6, np.int64)
+    out[np.asarray(found["w"]).astype(np.int64)] = np.asarray(found["bits"])
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def _sets(width: int, wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, seen = wanted.value, set()
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            hit = there[nodes % MAP_BITS]
+            chosen, node, sets = batch.filter(pa.array(hit)), [], []
+            for key, text in zip(chosen.column(0).to_pylist(), as_bytes(chosen.column(1))):
+                if key in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(key)
+                node.append(key)
+                sets.append(np.unique(_shingle_rows(hashes(words_of(text.lower())), width)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
     return run
 
 
-def _sets(width: int):
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The sorted values that both sorted arrays of distinct values have."""
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    return both[1:][both[1:] == both[:-1]]
+
+
+def _similar_sketches(similarity: float):
+    """(a, b, whole, share) of the pairs whose sketches allow the similarity; where the sketches are whole sets they decide."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [hashes(words_of(text.lower())) for text in as_bytes(batch.column(0))]
-            node = [xxhash.xxh64_intdigest(w.tobytes()) - (1 << 63) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([_shingles(w, width).tobytes() for w in words], pa.binary())], names=["node", "set"])
+            keep, share, whole = [], [], []
+            for x, y, n, m in zip(batch.column("xleast"), batch.column("yleast"), batch.column("xn").to_pylist(), batch.column("yn").to_pylist()):
+                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+                both = _shared(x, y)
+                if full := n <= SKETCH and m <= SKETCH:
+                    part = len(both) / (n + m - len(both))
+                    good = len(both) * (1 + similarity) >= similarity * (n + m) - 1e-9
+                else:  # of the least hashes of the two together, those that both have
+                    union = np.unique(np.concatenate((x, y)))[:SKETCH]
+                    part = np.count_nonzero(both <= union[-1]) / len(union)
+                    good = part >= similarity - 0.3 and similarity * max(n, m) <= min(n, m) + 1e-9
+                keep.append(good)
+                share.append(part)
+                whole.append(full)
+            out = batch.select(["a", "b"]).append_column("whole", pa.array(whole, pa.bool_())).append_column("share", pa.array(share, pa.float64()))
+            yield out.filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -301,85 +381,129 @@ def _similar(similarity: float):
             keep = []
             for x, y in zip(batch.column("xset"), batch.column("yset")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                shared = np.count_nonzero(both[1:] == both[:-1])
-                keep.append(shared * (1 + similarity) >= similarity * (len(x) + len(y)) - 1e-9)
+                keep.append(len(_shared(x, y)) * (1 + similarity) >= similarity * (len(x) + len(y)) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _possible(similarity: float) -> Column:
-    """Whether sets of n and m shingles that first meet at their places p and q can have the similarity; exact, as each similar pair passes where it first meets."""
+    """Whether sets of n and m shingles that first meet at their places p and q can have the similarity: exact, as each similar pair passes where it first meets.
+
+    Of longer texts those with fingerprints further apart than WIDE bits are left out as well.
+    """
     n, m = F.col("x.n"), F.col("y.n")
-    return (F.lit(1 + similarity) * F.least(n - F.col("x.p"), m - F.col("y.p")) >= F.lit(similarity) * (n + m) - 1e-9) & (F.col("x.node") < F.col("y.node"))
+    return (F.lit(1 + similarity) * F.least(n - F.col("x.p"), m - F.col("y.p")) >= F.lit(similarity) * (n + m) - 1e-9) & ((n < 32) | (_apart(F.col("x.fp"), F.col("y.fp")) <= WIDE))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id) of every row with an id and a text that isn't blank: groups of near copies.
+def _named(text_col: str) -> Column:
+    """A text's node: equal texts are one node."""
+    return F.xxhash64(F.col(text_col), F.lit(11))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, node, text) of the rows that can be compared."""
+    rows = need(docs, id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
+    return rows.select(F.col(id_col).alias("id"), _named(text_col).alias("node"), F.col(text_col).alias("text"))
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, root) of every node (see _named) of docs that is linked to another: groups of near copies.
 
-    Two texts are linked if their sets of distinct shingles of `width` words have a Jaccard similarity of at least `similarity`. Exact: texts that similar share one of
-    the rarest shingles of each (see _prefixes; which are frequent is estimated on a sample, but decides the order only), and every
-    pair that does is compared by its whole sets. Texts first meet about SOME others under a shingle, in TURNS rounds; then all
-    but those that these links have joined, so that a large group of near copies doesn't make all its pairs. Equal texts, but for case and white space, are one node.
+    Candidates come in two ways. SimHash fingerprints of the shingles are joined by their Golay keys (see links), which finds the copies that differ
+    in little. That isn't enough at 0.8, where fingerprints differ by some ten bits, so that texts also meet under their
+    rarest shingles: those of the similarity share one of the first of each (see _sketched; which shingles are frequent is estimated on a
+    sample, but decides the order only). Candidates within WIDE bits and with like sketches are verified by their whole sets. First a text is
+    compared with that of its neighbours under a key that is most like it, then all pairs are that these links haven't
+    joined, so that a large group of near copies doesn't make all its pairs.
     """
     spark = docs.sparkSession
-    full = need(docs, id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    counted = full.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sampled(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    full = _rows(docs, id_col, text_col).select("node", "text")
+    counted = full.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sampled(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counted.where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     often, rank = np.asarray(top["h"]).astype(np.int64).view(np.uint64), np.asarray(top["n"]).astype(np.int64)
     order = np.argsort(often)
     frequent = spark.sparkContext.broadcast((often[order], rank[order]))
-    rows = cut(full.mapInArrow(_prefixes(width, similarity, frequent), f"id {id_type}, node long, n int, first array<long>"))
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("first").alias("first")))
-    keys = nodes.select("node", "n", F.posexplode("first").alias("p", "h"))
-    shared = keys.groupBy("h").agg(F.count("*").alias("same")).where("same > 1")
-    met = cut(keys.join(shared, "h"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node")
-        texts = full.join(named.select(F.col("least").alias("id")).distinct(), "id", "left_semi").select("text")
-        sets = cut(texts.mapInArrow(_sets(width), "node long, set binary").join(named.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("set").alias("set")))
-        both = pairs.join(sets.toDF("a", "xset"), "a").join(sets.toDF("b", "yset"), "b")
-        return cut(both.mapInArrow(_similar(similarity), "a long, b long"))
-
-    def meeting(rest: DataFrame) -> DataFrame:
-        """The pairs of each (h, i, j) that may be similar and aren't joined yet."""
-        x, y = (rest.select("h", "node", "n", "p", "root", F.col(own).alias("i"), F.col(other).alias("j")).alias(name) for name, own, other in (("x", "own", "other"), ("y", "other", "own")))
-        here = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in "hij"]
-        return x.join(y, here[0] & here[1] & here[2] & _possible(similarity) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-    rest = met.withColumn("root", F.col("node"))
-    parts = F.greatest(F.lit(1), F.pow(2, F.ceil(F.log2(F.col("same") / SOME)))).cast("long")
-    links = roots = None
-    for turn in range(TURNS + 1):
-        if turn:  # texts under shingles of SOME or fewer have all met, and so have those that are joined
-            rest = met.where(F.col("same") > SOME).join(roots, "node", "left").select("h", "node", "n", "p", "same", F.coalesce("root", "node").alias("root"))
-            apart = rest.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-            rest = rest.join(apart.select("h"), "h", "left_semi")
-        if turn < TURNS:
-            part = F.pmod(F.xxhash64("node", F.lit(turn)), parts)
-            pairs = meeting(rest.withColumns({"own": part, "other": part}))
-        else:
-            blocks = F.ceil(F.col("same") / BLOCK)
-            pairs = meeting(rest.withColumns({"own": F.pmod(F.xxhash64("node"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))}))
-        new = verified(pairs)
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
-    named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(groups, "root").select("node", "component_id")
-    return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id")
+    sketches = cut(full.mapInArrow(_sketched(width, similarity, frequent), "node long, n int, fp long, rare int, first array<long>, least array<long>"))
+    info = sketches.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("fp").alias("fp"))
+    keys = sketches.select("node", "rare", F.posexplode("first").alias("p", "h"))
+    # Shingles that are known as frequent are shared; of the others, of which none has many texts, those of one text only go.
+    here = Window.partitionBy("h")
+    shared = keys.where("p < rare").select("h", "node", "p").withColumns({"a": F.min("node").over(here), "b": F.max("node").over(here)}).where("a < b").select("h", "node", "p")
+    met = shared.unionByName(keys.where("p >= rare").select("h", "node", "p")).join(info, "node")
+    met = cut(met)
+    crowded = met.groupBy("h").agg(F.count("*").alias("same")).where(F.col("same") > BLOCK)
+    met = met.join(crowded, "h", "left").withColumn("blocks", F.ceil(F.coalesce("same", F.lit(1)) / BLOCK)).drop("same")
+
+    def verified(pairs: DataFrame, best: bool) -> DataFrame:
+        """The pairs (a < b) that are similar; with best, of each b only that with the a most like it is looked at."""
+        likely = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        least = sketches.groupBy("node").agg(F.any_value("least").alias("least"), F.any_value("n").alias("n"))
+        likely = likely.join(least.toDF("a", "xleast", "xn"), "a").join(least.toDF("b", "yleast", "yn"), "b").mapInArrow(_similar_sketches(similarity), "a long, b long, whole boolean, share double")
+        if best:
+            likely = likely.groupBy("b").agg(F.max_by(F.struct("a", "whole"), F.struct("share", "a")).alias("x")).select("x.a", "b", "x.whole")
+        likely = cut(likely)
+        rest = likely.where("not whole").select("a", "b")
+        asked = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = spark.sparkContext.broadcast(_wanted(asked))
+        sets = full.mapInArrow(_sets(width, wanted), "node long, set binary").join(asked, "node", "left_semi").groupBy("node").agg(F.any_value("set").alias("set"))
+        both = rest.join(sets.toDF("a", "xset"), "a").join(sets.toDF("b", "yset"), "b")
+        return cut(likely.where("whole").select("a", "b").unionByName(both.mapInArrow(_similar(similarity), "a long, b long")))
+
+    # Fingerprints that the Golay keys link, by a text of each; and the texts of one fingerprint with the first of them.
+    hubs = info.groupBy("fp").agg(F.min("node").alias("hub"))
+    near = links(hubs.select("fp"), 3)
+    golay = near.join(hubs.toDF("a", "x"), "a").join(hubs.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    golay = golay.unionByName(info.join(hubs, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    line = Window.partitionBy("h", F.pmod(F.xxhash64("node"), "blocks")).orderBy("n", "node")
+    before = met.select("node", "n", "fp", "p", F.lag(F.struct("node", "n", "fp", "p")).over(line).alias("x")).where("x is not null")
+    before = before.select("x", F.struct("node", "n", "fp", "p").alias("y")).where(_possible(similarity) & (F.col("x.node") != F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    found = verified(golay.unionByName(before), True)
+    roots = components(found)
+    # Now all pairs of one shingle that lie apart: those outside its largest group with all others.
+    rest = met.join(roots, "node", "left").select("h", "node", "n", "fp", "p", "blocks", F.coalesce("root", "node").alias("root"))
+    groups = rest.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    rest = rest.join(groups.select("h", "main"), "h").withColumns({"own": F.pmod(F.xxhash64("node"), "blocks"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    x = rest.where("root <> main").select("h", "node", "n", "fp", "p", "root", "main", F.col("own").alias("i"), F.col("other").alias("j")).alias("x")
+    y = rest.select("h", "node", "n", "fp", "p", "root", "main", F.col("other").alias("i"), F.col("own").alias("j")).alias("y")
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in "hij"]
+    # A pair of two texts outside the largest group meets in either order; once is enough.
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    pairs = x.join(y, on[0] & on[1] & on[2] & (F.col("x.root") != F.col("y.root")) & once & _possible(similarity))
+    more = verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), False)
+    return components(found.unionByName(more))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of each row, and (node, first) of each node: the row of its group with the smallest id, as (id, node)."""
+    rows = _rows(docs, id_col, text_col).select("id", "node")
+    roots = near_links(docs, id_col, text_col, width, similarity)
+    least = rows.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+    least = cut(least)
+    groups = least.groupBy("root").agg(F.min(F.struct("id", "node")).alias("first"))
+    return rows, least.join(groups, "root").select("node", "first")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) of every row with an id and a text that isn't blank: groups of near copies.
+
+    Two texts are linked if their sets of distinct shingles of `width` words, in lower case, have a Jaccard similarity of at least `similarity`; component_id
+    is the smallest id of a row that is reachable. A text under `width` words is one shingle. Rows with one id and different texts are compared each by its own text; repeated rows each stay.
+    """
+    rows, named = _grouped(docs, id_col, text_col, width, similarity)
+    return rows.join(named, "node").select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs without near copies: of each group the row with the smallest id, and of several rows with that id one.
+    """The rows of docs without near copies: of each group the row with the smallest id (of rows with that id, one text), and of repeated rows one.
 
-    Rows with a null id or a null or blank text have nothing to compare and stay.
+    Rows are told apart by id and text: one that shares its id with a copy, but not its text, stays. Rows with a null id or a null or blank
+    text have nothing to compare and stay, repeated ones too; an empty table stays empty. All columns stay, whatever their names.
     """
     compared = F.col(id_col).isNotNull() & F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    keep = near_copies(docs, id_col, text_col, width, similarity).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.where(compared).join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(~compared))
+    _, named = _grouped(docs, id_col, text_col, width, similarity)
+    keep = named.where(F.col("first.node") == F.col("node")).select("first.id", F.col("first.node").alias("node"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.where(compared).select(F.col(id_col).alias("id"), _named(text_col).alias("node"), row)
+    kept = rows.join(keep, ["id", "node"], "left_semi").dropDuplicates(["id", "node"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).unionByName(docs.where(~compared))
