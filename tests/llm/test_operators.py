@@ -261,16 +261,6 @@ def test_scores_of_the_model(spark, docs, none):
     assert hpyp.scores(docs).count() == docs.count()
 
 
-def test_predictive_probabilities_sum_to_one():
-    tokens = hpyp.hashes([b"a", b"b", b"a", b"c", b"a"])
-    parent = {b"a": 0.5, b"b": 0.2, b"c": 0.3}
-    total = 0.0
-    for w, p in parent.items():
-        seq = np.r_[tokens, hpyp.hashes([w])]
-        total += hpyp.seat_document(seq, np.array([0.5, 0.2, 0.5, 0.3, 0.5, p]), 1, 0.5, 3.0)[1][-1]
-    assert total == pytest.approx(1.0)
-
-
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
