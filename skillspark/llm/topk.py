@@ -9,18 +9,17 @@ with exact products. Lower bounds come from a first round against the blocks of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, need
 
 LEVEL, COORDINATE, FOCUS = 0.9, 0.35, 3
-#: Vectors of a block, and queries of a block.
-BLOCK, QUERIES = 4096, 512
+#: Vectors of a block, queries of a block, and blocks of vectors of a cell, on average.
+BLOCK, QUERIES, CELL = 4096, 4096, 8
+SALTS = 16
 
 
 def quantised(vector: Column, scale: float = 256.0) -> Column:
@@ -76,23 +75,32 @@ def search_block(queries: np.ndarray, ids: np.ndarray, theta: np.ndarray, block:
     return np.array(out_q, np.int64), np.array(out_id, np.int64), np.array(out_score, np.int64)
 
 
-def _packed(vectors: DataFrame, keys: list[str], size: int, *more: str) -> DataFrame:
-    """Blocks of about `size` vectors of the same keys, packed as one row each: how many blocks a key needs is counted first."""
-    n = vectors.groupBy(*keys).agg(F.count("*").alias("n"))
-    rows = vectors.join(F.broadcast(n), keys).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / size)))
-    return rows.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", *more, "q")).alias("rows"), F.max("norm").alias("longest"))
-
-
-def _pair(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for queries, candidates in zip(batch["queries"], batch["rows"]):
-                q = np.array([x["q"] for x in queries], np.int64)
-                theta = np.array([x["theta"] for x in queries], np.float64)
-                c = np.array([x["q"] for x in candidates], np.int64)
-                ids = np.array([x["id"] for x in queries], np.int64)
-                j, found, score = search_block(q, ids, theta, c, np.array([x["id"] for x in candidates], np.int64), k)
-                yield pd.DataFrame({"query_id": ids[j], "vec_id": found, "score": score})
+def _lists(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    rows = column.combine_chunks()
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _cell(k: int):
+    """The best k of a cell's candidates for each of its queries, bucket by bucket from the longest; what is found raises the bound for the next."""
+
+    def run(key, queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        kept_q, kept_id, kept_score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if queries.num_rows and candidates.num_rows:
+            ids, q, theta = queries.column("id").to_numpy(), _lists(queries.column("q")), queries.column("theta").to_numpy().copy()
+            levels, vec_ids, vectors = candidates.column("level").to_numpy(), candidates.column("id").to_numpy(), _lists(candidates.column("q"))
+            for level in np.unique(levels)[::-1]:
+                here = levels == level
+                found = search_block(q, ids, theta, vectors[here], vec_ids[here], k)
+                kept_q, kept_id, kept_score = (np.r_[x, y] for x, y in zip((kept_q, kept_id, kept_score), found))
+                order = np.lexsort((kept_id, -kept_score, kept_q))
+                kept_q, kept_id, kept_score = kept_q[order], kept_id[order], kept_score[order]
+                place = np.arange(len(kept_q)) - np.searchsorted(kept_q, kept_q)
+                last = place == k - 1
+                theta[kept_q[last]] = np.maximum(theta[kept_q[last]], kept_score[last])
+                kept_q, kept_id, kept_score = kept_q[place < k], kept_id[place < k], kept_score[place < k]
+            kept_q = ids[kept_q]
+        return pa.table([pa.array(kept_q, pa.int64()), pa.array(kept_id, pa.int64()), pa.array(kept_score, pa.int64())], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -107,23 +115,42 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
 
     Score: inner product of the quantised vectors; ties go to the smaller id. Vectors that are null or empty, or hold a null or non-finite
     component, and rows with a null id take no part; only vectors of the query's dimension are its candidates. Ids are
-    taken as unique: of rows with one id each counts, and none is a candidate of a query with that id.
+    taken as unique: of rows with one id each counts, and none is a candidate of a query with that id. An empty table gives no rows.
+
+    A cell is a block of queries and a few blocks of candidates, each of bounded size. Which blocks can meet is settled on a row for each block; vectors then
+    go to the cells by the numbers of their blocks, so that what is sent is a vector for each cell that it is in.
     """
     rows = need(vectors, id_col, vector_col).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("q")).where("id is not null and size(q) > 0")
     norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     rows = rows.select("id", "q", F.size("q").alias("dim"), norm.alias("norm"))
     # Levels of length: at most a few hundred for any finite vectors, however many rows there are.
     level = F.when(F.col("norm") > 0, F.floor(F.log(F.col("norm")) / F.lit(float(-np.log(LEVEL))))).otherwise(F.lit(-1)).cast("int")
-    blocks = cut(_packed(rows.withColumn("level", level), ["dim", "level"], block))
-    asked = rows.where(F.col("id") % every == 0).withColumn("theta", F.lit(float("-inf")))
-    first = blocks.withColumn("place", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("level"), "block"))).where("place = 1").select("dim", "rows")
-    packed = _packed(asked, ["dim"], queries, "theta").select("dim", F.col("rows").alias("queries"))
-    found = packed.join(first, "dim").select("queries", "rows").mapInPandas(_pair(k), "query_id long, vec_id long, score long")
-    # The k-th score against some candidates is a lower bound of the k-th against all.
-    bound = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
-    asked = rows.where(F.col("id") % every == 0).join(bound, F.col("id") == F.col("query_id"), "left").withColumn("theta", F.coalesce(F.col("bound").cast("double"), F.lit(float("-inf")))).drop("query_id", "bound")
-    packed = _packed(asked, ["dim"], queries, "theta").select("dim", F.col("rows").alias("queries"), F.col("longest").alias("reach"), F.array_min(F.transform("rows", lambda x: x["theta"])).alias("least"))
-    # Every block of queries meets every block of candidates of its dimension that could reach its lowest bound.
-    pairs = packed.join(blocks, "dim").where(F.col("reach") * F.col("longest") * (1 + 1e-9) >= F.col("least")).select("queries", "rows")
-    found = pairs.repartition(F.xxhash64("queries", "rows")).mapInPandas(_pair(k), "query_id long, vec_id long, score long")
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rows = rows.withColumn("level", level)
+    sizes = rows.groupBy("dim", "level").agg(F.count("*").alias("n"))
+    held = cut(rows.join(sizes, ["dim", "level"]).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block))).drop("n"))
+    blocks = held.groupBy("dim", "level", "block").agg(F.max("norm").alias("longest"))
+    many = blocks.groupBy("dim").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+    blocks = cut(blocks.join(many, "dim").withColumn("cell", F.pmod(F.xxhash64("level", "block"), "cells")))
+    asked = held.where(F.col("id") % every == 0)
+    counts = asked.groupBy("dim").agg(F.count("*").alias("n_queries"))
+    asked = asked.join(counts, "dim").select("id", "q", "dim", "norm", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n_queries") / queries)).alias("qb"))
+
+    def searched(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The best k of each query in each cell; asked (id, q, dim, qb, theta), pairs (dim, qb, level, block, cell)."""
+        theirs = held.join(pairs, ["dim", "level", "block"]).select("dim", "qb", "cell", "level", "id", "q").toDF("dim", "qb", "cell", "level", "id", "q")
+        ours = asked.join(pairs.select("dim", "qb", "cell").distinct(), ["dim", "qb"]).select("dim", "qb", "cell", "id", "q", "theta")
+        cells = ours.groupBy("dim", "qb", "cell").cogroup(theirs.groupBy("dim", "qb", "cell"))
+        return cells.applyInArrow(_cell(k), "query_id long, vec_id long, score long")
+
+    # The k-th score against some candidates, those of the longest block, is a lower bound of the k-th against all.
+    longest = blocks.groupBy("dim").agg(F.max_by(F.struct("level", "block", "cell"), F.struct("level", F.negative("block"))).alias("b"))
+    first = longest.join(asked.select("dim", "qb").distinct(), "dim").select("dim", "qb", "b.*")
+    bound = searched(asked.withColumn("theta", F.lit(float("-inf"))), first).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
+    asked = asked.join(bound, F.col("id") == F.col("query_id"), "left").withColumn("theta", F.coalesce(F.col("bound").cast("double"), F.lit(float("-inf")))).drop("query_id", "bound")
+    asked = cut(asked)
+    # A row for each block of queries meets a row for each block of candidates of its dimension, salted, as there may be one dimension only.
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    meta = asked.groupBy("dim", "qb").agg(F.max("norm").alias("reach"), F.min("theta").alias("least")).withColumn("salt", F.explode(salts))
+    pairs = meta.join(blocks.withColumn("salt", F.pmod(F.xxhash64("level", "block"), F.lit(SALTS)).cast("int")), ["dim", "salt"])
+    pairs = cut(pairs.where(F.col("reach") * F.col("longest") * (1 + 1e-9) >= F.col("least")).select("dim", "qb", "level", "block", "cell"))
+    return _best(searched(asked, pairs), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
