@@ -1,9 +1,10 @@
 """WARC archives compressed with Zstandard: one frame for each record, and a dictionary before the first.
 
-An archive begins with a skippable frame (magic number 0x184D2A5D) that holds the dictionary. Archives are written
+An archive begins with a skippable frame (magic number 0x184D2A5D) that holds the dictionary, plain or itself compressed. Archives are written
 by Spark's own text writer, so that they can be on any file system and a lost task is simply run again: a record is a row whose
 string holds the bytes of its frame, and the line separator is an empty skippable frame, which every
-reader of the format passes over. They are read as whole binary files.
+reader of the format passes over. The writer begins a file after RECORDS rows, and so does an archive; one that gets large
+is filled up with empty rows. They are read as whole binary files, archives of other writers too.
 """
 
 from __future__ import annotations
@@ -13,21 +14,26 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, need, shared_dir
+from .common import as_bytes, cut, discard, need, shared_dir
 
 # Fixed values of the formats.
-DICTIONARY_MAGIC, FIRST_SKIPPABLE = 0x184D2A5D, 0x184D2A50
+DICTIONARY_MAGIC, FIRST_SKIPPABLE, FRAME = 0x184D2A5D, 0x184D2A50, b"\x28\xb5\x2f\xfd"
 SEPARATOR = struct.pack("<II", FIRST_SKIPPABLE, 0)
 #: Revisits are made for payloads of at least this size.
 LEAST = 100
 #: A dictionary is trained from so many bytes of the first pages of an archive.
 SAMPLE_BYTES, DICTIONARY_BYTES = 2 << 20, 32 << 10
+#: Rows of an archive, the dictionary's included, and the bytes after which it gets no further record.
+RECORDS, ARCHIVE_BYTES = 4096, 512 << 20
+#: Equal payloads are dealt to so many groups, as any one may be that of a large share of the pages.
+SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -57,15 +63,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
 
 
 def _archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frames of one archive; nothing where the partition is empty."""
+    """Rows of archives, RECORDS each: the dictionary, and the frames of records. Nothing where the partition is empty."""
 
     def frames(rows: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["frame"])
 
-    held, size, compressor = [], 0, None
+    held: list[bytes] = []
+    compressor, rows, written, size = None, 0, 0, 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal compressor
+        nonlocal compressor, rows, written
         if compressor is None:
             try:
                 words = zstandard.train_dictionary(DICTIONARY_BYTES, held)
@@ -73,8 +80,17 @@ def _archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = zstandard.ZstdCompressionDict(held[0][:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             data = words.as_bytes()
             compressor = zstandard.ZstdCompressor(level=3, dict_data=words, write_checksum=True)
+            rows, written = 1, len(data)
             yield frames([struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data])
-        yield frames([compressor.compress(x) for x in held])
+        done = [compressor.compress(x) for x in held]
+        rows += len(done)
+        written += sum(map(len, done))
+        yield frames(done)
+        if written > ARCHIVE_BYTES and rows < RECORDS:
+            yield frames([b""] * (RECORDS - rows))
+            rows = RECORDS
+        if rows == RECORDS:
+            compressor, rows = None, 0
 
     for batch in batches:
         columns = batch.to_pydict()
@@ -82,7 +98,7 @@ def _archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = record(page_id, url, payload, digest, kind, refers_to)
             held.append(row)
             size += len(row)
-            if size > SAMPLE_BYTES:
+            if size > SAMPLE_BYTES or max(1, rows) + len(held) == RECORDS:
                 yield from flush()
                 held, size = [], 0
     if held:
@@ -90,7 +106,7 @@ def _archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> None:
-    """Writes a record for every row of pages as archives under path, one for each task.
+    """Writes a record for every row of pages as archives under path, one or more for each task.
 
     A null html is an empty payload. Of rows with equal payloads of at least `least` bytes those with the smallest id are
     responses and the others revisits without payload; rows with a null id are revisits if any row has an id, else responses.
@@ -100,11 +116,12 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # Counted and reduced before the shuffle; only digests that more than one page has are joined.
     first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    rows = rows.join(first, "digest", "left")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(first, ["digest", "salt"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"))
     frames = rows.mapInArrow(_archive, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("latin-1")).text(path)
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("latin-1")).option("maxRecordsPerFile", RECORDS).text(path)
 
 
 class Broken(ValueError):
@@ -127,7 +144,7 @@ def split_frames(data: bytes) -> tuple[bytes | None, list[bytes]]:
                 dictionary = data[8 : 8 + size]
             place += 8 + size
             continue
-        if magic != 0xFD2FB528:
+        if data[place : place + 4] != FRAME:
             raise Broken(f"no frame at byte {place}")
         end = place + _frame_length(data, place)
         if end > len(data):
@@ -154,7 +171,10 @@ def _frame_length(data: bytes, place: int) -> int:
 def parse(data: bytes) -> dict:
     """Headers and payload of a record, checked: version, needed fields, lengths and digests."""
     head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    try:
+        lines = head.decode().split("\r\n")
+    except UnicodeDecodeError as e:
+        raise Broken("a header that isn't UTF-8") from e
     if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise Broken("no WARC header")
     fields = {}
@@ -166,9 +186,16 @@ def parse(data: bytes) -> dict:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise Broken(f"no {name}")
-    length = int(fields["content-length"])
+
+    def number(name: str) -> int | None:
+        value = fields.get(name)
+        if value is not None and not re.fullmatch("-?[0-9]{1,19}", value):
+            raise Broken(f"{name} is no number: {value[:40]}")
+        return None if value is None else int(value)
+
+    length = number("content-length")
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
-        raise Broken(f"a block of {len(rest) - 4} bytes, not {length}")
+        raise Broken(f"a block of {max(0, len(rest) - 4)} bytes, not {length}")
     block = rest[:length]
     if (want := fields.get("warc-block-digest", "")).startswith("sha256:") and want[7:] != hashlib.sha256(block).hexdigest():
         raise Broken("the block's digest is another")
@@ -179,36 +206,54 @@ def parse(data: bytes) -> dict:
             raise Broken("the payload's length is another")
         if (want := fields.get("warc-payload-digest", "")).startswith("sha256:") and want[7:] != hashlib.sha256(payload).hexdigest():
             raise Broken("the payload's digest is another")
-    number = lambda name: int(fields[name]) if name in fields else None
     return {
         "page_id": number("warc-page-id"), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"],
         "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha256:"), "refers_to": number("warc-refers-to-page-id"), "payload": payload if fields["warc-type"] == "response" else None,
     }
 
 
+def dictionary_of(data: bytes | None) -> zstandard.ZstdCompressionDict | None:
+    """The dictionary, which may be a compressed frame itself."""
+    if not data:
+        return None
+    if data[:4] == FRAME:
+        data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    return zstandard.ZstdCompressionDict(data)
+
+
+def records(data: bytes) -> Iterator[dict]:
+    """The records of an archive. Errors say which frame they are in."""
+    number = 0
+    try:
+        dictionary, frames = split_frames(data)
+        reader = zstandard.ZstdDecompressor(dict_data=dictionary_of(dictionary))
+        for number, frame in enumerate(frames, 1):
+            stream = reader.decompressobj()  # frames may lack the size of their content
+            row = parse(stream.decompress(frame))
+            yield row | {"payload_bytes": None if row["payload"] is None else len(row["payload"])}
+    except (Broken, zstandard.ZstdError) as e:
+        raise Broken(f"frame {number}: {e}" if number else str(e)) from e
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary(), "payload_bytes": pa.int64()}
     for batch in batches:
         for path, data in zip(batch.column("path").to_pylist(), as_bytes(batch.column("content"))):
             try:
-                dictionary, frames = split_frames(data)
-                reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-                for a in range(0, len(frames), 256):
-                    rows = [parse(reader.decompress(x)) for x in frames[a : a + 256]]
-                    for r in rows:
-                        r["payload_bytes"] = None if r["payload"] is None else len(r["payload"])
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], names=list(kinds))
-            except (Broken, zstandard.ZstdError) as e:
+                rows = records(data)
+                while some := list(islice(rows, 256)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], t) for c, t in kinds.items()], names=list(kinds))
+            except Broken as e:
                 raise Broken(f"{path}: {e}") from e
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, record_type, payload_digest, refers_to, payload, payload_bytes) for every record of the archives under path.
+    """(page_id, url, record_type, payload_digest, refers_to, payload, payload_bytes) for every record of the archives under path, whatever their names.
 
-    Revisits have no payload; the digest is that of the full one. An archive that is cut short, a header
-    that lacks a field, or a length or digest that differs raises.
+    Revisits have no payload; the digest is that of the full one. Records of other writers have a null page_id. An archive that is cut short, a header
+    that lacks a field or isn't as it should be, or a length or digest that differs raises, with the file and the frame's number. An archive of no records gives no rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_read, "page_id long, url string, record_type string, payload_digest string, refers_to long, payload binary, payload_bytes long")
 
 
@@ -221,4 +266,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     full = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("full")).distinct()
     out = rows.where("record_type = 'revisit'").join(full, ["refers_to", "payload_digest"], "left")
     out = out.select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    discard(spark, path)
     return rows.where("record_type <> 'revisit'").unionByName(out)
