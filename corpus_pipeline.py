@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillspark.llm import decontaminate, langid, pii, sentencepiece_fst, simhash
-from skillspark.llm.common import shared_dir, table
+from skillspark.llm.common import discard, shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,4 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = f"{place}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if i:  # what the stage has read
+            discard(spark, f"{place}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
