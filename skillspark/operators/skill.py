@@ -1,6 +1,7 @@
 """Skill models over attempts: a Gaussian state of ability and category offsets, and Glicko-2 ratings.
 
-The updates of one player follow each other; players are independent, so each is one group of applyInPandas, bounded by the player's own history.
+The updates of one player follow each other, and players are independent: attempts are dealt out by player, sorted, and streamed through a task that
+holds the state of one player at a time, so that memory doesn't grow with a history.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.games import SCALE
@@ -18,7 +20,7 @@ from ..taxonomy import ARMS
 
 THETA_SD, SEEDED_SD, DELTA_SD, PUZZLE_RD = 350 / SCALE, 250 / SCALE, 0.6, 75.0
 DRIFT_THETA, DRIFT_DELTA = 0.02**2, 0.04**2
-TAU, GLICKO_SCALE, EPSILON = 0.5, 173.7178, 1e-6
+TAU, GLICKO_SCALE = 0.5, 173.7178
 _PLACE = {c: i + 1 for i, c in enumerate(ARMS)}
 
 
@@ -60,79 +62,105 @@ class Skill:
         return predicted
 
 
-def fit_skill(attempts: DataFrame, players: DataFrame | None = None, order: tuple[str, ...] = ("ts", "attempt_id")) -> tuple[DataFrame, DataFrame]:
-    """(attempt_id, player_id, predicted) of every attempt, and (player_id, mean, sd, n) after the last one."""
-    rows = attempts.select("player_id", "attempt_id", "ts", "category", "rating", "solved")
-    rows = rows.join(players.select("player_id", F.col("rating").cast("double").alias("seed")), "player_id", "left") if players is not None else rows.withColumn("seed", F.lit(None).cast("double"))
-
-    def replay(pdf: pd.DataFrame) -> tuple[Skill, pd.DataFrame, list[float]]:
-        pdf = pdf.sort_values(list(order))
-        seed = pdf["seed"].iloc[0]
-        skill = Skill(None if pd.isna(seed) else float(seed))
-        return skill, pdf, [skill.attempt(c, r, s) for c, r, s in zip(pdf["category"], pdf["rating"], pdf["solved"])]
-
-    def predictions(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, pdf, p = replay(pdf)
-        return pd.DataFrame({"attempt_id": pdf["attempt_id"], "player_id": pdf["player_id"], "predicted": p})
-
-    def states(pdf: pd.DataFrame) -> pd.DataFrame:
-        skill, pdf, p = replay(pdf)
-        return pd.DataFrame({"player_id": [pdf["player_id"].iloc[0]], "mean": [skill.mean.tolist()], "sd": [np.sqrt(np.diag(skill.cov)).tolist()], "n": [len(p)]})
-
-    groups = rows.groupBy("player_id")
-    return groups.applyInPandas(predictions, "attempt_id long, player_id long, predicted double"), groups.applyInPandas(states, "player_id long, mean array<double>, sd array<double>, n long")
+def _seeded(attempts: DataFrame, players: DataFrame | None, *columns: str) -> DataFrame:
+    """Attempts of a player together and in order of time, with the player's known rating as `seed`."""
+    rows = attempts.select("player_id", "attempt_id", "ts", "rating", "solved", *columns)
+    if players is None:
+        rows = rows.withColumn("seed", F.lit(None).cast("double"))
+    else:
+        rows = rows.join(players.select("player_id", F.col("rating").cast("double").alias("seed")), "player_id", "left")
+    return rows.repartition("player_id").sortWithinPartitions("player_id", "ts", "attempt_id")
+
+
+def fit_skill(attempts: DataFrame, players: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(attempt_id, player_id, predicted) of every attempt, and (player_id, mean, sd, n) after the last one. Attempts may have a column rd of their puzzles' deviations."""
+    rd = ["rd"] if "rd" in attempts.columns else []
+    rows = _seeded(attempts, players, "category", *rd)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        player, skill, n = None, None, 0
+        kinds = {"attempt_id": pa.int64(), "player_id": pa.int64(), "predicted": pa.float64(), "mean": pa.list_(pa.float64()), "sd": pa.list_(pa.float64()), "n": pa.int64()}
+        frame = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+        state = lambda: (None, player, None, skill.mean.tolist(), np.sqrt(np.diag(skill.cov)).tolist(), n)
+        for batch in batches:
+            out, columns = [], batch.to_pydict()
+            for who, attempt, category, rating, solved, seed, dev in zip(*(columns[c] for c in ("player_id", "attempt_id", "category", "rating", "solved", "seed")), columns.get("rd") or [PUZZLE_RD] * batch.num_rows):
+                if who != player:
+                    if skill:
+                        out.append(state())
+                    player, skill, n = who, Skill(seed), 0
+                out.append((attempt, who, skill.attempt(category, rating, solved, dev), None, None, None))
+                n += 1
+            yield frame(out)
+        if skill:
+            yield frame([state()])
+
+    done = rows.mapInArrow(run, "attempt_id long, player_id long, predicted double, mean array<double>, sd array<double>, n long")
+    return done.where("mean is null").select("attempt_id", "player_id", "predicted"), done.where("mean is not null").select("player_id", "mean", "sd", "n")
 
 
 def fit_ability(attempts: DataFrame) -> DataFrame:
-    """(player_id, theta, variance): the model with ability alone, as a fold over each player's attempts in SQL."""
-    z = (F.col("rating") - 1500) / SCALE
+    """(player_id, theta, variance): the model with ability alone."""
     k = shrink((PUZZLE_RD / SCALE) ** 2)
-    rows = attempts.groupBy("player_id").agg(F.array_sort(F.collect_list(F.struct("ts", "attempt_id", z.alias("z"), F.col("solved").cast("double").alias("y")))).alias("xs"))
-
-    def step(s, x):
-        q = s["v"] + DRIFT_THETA
-        p = 1 / (1 + F.exp(-k * (s["m"] - x["z"])))
-        h = k * k * p * (1 - p)
-        return F.struct((s["m"] + k * (x["y"] - p) / (1 + h * q) * q).alias("m"), (q - h / (1 + h * q) * q * q).alias("v"))
-
-    start = F.struct(F.lit(0.0).alias("m"), F.lit(THETA_SD**2).alias("v"))
-    return rows.select("player_id", F.aggregate("xs", start, step).alias("s")).select("player_id", F.col("s.m").alias("theta"), F.col("s.v").alias("variance"))
-
 
-def glicko2_volatility(delta2: float, phi: float, v: float, sigma: float) -> float:
-    """The new volatility: root of the period's likelihood, by bisection with secants that keep a bracket."""
-    a = math.log(sigma**2)
-
-    def f(x: float) -> float:
-        e = math.exp(x)
-        return e * (delta2 - phi**2 - v - e) / (2 * (phi**2 + v + e) ** 2) - (x - a) / TAU**2
-
-    low = a
-    if delta2 > phi**2 + v:
-        high = math.log(delta2 - phi**2 - v)
-    else:
-        k = 1
-        while f(a - k * TAU) < 0:
-            k += 1
-        high = a - k * TAU
-    f_low, f_high = f(low), f(high)
-    for _ in range(60):
-        if abs(high - low) <= EPSILON:
-            break
-        x = low + (low - high) * f_low / (f_high - f_low)
-        fx = f(x)
-        if fx * f_high <= 0:
-            low, f_low = high, f_high
-        else:
-            f_low /= 2
-        high, f_high = x, fx
-    return math.exp(low / 2)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        player, m, v, out = None, 0.0, 0.0, []
+        for batch in batches:
+            for who, rating, solved in zip(*(batch.column(c).to_pylist() for c in ("player_id", "rating", "solved"))):
+                if who != player:
+                    if player is not None:
+                        out.append((player, m, v))
+                    player, m, v = who, 0.0, THETA_SD**2
+                q = v + DRIFT_THETA
+                p = sigmoid(k * (m - (rating - 1500) / SCALE))
+                h = k * k * p * (1 - p)
+                m, v = m + k * (float(solved) - p) / (1 + h * q) * q, q - h / (1 + h * q) * q * q
+            if len(out) > 10_000:
+                yield _columns(out)
+                out = []
+        yield _columns(out + ([(player, m, v)] if player is not None else []))
+
+    def _columns(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.float64()))], names=["player_id", "theta", "variance"])
+
+    return _seeded(attempts, None).mapInArrow(run, "player_id long, theta double, variance double")
+
+
+def volatility(surprise: np.ndarray, phi: np.ndarray, v: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """The new volatilities of many ratings at once: the roots of the periods' likelihoods, in log variance, each between ends of unlike sign that are halved together."""
+    start, room = np.log(sigma**2), surprise - phi**2 - v
+
+    def slope(x: np.ndarray) -> np.ndarray:
+        e = np.exp(x)
+        return e * (room - e) / (2 * (phi**2 + v + e) ** 2) - (x - start) / TAU**2
+
+    low, high = start.copy(), np.where(room > 0, np.log(np.maximum(room, 1e-300)), start)
+    step = np.where(room > 0, 0.0, TAU)
+    low = np.minimum(low, high)
+    while (open_ := (slope(low) < 0)).any():  # the slope falls with x: down until it is positive
+        low = np.where(open_, low - np.maximum(step, TAU), low)
+    high = np.maximum(high, start)
+    for _ in range(40):
+        middle = (low + high) / 2
+        up = slope(middle) > 0
+        low, high = np.where(up, middle, low), np.where(up, high, middle)
+    return np.exp((low + high) / 4)
+
+
+def one_game(mu: float, phi: float, sigma: float, mu_j: float, phi_j: float, score: float) -> tuple[float, float, float]:
+    """A rating (centre, deviation, volatility) after a period of one game."""
+    g = shrink(phi_j**2)
+    e = sigmoid(g * (mu - mu_j))
+    info = max(g * g * e * (1 - e), 1e-12)
+    sigma = float(volatility(*(np.array([x]) for x in ((g * (score - e) / info) ** 2, phi, 1 / info, sigma)))[0])
+    phi = 1 / math.sqrt(1 / (phi**2 + sigma**2) + info)
+    return mu + phi**2 * g * (score - e), phi, sigma
 
 
 def glicko2_period(entities: DataFrame, results: DataFrame) -> DataFrame:
     """New rating, deviation and volatility of every entity (id, rating, rd, volatility) after results (id, opponent_rating, opponent_rd, score).
 
-    Sums over an entity's results are Spark's; only the root of the volatility runs on the one summed row. Without results the deviation grows.
+    Sums over an entity's results are Spark's; only the root of the volatility runs on the summed rows, a batch at a time. Without results the deviation grows.
     """
     mine = entities.select("id", ((F.col("rating") - 1500) / GLICKO_SCALE).alias("mu"), (F.col("rd") / GLICKO_SCALE).alias("phi"), "volatility")
     phi_j, mu_j = F.col("opponent_rd") / GLICKO_SCALE, (F.col("opponent_rating") - 1500) / GLICKO_SCALE
@@ -143,43 +171,86 @@ def glicko2_period(entities: DataFrame, results: DataFrame) -> DataFrame:
 
     def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for i, mu, phi, sigma, info, surprise in b[["id", "mu", "phi", "volatility", "information", "surprise"]].itertuples(index=False):
-                if info and not math.isnan(info):
-                    v = 1 / info
-                    sigma = glicko2_volatility((v * surprise) ** 2, phi, v, sigma)
-                    new = 1 / math.sqrt(1 / (phi**2 + sigma**2) + info)
-                    mu += new**2 * surprise
-                else:
-                    new = math.sqrt(phi**2 + sigma**2)
-                out.append((i, 1500 + GLICKO_SCALE * mu, GLICKO_SCALE * new, sigma))
-            yield pd.DataFrame(out, columns=["id", "rating", "rd", "volatility"])
+            mu, phi, sigma, info, surprise = (b[c].to_numpy(np.float64, na_value=0.0) for c in ("mu", "phi", "volatility", "information", "surprise"))
+            played = np.flatnonzero(info > 0)
+            new, info = sigma.copy(), np.where(info > 0, info, 0.0)
+            if len(played):
+                v = 1 / info[played]
+                new[played] = volatility((v * surprise[played]) ** 2, phi[played], v, sigma[played])
+            wide = np.sqrt(phi**2 + new**2)
+            phi = np.where(info > 0, 1 / np.sqrt(1 / wide**2 + info), wide)
+            mu = mu + np.where(info > 0, phi**2 * surprise, 0.0)
+            yield pd.DataFrame({"id": b["id"], "rating": 1500 + GLICKO_SCALE * mu, "rd": GLICKO_SCALE * phi, "volatility": new})
 
     return rows.mapInPandas(update, "id long, rating double, rd double, volatility double")
 
 
-def glicko2_replay(attempts: DataFrame, seeds: DataFrame | None = None, pool_rd: float = 75.0) -> DataFrame:
-    """(attempt_id, player_id, predicted): one period an attempt in time order, against puzzles with fixed ratings; players are then independent."""
-    rows = attempts.select("player_id", "attempt_id", "ts", "rating", "solved")
-    rows = rows.join(seeds.select("player_id", F.col("rating").cast("double").alias("seed")), "player_id", "left") if seeds is not None else rows.withColumn("seed", F.lit(None).cast("double"))
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "attempt_id"])
-        seed = pdf["seed"].iloc[0]
-        mu, phi, sigma = (0.0, 350 / GLICKO_SCALE, 0.06) if pd.isna(seed) else ((seed - 1500) / GLICKO_SCALE, 200 / GLICKO_SCALE, 0.06)
-        out, phi_j = [], pool_rd / GLICKO_SCALE
-        g = 1 / math.sqrt(1 + 3 * phi_j**2 / math.pi**2)
-        for rating, solved in zip(pdf["rating"], pdf["solved"]):
-            z = mu - (rating - 1500) / GLICKO_SCALE
-            out.append(sigmoid(z / math.sqrt(1 + 3 * (phi**2 + phi_j**2) / math.pi**2)))
-            e = sigmoid(g * z)
-            info, surprise = g * g * e * (1 - e), g * (float(solved) - e)
-            sigma = glicko2_volatility((surprise / info) ** 2, phi, 1 / info, sigma)
-            phi = 1 / math.sqrt(1 / (phi**2 + sigma**2) + info)
-            mu += phi**2 * surprise
-        return pd.DataFrame({"attempt_id": pdf["attempt_id"], "player_id": pdf["player_id"], "predicted": out})
+def glicko2_replay(attempts: DataFrame, seeds: DataFrame | None = None, pool_rd: float = 75.0, mined_rd: float = 300.0, mined: str = "gen_") -> DataFrame:
+    """(attempt_id, player_id, predicted): one period an attempt in time order, with the probability before the result is seen.
 
-    return rows.groupBy("player_id").applyInPandas(replay, "attempt_id long, player_id long, predicted double")
+    Puzzles of the pool keep their ratings. Those mined from the player's own games (ids that begin with `mined`) begin at mined_rd and are rated with the
+    player, by the player's attempts; so players are independent.
+    """
+    rows = _seeded(attempts, seeds, "puzzle_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        player, me, own = None, None, {}
+        for batch in batches:
+            columns, out = batch.to_pydict(), []
+            for who, puzzle, rating, solved, seed in zip(*(columns[c] for c in ("player_id", "puzzle_id", "rating", "solved", "seed"))):
+                if who != player:
+                    player, own = who, {}
+                    me = (0.0, 350 / GLICKO_SCALE, 0.06) if seed is None else ((seed - 1500) / GLICKO_SCALE, 200 / GLICKO_SCALE, 0.06)
+                is_own = puzzle.startswith(mined)
+                other = own.get(puzzle) or ((rating - 1500) / GLICKO_SCALE, (mined_rd if is_own else pool_rd) / GLICKO_SCALE, 0.06)
+                out.append(sigmoid(shrink(other[1] ** 2) * (me[0] - other[0])))
+                before = me
+                me = one_game(*me, *other[:2], float(solved))
+                if is_own:
+                    own[puzzle] = one_game(*other, *before[:2], 1.0 - float(solved))
+            yield pa.RecordBatch.from_arrays([batch.column("attempt_id"), batch.column("player_id"), pa.array(out, pa.float64())], names=["attempt_id", "player_id", "predicted"])
+
+    return rows.mapInArrow(run, "attempt_id long, player_id long, predicted double")
+
+
+def snapshot(states: DataFrame, categories: tuple[str, ...] = ARMS) -> DataFrame:
+    """Skill states (player_id, mean, sd, n) as they are stored: means to 6 decimals and sds to 8, with the list of categories that they are of."""
+    rounded = lambda c, n: F.transform(c, lambda x: F.round(x, n))
+    return states.select("player_id", F.array(*map(F.lit, categories)).alias("categories"), rounded("mean", 6).alias("mean"), rounded("sd", 8).alias("sd"), "n")
+
+
+def restore(saved: DataFrame, players: DataFrame, categories: tuple[str, ...] = ARMS) -> DataFrame:
+    """(player_id, mean, sd, n, fresh) of every player: the stored state, or the prior where there is none or it is of another list of categories."""
+    k = len(categories)
+    fits = F.coalesce((F.col("categories") == F.array(*map(F.lit, categories))) & (F.size("mean") == k + 1) & (F.size("sd") == k + 1), F.lit(False))
+    seeded = F.col("seed").isNotNull()
+    prior_mean = F.concat(F.array(F.when(seeded, (F.col("seed") - 1500) / SCALE).otherwise(0.0)), F.array_repeat(F.lit(0.0), k))
+    prior_sd = F.concat(F.array(F.when(seeded, F.lit(SEEDED_SD)).otherwise(THETA_SD)), F.array_repeat(F.lit(DELTA_SD), k))
+    rows = players.select("player_id", F.col("rating").cast("double").alias("seed")).join(saved, "player_id", "left")
+    return rows.select("player_id", F.when(fits, F.col("mean")).otherwise(prior_mean).alias("mean"), F.when(fits, F.col("sd")).otherwise(prior_sd).alias("sd"), F.when(fits, F.col("n")).otherwise(F.lit(0)).cast("long").alias("n"), (~fits).alias("fresh"))
+
+
+def snapshot_arms(posterior: DataFrame) -> DataFrame:
+    """Arms of a player (category, alpha, beta) as they are stored: one row, a map with 4 decimals."""
+    entry = F.struct("category", F.struct(F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta")).alias("arm"))
+    return posterior.groupBy("player_id").agg(F.map_from_entries(F.collect_list(entry)).alias("arms"))
+
+
+def restore_arms(saved: DataFrame, arms: DataFrame) -> DataFrame:
+    """(player_id, category, alpha, beta) of every stored player and known arm: 1 and 1 where the arm wasn't stored; stored categories that aren't arms are left out."""
+    grid = saved.crossJoin(F.broadcast(arms.where(F.col("category").isin(*ARMS)).select("category")))
+    arm = F.try_element_at("arms", F.col("category"))
+    return grid.select("player_id", "category", F.coalesce(arm["alpha"], F.lit(1.0)).alias("alpha"), F.coalesce(arm["beta"], F.lit(1.0)).alias("beta"))
+
+
+def initial_states(saved: DataFrame, replayed: DataFrame, players: DataFrame) -> DataFrame:
+    """(player_id, source, mean, sd, n): a player's state is the saved one, else that of the replayed history, else the prior."""
+    stored = restore(saved, players).where("not fresh").drop("fresh").withColumn("source", F.lit("saved"))
+    prior = restore(saved.limit(0), players).drop("fresh")
+    pick = lambda c: F.coalesce(F.col(f"s.{c}"), F.col(f"r.{c}"), F.col(f"p.{c}")).alias(c)
+    rows = prior.alias("p").join(stored.alias("s"), "player_id", "left").join(replayed.alias("r"), "player_id", "left")
+    source = F.when(F.col("s.source").isNotNull(), "saved").when(F.col("r.n").isNotNull(), "replayed").otherwise("prior")
+    return rows.select("player_id", source.alias("source"), pick("mean"), pick("sd"), pick("n"))
 
 
 def thompson_select(posterior: DataFrame, step: int = 0, seed: int = 0, draws: int = 200) -> DataFrame:
@@ -194,18 +265,52 @@ def thompson_select(posterior: DataFrame, step: int = 0, seed: int = 0, draws: i
     return posterior.groupBy("player_id").applyInPandas(choose, "player_id long, category string, probability double")
 
 
-def recommend(choices: DataFrame, targets: DataFrame, puzzles: DataFrame, attempts: DataFrame, band: int = 150, wide: int = 200) -> DataFrame:
-    """One puzzle for each player with a chosen category (player_id, category) and a target rating (player_id, target).
+def _blocks(low: Column, high: Column, levels: int) -> Column:
+    """The blocks (level, block) of 2 ** level ratings that make up low to high: two of a level at most, as in a segment tree."""
+    struct, none = lambda k, b: F.struct(F.lit(k).alias("level"), b.cast("long").alias("block")), F.lit(None).cast("struct<level:int,block:bigint>")
+    found = []
+    for k in range(levels):
+        left, right = F.ceil(low / (1 << k)), F.floor((high + 1) / (1 << k))
+        if k == levels - 1:
+            rest = F.when(left < right, F.transform(F.sequence(left, right - 1), lambda b: struct(k, b))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
+            return F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), rest)
+        found += [F.when((left < right) & (F.pmod(left, F.lit(2)) == 1), struct(k, left)).otherwise(none), F.when((left < right) & (F.pmod(right, F.lit(2)) == 1), struct(k, right - 1)).otherwise(none)]
+
+
+def recommend(choices: DataFrame, targets: DataFrame, puzzles: DataFrame, attempts: DataFrame, own: DataFrame | None = None, band: int = 150, wide: int = 200, own_share: int = 40, levels: int = 10) -> DataFrame:
+    """(player_id, puzzle_id, rung, exhausted): one puzzle for each player with a chosen category (player_id, category) and a target rating (player_id, target).
+
+    The first rung that has an unseen puzzle serves: 0 the player's own (own: player_id, puzzle_id, category, rating) of the category within the band, 1 any own within
+    it (for own_share percent of players), then of the pool 2 the category within the band, 3 within a wider one, 4 any category within the band, 5 any. Of a rung's puzzles that with the smallest hash is served. Players
+    who have seen all get the first of the band again, rung 6 and exhausted; without any in the band they get none.
 
-    The first rung that has an unseen puzzle serves: category within the band, category within a wider band, any category within the band. Ratings are matched by
-    buckets of the band's width, so the join is on equal keys; of a rung's candidates the smallest hash of player and puzzle is served.
+    Puzzles are ranked once in blocks of 2 ** level ratings; a player asks the few blocks that make up a range for as many of each as the player has seen
+    there, and one more. So the rows grow with players, puzzles and attempts, not with their products.
     """
-    width = band + wide
-    want = choices.join(targets, "player_id").withColumn("bucket", F.explode(F.array(*[F.floor(F.col("target") / width) + d for d in (-1, 0, 1)])))
-    pool = puzzles.select("puzzle_id", F.col("primary_category"), "rating", F.floor(F.col("rating") / width).alias("bucket"))
-    near = want.join(pool, "bucket").where(F.abs(F.col("rating") - F.col("target")) <= width)
-    inside, same = F.abs(F.col("rating") - F.col("target")) <= band, F.col("primary_category") == F.col("category")
-    near = near.withColumn("rung", F.when(same & inside, 0).when(same, 1).when(inside, 2)).where("rung is not null")
-    fresh = near.join(attempts.select("player_id", "puzzle_id").distinct(), ["player_id", "puzzle_id"], "left_anti")
-    order = F.struct("rung", F.md5(F.concat(F.col("player_id").cast("string"), F.lit("/"), F.col("puzzle_id")).cast("binary")).alias("h"), "puzzle_id")
-    return fresh.groupBy("player_id").agg(F.min(order).alias("best")).select("player_id", "best.puzzle_id", "best.rung")
+    order = F.md5(F.col("puzzle_id").cast("binary"))
+    want = choices.join(targets, "player_id").select("player_id", "category", F.round("target").cast("long").alias("target"))
+    seen = attempts.select("player_id", "puzzle_id").distinct()
+    place = lambda size: F.floor(F.col("rating") / size).cast("long")
+    at = F.array(*[F.struct(F.lit(k).alias("level"), place(1 << k).alias("block")) for k in range(levels)], F.struct(F.lit(levels).alias("level"), F.lit(0).cast("long").alias("block")))
+    pool = puzzles.where("rating is not null").select("puzzle_id", "rating", F.explode(F.array(F.col("primary_category"), F.lit("*"))).alias("kind"), order.alias("h"))
+    pool = pool.withColumn("at", F.explode(at)).select("puzzle_id", "kind", "at.level", "at.block", "h")
+    ranked = pool.withColumn("place", F.row_number().over(Window.partitionBy("kind", "level", "block").orderBy("h", "puzzle_id")))
+    near, far = _blocks(F.col("target") - band, F.col("target") + band, levels), _blocks(F.col("target") - band - wide, F.col("target") + band + wide, levels)
+    whole = F.array(F.struct(F.lit(levels).alias("level"), F.lit(0).cast("long").alias("block")))
+    rung = lambda n, kind, blocks: F.transform(blocks, lambda x: F.struct(F.lit(n).alias("rung"), kind.alias("kind"), x["level"].alias("level"), x["block"].alias("block")))
+    rungs = F.concat(rung(2, F.col("category"), near), rung(3, F.col("category"), far), rung(4, F.lit("*"), near), rung(5, F.lit("*"), whole))
+    asked = want.select("player_id", F.explode(rungs).alias("x")).select("player_id", "x.*")
+    keys = ["kind", "level", "block"]
+    met = seen.join(pool.drop("h"), "puzzle_id").groupBy("player_id", *keys).agg(F.count("*").alias("met"))
+    asked = asked.join(met, ["player_id", *keys], "left").withColumn("met", F.coalesce("met", F.lit(0)))
+    # Few ask for more than one of a block, so the block's first are joined by equal places.
+    asked = asked.withColumn("place", F.explode(F.sequence(F.lit(1), (F.col("met") + 1).cast("int"))))
+    found = asked.join(ranked, [*keys, "place"]).select("player_id", "rung", "h", "puzzle_id").join(seen, ["player_id", "puzzle_id"], "left_anti")
+    if own is not None:
+        mine = own.select("player_id", "puzzle_id", F.col("category").alias("of"), "rating").join(seen, ["player_id", "puzzle_id"], "left_anti").join(want, "player_id")
+        mine = mine.where(F.abs(F.col("rating") - F.col("target")) <= band).select("player_id", F.when(F.col("of") == F.col("category"), 0).when(F.pmod(F.xxhash64("player_id"), F.lit(100)) < own_share, 1).alias("rung"), order.alias("h"), "puzzle_id")
+        found = found.unionByName(mine.where("rung is not null"))
+    first = found.groupBy("player_id").agg(F.min(F.struct("rung", "h", "puzzle_id")).alias("x")).select("player_id", "x.puzzle_id", "x.rung")
+    left = want.join(first, "player_id", "left_anti").select("player_id", F.explode(near).alias("x")).select("player_id", F.lit("*").alias("kind"), "x.level", "x.block")
+    again = left.join(ranked.where("place = 1"), keys).groupBy("player_id").agg(F.min(F.struct("h", "puzzle_id")).alias("x")).select("player_id", "x.puzzle_id", F.lit(6).alias("rung"))
+    return first.unionByName(again).withColumn("exhausted", F.col("rung") == 6)

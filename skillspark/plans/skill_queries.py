@@ -61,16 +61,22 @@ def r10_r11_selection_probabilities(v):
     return S.thompson_select(A.beta_posterior(v("attempts"), v("arms")))
 
 
-@query(f"""WITH {ENRICHED}, f AS (SELECT player_id, arg_min(category, (cnt, category)) AS category FROM (SELECT player_id, category, count(*) AS cnt FROM attempts GROUP BY 1, 2) GROUP BY 1),
-w AS (SELECT f.player_id, f.category, p.rating AS target FROM f JOIN players p USING (player_id)),
-c AS (SELECT w.player_id, e.puzzle_id, CASE WHEN e.primary_category = w.category AND abs(e.rating - target) <= 150 THEN 0 WHEN e.primary_category = w.category AND abs(e.rating - target) <= 350 THEN 1 WHEN abs(e.rating - target) <= 150 THEN 2 END AS rung FROM w JOIN e ON abs(e.rating - target) <= 350),
-u AS (SELECT * FROM c ANTI JOIN attempts a ON a.player_id = c.player_id AND a.puzzle_id = c.puzzle_id WHERE rung IS NOT NULL)
-SELECT player_id, puzzle_id, rung FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY rung, md5(player_id::VARCHAR || '/' || puzzle_id), puzzle_id) AS rn FROM u) WHERE rn = 1""", ("attempts", "players", "puzzles"))
+OWN = """own AS (SELECT player_id, 'gen_' || g.game_id::VARCHAR AS puzzle_id, min(category) AS category, min(rating) AS rating FROM (SELECT game_id, category, 700 + (game_id * 37) % 1500 AS rating FROM positions WHERE ply_no = 1 AND game_id % 4 = 0) o JOIN games g ON g.game_id = o.game_id GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {ENRICHED}, {OWN}, f AS (SELECT player_id, arg_min(category, (cnt, category)) AS category FROM (SELECT player_id, category, count(*) AS cnt FROM attempts GROUP BY 1, 2) GROUP BY 1),
+w AS (SELECT f.player_id, f.category, p.rating AS target FROM f JOIN players p USING (player_id)), s AS (SELECT DISTINCT player_id, puzzle_id FROM attempts),
+c AS (SELECT w.player_id, e.puzzle_id, CASE WHEN e.primary_category = w.category AND abs(e.rating - target) <= 150 THEN 2 WHEN e.primary_category = w.category AND abs(e.rating - target) <= 350 THEN 3 WHEN abs(e.rating - target) <= 150 THEN 4 ELSE 5 END AS rung FROM w, e
+UNION ALL SELECT w.player_id, o.puzzle_id, 0 FROM w JOIN own o ON o.player_id = w.player_id AND o.category = w.category AND abs(o.rating - target) <= 150),
+u AS (SELECT c.* FROM c ANTI JOIN s ON s.player_id = c.player_id AND s.puzzle_id = c.puzzle_id)
+SELECT player_id, puzzle_id, rung, false AS exhausted FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY rung, md5(puzzle_id), puzzle_id) AS rn FROM u) WHERE rn = 1""", ("attempts", "players", "puzzles", "games", "positions"))
 def r16_recommend_next(v):
     a = v("attempts")
     counts = a.groupBy("player_id", "category").agg(F.count("*").alias("cnt"))
     choice = counts.groupBy("player_id").agg(F.min(F.struct("cnt", "category")).alias("x")).select("player_id", "x.category")
-    return S.recommend(choice, v("players").select("player_id", F.col("rating").alias("target")), P.enrich(v("puzzles")), a)
+    first = v("positions").where("ply_no = 1 and game_id % 4 = 0").select("game_id", "category", (700 + F.col("game_id") * 37 % 1500).alias("rating"))
+    own = first.join(v("games").select("game_id", "player_id"), "game_id").groupBy("player_id", F.concat(F.lit("gen_"), F.col("game_id").cast("string")).alias("puzzle_id")).agg(F.min("category").alias("category"), F.min("rating").alias("rating"))
+    return S.recommend(choice, v("players").select("player_id", F.col("rating").alias("target")), P.enrich(v("puzzles")), a, own, own_share=0)
 
 
 @query("SELECT DISTINCT player_id, puzzle_id FROM (SELECT player_id, puzzle_id FROM attempts WHERE solved UNION SELECT player_id, puzzle_id FROM attempts WHERE NOT solved)", AP)
