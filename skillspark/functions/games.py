@@ -115,6 +115,38 @@ def opening_slug(pgn: Column) -> Column:
     return F.coalesce(F.replace(url, F.lit("-"), F.lit(" ")), tag(pgn, "Opening"), F.lit("Unknown"))
 
 
+# Names of opening families.
+FAMILIES = (
+    "Italian Game", "Ruy Lopez", "Sicilian Defense", "French Defense", "Caro Kann", "Kings Indian", "Queens Indian", "Queens Gambit", "Kings Gambit", "English Opening", "Nimzo Indian", "Dutch Defense",
+    "Pirc Defense", "Modern Defense", "Grunfeld Defense", "Benoni Defense", "London System", "Catalan Opening", "Scotch Game", "Vienna Game", "Four Knights", "Three Knights", "Two Knights", "Giuoco Piano",
+    "King Pawn", "Queens Pawn", "Bogo Indian", "Old Indian",
+)
+
+
+def opening_family(name: Column) -> Column:
+    """The family that the name begins with, whatever its case; else its first two words. No family's name begins with another's."""
+    known = F.coalesce(*[F.when(F.startswith(F.lower(name), F.lit(x.lower())), x) for x in FAMILIES])
+    words = F.filter(F.split(name, r"\s+"), lambda w: w != "")
+    return F.coalesce(known, F.when(F.size(words) >= 2, F.array_join(F.slice(words, 1, 2), " ")).otherwise(name))
+
+
+def opening_first_word(pgn: Column) -> Column:
+    """The first word of the opening's address, capitalised; null without one."""
+    slug = F.element_at(F.split(F.rtrim(tag(pgn, "ECOUrl"), F.lit("/")), "/"), -1)
+    return F.nullif(F.initcap(F.split_part(slug, F.lit("-"), F.lit(1))), F.lit(""))
+
+
+def player_color_loose(white: Column, black: Column, user: Column) -> Column:
+    """The side whose name contains the user's, White's first; null where neither does."""
+    u = F.lower(user)
+    return F.when(F.lower(white).contains(u), "white").when(F.lower(black).contains(u), "black")
+
+
+def safe_int(text: Column, default: int | None = None) -> Column:
+    """A whole number, or the default where the text is missing or no number."""
+    return F.coalesce(F.trim(text).try_cast("int"), F.lit(default).cast("int"))
+
+
 def clock_seconds(movetext: Column) -> Column:
     """Seconds of each clock comment, in order."""
     parts = F.regexp_extract_all(movetext, F.lit(r"\[%clk (\d+:\d+:\d+(?:\.\d+)?)\]"), 1)
@@ -153,6 +185,22 @@ def game_phase(fen: Column) -> Column:
     return F.when(n >= 28, "opening").when(n >= 14, "middlegame").otherwise("endgame")
 
 
+def endgame_label(fen: Column) -> Column:
+    """The kind of endgame by the pieces besides kings and pawns; null before the endgame."""
+    q, r, b, n = (pieces(fen, k) > 0 for k in ("qQ", "rR", "bB", "nN"))
+    return (
+        F.when(~(q | r | b | n), "Pawn Endgame").when(r & ~(q | b | n), "Rook Endgame").when(q & ~(b | n), "Queen Endgame").when(b & ~(q | r | n), "Bishop Endgame")
+        .when(n & ~(q | r | b), "Knight Endgame").when(game_phase(fen) == "endgame", "Endgame")
+    )
+
+
+def endgame_flags(fen: Column) -> Column:
+    """All flags of an endgame that hold, in order."""
+    q, r, b, n = (pieces(fen, k) > 0 for k in ("qQ", "rR", "bB", "nN"))
+    flags = (("eg_pawn", ~(q | r | b | n)), ("eg_rook", r & ~(q | b | n)), ("eg_queen", q & ~(r | b | n)), ("eg_queen_rook", q & r & ~(b | n)), ("eg_bishop", b & ~(q | r | n)), ("eg_knight", n & ~(q | r | b)), ("no_queens", ~q))
+    return F.array_compact(F.array(*[F.when(on, name) for name, on in flags]))
+
+
 def grade(best: Column, after: Column, second: Column, recapture: Column) -> dict[str, Column]:
     """Columns wp_loss, cp_loss, critical, hit and severity of a move from its evaluations."""
     loss = F.greatest(F.lit(0.0), win_percent(best) - win_percent(after))

@@ -55,27 +55,129 @@ def top_weaknesses(rates: DataFrame, arms: DataFrame, n: int = 3) -> DataFrame:
     return ranked.where(F.col("rank") <= n)
 
 
+def rated_games(games: DataFrame, prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """Rated games (rated, pgn, time_control) with a text, whose time control begins with one of the prefixes, if any are given."""
+    begins = F.lit(not prefixes)
+    for p in prefixes:
+        begins = begins | F.coalesce(F.col("time_control"), F.lit("")).startswith(p)
+    return games.where(F.coalesce("rated", F.lit(False)) & (F.coalesce("pgn", F.lit("")) != "") & begins)
+
+
+def cohort_games(games: DataFrame, classes: tuple[str, ...] = ("rapid", "blitz")) -> DataFrame:
+    """Rated standard games (rules, rated, time_class, pgn) of the time classes, with a text."""
+    return games.where((F.col("rules") == "chess") & F.coalesce("rated", F.lit(False)) & F.col("time_class").isin(*classes) & (F.coalesce("pgn", F.lit("")) != ""))
+
+
+def primary_time_class(stats: DataFrame, now: str, least: int = 100, days: int = 365, classes: tuple[str, ...] = ("rapid", "blitz")) -> DataFrame:
+    """(player_id, time_class, rating, games) of the class (player_id, time_class, rating, games, last) with most games, the first of `classes` among equals: rated, of `least` games and played in within so many days of now."""
+    order = F.array_position(F.array(*map(F.lit, classes)), F.col("time_class"))
+    live = stats.where(F.col("time_class").isin(*classes) & (F.col("rating") > 0) & (F.col("games") >= least) & (F.datediff(F.lit(now).cast("date"), F.to_date("last")) <= days))
+    best = live.groupBy("player_id").agg(F.min(F.struct(F.negative("games").alias("k"), order.alias("o"), "time_class", "rating", "games")).alias("x"))
+    return best.select("player_id", "x.time_class", "x.rating", "x.games")
+
+
 def counters(games: DataFrame, positions: DataFrame) -> DataFrame:
-    """Games by result and errors by severity and phase of each player; draws are null results."""
-    g = games.groupBy("player_id").agg(F.count("*").alias("games"), F.count_if("won").alias("wins"), F.count_if(~F.col("won")).alias("losses"), F.count_if(F.col("won").isNull()).alias("draws"))
-    of = lambda c, v: F.count_if(F.col(c) == v)
-    e = positions.where("severity is not null").groupBy("player_id").agg(
-        F.count("*").alias("errors"), *[of("severity", s).alias(f"{s}s") for s in ("blunder", "mistake", "inaccuracy")], *[of("phase", p).alias(f"{p}_errors") for p in ("opening", "middlegame", "endgame")],
-        F.avg(F.when(F.col("cp_loss") > 0, F.col("cp_loss"))).alias("avg_cp_loss"), F.avg(F.when(F.col("wp_loss") > 0, F.col("wp_loss"))).alias("avg_wp_loss"),
-    )
-    return g.join(e, "player_id", "left").na.fill(0)
+    """Games by result and time class, errors by severity, phase and category, and mean losses of each player; draws are null results.
+
+    A game's loss is the mean over its graded positions; means are over games whose loss is above 0. Games with a true `failed`, if there is such a column, don't count.
+    """
+    if "failed" in games.columns:
+        games = games.where(~F.coalesce("failed", F.lit(False)))
+        positions = positions.join(games.select("game_id"), "game_id", "left_semi")
+    classes = games.groupBy("player_id", F.coalesce("time_class", F.lit("unknown")).alias("k")).agg(F.count("*").alias("n"), F.count_if("won").alias("wins"), F.count_if(~F.col("won")).alias("losses"), F.count_if(F.col("won").isNull()).alias("draws"))
+    as_map = lambda: F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n"))))
+    g = classes.groupBy("player_id").agg(F.sum("n").alias("games"), *[F.sum(c).alias(c) for c in ("wins", "losses", "draws")], as_map().alias("games_by_time_class"))
+    of = lambda c, v: F.sum(F.when(F.col(c) == v, F.col("n")).otherwise(0))
+    # One row a player, severity, phase and category is what both counts and the map come from.
+    cells = positions.where("severity is not null").groupBy("player_id", "severity", "phase", "category").agg(F.count("*").alias("n"))
+    e = cells.groupBy("player_id").agg(F.sum("n").alias("errors"), *[of("severity", s).alias(f"{s}s") for s in ("blunder", "mistake", "inaccuracy")], *[of("phase", p).alias(f"{p}_errors") for p in ("opening", "middlegame", "endgame")])
+    by = cells.groupBy("player_id", F.col("category").alias("k")).agg(F.sum("n").alias("n")).groupBy("player_id").agg(as_map().alias("errors_by_category"))
+    loss = positions.groupBy("player_id", "game_id").agg(F.avg("cp_loss").alias("cp"), F.avg("wp_loss").alias("wp")).groupBy("player_id").agg(F.avg(F.when(F.col("cp") > 0, F.col("cp"))).alias("avg_cp_loss"), F.avg(F.when(F.col("wp") > 0, F.col("wp"))).alias("avg_wp_loss"))
+    out = g.join(e, "player_id", "left").join(loss, "player_id", "left").join(by, "player_id", "left").na.fill(0)
+    return out.withColumn("errors_by_category", F.coalesce("errors_by_category", F.create_map().cast("map<string,bigint>")))
 
 
 def opening_repertoire(games: DataFrame, top: int = 10) -> DataFrame:
-    """The most played families of each player and colour, with results; ties by first appearance."""
+    """The most played families of each player and colour, with results and the code (eco) of the last game; ties by first appearance."""
     g = games.groupBy("player_id", "color", "opening_family").agg(
         F.count("*").alias("games"), F.count_if("won").alias("wins"), F.count_if(~F.col("won")).alias("losses"), F.count_if(F.col("won").isNull()).alias("draws"),
-        F.min("game_id").alias("first_game"), F.max_by("time_class", "game_id").alias("last_class"),
+        F.min("game_id").alias("first_game"), F.max_by("eco", "game_id").alias("eco"),
     )
     w = Window.partitionBy("player_id", "color").orderBy(F.desc("games"), "first_game")
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+#: Categories that a short loss, or a long one, speaks for.
+SHARP = ("Fork", "Pin", "Hanging Piece", "Discovered Attack", "Skewer", "Deflection", "King Safety", "Mating Pattern")
+
+
+def heuristic_profile(games: DataFrame) -> DataFrame:
+    """(player_id, n, win_rate, elo, tactical, endgame) from results and lengths alone: short losses (under 25 moves) speak for tactics, long ones (over 40) for endgames. A missing length counts as 30."""
+    moves, lost, won = F.coalesce("num_moves", F.lit(30)), F.coalesce(~F.col("won"), F.lit(False)), F.coalesce("won", F.lit(False))
+    g = games.groupBy("player_id").agg(
+        F.count("*").alias("n"), F.count_if(won).alias("wins"), F.count_if(lost).alias("lost"), F.count_if(lost & (moves < 25)).alias("short"), F.count_if(lost & (moves > 40)).alias("long"),
+        F.avg(F.when(F.col("player_rating") > 0, F.col("player_rating"))).alias("elo"),
+    )
+    win, lost = F.col("wins") / F.col("n"), F.greatest(F.col("lost"), F.lit(1))
+    clip = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
+    tactical = clip(0.75 - win * 0.50 + F.col("short") / lost * 0.20, 0.30, 0.85)
+    return g.select("player_id", "n", win.alias("win_rate"), F.coalesce(F.floor("elo").cast("int"), F.lit(1200)).alias("elo"), tactical.alias("tactical"), clip(0.60 - win * 0.30 + F.col("long") / lost * 0.30, 0.25, 0.80).alias("endgame"))
+
+
+def heuristic_weaknesses(profile: DataFrame, arms: DataFrame) -> DataFrame:
+    """(player_id, category, score) of every player and arm: the tactical or endgame score of heuristic_profile, 0.5 for other arms."""
+    c = F.col("category")
+    grid = profile.crossJoin(F.broadcast(arms.where(c.isin(*ARMS)).select("category")))
+    return grid.select("player_id", "category", F.when(c.isin(*SHARP), F.col("tactical")).when(c.isin(*ENDGAMES), F.col("endgame")).otherwise(0.5).alias("score"))
+
+
+# Groups of categories whose hit rates are features.
+GROUPS = {
+    "tactical": ("Fork", "Pin", "Skewer", "Discovered Attack", "Hanging Piece", "Deflection", "Sacrifice"),
+    "mating": ("Mating Pattern", "King Safety"),
+    "endgame": ("Endgame", "Rook Endgame", "Queen Endgame", "Pawn Endgame", "Bishop Endgame", "Knight Endgame", "Promotion"),
+    "quiet": ("Quiet Move",),
+}
+PLAYER_FEATURES = (
+    "mean_wp_loss", "median_wp_loss", "mean_cp_loss", "blunders_pg", "mistakes_pg", "inaccuracies_pg", "err_share_opening", "err_share_middlegame", "err_share_endgame", "opportunities_pg",
+    "hit_rate_all", "hit_rate_tactical", "hit_rate_mating", "hit_rate_endgame", "hit_rate_quiet", "mean_moves", "win_rate", "share_blitz",
+)
+
+
+def player_features(games: DataFrame, positions: DataFrame, k: float = 5.0, cap: float = 300.0) -> DataFrame:
+    """(player_id, 18 features) from games and graded positions, summed by game first; groups' hit rates are shrunk to the player's own by k positions."""
+    has = lambda c, v: F.count_if(F.col("severity").isNotNull() & (F.col(c) == v))
+    hit = F.col("critical") & F.col("hit")
+    p = positions.groupBy("game_id").agg(
+        F.avg("wp_loss").alias("wp"), F.avg("cp_loss").alias("cp"), *[has("severity", s).alias(s) for s in ("blunder", "mistake", "inaccuracy")], *[has("phase", x).alias(x) for x in ("opening", "middlegame", "endgame")], F.count("severity").alias("errors"),
+        F.count_if("critical").alias("n_all"), F.count_if(hit).alias("h_all"), *[F.count_if(F.col("critical") & F.col("category").isin(*c)).alias(f"n_{g}") for g, c in GROUPS.items()], *[F.count_if(hit & F.col("category").isin(*c)).alias(f"h_{g}") for g, c in GROUPS.items()],
+    )
+    rows = games.join(p, "game_id", "left").na.fill(0, [c for c in p.columns if c not in ("game_id",)])
+    per = lambda c: F.sum(c) / F.count("*")
+    share = lambda c: F.sum(c) / F.greatest(F.sum("errors"), F.lit(1))
+    overall = F.sum("h_all") / F.greatest(F.sum("n_all"), F.lit(1))
+    rate = lambda g: (F.sum(f"h_{g}") + k * overall) / (F.sum(f"n_{g}") + k)
+    values = (
+        F.avg("wp"), F.median("wp"), F.avg(F.least("cp", F.lit(cap))), per("blunder"), per("mistake"), per("inaccuracy"), share("opening"), share("middlegame"), share("endgame"), per("n_all"), overall, rate("tactical"), rate("mating"), rate("endgame"), rate("quiet"),
+        F.avg("num_moves"), F.avg(F.when(F.col("won"), 1.0).otherwise(0.0)), F.avg(F.when(F.col("time_class") == "blitz", 1.0).otherwise(0.0)),
+    )
+    return rows.groupBy("player_id").agg(*[v.alias(n) for n, v in zip(PLAYER_FEATURES, values)])
+
+
+def slug(category: str) -> str:
+    return category.lower().replace(" ", "_").replace("-", "_")
+
+
+def weakness_features(counts: DataFrame) -> DataFrame:
+    """(player_id, 7 coarse features, a share of errors for each arm) from counters()."""
+    errors, games = F.greatest(F.col("opening_errors") + F.col("middlegame_errors") + F.col("endgame_errors"), F.lit(1)), F.greatest(F.col("games"), F.lit(1))
+    return counts.select(
+        "player_id", (F.col("middlegame_errors") / errors).alias("middlegame_rate"), (F.col("endgame_errors") / errors).alias("endgame_rate"), (F.col("blunders") / games).alias("blunders_pg"), (F.col("mistakes") / games).alias("mistakes_pg"),
+        (F.col("inaccuracys") / games).alias("inaccuracies_pg"), (accuracy_estimate(F.col("avg_wp_loss"), F.col("avg_cp_loss")) / 100).alias("accuracy"), F.log1p("games").alias("games_log"),
+        *[(F.coalesce(F.try_element_at("errors_by_category", F.lit(a)), F.lit(0)) / errors).alias(slug(a)) for a in ARMS],
+    )
+
+
 def weakness_rules(counts: DataFrame, arms: DataFrame) -> DataFrame:
     """Scores of each player and arm from 0.5 up, by the shares of errors; rules in sequence, each with its cap."""
     total = F.greatest(F.col("errors"), F.lit(1))

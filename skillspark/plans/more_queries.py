@@ -9,10 +9,11 @@ from ..functions import games as G
 from ..operators import attempts as A
 from ..operators import metrics as M
 from ..operators import mining as MI
+from ..operators import profile as PR
 from ..operators import puzzles as P
-from ..taxonomy import TIERS
+from ..taxonomy import ARMS, TIERS
 from .attempt_queries import PRED, _pred
-from .profile_queries import GRADED
+from .profile_queries import COUNTS, GRADED
 from .puzzle_queries import E as ENRICHED
 from .registry import query
 
@@ -60,9 +61,9 @@ def k8_relabel_writeback(v):
     return nested.select("player_id", F.array_join("history.category", "/").alias("labels"))
 
 
-@query("SELECT DISTINCT p.player_id, z.puzzle_id FROM (SELECT player_id, rating FROM players WHERE player_id % 20 = 0) p JOIN puzzles z ON z.rating BETWEEN p.rating - 100 AND p.rating + 100 ANTI JOIN attempts a ON a.player_id = p.player_id AND a.puzzle_id = z.puzzle_id", ("players", "puzzles", "attempts"))
+@query("SELECT DISTINCT p.player_id, z.puzzle_id FROM players p JOIN puzzles z ON z.rating BETWEEN p.rating - 100 AND p.rating + 100 ANTI JOIN attempts a ON a.player_id = p.player_id AND a.puzzle_id = z.puzzle_id", ("players", "puzzles", "attempts"))
 def f10_j8_unseen_in_range(v):
-    p = v("players").where("player_id % 20 = 0").select("player_id", F.col("rating").alias("r"), F.explode(F.array(*[F.floor(F.col("rating") / 100) + d for d in (-1, 0, 1)])).alias("bucket"))
+    p = v("players").select("player_id", F.col("rating").alias("r"), F.explode(F.array(*[F.floor(F.col("rating") / 100) + d for d in (-1, 0, 1)])).alias("bucket"))
     z = v("puzzles").select("puzzle_id", "rating", F.floor(F.col("rating") / 100).alias("bucket"))
     near = p.join(z, "bucket").where(F.col("rating").between(F.col("r") - 100, F.col("r") + 100)).select("player_id", "puzzle_id").distinct()
     return A.unseen(near, v("attempts"))
@@ -75,24 +76,30 @@ def j12_row_alignment_check(v):
     return a.join(b, F.col("k") == F.col("j"), "full").agg(F.count("*").alias("n"), F.count_if(F.col("k").isNull() | F.col("j").isNull()).alias("missing"), F.count_if(F.col("x") != F.col("y")).alias("differ"))
 
 
-@query(f"""WITH {GRADED}, p AS (SELECT player_id, category, count(*) AS n FROM g WHERE severity IS NOT NULL GROUP BY 1, 2), t AS (SELECT player_id, sum(n) AS total FROM p GROUP BY 1)
-SELECT player_id, round(coalesce(max(n) FILTER (WHERE category = 'Fork'), 0) / any_value(total)::DOUBLE, 6) AS fork, round(coalesce(max(n) FILTER (WHERE category = 'Pin'), 0) / any_value(total)::DOUBLE, 6) AS pin FROM p JOIN t USING (player_id) GROUP BY 1""", PV)
+@query(f"""WITH {COUNTS}, k AS (SELECT player_id, category, count(*) AS n FROM g WHERE severity IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, greatest(opening_errors + middlegame_errors + endgame_errors, 1)::DOUBLE AS e FROM c),
+a AS (SELECT *, CASE WHEN avg_wp_loss <= 0 AND avg_cp_loss <= 0 THEN 100.0 ELSE greatest(0, least(100, 103.1668::DOUBLE * exp(-0.04354::DOUBLE * CASE WHEN avg_wp_loss <= 0 THEN avg_cp_loss * 0.092::DOUBLE ELSE avg_wp_loss END) - 3.1669::DOUBLE)) END / 100 AS acc FROM t)
+SELECT a.player_id, round(middlegame_errors / e, 6) AS middlegame_rate, round(endgame_errors / e, 6) AS endgame_rate, round(blunders / games::DOUBLE, 6) AS blunders_pg, round(mistakes / games::DOUBLE, 6) AS mistakes_pg, round(inaccuracys / games::DOUBLE, 6) AS inaccuracies_pg, round(acc, 6)::DOUBLE AS accuracy, round(ln(1 + games), 6) AS games_log,
+{", ".join(f"round(coalesce(max(n) FILTER (WHERE category = '{x}'), 0) / e, 6) AS {PR.slug(x)}" for x in ARMS)} FROM a LEFT JOIN k USING (player_id) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY a.player_id, e, middlegame_errors, endgame_errors, blunders, mistakes, inaccuracys, games, acc"), ("games", "positions", "arms"))
 def a20_weakness_features(v):
-    from ..operators.profile import graded
+    out = PR.weakness_features(PR.counters(v("games"), PR.graded(v("positions"))))
+    return out.select("player_id", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
-    n = graded(v("positions")).where("severity is not null").groupBy("player_id").pivot("category", ["Fork", "Pin"]).agg(F.count(F.lit(1)))
-    total = graded(v("positions")).where("severity is not null").groupBy("player_id").agg(F.count("*").alias("total"))
-    share = lambda c: F.round(F.coalesce(c, F.lit(0)) / F.col("total"), 6)
-    return n.join(total, "player_id").select("player_id", share("Fork").alias("fork"), share("Pin").alias("pin"))
 
+def _group(names):
+    return "(" + ", ".join(f"'{x}'" for x in names) + ")"
 
-@query(f"""WITH {GRADED} SELECT player_id, round(median(wp_loss), 5) AS median_loss, round(avg(least(cp_loss, 300)), 5) AS capped_cp, round((count(*) FILTER (WHERE critical AND hit) + 2.5) / (count(*) FILTER (WHERE critical) + 5)::DOUBLE, 5)::DOUBLE AS hit_rate FROM g GROUP BY 1""", PV)
-def a19_player_features(v):
-    from ..operators.profile import graded
 
-    g = graded(v("positions"))
-    rate = (F.count_if(F.col("critical") & F.col("hit")) + 2.5) / (F.count_if("critical") + 5)
-    return g.groupBy("player_id").agg(F.round(F.median("wp_loss"), 5).alias("median_loss"), F.round(F.avg(F.least("cp_loss", F.lit(300))), 5).alias("capped_cp"), F.round(rate, 5).alias("hit_rate"))
+@query(f"""WITH {GRADED}, p AS (SELECT game_id, avg(wp_loss) AS wp, avg(cp_loss) AS cp, count(*) FILTER (WHERE severity = 'blunder') AS blunder, count(*) FILTER (WHERE severity = 'mistake') AS mistake, count(*) FILTER (WHERE severity = 'inaccuracy') AS inaccuracy,
+  count(*) FILTER (WHERE severity IS NOT NULL AND phase = 'opening') AS o, count(*) FILTER (WHERE severity IS NOT NULL AND phase = 'middlegame') AS m, count(*) FILTER (WHERE severity IS NOT NULL AND phase = 'endgame') AS e, count(severity) AS errors, count(*) FILTER (WHERE critical) AS n_all, count(*) FILTER (WHERE critical AND hit) AS h_all,
+  {", ".join(f"count(*) FILTER (WHERE critical AND category IN {_group(c)}) AS n_{g}, count(*) FILTER (WHERE critical AND hit AND category IN {_group(c)}) AS h_{g}" for g, c in PR.GROUPS.items())} FROM g GROUP BY 1),
+r AS (SELECT player_id, num_moves, won, time_class, coalesce(wp, 0) AS wp, coalesce(cp, 0) AS cp, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("blunder", "mistake", "inaccuracy", "o", "m", "e", "errors", "n_all", "h_all", *(f"{x}_{g}" for g in PR.GROUPS for x in "nh")))} FROM games LEFT JOIN p USING (game_id)),
+s AS (SELECT player_id, count(*)::DOUBLE AS n, avg(wp) AS mean_wp_loss, median(wp) AS median_wp_loss, avg(least(cp, 300)) AS mean_cp_loss, sum(blunder) AS b, sum(mistake) AS mi, sum(inaccuracy) AS ina, sum(o) AS o, sum(m) AS m, sum(e) AS e, greatest(sum(errors), 1)::DOUBLE AS er, sum(n_all) AS n_all, sum(h_all) / greatest(sum(n_all), 1)::DOUBLE AS overall,
+  {", ".join(f"sum(n_{g}) AS n_{g}, sum(h_{g}) AS h_{g}" for g in PR.GROUPS)}, avg(num_moves) AS mean_moves, avg((won IS TRUE)::INT) AS win_rate, avg((time_class = 'blitz')::INT) AS share_blitz FROM r GROUP BY 1)
+SELECT player_id, round(mean_wp_loss, 5)::DOUBLE AS mean_wp_loss, round(median_wp_loss, 5)::DOUBLE AS median_wp_loss, round(mean_cp_loss, 5)::DOUBLE AS mean_cp_loss, round(b / n, 5) AS blunders_pg, round(mi / n, 5) AS mistakes_pg, round(ina / n, 5) AS inaccuracies_pg, round(o / er, 5) AS err_share_opening, round(m / er, 5) AS err_share_middlegame, round(e / er, 5) AS err_share_endgame, round(n_all / n, 5) AS opportunities_pg,
+  round(overall, 5) AS hit_rate_all, {", ".join(f"round((h_{g} + 5 * overall) / (n_{g} + 5), 5) AS hit_rate_{g}" for g in PR.GROUPS)}, round(mean_moves, 5) AS mean_moves, round(win_rate, 5) AS win_rate, round(share_blitz, 5) AS share_blitz FROM s""", ("games", "positions", "arms"))
+def a19_player_features(v):
+    out = PR.player_features(v("games").select("player_id", "game_id", "num_moves", "won", "time_class"), PR.graded(v("positions")))
+    return out.select("player_id", *[F.round(c, 5).alias(c) for c in PR.PLAYER_FEATURES])
 
 
 @query("""WITH l AS (SELECT game_id, (l_suppkey % 3)::INT AS level, ply_no, least(0.99, greatest(0.01, (l_partkey % 97) / 97.0))::DOUBLE AS p, l_partkey FROM positions)

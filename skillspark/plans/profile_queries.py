@@ -95,19 +95,28 @@ COUNTS = f"""{GRADED}, c AS (SELECT gm.*, coalesce(errors, 0) AS errors, coalesc
   coalesce(middlegame_errors, 0) AS middlegame_errors, coalesce(endgame_errors, 0) AS endgame_errors, coalesce(avg_cp_loss, 0) AS avg_cp_loss, coalesce(avg_wp_loss, 0) AS avg_wp_loss
   FROM (SELECT player_id, count(*) AS games, count(*) FILTER (WHERE won) AS wins, count(*) FILTER (WHERE NOT won) AS losses, count(*) FILTER (WHERE won IS NULL) AS draws FROM games GROUP BY 1) gm
   LEFT JOIN (SELECT player_id, count(*) AS errors, count(*) FILTER (WHERE severity = 'blunder') AS blunders, count(*) FILTER (WHERE severity = 'mistake') AS mistakes, count(*) FILTER (WHERE severity = 'inaccuracy') AS inaccuracys,
-    count(*) FILTER (WHERE phase = 'opening') AS opening_errors, count(*) FILTER (WHERE phase = 'middlegame') AS middlegame_errors, count(*) FILTER (WHERE phase = 'endgame') AS endgame_errors,
-    avg(CASE WHEN cp_loss > 0 THEN cp_loss END) AS avg_cp_loss, avg(CASE WHEN wp_loss > 0 THEN wp_loss END) AS avg_wp_loss FROM g WHERE severity IS NOT NULL GROUP BY 1) e USING (player_id))"""
+    count(*) FILTER (WHERE phase = 'opening') AS opening_errors, count(*) FILTER (WHERE phase = 'middlegame') AS middlegame_errors, count(*) FILTER (WHERE phase = 'endgame') AS endgame_errors FROM g WHERE severity IS NOT NULL GROUP BY 1) e USING (player_id)
+  LEFT JOIN (SELECT player_id, avg(cp) FILTER (WHERE cp > 0) AS avg_cp_loss, avg(wp) FILTER (WHERE wp > 0) AS avg_wp_loss FROM (SELECT player_id, game_id, avg(cp_loss) AS cp, avg(wp_loss) AS wp FROM g GROUP BY 1, 2) GROUP BY 1) l USING (player_id))"""
 
 
-@query(f"WITH {COUNTS} SELECT * REPLACE (wins::BIGINT AS wins, losses::BIGINT AS losses, draws::BIGINT AS draws, round(avg_cp_loss, 5)::DOUBLE AS avg_cp_loss, round(avg_wp_loss, 5)::DOUBLE AS avg_wp_loss) FROM c", GP)
+MAPS = """m AS (SELECT player_id, string_agg(k || ':' || n, ',' ORDER BY k) AS games_by_time_class FROM (SELECT player_id, time_class AS k, count(*) AS n FROM games GROUP BY 1, 2) GROUP BY 1),
+em AS (SELECT player_id, string_agg(k || ':' || n, ',' ORDER BY k) AS errors_by_category FROM (SELECT player_id, category AS k, count(*) AS n FROM g WHERE severity IS NOT NULL GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def _text(c):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias(c)
+
+
+@query(f"WITH {COUNTS}, {MAPS} SELECT c.* REPLACE (wins::BIGINT AS wins, losses::BIGINT AS losses, draws::BIGINT AS draws, round(avg_cp_loss, 5)::DOUBLE AS avg_cp_loss, round(avg_wp_loss, 5)::DOUBLE AS avg_wp_loss), games_by_time_class, coalesce(errors_by_category, '') AS errors_by_category FROM c JOIN m USING (player_id) LEFT JOIN em USING (player_id)", GP)
 def a4_profile_counters(v):
-    return O.counters(v("games"), O.graded(v("positions"))).withColumns(r("avg_cp_loss", "avg_wp_loss"))
+    out = O.counters(v("games"), O.graded(v("positions"))).withColumns(r("avg_cp_loss", "avg_wp_loss"))
+    return out.select(*[c for c in out.columns if not c.endswith(("_class", "_category"))], _text("games_by_time_class"), _text("errors_by_category"))
 
 
-@query("""WITH f AS (SELECT player_id, color, opening_family, count(*) AS games, count(*) FILTER (WHERE won) AS wins, count(*) FILTER (WHERE NOT won) AS losses, count(*) FILTER (WHERE won IS NULL) AS draws, min(game_id) AS first_game, max_by(time_class, game_id) AS last_class FROM games GROUP BY 1, 2, 3)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_id, color ORDER BY games DESC, first_game)::INT AS rank FROM f) WHERE rank <= 3""", GP)
+@query("""WITH f AS (SELECT player_id, color, opening_family, count(*) AS games, count(*) FILTER (WHERE won) AS wins, count(*) FILTER (WHERE NOT won) AS losses, count(*) FILTER (WHERE won IS NULL) AS draws, min(game_id) AS first_game, max_by('E' || (game_id % 100)::VARCHAR, game_id) AS eco FROM games GROUP BY 1, 2, 3)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_id, color ORDER BY games DESC, first_game)::INT AS rank FROM f) WHERE rank <= 10""", GP)
 def a5_opening_repertoire(v):
-    return O.opening_repertoire(v("games"), 3)
+    return O.opening_repertoire(v("games").withColumn("eco", F.concat(F.lit("E"), (F.col("game_id") % 100).cast("string"))))
 
 
 def _raised(s, when, cap, by):
@@ -125,19 +134,19 @@ _S4 = _raised("s3", f"{_in(ARMS[:4])} AND acc < 70", 0.90, "0.10::DOUBLE")
 
 
 @query(f"""WITH {COUNTS}, x AS (SELECT player_id, category, middlegame_errors / greatest(errors, 1)::DOUBLE AS m, endgame_errors / greatest(errors, 1)::DOUBLE AS e, blunders / greatest(games, 1)::DOUBLE AS b,
-  CASE WHEN avg_wp_loss <= 0 THEN 100.0 ELSE greatest(0, least(100, 103.1668::DOUBLE * exp(-0.04354::DOUBLE * avg_wp_loss) - 3.1669::DOUBLE)) END AS acc FROM c CROSS JOIN (SELECT * FROM arms WHERE arm_id < 23)),
+  CASE WHEN avg_wp_loss <= 0 AND avg_cp_loss <= 0 THEN 100.0 ELSE greatest(0, least(100, 103.1668::DOUBLE * exp(-0.04354::DOUBLE * CASE WHEN avg_wp_loss <= 0 THEN avg_cp_loss * 0.092::DOUBLE ELSE avg_wp_loss END) - 3.1669::DOUBLE)) END AS acc FROM c CROSS JOIN (SELECT * FROM arms WHERE arm_id < 23)),
 x1 AS (SELECT *, {_S1} AS s1 FROM x), x2 AS (SELECT *, {_S2} AS s2 FROM x1), x3 AS (SELECT *, {_S3} AS s3 FROM x2)
 SELECT player_id, category, round({_S4}, 5) AS score FROM x3""", GP)
 def a7_weakness_rules(v):
     return O.weakness_rules(O.counters(v("games"), O.graded(v("positions"))), v("arms")).select("player_id", "category", F.round("score", 5).alias("score"))
 
 
-@query("""WITH m AS (SELECT player_id, count(*) AS n, count(*) FILTER (WHERE won) AS wins, count(*) FILTER (WHERE num_moves < 25 AND NOT won) / greatest(count(*) FILTER (WHERE num_moves < 25), 1)::DOUBLE AS short_loss, count(*) FILTER (WHERE num_moves > 40 AND NOT won) / greatest(count(*) FILTER (WHERE num_moves > 40), 1)::DOUBLE AS long_loss FROM games GROUP BY 1)
-SELECT player_id, n, round(wins / n::DOUBLE, 5) AS win_rate, round(short_loss, 5) AS short_loss, round(long_loss, 5) AS long_loss FROM m""", GP)
+@query("""WITH m AS (SELECT player_id, count(*) AS n, count(*) FILTER (WHERE won) AS wins, count(*) FILTER (WHERE NOT won) AS lost, count(*) FILTER (WHERE NOT won AND num_moves < 25) AS s, count(*) FILTER (WHERE NOT won AND num_moves > 40) AS l, floor(avg(1000 + game_id % 900))::INT AS elo FROM games GROUP BY 1),
+p AS (SELECT *, wins / n::DOUBLE AS w, greatest(lost, 1)::DOUBLE AS d FROM m), q AS (SELECT *, greatest(0.30, least(0.85, 0.75 - w * 0.50 + s / d * 0.20))::DOUBLE AS tactical, greatest(0.25, least(0.80, 0.60 - w * 0.30 + l / d * 0.30))::DOUBLE AS endgame FROM p)
+SELECT player_id, n, round(w, 5) AS win_rate, elo, category, round(CASE WHEN category IN ('Fork', 'Pin', 'Hanging Piece', 'Discovered Attack', 'Skewer', 'Deflection', 'King Safety', 'Mating Pattern') THEN tactical WHEN category LIKE '%Endgame' THEN endgame ELSE 0.5 END, 5)::DOUBLE AS score FROM q CROSS JOIN (SELECT category FROM arms WHERE arm_id < 23)""", GP)
 def a9_heuristic_profile(v):
-    short, long, lost = F.col("num_moves") < 25, F.col("num_moves") > 40, ~F.col("won")
-    rate = lambda c: F.count_if(c & lost) / F.greatest(F.count_if(c), F.lit(1))
-    return v("games").groupBy("player_id").agg(F.count("*").alias("n"), F.round(F.count_if("won") / F.count("*"), 5).alias("win_rate"), F.round(rate(short), 5).alias("short_loss"), F.round(rate(long), 5).alias("long_loss"))
+    p = O.heuristic_profile(v("games").withColumn("player_rating", 1000 + F.col("game_id") % 900))
+    return O.heuristic_weaknesses(p, v("arms")).join(p.select("player_id", "n", "win_rate", "elo"), "player_id").withColumns(r("win_rate", "score"))
 
 
 @query("SELECT player_id, rating, CASE WHEN rating < 1000 THEN 0 WHEN rating < 1400 THEN 1 WHEN rating < 1800 THEN 2 WHEN rating < 2200 THEN 3 WHEN rating < 3500 THEN 4 END AS band, least(1900, greatest(1100, 100 * ceil((rating - 50) / 100.0)))::INT AS level FROM players", ("players",))
