@@ -22,8 +22,11 @@ def base_rates(counts: DataFrame) -> DataFrame:
     """Adds g, cat and player miss rates to (player_id, category, misses, n): global, smoothed by 2 and by 4 global pseudo-counts."""
     everyone = counts.agg((F.sum("misses") / F.sum("n")).alias("g"))
     rows = counts.crossJoin(F.broadcast(everyone))
-    smooth = lambda key, k: (F.sum("misses").over(Window.partitionBy(key)) + k * F.col("g")) / (F.sum("n").over(Window.partitionBy(key)) + k)
-    return rows.withColumns({"cat": smooth("category", 2), "player": smooth("player_id", 4)})
+    smooth = lambda k: (F.sum("misses") + k * F.any_value("g")) / (F.sum("n") + k)
+    # Sums by category are few, whatever the rows; a window by category would put all rows into as many tasks.
+    by_category = rows.groupBy("category").agg(smooth(2).alias("cat"))
+    by_player = rows.groupBy("player_id").agg(smooth(4).alias("player"))
+    return rows.join(by_category, "category").join(by_player, "player_id").select(*counts.columns, "g", "cat", "player")
 
 
 def fit_strength(rated: DataFrame, strengths: tuple[float, ...] = STRENGTHS) -> DataFrame:
@@ -72,5 +75,5 @@ def temperature(df: DataFrame, logit_col: str = "z", y: str = "y", low: float =
 def standardise(df: DataFrame, column: str, keys: tuple[str, ...] = (), floor: float = 1e-3) -> DataFrame:
     """Adds <column>_z by mean and population sd, the sd at least `floor`."""
     stats = df.groupBy(*keys).agg(F.avg(column).alias("_m"), F.greatest(F.stddev_pop(column), F.lit(floor)).alias("_s"))
-    out = df.join(F.broadcast(stats), list(keys)) if keys else df.crossJoin(F.broadcast(stats))
+    out = df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))
     return out.withColumn(f"{column}_z", (F.col(column) - F.col("_m")) / F.col("_s")).drop("_m", "_s")

@@ -70,11 +70,11 @@ def w8_seen_history(v):
     return O.seen_history(v("attempts"), 20)
 
 
-@query("SELECT DISTINCT p.player_id, a.puzzle_id FROM (SELECT DISTINCT player_id FROM attempts) p CROSS JOIN (SELECT DISTINCT puzzle_id FROM attempts) a ANTI JOIN attempts x ON x.player_id = p.player_id AND x.puzzle_id = a.puzzle_id", AP)
+@query("SELECT DISTINCT c.player_id, c.puzzle_id FROM (SELECT player_id, concat('p', ((attempt_id * 11) % 200)::VARCHAR) AS puzzle_id FROM attempts) c ANTI JOIN attempts x ON x.player_id = c.player_id AND x.puzzle_id = c.puzzle_id", AP)
 def j5_anti_seen(v):
     a = v("attempts")
-    every = a.select("player_id").distinct().crossJoin(F.broadcast(a.select("puzzle_id").distinct()))
-    return O.unseen(every, a)
+    candidates = a.select("player_id", F.concat(F.lit("p"), ((F.col("attempt_id") * 11) % 200).cast("string")).alias("puzzle_id")).distinct()
+    return O.unseen(candidates, a)
 
 
 @query("SELECT player_id, attempt_id, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY ts DESC, attempt_id DESC) AS place FROM attempts) WHERE place <= 20", AP)
@@ -173,13 +173,12 @@ def a24_top_confusions(v):
     return _pairs(v).where("t <> p").groupBy("t", "p").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t", "p").limit(12)
 
 
-@query("""WITH x AS (SELECT l_partkey % 5 AS family, l_orderkey AS id, l_linenumber AS ln, l_discount * 0.4 + 0.001 * (l_orderkey % 7) AS p FROM lineitem WHERE l_orderkey % 50 = 0 AND l_linenumber = 1),
-d AS (SELECT family, id, min(p) AS p FROM x GROUP BY 1, 2), q AS (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, id) + 1) * p AS raw FROM d)
-SELECT family, id, round(least(1.0, max(raw) OVER (PARTITION BY family ORDER BY p, id ROWS UNBOUNDED PRECEDING)), 6)::DOUBLE AS adjusted FROM q""")
+@query("""WITH x AS (SELECT l_partkey % 5 AS family, l_orderkey, l_linenumber, l_partkey, round(l_discount * 0.4::DOUBLE + 0.0001::DOUBLE * (l_orderkey % 977), 8) AS p FROM lineitem), q AS (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER w + 1) * p AS raw FROM x WINDOW w AS (PARTITION BY family ORDER BY p, l_orderkey, l_linenumber, l_partkey))
+SELECT family, l_orderkey, l_linenumber, l_partkey, round(least(1.0, max(raw) OVER (PARTITION BY family ORDER BY p, l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING)), 6)::DOUBLE AS adjusted FROM q""")
 def m15_holm(v):
-    x = v("lineitem").where("l_orderkey % 50 = 0 and l_linenumber = 1").select((F.col("l_partkey") % 5).alias("family"), F.col("l_orderkey").alias("id"), (F.col("l_discount") * 0.4 + 0.001 * (F.col("l_orderkey") % 7)).alias("p"))
-    d = x.groupBy("family", "id").agg(F.min("p").alias("p"))
-    return r(M.holm(d, "family", "p", "id").select("family", "id", "adjusted"), "adjusted")
+    p = F.round(F.col("l_discount") * 0.4 + 0.0001 * (F.col("l_orderkey") % 977), 8)
+    x = v("lineitem").select((F.col("l_partkey") % 5).alias("family"), "l_orderkey", "l_linenumber", "l_partkey", p.alias("p"))
+    return r(M.holm(x, "family", "p").drop("p"), "adjusted")
 
 
 @query()

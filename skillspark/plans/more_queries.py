@@ -121,10 +121,7 @@ def m2_grouped_scores(v):
 @query(f"""WITH {PRED}, s AS (SELECT model, p, sum(y)::DOUBLE AS pos, count(*) AS n FROM pred GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS k FROM s WINDOW w AS (PARTITION BY model ORDER BY p DESC))
 SELECT model, round(sum(pos * tp / k) / sum(pos), 6) AS ap FROM c GROUP BY 1""")
 def m10_average_precision(v):
-    s = _pred(v).groupBy("model", "p").agg(F.sum("y").cast("double").alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy("model").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    c = s.withColumns({"tp": F.sum("pos").over(w), "k": F.sum("n").over(w)})
-    return c.groupBy("model").agg(F.round(F.sum(F.col("pos") * F.col("tp") / F.col("k")) / F.sum("pos"), 6).alias("ap"))
+    return M.average_precision(_pred(v), ("model",)).select("model", F.round("ap", 6).alias("ap"))
 
 
 @query(f"WITH {PRED} SELECT model, round(sqrt(greatest(1, avg((mu - t) * (mu - t) - 25))), 6)::DOUBLE AS sd FROM pred GROUP BY 1")
