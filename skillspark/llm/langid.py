@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, need
+from .common import crc_mod, need, slices
 
 DIM, N, SEED = 512, 3, 20
 #: Bound of the documents of each language that prototypes are learned from.
@@ -82,14 +82,12 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     share = {r[0]: min(1.0, most / r[1]) for r in counts.collect()}
     if not share:
         return {}
-    part = F.lit(0.0)
-    for lang, p in share.items():
-        part = F.when(F.col(lang_col) == lang, p).otherwise(part)
-    chosen = full.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) < part * (1 << 20)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    shares = F.try_element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col(lang_col))
+    chosen = full.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) < shares * (1 << 20)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, sums = Vectors(dim, n, seed), {}
-        for batch in batches:
+        for batch in (x for big in batches for x in slices(big, "text", 4 << 20)):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[lang] = sums.get(lang, 0) + vectors.bundle(*ngrams(text, n))
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
@@ -118,14 +116,22 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
         best = int(cos.argmax())
         return langs[best], float(min(1.0, max(0.0, cos[best])))
 
+    # The text goes to Python once: alone, or where it is kept, within the row.
+    inside = text_col in (id_col, *keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(dim, n, seed)
-        for batch in batches:
-            out = [one(vectors, batch.column(1)[i].as_py()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=["row", "lang_pred", "score"])
-
-    held = [id_col, *keep]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in held]).alias("row"), F.col(text_col).alias("text"))
+        for big in batches:
+            texts = big.column(0).field(text_col) if inside else big.column(1)
+            if not pa.types.is_string(texts.type):
+                texts = texts.cast(pa.string())
+            for batch in slices(pa.RecordBatch.from_arrays([big.column(0), texts], names=["row", "text"]), "text", 4 << 20):
+                out = [one(vectors, x.as_py()) for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=["row", "lang_pred", "score"])
+
+    held = list(dict.fromkeys([id_col, *keep]))
+    row = F.struct(*[F.col(f"`{c}`") for c in held]).alias("row")
+    rows = docs.select(row) if inside else docs.select(row, F.col(f"`{text_col}`").alias("text"))
     out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return out.select(*[F.col("row").getField(c).alias(c) for c in held], "lang_pred", "score")
 

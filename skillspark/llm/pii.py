@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, need
+from .common import as_bytes, cut, need, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 ALPHA, SUPPORT, WINDOW = 0.8, 1, 8
@@ -110,7 +110,7 @@ def _scan(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near_kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
         span_kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in (x for big in batches for x in slices(big, "text", 4 << 20)):
             spans = [base_spans(x) if x else [] for x in batch.column("text").to_pylist()]
             near = [_near(batch.column("text")[i].as_py(), s, window) if s else [] for i, s in enumerate(spans)]
             rows = [[{"kind": KINDS.index(k), "start": a, "end": b} for k, a, b in s] for s in spans]
@@ -128,7 +128,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return rows
 
     seen: Counter[bytes] = Counter()
-    for batch in batches:
+    for batch in (x for big in batches for x in slices(big, "text", 4 << 20)):
         for text in as_bytes(batch.column(0)):
             if text:
                 seen.update({t for t in {w.strip(_EDGE_BYTES) for w in set(text.lower().split())} if len(t) >= 3})
@@ -184,20 +184,24 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[pos:]])
 
 
-def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [
-            x if x is None or not s else mask(x, [(y["kind"], y["start"], y["end"]) for y in s])
-            for x, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
-        ]
-        keep = batch.schema.get_field_index("row")
-        yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(texts, pa.string())], names=["row", "text"])
+def _masked(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            texts = big.column(0).field(text_col).cast(pa.string())
+            for batch in slices(pa.RecordBatch.from_arrays([big.column(0), big.column(1), texts], names=["row", "spans", "text"]), "text", 4 << 20):
+                out = [
+                    x if x is None or not s else mask(x, [(y["kind"], y["start"], y["end"]) for y in s])
+                    for x, s in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "text"])
+
+    return run
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with personal data and disclosing terms replaced in the text; all rows and columns stay, null texts stay null."""
+    """docs with personal data and disclosing terms replaced in the text; all rows and columns stay, repeated ones too, null texts stay null. Whole texts are masked, however long."""
     found = find(docs, id_col, text_col, **how).select("k1", "k2", F.concat("base", "terms").alias("spans")).where(F.size("spans") > 0).dropDuplicates(["k1", "k2"])
     k1, k2 = F.xxhash64(id_col, F.lit(7)), F.xxhash64(text_col, F.lit(11))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"), k1.alias("k1"), k2.alias("k2")).join(found, ["k1", "k2"], "left").select("row", "text", "spans")
-    out = rows.mapInArrow(_masked, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1.alias("k1"), k2.alias("k2")).join(found, ["k1", "k2"], "left").select("row", "spans")
+    out = rows.mapInArrow(_masked(text_col), f"row {rows.schema['row'].dataType.simpleString()}, text string")
     return out.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -32,7 +32,7 @@ from .common import slices
 from .pieces import Vocabulary, load
 
 #: Parts whose paths a task keeps; beyond it, it starts afresh, which changes no id.
-KEPT = 400_000
+KEPT = 200_000
 MARK = "▁"
 PAD = 0xFFFFFFFF
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, hashes, mix, need, words_of
+from .common import as_bytes, cut, hashes, mix, need, slices, words_of
 
 SEED = 42
 #: Keys with more fingerprints than FEW are handled in blocks of about BLOCK fingerprints.
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for big in batches for x in slices(big.rename_columns(["id", "text"]), "text", 4 << 20)):
             fp = [fingerprint(words_of(x and x.lower()), width) for x in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64), pa.int64())], names=[id_col, "fp"])
 
@@ -263,7 +263,7 @@ def _sign_bits(h: np.ndarray) -> int:
 
 def _sampled(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for big in batches for x in slices(big, "text", 4 << 20)):
             sets = [np.unique(_shingle_rows(hashes(words_of(text.lower())), width)) for text in as_bytes(batch.column(0))]
             h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
@@ -281,7 +281,7 @@ def _sketched(width: int, similarity: float, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = frequent.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (x for big in batches for x in slices(big, "text", 4 << 20)):
             node, size, bits, rare, first, least = [], [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 if key in seen:
@@ -325,11 +325,9 @@ def _wanted(nodes: DataFrame) -> np.ndarray:
 def _sets(width: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, seen = wanted.value, set()
-        for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            hit = there[nodes % MAP_BITS]
-            chosen, node, sets = batch.filter(pa.array(hit)), [], []
-            for key, text in zip(chosen.column(0).to_pylist(), as_bytes(chosen.column(1))):
+        for batch in (x for big in batches for x in slices(big.filter(pa.array(there[big.column(0).to_numpy() % MAP_BITS])), "text", 4 << 20)):
+            node, sets = [], []
+            for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 if key in seen:
                     continue
                 if len(seen) > 1_000_000:
