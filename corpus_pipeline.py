@@ -15,28 +15,33 @@ from skillspark.llm.common import discard, shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without text or without a letter go. A missing lang is filled in."""
+    """Documents in a language that was learned; those without text or without a letter go. A missing lang is filled in.
+
+    Where no document has a lang nothing can be learned or rejected, and all stay. Repeated rows each stay; an empty table stays empty.
+    """
+    if docs.where("lang is not null and text is not null").isEmpty():
+        return docs
     found = langid.identify(docs, keep=tuple(c for c in docs.columns if c != "doc_id")).where("lang_pred <> 'und'")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id."""
+    """One document of each group of near copies, that with the smallest id, and of repeated rows one; those without id or text stay."""
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; those without id or text stay, and so do repeated ones. Without a benchmark all stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and terms that reveal it replaced; n_chars is that of the new text."""
+    """All documents, repeated ones too, with personal data and terms that reveal it replaced; n_chars is that of the new text, null for a null text."""
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of each document, with the hash of what they decode to and whether that is the text."""
+    """SentencePiece ids of each document, with the hash of what they decode to and whether that is the text; all three null for a null text."""
     rows = sentencepiece_fst.round_trip(docs)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "whole")
 
