@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.puzzles import mined_rating, mined_tier
+
 DROP, MARGIN, FORCED, LEVEL = 150, 100, 80, 800
 PLIES, PER_GAME = 6, 5
 
@@ -79,3 +81,19 @@ def resolve_label(motifs: DataFrame, allowed: dict[int, tuple[str, ...]] | None
     whole = motifs.groupBy("line_id").agg(F.max("is_mate").alias("mate"), F.max("endgame").alias("endgame"))
     out = whole.join(best, "line_id", "left")
     return out.select("line_id", F.when(F.col("mate"), "Mating Pattern").otherwise(F.coalesce("best.motif", "endgame", F.lit("General"))).alias("label"))
+
+
+def mine(positions: DataFrame, lines: DataFrame, again: DataFrame, total: int, per_game: int = PER_GAME, targets: tuple[str, ...] = ()) -> DataFrame:
+    """Puzzles from evaluated positions (line_id, seq, game_id, fen, ply_no, category, evaluations): gates, forced continuation, a second look at the first move, rating and tier, caps, target categories first.
+
+    lines: (line_id, ply, gap) of the plies after the first move; again: (line_id, first_choice, gap) of the first move on the second look.
+    """
+    found = candidate_gates(positions)
+    forced = forced_prefix(lines).withColumnRenamed("n_plies", "more")
+    stands = again.where(F.col("first_choice") & F.coalesce(F.col("gap") >= MARGIN, F.lit(True))).select("line_id")
+    rows = found.join(forced, "line_id", "left").join(stands, "line_id", "left_semi").withColumn("n_plies", 1 + F.coalesce("more", F.lit(0)))
+    # The line ends with the player's move: a last reply of the opponent goes.
+    rows = rows.withColumn("n_plies", F.col("n_plies") - F.when(F.col("n_plies") % 2 == 0, 1).otherwise(0))
+    rating = mined_rating(F.col("eval_drop"), F.col("n_plies") + 1)
+    rows = rows.select("seq", "game_id", "fen", "category", "eval_drop", F.col("n_plies").cast("int").alias("n_plies"), rating.alias("rating"), mined_tier(rating).alias("tier"))
+    return caps(rows, total, per_game, targets)

@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -77,3 +77,93 @@ def standardise(df: DataFrame, column: str, keys: tuple[str, ...] = (), floor: f
     stats = df.groupBy(*keys).agg(F.avg(column).alias("_m"), F.greatest(F.stddev_pop(column), F.lit(floor)).alias("_s"))
     out = df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))
     return out.withColumn(f"{column}_z", (F.col(column) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+
+
+def importances(train: DataFrame, features: tuple[str, ...], label: str, seed: int = 7) -> DataFrame:
+    """(rank, feature, importance) of a forest's features; ties by name."""
+    stages = [VectorAssembler(inputCols=list(features), outputCol="features"), RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=20, maxDepth=6, seed=seed)]
+    found = Pipeline(stages=stages).fit(train).stages[-1].featureImportances.toArray().tolist()
+    order = sorted(zip(features, found), key=lambda x: (-x[1], x[0]))  # as many as there are features
+    return train.sparkSession.createDataFrame([(i + 1, f, float(x)) for i, (f, x) in enumerate(order)], "rank int, feature string, importance double")
+
+
+def permutation_test(df: DataFrame, unit: str, x: str, label: str, times: int = 500, seed: int = 0) -> DataFrame:
+    """One row: the difference of x's means between labels 1 and 0, and the share (1 + as large or larger) / (1 + times) of `times` shuffles of the labels.
+
+    A shuffle gives a unit label 1 by a hash of unit and shuffle, with the chance that the data have; sums by shuffle are reduced before they are sent.
+    """
+    share = df.agg(F.avg(F.col(label).cast("double")).alias("_share"))
+    u = F.pmod(F.xxhash64(unit, "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = df.crossJoin(F.broadcast(share)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times))))
+    drawn = drawn.withColumn("one", F.when(F.col("rep") == 0, F.col(label) == 1).otherwise(u < F.col("_share")))
+    means = drawn.groupBy("rep").agg((F.avg(F.when(F.col("one"), F.col(x))) - F.avg(F.when(~F.col("one"), F.col(x)))).alias("d"))
+    real = means.where("rep = 0").select(F.col("d").alias("difference"))
+    return means.where("rep > 0").crossJoin(F.broadcast(real)).groupBy("difference").agg(((1 + F.count_if(F.abs("d") >= F.abs("difference"))) / (1 + F.count("*"))).alias("p"))
+
+
+def weakness_forest(features: DataFrame, scores: DataFrame, columns: tuple[str, ...], folds: int = 3, seed: int = 7) -> DataFrame:
+    """(player_id, category, fold, score, prediction, mean): held-out predictions in [0, 1] of one forest over players' features and arms, beside the arm's mean in training.
+
+    features: player_id and columns; scores: player_id, category, score. A row for each player and arm stands for one of the forest's outputs.
+    """
+    arms = [r.category for r in scores.select("category").distinct().orderBy("category").collect()]  # the arms, a fixed number
+    one_hot = [F.when(F.col("category") == a, 1.0).otherwise(0.0).alias(f"is_{i}") for i, a in enumerate(arms)]
+    rows = scores.join(features.select("player_id", *columns), "player_id").select("*", *one_hot, F.pmod(F.xxhash64("player_id", F.lit(seed)), F.lit(folds)).alias("fold"))
+    out = None
+    for k in range(folds):
+        train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
+        stages = [VectorAssembler(inputCols=[*columns, *(f"is_{i}" for i in range(len(arms)))], outputCol="features"), RandomForestRegressor(featuresCol="features", labelCol="score", numTrees=20, maxDepth=6, seed=seed)]
+        mean = train.groupBy("category").agg(F.avg("score").alias("mean"))
+        p = Pipeline(stages=stages).fit(train).transform(test).join(mean, "category", "left")
+        p = p.select("player_id", "category", "fold", "score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias("prediction"), "mean")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def weakness_scores(predicted: DataFrame, top: int = 3) -> DataFrame:
+    """(fold, players, mae, baseline_mae, top_hit) of weakness_forest: errors beside the mean's, and how often the weakest arm is among the predicted `top`."""
+    place = lambda c: F.row_number().over(Window.partitionBy("player_id").orderBy(F.desc(c), "category"))
+    rows = predicted.withColumns({"_t": place("score"), "_p": place("prediction")})
+    return rows.groupBy("fold").agg(F.countDistinct("player_id").alias("players"), F.avg(F.abs(F.col("prediction") - F.col("score"))).alias("mae"), F.avg(F.abs(F.col("mean") - F.col("score"))).alias("baseline_mae"), (F.count_if((F.col("_t") == 1) & (F.col("_p") <= top)) / F.count_if(F.col("_t") == 1)).alias("top_hit"))
+
+
+def human_difficulty(train: DataFrame, test: DataFrame, levels: tuple[str, ...], seed: int = 7) -> DataFrame:
+    """(row columns, model, p): the chance that a position's best move is found, by six predictors fitted on train (rating, category, difficulty, found and the log odds `levels`).
+
+    `rating`: logistic in the rating; `category`: the category's rate, where it is new that of all; `gap`: the logistic of (rating - difficulty) / 173.7; `calibrated`: a logistic in that gap; `levels`:
+    all log odds and the rating; `network`: a small network over the same.
+    """
+    y = F.col("found").cast("double")
+    both = lambda df: df.withColumns({"label": y, "gap": (F.col("rating") - F.col("difficulty")) / 173.7})
+    train, test = both(train), both(test)
+    overall = train.agg(F.avg("label").alias("_all"))
+    rates = train.groupBy("category").agg(F.avg("label").alias("_rate"))
+    keep = test.columns
+    parts = [
+        test.join(rates, "category", "left").crossJoin(F.broadcast(overall)).select(*keep, F.lit("category").alias("model"), F.coalesce("_rate", "_all").alias("p")),
+        test.select(*keep, F.lit("gap").alias("model"), sigmoid(F.col("gap")).alias("p")),
+    ]
+    for name, columns in (("rating", ["rating"]), ("calibrated", ["gap"]), ("levels", [*levels, "rating"]), ("network", [*levels, "rating"])):
+        if name == "network":
+            model = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=[len(columns), 8, 2], maxIter=30, seed=seed)
+        else:
+            model = LogisticRegression(featuresCol="features", labelCol="label", regParam=0.001, maxIter=50)
+        stages = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), model]
+        done = Pipeline(stages=stages).fit(train).transform(test)
+        parts.append(done.select(*keep, F.lit(name).alias("model"), vector_to_array("probability")[1].alias("p")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def tactic_classifier(train: DataFrame, test: DataFrame, features: tuple[str, ...], label: str = "category", rating: str = "rating", seed: int = 7) -> DataFrame:
+    """Adds predicted, confidence and predicted_rating to test: a forest over the categories that train has, and a boosted regression of the rating."""
+    index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip", stringOrderType="alphabetAsc")
+    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
+    model = Pipeline(stages=[index, assemble, RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=20, maxDepth=8, seed=seed)]).fit(train)
+    names = model.stages[0].labels
+    done = model.stages[2].transform(assemble.transform(test))
+    done = done.withColumns({"predicted": F.array(*map(F.lit, names))[F.col("prediction").cast("int")], "confidence": F.array_max(vector_to_array("probability"))}).drop("prediction", "rawPrediction", "probability")
+    head = GBTRegressor(featuresCol="features", labelCol=rating, maxIter=10, seed=seed, predictionCol="predicted_rating").fit(assemble.transform(train))
+    return head.transform(done).drop("features")

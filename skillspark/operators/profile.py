@@ -76,6 +76,12 @@ def primary_time_class(stats: DataFrame, now: str, least: int = 100, days: int =
     return best.select("player_id", "x.time_class", "x.rating", "x.games")
 
 
+def with_game(positions: DataFrame, games: DataFrame) -> DataFrame:
+    """Positions with the game of the same player and end time, by its id `met` and time class; of games with one time the last. Positions without a game go."""
+    last = games.groupBy("player_id", "end_time").agg(F.max_by(F.struct(F.col("game_id").alias("met"), "time_class"), "game_id").alias("g"))
+    return positions.join(last, ["player_id", "end_time"]).select(positions["*"], "g.met", "g.time_class")
+
+
 def counters(games: DataFrame, positions: DataFrame) -> DataFrame:
     """Games by result and time class, errors by severity, phase and category, and mean losses of each player; draws are null results.
 

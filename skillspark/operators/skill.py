@@ -314,3 +314,17 @@ def recommend(choices: DataFrame, targets: DataFrame, puzzles: DataFrame, attemp
     left = want.join(first, "player_id", "left_anti").select("player_id", F.explode(near).alias("x")).select("player_id", F.lit("*").alias("kind"), "x.level", "x.block")
     again = left.join(ranked.where("place = 1"), keys).groupBy("player_id").agg(F.min(F.struct("h", "puzzle_id")).alias("x")).select("player_id", "x.puzzle_id", F.lit(6).alias("rung"))
     return first.unionByName(again).withColumn("exhausted", F.col("rung") == 6)
+
+
+def candidates_in_range(want: DataFrame, puzzles: DataFrame, band: int = 150) -> DataFrame:
+    """(player_id, low, high, candidates): how many puzzles lie within `band` of a player's target and within the player's own range (player_id, target, low, high); where the two don't meet, within the own range.
+
+    Counts come from running totals of puzzles by rating, of which there are a few thousand, not from pairs of players and puzzles.
+    """
+    a, b = F.greatest("low", F.col("target") - band), F.least("high", F.col("target") + band)
+    rows = want.select("player_id", F.when(a <= b, a).otherwise(F.col("low")).alias("low"), F.when(a <= b, b).otherwise(F.col("high")).alias("high"))
+    by = puzzles.where("rating is not null").groupBy(F.col("rating").cast("long").alias("rating")).agg(F.count("*").alias("n"))
+    # One map of the ratings that occur, a few thousand whatever the puzzles; its totals are of all ratings up to one.
+    total = by.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("rating"))).agg(F.array_sort(F.collect_list(F.struct("rating", "upto"))).alias("steps"))
+    upto = lambda x: F.coalesce(F.array_max(F.transform(F.filter("steps", lambda s: s["rating"] <= x), lambda s: s["upto"])), F.lit(0).cast("long"))
+    return rows.crossJoin(F.broadcast(total)).select("player_id", "low", "high", (upto(F.col("high")) - upto(F.col("low") - 1)).alias("candidates"))

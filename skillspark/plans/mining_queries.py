@@ -81,29 +81,11 @@ def p11_resolve_line_label(v):
     return O.resolve_label(m)
 
 
-@query("SELECT game_id, time_class FROM games WHERE time_class IN ('rapid', 'blitz') AND won IS NOT NULL AND opening_family <> ''", ("games",))
-def f5_f6_game_filter(v):
-    return v("games").where("time_class in ('rapid', 'blitz') and won is not null and opening_family <> ''").select("game_id", "time_class")
-
-
-@query("""WITH n AS (SELECT player_id, time_class, count(*) AS n, max(end_time) AS last FROM games WHERE time_class IN ('rapid', 'blitz') GROUP BY 1, 2)
-SELECT player_id, time_class, n FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY n DESC, time_class DESC) AS rn FROM n WHERE n >= 3) WHERE rn = 1""", ("games",))
-def f7_primary_time_class(v):
-    n = v("games").where("time_class in ('rapid', 'blitz')").groupBy("player_id", "time_class").agg(F.count("*").alias("n")).where("n >= 3")
-    w = Window.partitionBy("player_id").orderBy(F.desc("n"), F.desc("time_class"))
-    return n.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
-
-
 @query("SELECT player_id, count(*) AS n FROM games GROUP BY 1 HAVING count(*) >= 15", ("games",))
 def f9_min_games(v):
     return v("games").groupBy("player_id").agg(F.count("*").alias("n")).where("n >= 15")
 
 
-@query("SELECT p.game_id, p.ply_no, p.l_partkey, p.l_suppkey, g.time_class FROM positions p JOIN (SELECT * FROM games WHERE game_id % 3 <> 0) g ON g.game_id = p.game_id", ("positions", "games"))
-def j4_positions_with_game(v):
-    return v("positions").join(v("games").where("game_id % 3 <> 0").select("game_id", "time_class"), "game_id").select(*KEY, "time_class")
-
-
 @query("SELECT a.puzzle_id, a.attempt_id, coalesce(f.fitted, a.rating)::INT AS rating FROM attempts a LEFT JOIN (SELECT puzzle_id, rating + 25 AS fitted FROM puzzles WHERE seq % 2 = 0) f USING (puzzle_id)", ("attempts", "puzzles"))
 def j10_j13_fitted_rating(v):
     fitted = v("puzzles").where("seq % 2 = 0").select("puzzle_id", (F.col("rating") + 25).alias("fitted"))
@@ -128,22 +110,6 @@ def a12_missed_tactics(v):
     return n.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4)).orderBy(F.desc("n"), "category").limit(5)
 
 
-@query("""SELECT starts_with(puzzle_id, 'gen_') AS mined, count(*) AS n, count(*) FILTER (WHERE solved) AS solved, median(rating)::DOUBLE AS median_rating FROM attempts GROUP BY 1""", ("attempts",))
-def a16_mined_summary(v):
-    return v("attempts").groupBy(F.col("puzzle_id").startswith("gen_").alias("mined")).agg(F.count("*").alias("n"), F.count_if("solved").alias("solved"), F.median("rating").alias("median_rating"))
-
-
-@query("""WITH s AS (SELECT category, count(*) AS n, avg(solved::INT) AS rate, sum(solved::INT) AS k FROM attempts GROUP BY 1 HAVING count(*) >= 10), t AS (SELECT avg(solved::INT) AS g FROM attempts)
-SELECT category, n, round(ln(r / (1 - r)) - ln(g / (1 - g)), 5) AS "offset" FROM (SELECT *, least(0.98, greatest(0.02, rate))::DOUBLE AS r FROM s), t""", ("attempts",))
-def a17_category_norms(v):
-    from ..functions.games import logit
-
-    a = v("attempts")
-    s = a.groupBy("category").agg(F.count("*").alias("n"), F.avg(F.col("solved").cast("int")).alias("rate")).where("n >= 10")
-    total = a.agg(F.avg(F.col("solved").cast("int")).alias("g"))
-    return s.crossJoin(F.broadcast(total)).select("category", "n", F.round(logit(F.col("rate")) - logit(F.col("g")), 5).alias("offset"))
-
-
 @query("""WITH o AS (SELECT game_id, 'white' AS side, player_id AS source, (player_id * 7 + game_id) % 50 AS opponent FROM games UNION ALL SELECT game_id, 'black', player_id, (player_id * 11 + game_id) % 50 FROM games),
 d AS (SELECT DISTINCT source, opponent FROM o WHERE source <> opponent) SELECT source, opponent FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(source::VARCHAR || '-' || opponent::VARCHAR), opponent) AS rn FROM d) WHERE rn <= 4""", ("games",))
 def j9_opponent_snowball(v):

@@ -146,15 +146,6 @@ def p49_prediction_columns(v):
     return q.select("puzzle_id", F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), best).alias("label"), F.round(F.array_max("p"), 6).alias("confidence"), F.round(F.col("p")[0] * 400 + 1500, 5).alias("rating"))
 
 
-@query(f"""WITH {GRADED} SELECT game_id, ply_no, l_partkey, l_suppkey, least(2400, greatest(700, trunc(800 + 0.6::DOUBLE * least(best_cp - after_cp - 150, 700) + 150 * (ply_no - 2))))::INT AS rating,
-CASE WHEN category IN ('Fork', 'Pin') THEN 0 ELSE 1 END AS later FROM positions WHERE abs(best_cp) <= 800 AND (second_cp IS NULL OR best_cp - second_cp >= 100) AND best_cp - after_cp >= 150""", PV)
-def r18_mine_puzzles(v):
-    from ..functions.puzzles import mined_rating
-
-    c = MI.candidate_gates(v("positions"))
-    return c.select("game_id", "ply_no", "l_partkey", "l_suppkey", mined_rating(F.col("eval_drop"), F.col("ply_no")).alias("rating"), F.when(F.col("category").isin("Fork", "Pin"), 0).otherwise(1).alias("later"))
-
-
 @query("""WITH l AS (SELECT p.puzzle_id, least(1900, greatest(1100, 100 * ceil((p.rating - 50) / 100.0)))::INT AS level, seq FROM puzzles p WHERE p.rating IS NOT NULL AND seq % 9 <> 0)
 SELECT puzzle_id, level, round(((seq * 13 + level) % 97) / 97.0::DOUBLE, 6) AS p FROM l""", PZ)
 def r19_annotate_find_probability(v):
@@ -169,19 +160,6 @@ def r7_r8_target_rating(v):
     return v("players").select("player_id", F.round(G.logit_to_rating(z), 4).alias("target"))
 
 
-@query("""WITH s AS (SELECT player_id, CASE WHEN player_id % 3 = 0 THEN 'saved' END AS saved FROM players), h AS (SELECT DISTINCT player_id FROM attempts) SELECT player_id, coalesce(saved, CASE WHEN h.player_id IS NOT NULL THEN 'replayed' END, 'prior') AS source FROM s LEFT JOIN h USING (player_id)""", ("players", "attempts"))
-def r20_init_skill_state(v):
-    saved = v("players").where("player_id % 3 = 0").select("player_id", F.lit("saved").alias("saved"))
-    replay = v("attempts").select("player_id").distinct().withColumn("replayed", F.lit("replayed"))
-    return v("players").select("player_id").join(saved, "player_id", "left").join(replay, "player_id", "left").select("player_id", F.coalesce("saved", "replayed", F.lit("prior")).alias("source"))
-
-
-@query("SELECT player_id, category, 1 + count(*) FILTER (WHERE solved) AS alpha, 1 + count(*) FILTER (WHERE NOT solved) AS beta FROM attempts JOIN arms USING (category) WHERE NOT skipped AND arm_id < 23 GROUP BY 1, 2", ("attempts", "arms"))
-def r17_record_result(v):
-    out = A.beta_posterior(A.valid(v("attempts")), v("arms")).where("n > 0")
-    return out.select("player_id", "category", F.col("alpha").cast("long").alias("alpha"), F.col("beta").cast("long").alias("beta"))
-
-
 @query(f"""WITH {PRED} SELECT model, CASE WHEN doc_id % 3 = 0 THEN 'val' ELSE 'test' END AS split, count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier FROM pred GROUP BY 1, 2""")
 def a36_model_cards(v):
     rows = _pred(v).withColumn("split", F.when(F.col("doc_id") % 3 == 0, "val").otherwise("test"))

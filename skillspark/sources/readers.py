@@ -6,10 +6,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import puzzles
 
 
-def puzzles_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PUZZLES_CSV).option("header", True).csv(path)
+def puzzles_csv(spark: SparkSession, path: str, sample: int | None = None, seed: int = 0, **filters) -> DataFrame:
+    """Enriched puzzles of CSV files, cleaned by `filters` (as in operators.puzzles.select_puzzles), and of these a sample of n rows by a hash of their ids."""
+    raw = spark.read.schema(schemas.PUZZLES_CSV).option("header", True).csv(path)
+    names = ("puzzle_id", "fen", "moves", "rating", "rating_deviation", "popularity", "nb_plays", "themes", "game_url", "opening_tags")
+    rows = puzzles.enrich(raw.toDF(*names))
+    if filters:
+        rows = puzzles.select_puzzles(rows, **filters)
+    return rows if sample is None else rows.orderBy(F.xxhash64("puzzle_id", F.lit(seed)), "puzzle_id").limit(sample)
+
+
+def puzzles_parquet(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The enriched table, or those of its columns only, which then are all that is read."""
+    rows = spark.read.parquet(path)
+    return rows.select(*columns) if columns else rows
+
+
+def mined_puzzles(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each puzzle of the users' files (an array each), and whether its file lies in a folder `retired`; the user is the file's name."""
+    docs = spark.read.schema(schemas.MINED).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    file = F.col("_metadata.file_path")
+    return docs.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.json)?$", 1).alias("username"), file.rlike("/retired/[^/]*$").alias("retired"), "*").where("PuzzleId is not null")
 
 
 def attempts(spark: SparkSession, path: str) -> DataFrame:

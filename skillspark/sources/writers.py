@@ -16,6 +16,18 @@ def split_by(df: DataFrame, labels: str, path: str, mode: str = "overwrite") ->
     df.withColumn("part", column).withColumn("part", folder_name("part")).write.mode(mode).partitionBy("part").parquet(path)
 
 
+def processed(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The enriched table as one Parquet dataset."""
+    df.write.mode(mode).parquet(path)
+
+
+def report_with_rows(summary: DataFrame, rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A report as JSON lines: the summary's one row first, under `summary`, and then a line for each item, under `item`."""
+    safe = lambda df: F.struct(*[F.when(~F.isnan(c) & ~F.col(c).isin(float("inf"), float("-inf")), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    report(summary.select(safe(summary).alias("summary")), f"{path}/summary", mode)
+    report(rows.select(safe(rows).alias("item")), f"{path}/items", mode)
+
+
 def report(summary: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Rows as JSON lines; what JSON can't hold is null."""
     safe = [F.when(~F.isnan(c) & ~F.col(c).isin(float("inf"), float("-inf")), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in summary.dtypes]

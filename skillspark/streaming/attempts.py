@@ -32,6 +32,15 @@ def first_seen(attempts: DataFrame, watermark: str = "365 days") -> DataFrame:
     return attempts.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["player_id", "puzzle_id"])
 
 
+def late(attempts: DataFrame, lateness: str = "1 day") -> tuple[DataFrame, DataFrame]:
+    """Attempts that were read at most `lateness` after they happened, and those that came later, by the time their file was written (column arrived).
+
+    The late ones don't change a state that has moved on; a refit over all attempts in order (operators.skill.fit_skill) is what counts in the end.
+    """
+    behind = F.col("ts") < F.col("arrived") - F.expr(f"interval {lateness}")
+    return attempts.where(~behind), attempts.where(behind)
+
+
 def served_join(served: DataFrame, results: DataFrame, within: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
     """Results with their serving, if it was at most `within` before; a result without one comes out when the watermark has passed it."""
     a = results.withWatermark("ts", watermark).alias("a")
