@@ -1,5 +1,7 @@
 """Published and limiting cases of the skill models, and the streams against their batch twins."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,9 +26,9 @@ def test_skill_moves_with_results():
     p = s.attempt("Fork", 1500, True)
     assert 0 < p < 1 and s.mean[0] > before and s.mean[1] > 0
     assert np.allclose(s.cov, s.cov.T) and (np.linalg.eigvalsh(s.cov) > 0).all()
-    other = s.mean[2]
-    s.attempt("General", 1500, False)
-    assert s.mean[2] != pytest.approx(other, abs=0) or other == s.mean[2]
+    ability = s.mean[0]
+    s.attempt("General", 1500, False)  # no arm: it moves the ability, and the arm that was met by way of their covariance
+    assert s.mean[0] < ability and s.mean[2] == 0
 
 
 def test_decay_in_closed_form_equals_updates(spark, sf_dir):
@@ -88,3 +90,90 @@ def test_stream_of_skills_equals_batch(spark, log):
     assert {k: r.predicted for k, r in got.items()} == pytest.approx(want)
     best = {r.player_id: r.best for r in A.streaks(a).collect()}
     assert {r.player_id: r.best for r in got.values()} == best
+
+
+def one_game(me, other, score):
+    """A period of one game by the published formulas, with the volatility by bisection."""
+    (mu, phi, sigma), (mu_j, phi_j, _) = me, other
+    g = 1 / math.sqrt(1 + 3 * phi_j**2 / math.pi**2)
+    e = 1 / (1 + math.exp(-g * (mu - mu_j)))
+    v = 1 / (g * g * e * (1 - e))
+    delta = v * g * (score - e)
+    a = math.log(sigma**2)
+    f = lambda x: math.exp(x) * (delta**2 - phi**2 - v - math.exp(x)) / (2 * (phi**2 + v + math.exp(x)) ** 2) - (x - a) / 0.25
+    low, high = a - 60, a + 60
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if f(mid) > 0 else (low, mid)
+    sigma = math.exp(low / 2)
+    phi = 1 / math.sqrt(1 / (phi**2 + sigma**2) + 1 / v)
+    return mu + phi**2 * g * (score - e), phi, sigma
+
+
+def test_replay_of_ratings_equals_a_plain_loop(spark, sf_dir):
+    # Results as ratings would have them: far from these, single games move a rating without bound.
+    attempts = view(spark, sf_dir, "attempts").withColumn("rating", F.expr("1300 + rating % 400")).withColumn("solved", F.expr("pmod(xxhash64(attempt_id), 100) / 100 < 1 / (1 + pow(10, (rating - 1500) / 400))"))
+    players = spark.createDataFrame([(k, 1400 + 20 * k) for k in range(0, 15, 2)], "player_id long, rating int")
+    seeds = {r.player_id: r.rating for r in players.collect()}
+    me, own, want = {}, {}, {}
+    for r in attempts.orderBy("ts", "attempt_id").collect():
+        seed = seeds.get(r.player_id)
+        mine = me.get(r.player_id) or ((0.0, 350 / 173.7178, 0.06) if seed is None else ((seed - 1500) / 173.7178, 200 / 173.7178, 0.06))
+        mined = r.puzzle_id.startswith("gen_")
+        other = own.get((r.player_id, r.puzzle_id)) or ((r.rating - 1500) / 173.7178, (300 if mined else 75) / 173.7178, 0.06)
+        g = 1 / math.sqrt(1 + 3 * other[1] ** 2 / math.pi**2)
+        want[r.attempt_id] = 1 / (1 + math.exp(-g * (mine[0] - other[0])))
+        me[r.player_id] = one_game(mine, other, float(r.solved))
+        if mined:
+            own[r.player_id, r.puzzle_id] = one_game(other, mine, 1 - float(r.solved))
+    got = {r.attempt_id: r.predicted for r in S.glicko2_replay(attempts.repartition(5), players).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_skill_fit_equals_a_plain_loop(spark, sf_dir):
+    attempts = view(spark, sf_dir, "attempts").where("player_id % 3 = 0")
+    skills, want = {}, {}
+    for r in attempts.orderBy("ts", "attempt_id").collect():
+        want[r.attempt_id] = skills.setdefault(r.player_id, S.Skill()).attempt(r.category, r.rating, r.solved)
+    predictions, states = S.fit_skill(attempts.repartition(7))
+    assert {r.attempt_id: r.predicted for r in predictions.collect()} == pytest.approx(want)
+    found = {r.player_id: r for r in states.collect()}
+    assert found.keys() == skills.keys()
+    for k, s in skills.items():
+        assert found[k].mean == pytest.approx(s.mean.tolist()) and found[k].sd == pytest.approx(np.sqrt(np.diag(s.cov)).tolist())
+    assert S.fit_skill(attempts.limit(0))[0].collect() == [] and S.fit_skill(attempts.limit(0))[1].collect() == []
+
+
+def test_states_are_restored(spark, sf_dir):
+    players = spark.createDataFrame([(1, 1700), (2, None), (3, 1500)], "player_id long, rating int")
+    states = S.fit_skill(view(spark, sf_dir, "attempts"), view(spark, sf_dir, "players"))[1].limit(1)
+    kept = states.withColumn("player_id", F.lit(1).cast("long"))
+    saved = S.snapshot(kept).unionByName(S.snapshot(kept).withColumns({"player_id": F.lit(3).cast("long"), "categories": F.array(F.lit("x"))}))
+    rows = {r.player_id: r for r in S.restore(saved, players).collect()}
+    assert not rows[1].fresh and rows[1].mean == pytest.approx([round(x, 6) for x in kept.collect()[0].mean])
+    assert rows[2].fresh and rows[2].mean[0] == 0 and rows[2].n == 0
+    assert rows[3].fresh and rows[3].mean[0] == 0 and rows[3].sd[0] == pytest.approx(S.SEEDED_SD)
+    arms = view(spark, sf_dir, "arms")
+    stored = S.snapshot_arms(spark.createDataFrame([(1, "Fork", 2.00004, 3.0), (1, "No Arm", 9.0, 9.0)], "player_id long, category string, alpha double, beta double"))
+    back = {r.category: (r.alpha, r.beta) for r in S.restore_arms(stored, arms).collect()}
+    assert len(back) == 23 and back["Fork"] == (2.0, 3.0) and back["Pin"] == (1.0, 1.0)
+
+
+def test_recommendations_fall_to_later_rungs(spark):
+    puzzles = spark.createDataFrame([("a", 1000, "Fork"), ("b", 1300, "Fork"), ("c", 1010, "Pin"), ("d", 2900, "Pin")], "puzzle_id string, rating int, primary_category string")
+    choices = spark.createDataFrame([(k, "Fork") for k in range(6)], "player_id long, category string")
+    targets = spark.createDataFrame([(k, 5000 if k == 5 else 1000) for k in range(6)], "player_id long, target int")
+    seen = ((1, "a"), (2, "a"), (2, "b"), (3, "a"), (3, "b"), (3, "c"), (4, "a"), (4, "b"), (4, "c"), (4, "d"), (5, "a"), (5, "b"), (5, "c"), (5, "d"))
+    attempts = spark.createDataFrame(seen, "player_id long, puzzle_id string")
+    rows = {r.player_id: (r.puzzle_id, r.rung, r.exhausted) for r in S.recommend(choices, targets, puzzles, attempts).collect()}
+    assert rows[0] == ("a", 2, False) and rows[1] == ("b", 3, False) and rows[2] == ("c", 4, False) and rows[3] == ("d", 5, False)
+    assert rows[4][1:] == (6, True) and rows[4][0] in "ac" and 5 not in rows
+    own = spark.createDataFrame([(0, "gen_1", "Pin", 1010), (1, "gen_2", "Fork", 1100), (2, "gen_3", "Fork", 1900)], "player_id long, puzzle_id string, category string, rating int")
+    rows = {r.player_id: (r.puzzle_id, r.rung) for r in S.recommend(choices, targets, puzzles, attempts, own, own_share=100).collect()}
+    assert rows[0] == ("gen_1", 1) and rows[1] == ("gen_2", 0) and rows[2] == ("c", 4)
+
+
+def test_late_attempts_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01 10:00:00", "2024-01-01 11:00:00"), (2, "2024-01-01 10:00:00", "2024-01-05 10:00:00")], "attempt_id long, ts string, arrived string").selectExpr("attempt_id", "timestamp(ts) ts", "timestamp(arrived) arrived")
+    soon, late = X.late(rows)
+    assert [r.attempt_id for r in soon.collect()] == [1] and [r.attempt_id for r in late.collect()] == [2]

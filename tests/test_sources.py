@@ -2,7 +2,6 @@
 
 import json
 
-from skillspark.operators import puzzles
 from skillspark.sources import readers, writers
 
 
@@ -42,8 +41,10 @@ def test_cohort_lines_and_norms(spark, tmp_path):
 def test_puzzle_csv_and_splits(spark, tmp_path):
     head = "PuzzleId,FEN,Moves,Rating,RatingDeviation,Popularity,NbPlays,Themes,GameUrl,OpeningTags\n"
     dump(tmp_path / "p.csv", head + "a,8/8 w,e2e4 e7e5,1100,80,90,500,fork endgame,http://x,\nb,8/8 w,e2e4,2300,80,90,500,rookEndgame,,\n")
-    df = readers.puzzles_csv(spark, str(tmp_path / "p.csv")).toDF("puzzle_id", "fen", "moves", "rating", "rating_deviation", "popularity", "nb_plays", "themes", "url", "openings")
-    rich = puzzles.enrich(df)
+    rich = readers.puzzles_csv(spark, str(tmp_path / "p.csv"))
+    assert [r.puzzle_id for r in readers.puzzles_csv(spark, str(tmp_path / "p.csv"), low=1200).collect()] == ["b"] and readers.puzzles_csv(spark, str(tmp_path / "p.csv"), sample=1).count() == 1
+    writers.processed(rich, str(tmp_path / "whole"))
+    assert readers.puzzles_parquet(spark, str(tmp_path / "whole"), ("puzzle_id", "rating")).columns == ["puzzle_id", "rating"] and readers.puzzles_parquet(spark, str(tmp_path / "whole")).columns == rich.columns
     assert {r.puzzle_id: (r.primary_category, r.difficulty_tier, r.move_length) for r in rich.collect()} == {"a": ("Fork", "Easy", "short"), "b": ("Rook Endgame", "Master", "oneMove")}
     writers.split_by(rich, "categories", str(tmp_path / "out"))
     assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"part=Fork", "part=Endgame", "part=Rook_Endgame"}
@@ -57,3 +58,23 @@ def test_report_and_edits(spark, tmp_path):
     stored = spark.createDataFrame([(1, "a", None), (1, "b", "liked"), (1, "c", "liked"), (2, "a", None)], "player_id int, puzzle_id string, feedback string")
     edits = spark.createDataFrame([(1, "a", 1, "feedback", "liked"), (1, "b", 2, "feedback", None), (1, "c", 3, "delete", None), (2, "*", 4, "delete", None)], "player_id int, puzzle_id string, seq int, action string, feedback string")
     assert sorted(tuple(r) for r in writers.apply_edits(stored, edits).select("player_id", "puzzle_id", "feedback").collect()) == [(1, "a", "liked"), (1, "b", None)]
+
+
+def test_mined_puzzles_and_their_report(spark, tmp_path):
+    p = {"PuzzleId": "gen_1", "FEN": "8/8 w", "Moves": "e2e4", "Rating": 1200, "PrimaryCategory": "Fork", "evalDrop": 200}
+    dump(tmp_path / "m" / "ann.json", [p, {**p, "PuzzleId": "gen_2"}])
+    dump(tmp_path / "m" / "retired" / "ann.json", [{**p, "PuzzleId": "gen_3"}])
+    dump(tmp_path / "m" / "bob.json", "{broken")
+    rows = readers.mined_puzzles(spark, str(tmp_path / "m"))
+    assert sorted((r.username, r.PuzzleId, r.retired) for r in rows.collect()) == [("ann", "gen_1", False), ("ann", "gen_2", False), ("ann", "gen_3", True)]
+    writers.report_with_rows(rows.groupBy().count(), rows.select("PuzzleId", "Rating"), str(tmp_path / "rep"))
+    assert spark.read.json(str(tmp_path / "rep" / "summary")).collect()[0].summary["count"] == 3
+    assert sorted(r.item.PuzzleId for r in spark.read.json(str(tmp_path / "rep" / "items")).collect()) == ["gen_1", "gen_2", "gen_3"]
+
+
+def test_appended_attempts_leave_out_skipped_ones(spark, tmp_path):
+    spark.createDataFrame([(1, False), (2, True), (3, None)], "attempt_id long, skipped boolean").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("attempt_id long, skipped boolean").parquet(str(tmp_path / "in"))
+    q = writers.append_attempts(stream, str(tmp_path / "log"), str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.attempt_id for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [1, 3]
