@@ -8,9 +8,10 @@
    and every window is looked up in all of them. A window that starts in two places gets two references to where
    else it starts.
 3. Parsing. Each document is factored greedily: from the first window with a reference, the reference that
-   reaches furthest is followed while the next window continues it. Windows across the end of a factor have been
-   looked up like all others and begin the next factor. Factors have at least `length` words by construction;
-   their words go.
+   reaches furthest is followed while the next window continues it. Of all places where a window starts, the first and the last are
+   kept as references, which is enough to know that it starts elsewhere; that look-up in all blocks decides what goes, and the parse
+   gives it the form of factors. Windows across the end of a factor have been looked up like all others and begin the next factor.
+   Factors have at least `length` words by construction; their words go.
 
 Anchors in more than `hot` places (a license line, say) are spread by the hash of the whole window in place of the
 anchor's, so that no task gets all blocks around a frequent k-gram.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut, hashes, mix, need, words_of
 
 LENGTH, K, HOT = 35, 8, 10_000
+#: Hot anchors that are broadcast at most.
+MOST_BROADCAST = 100_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -189,8 +192,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("an anchor has at most 64 windows")
     rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, F.lit(7)).alias("k1"), F.xxhash64(text_col, F.lit(11)).alias("k2"))
     found = need(rows, "k1", "k2", "text").mapInArrow(_anchor_rows(length, k), "anchor long, k1 long, k2 long, at int")
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    places = found.join(again, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("n") > hot, -1 - F.col("at")).otherwise(F.col("at"))).alias("places"))
+    again = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    # Rows of hot anchors are known by these alone, if they are few enough to be broadcast, and are dealt out by place; the others meet their counts by anchor.
+    often = again.where(F.col("n") > hot).select("anchor", F.lit(True).alias("often"))
+    marked = found.join(F.broadcast(often), "anchor", "left") if often.count() <= MOST_BROADCAST else found.withColumn("often", F.lit(None).cast("boolean"))
+    marked = marked.withColumn("key", F.when(F.col("often"), F.xxhash64("k1", "k2", "at")).otherwise(F.col("anchor"))).drop("anchor")
+    met = marked.join(again.withColumnRenamed("anchor", "key"), "key", "left").where("often or n is not null")
+    places = met.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("often") | (F.col("n") > hot), -1 - F.col("at")).otherwise(F.col("at"))).alias("places"))
     # Both joins take the same columns of rows, so that its texts are shuffled once.
     keyed = rows.join(cut(places), ["k1", "k2"]).select("id", "k1", "k2", "text", "places")
     blocks = keyed.mapInArrow(_block_rows(length, k), "part long, anchor long, wins array<long>, k1 long, k2 long, first int")
