@@ -45,6 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Rows with whole texts go to Python in batches of at most `most`: by default they are of 10,000 rows, which takes ten times the room in an executor's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """bytes.split() parts at space and tab to carriage return, and at nothing else."""
     return text.split() if text else []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, need, slices
+from .common import crc_mod, need, slices, small_batches
 
 DIM, N, SEED = 512, 3, 20
 #: Bound of the documents of each language that prototypes are learned from.
@@ -104,6 +104,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     score is the cosine, at least 0. Ties go to the language first in order. Null texts, texts without a letter, and
     all texts where nothing was learned get `und` and 0.
     """
+    small_batches(docs.sparkSession)
     langs = sorted(prototypes)
     matrix = np.stack([prototypes[x] / np.linalg.norm(prototypes[x]) for x in langs]) if langs else np.zeros((0, dim))
 

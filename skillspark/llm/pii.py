@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, need, slices
+from .common import as_bytes, cut, need, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
 ALPHA, SUPPORT, WINDOW = 0.8, 1, 8
@@ -143,6 +143,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     Null texts count as empty and have no spans. Rows are told apart by id and text (k1 and k2 are their hashes);
     repeated rows each stay. Spans of one kind don't overlap, those of different kinds may.
     """
+    small_batches(docs.sparkSession)
     rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, F.lit(7)).alias("k1"), F.xxhash64(text_col, F.lit(11)).alias("k2"))
     id_type = docs.schema[id_col].dataType.simpleString()
     base = cut(rows.mapInArrow(_scan(window), f"id {id_type}, k1 long, k2 long, base {_SPAN}, near {_NEAR}"))

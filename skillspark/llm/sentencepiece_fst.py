@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 from .pieces import Vocabulary, load
 
 #: Parts whose paths a task keeps; beyond it, it starts afresh, which changes no id.
@@ -465,6 +465,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 ids = _lists(flat, counts, np.array([x is None for x in texts], bool))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), ids, pa.array(back, pa.string()), pa.array(whole, pa.bool_())], names=["id", "ids", "decoded", "whole"])
 
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, ids array<int>, decoded string, whole boolean").select(F.col("id").alias(id_col), F.size("ids").alias("n_ids"), "ids", "decoded", "whole")

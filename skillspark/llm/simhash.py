@@ -20,13 +20,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, hashes, mix, need, slices, words_of
+from .common import as_bytes, cut, hashes, mix, need, slices, small_batches, words_of
 
 SEED = 42
 #: Keys with more fingerprints than FEW are handled in blocks of about BLOCK fingerprints.
@@ -125,7 +124,7 @@ def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _spanning(x: np.ndarray, y: np.ndarray, linked: np.ndarray) -> pd.DataFrame:
+def _spanning(x: np.ndarray, y: np.ndarray, linked: np.ndarray) -> pa.Table:
     """A spanning forest of the links between x and y where `linked` is true."""
     parent: dict[int, int] = {}
 
@@ -140,25 +139,28 @@ def _spanning(x: np.ndarray, y: np.ndarray, linked: np.ndarray) -> pd.DataFrame:
         if a != b:
             parent[max(a, b)] = min(a, b)
             out.append((int(x[i]), int(y[j])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
-def _differing(x: pd.Series, y: pd.Series) -> np.ndarray:
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Differing bits of each pair; unsigned, as bitwise_count takes absolute values."""
-    return np.bitwise_count(x.to_numpy().view(np.uint64)[:, None] ^ y.to_numpy().view(np.uint64)[None, :])
+    return np.bitwise_count(x.view(np.uint64)[:, None] ^ y.view(np.uint64)[None, :])
 
 
-def _forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
+def _forest(rows: pa.Table, most: int) -> pa.Table:
     """Links of a spanning forest between the stored and the looked-up fingerprints of one pair of blocks."""
-    x, y = pdf.loc[pdf.stored, "fp"].drop_duplicates(), pdf.loc[~pdf.stored, "fp"].drop_duplicates()
-    return _spanning(x.to_numpy(), y.to_numpy(), _differing(x, y) <= most)
+    fp, stored = rows.column("fp").to_numpy(), rows.column("stored").to_numpy()
+    x, y = np.unique(fp[stored]), np.unique(fp[~stored])
+    return _spanning(x, y, _differing(x, y) <= most)
 
 
 def _met(fps: DataFrame, most: int) -> DataFrame:
     """(key, fp, stored, n): the keys under which fingerprints meet, with how many rows each has."""
     if not 0 <= most <= 3:
         raise ValueError("the keys find differences of 3 bits at most")
-    keys = _keys(fps)
+    # Fingerprints take little room and give many keys, so that they are dealt to all tasks first.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = _keys(fps.repartition(tasks, "fp"))
     # Most keys have one fingerprint only, and so no partner. Counting before the join keeps a frequent key out of any single task.
     met = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("stored").alias("n_stored")).where("n_stored > 0 and n_stored < n and (n > 2 or n_stored = 1)")
     return cut(keys.join(met, "key").select("key", "fp", "stored", "n"))
@@ -185,7 +187,7 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     other link is in the result.
     """
     rows = _met(fps, most)
-    hot = _spread(rows.where(F.col("n") > FEW), "fp").groupBy("key", "i", "j").applyInPandas(lambda pdf: _forest(pdf, most), "a long, b long")
+    hot = _spread(rows.where(F.col("n") > FEW), "fp").groupBy("key", "i", "j").applyInArrow(lambda rows: _forest(rows, most), "a long, b long")
     both = _close(rows.where(F.col("n") <= FEW), most).unionByName(hot.where("a <> b"))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -334,8 +336,8 @@ def _sets(width: int, wanted):
                     seen.clear()
                 seen.add(key)
                 node.append(key)
-                sets.append(np.unique(_shingle_rows(hashes(words_of(text.lower())), width)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+                sets.append(np.unique(_shingle_rows(hashes(words_of(text.lower())), width)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     return run
 
@@ -371,18 +373,9 @@ def _similar_sketches(similarity: float):
     return run
 
 
-def _similar(similarity: float):
-    """The pairs whose shingle sets have at least that Jaccard similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("xset"), batch.column("yset")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(len(_shared(x, y)) * (1 + similarity) >= similarity * (len(x) + len(y)) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _similar(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two sets of hashes (arrays without repeats) have at least that Jaccard similarity."""
+    return F.size(F.array_intersect(x, y)) * (1 + similarity) >= similarity * (F.size(x) + F.size(y)) - 1e-9
 
 
 def _possible(similarity: float) -> Column:
@@ -416,6 +409,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined, so that a large group of near copies doesn't make all its pairs.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     full = _rows(docs, id_col, text_col).select("node", "text")
     counted = full.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sampled(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counted.where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
@@ -444,9 +438,9 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = likely.where("not whole").select("a", "b")
         asked = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = spark.sparkContext.broadcast(_wanted(asked))
-        sets = full.mapInArrow(_sets(width, wanted), "node long, set binary").join(asked, "node", "left_semi").groupBy("node").agg(F.any_value("set").alias("set"))
+        sets = full.mapInArrow(_sets(width, wanted), "node long, set array<long>").join(asked, "node", "left_semi").groupBy("node").agg(F.any_value("set").alias("set"))
         both = rest.join(sets.toDF("a", "xset"), "a").join(sets.toDF("b", "yset"), "b")
-        return cut(likely.where("whole").select("a", "b").unionByName(both.mapInArrow(_similar(similarity), "a long, b long")))
+        return cut(likely.where("whole").select("a", "b").unionByName(both.where(_similar(F.col("xset"), F.col("yset"), similarity)).select("a", "b")))
 
     # Fingerprints that the Golay keys link, by a text of each; and the texts of one fingerprint with the first of them.
     hubs = info.groupBy("fp").agg(F.min("node").alias("hub"))
