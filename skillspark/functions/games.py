@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Of the published formulas for win chances and accuracy, and of the rating scale.
 MATE_CP = 9000.0
 WIN_SLOPE = 0.00368208
 SCALE = 400 / math.log(10)

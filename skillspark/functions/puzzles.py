@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..taxonomy import GENERAL, PRIORITY, TAG_CATEGORIES, TIERS, TOP_TIER
+from ..taxonomy import GENERAL, PRIORITY, TAG_CATEGORIES, THEMES, TIERS, TOP_TIER
 
 
 def tokens(text: Column) -> Column:
@@ -48,6 +48,11 @@ def move_length(moves: Column) -> Column:
     return F.when(n <= 1, "oneMove").when(n <= 3, "short").when(n <= 7, "long").otherwise("veryLong")
 
 
+def theme_multihot(tags: Column, themes: tuple[str, ...] = THEMES) -> Column:
+    """A 0 or 1 for each theme of the vocabulary; other tags count nothing."""
+    return F.transform(strings(themes), lambda t: F.array_contains(tags, t).cast("int"))
+
+
 def json_safe(x: Column) -> Column:
     """Null for what JSON can't hold."""
     return F.when(~(F.isnan(x) | x.isin(float("inf"), float("-inf"))), x)

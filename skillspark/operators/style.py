@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Weights of the aggression score, and thresholds and names of the five styles.
 def aggression(mate_share: Column, sacrifices: Column, resigned_share: Column) -> Column:
     raw = 55 * mate_share + F.least(70 * sacrifices, F.lit(35.0)) + 10 * (1 - resigned_share)
     return F.least(F.lit(100), raw.cast("int"))

@@ -147,7 +147,7 @@ PV = ("positions", "arms")
 
 def _pairs(v):
     other = v("arms").select(F.col("arm_id").alias("id"), F.col("category").alias("p"))
-    return v("positions").join(F.broadcast(other), F.col("l_suppkey") % 24 == F.col("id")).select(F.col("category").alias("t"), "p")
+    return v("moves").join(F.broadcast(other), F.col("l_suppkey") % 24 == F.col("id")).select(F.col("category").alias("t"), "p")
 
 
 @query(f"WITH {PAIRS} SELECT t, p, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY t))::DOUBLE, 6) AS share FROM pairs GROUP BY 1, 2", PV)

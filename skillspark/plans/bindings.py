@@ -4,35 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..taxonomy import ARMS, GENERAL
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 
+CATEGORIES = (*ARMS, GENERAL)
+
+
+def _category(number: str) -> str:
+    return f"CASE {number} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES)) + " END"
+
+
 VIEWS: dict[str, str] = {
-    "arms": r"""
-SELECT * FROM (VALUES (0,'Fork'),
-  (1,'Pin'),
-  (2,'Skewer'),
-  (3,'Discovered Attack'),
-  (4,'Hanging Piece'),
-  (5,'Sacrifice'),
-  (6,'Deflection'),
-  (7,'Attraction'),
-  (8,'Interference'),
-  (9,'Clearance'),
-  (10,'Quiet Move'),
-  (11,'Zugzwang'),
-  (12,'X-Ray Attack'),
-  (13,'King Safety'),
-  (14,'Mating Pattern'),
-  (15,'Endgame'),
-  (16,'Rook Endgame'),
-  (17,'Queen Endgame'),
-  (18,'Pawn Endgame'),
-  (19,'Bishop Endgame'),
-  (20,'Knight Endgame'),
-  (21,'Promotion'),
-  (22,'En Passant'),
-  (23,'General')) AS t(arm_id, category)
-""",
+    "arms": "SELECT * FROM (VALUES " + ", ".join(f"({i},'{c}')" for i, c in enumerate(CATEGORIES)) + ") AS t(arm_id, category)",
     "theme_dim": r"""
 SELECT * FROM (VALUES (0,'crushing endgame fork short'),
   (1,'mate mateIn1 oneMove'),
@@ -74,14 +58,16 @@ SELECT o_orderkey AS game_id, o_custkey AS player_id, o_orderdate AS end_time,
   CONCAT('Family ', CAST(o_orderkey % 13 AS STRING)) AS opening_family,
   CAST(20 + o_orderkey % 41 AS INT) AS num_moves FROM orders
 """,
-    "positions": r"""
-SELECT l_orderkey AS game_id, o_custkey AS player_id, l_linenumber AS ply_no, a.category,
+    "moves": f"""
+SELECT l_orderkey AS game_id, l_linenumber AS ply_no, {_category("l_partkey % 24")} AS category,
   CASE l_suppkey % 3 WHEN 0 THEN 'opening' WHEN 1 THEN 'middlegame' ELSE 'endgame' END AS phase,
   CAST(floor(l_extendedprice / 100) AS INT) - 500 AS best_cp,
   CAST(floor(l_extendedprice / 100) AS INT) - 500 - (4 * CAST(l_quantity AS INT) - 40) AS after_cp,
   CASE WHEN l_tax = 0 THEN NULL ELSE CAST(floor(l_extendedprice / 100) AS INT) - 500 - 60 * CAST(floor(l_discount * 100 + 0.5) AS INT) END AS second_cp,
-  l_returnflag = 'R' AND l_linestatus = 'F' AS recapture, l_partkey, l_suppkey, l_extendedprice
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN arms a ON a.arm_id = l_partkey % 24
+  l_returnflag = 'R' AND l_linestatus = 'F' AS recapture, l_partkey, l_suppkey, l_extendedprice FROM lineitem
+""",
+    "positions": r"""
+SELECT m.*, o_custkey AS player_id FROM moves m JOIN orders ON m.game_id = o_orderkey
 """,
     "puzzles": r"""
 SELECT CONCAT('p', CAST(p_partkey AS STRING)) AS puzzle_id,
@@ -91,16 +77,16 @@ SELECT CONCAT('p', CAST(p_partkey AS STRING)) AS puzzle_id,
   CAST(100 - (p_partkey * 17) % 41 * 3 AS INT) AS popularity, CAST((p_partkey * p_size * 13) % 5000 AS INT) AS nb_plays,
   t.themes, p_partkey AS seq FROM part JOIN theme_dim t ON t.theme_id = p_partkey % 18 JOIN fen_dim f ON f.fen_id = p_partkey % 6
 """,
-    "attempts": r"""
+    "attempts": f"""
 SELECT e.event_id AS attempt_id, e.user_id AS player_id, e.ts,
   CONCAT(CASE WHEN e.event_type = 'signup' THEN 'gen_' ELSE 'p' END, CAST((e.event_id * 7) % 200 AS STRING)) AS puzzle_id,
-  a.category, CAST(400 + ((e.event_id * 7) % 200 * 7919) % 2900 AS INT) AS rating,
-  e.value < 35 AS solved, e.event_type = 'error' AS skipped FROM events e JOIN arms a ON a.arm_id = (e.event_id * 5 + e.user_id) % 24
+  {_category("(e.event_id * 5 + e.user_id) % 24")} AS category, CAST(400 + ((e.event_id * 7) % 200 * 7919) % 2900 AS INT) AS rating,
+  e.value < 35 AS solved, e.event_type = 'error' AS skipped FROM events e
 """,
 }
 
 #: What each view reads besides tables.
-NEEDS = {"positions": ("arms",), "puzzles": ("theme_dim", "fen_dim"), "attempts": ("arms",)}
+NEEDS = {"positions": ("moves",), "puzzles": ("theme_dim", "fen_dim")}
 
 
 def with_views(names: tuple[str, ...], query: str) -> str:

@@ -15,14 +15,14 @@ KEY = ("game_id", "ply_no", "l_partkey", "l_suppkey")
 
 @query("SELECT game_id, ply_no, l_partkey, l_suppkey, best_cp - after_cp AS eval_drop FROM positions WHERE abs(best_cp) <= 800 AND (second_cp IS NULL OR best_cp - second_cp >= 100) AND best_cp - after_cp >= 150", PV)
 def f11_mine_gates(v):
-    return O.candidate_gates(v("positions")).select(*KEY, "eval_drop")
+    return O.candidate_gates(v("moves")).select(*KEY, "eval_drop")
 
 
 LINES = "lines AS (SELECT game_id AS line_id, ply_no - 1 AS ply, min(best_cp - second_cp) AS gap FROM positions GROUP BY 1, 2)"
 
 
 def _lines(v):
-    return v("positions").groupBy(F.col("game_id").alias("line_id"), (F.col("ply_no") - 1).alias("ply")).agg(F.min(F.col("best_cp") - F.col("second_cp")).alias("gap"))
+    return v("moves").groupBy(F.col("game_id").alias("line_id"), (F.col("ply_no") - 1).alias("ply")).agg(F.min(F.col("best_cp") - F.col("second_cp")).alias("gap"))
 
 
 @query(f"""WITH {LINES}, h AS (SELECT *, CASE WHEN ply % 2 = 1 THEN coalesce(gap >= 100, true) ELSE coalesce(gap >= 80, true) END AS holds FROM lines WHERE ply < 6),
@@ -57,7 +57,7 @@ MINED = """mined AS (SELECT game_id * 100000 + l_partkey * 10 + ply_no AS seq, g
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fen ORDER BY seq) AS k FROM g) WHERE k = 1)
 SELECT seq, category FROM d ORDER BY category NOT IN ('Fork', 'Pin'), seq LIMIT 60""", PV)
 def w9_t3_mining_caps(v):
-    p = v("positions").where("best_cp - after_cp >= 100").select((F.col("game_id") * 100000 + F.col("l_partkey") * 10 + F.col("ply_no")).alias("seq"), "game_id", "category", F.concat(F.lit("f"), (F.col("l_partkey") % 500).cast("string")).alias("fen"))
+    p = v("moves").where("best_cp - after_cp >= 100").select((F.col("game_id") * 100000 + F.col("l_partkey") * 10 + F.col("ply_no")).alias("seq"), "game_id", "category", F.concat(F.lit("f"), (F.col("l_partkey") % 500).cast("string")).alias("fen"))
     return O.caps(p.dropDuplicates(["seq"]), 60, 2, ("Fork", "Pin")).select("seq", "category")
 
 
@@ -68,7 +68,7 @@ QUALITY = """q AS (SELECT game_id, ply_no, l_partkey, l_suppkey, best_cp > 0 AS
  + CASE WHEN solution_moves >= 3 THEN 0.20 ELSE 0 END + CASE WHEN NOT trivial THEN 0.15 ELSE 0 END + CASE WHEN abs(rating_gap) <= 300 THEN 0.10 ELSE 0 END AS s FROM q)""", PV)
 def p44_quality_score(v):
     b = F.col("best_cp")
-    q = v("positions").where("second_cp is not null").select(*KEY, (b > 0).alias("engine_agrees"), (b - F.col("second_cp")).alias("clarity_cp"), (F.col("ply_no") % 5).alias("solution_moves"), (b > 700).alias("trivial"), (b - 300).alias("rating_gap"))
+    q = v("moves").where("second_cp is not null").select(*KEY, (b > 0).alias("engine_agrees"), (b - F.col("second_cp")).alias("clarity_cp"), (F.col("ply_no") % 5).alias("solution_moves"), (b > 700).alias("trivial"), (b - 300).alias("rating_gap"))
     return O.quality_score(q).select(*KEY, F.round("score", 4).alias("score"), "passed")
 
 
@@ -77,7 +77,7 @@ b AS (SELECT line_id, arg_min(category, (arm_id, category)) AS motif FROM m WHER
 SELECT line_id, CASE WHEN mate THEN 'Mating Pattern' ELSE coalesce(motif, 'Endgame') END AS label FROM w LEFT JOIN b USING (line_id)""", PV)
 def p11_resolve_line_label(v):
     arms = v("arms").select("category", F.col("arm_id").alias("motif_rank"))
-    m = v("positions").join(F.broadcast(arms), "category").select(F.col("game_id").alias("line_id"), (F.col("ply_no") - 1).alias("move_no"), F.col("category").alias("motif"), "motif_rank", (F.col("best_cp") > 850).alias("is_mate"), (F.col("l_suppkey") % 3 == 0).alias("is_key"), F.lit("Endgame").alias("endgame"))
+    m = v("moves").join(F.broadcast(arms), "category").select(F.col("game_id").alias("line_id"), (F.col("ply_no") - 1).alias("move_no"), F.col("category").alias("motif"), "motif_rank", (F.col("best_cp") > 850).alias("is_mate"), (F.col("l_suppkey") % 3 == 0).alias("is_key"), F.lit("Endgame").alias("endgame"))
     return O.resolve_label(m)
 
 

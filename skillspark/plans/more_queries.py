@@ -98,7 +98,7 @@ s AS (SELECT player_id, count(*)::DOUBLE AS n, avg(wp) AS mean_wp_loss, median(w
 SELECT player_id, round(mean_wp_loss, 5)::DOUBLE AS mean_wp_loss, round(median_wp_loss, 5)::DOUBLE AS median_wp_loss, round(mean_cp_loss, 5)::DOUBLE AS mean_cp_loss, round(b / n, 5) AS blunders_pg, round(mi / n, 5) AS mistakes_pg, round(ina / n, 5) AS inaccuracies_pg, round(o / er, 5) AS err_share_opening, round(m / er, 5) AS err_share_middlegame, round(e / er, 5) AS err_share_endgame, round(n_all / n, 5) AS opportunities_pg,
   round(overall, 5) AS hit_rate_all, {", ".join(f"round((h_{g} + 5 * overall) / (n_{g} + 5), 5) AS hit_rate_{g}" for g in PR.GROUPS)}, round(mean_moves, 5) AS mean_moves, round(win_rate, 5) AS win_rate, round(share_blitz, 5) AS share_blitz FROM s""", ("games", "positions", "arms"))
 def a19_player_features(v):
-    out = PR.player_features(v("games").select("player_id", "game_id", "num_moves", "won", "time_class"), PR.graded(v("positions")))
+    out = PR.player_features(v("games").select("player_id", "game_id", "num_moves", "won", "time_class"), PR.graded(v("moves")))
     return out.select("player_id", *[F.round(c, 5).alias(c) for c in PR.PLAYER_FEATURES])
 
 
@@ -106,7 +106,7 @@ def a19_player_features(v):
 SELECT game_id, level, round(sum(ln(p)), 5) AS total, round(ln(arg_min(p, (ply_no, l_partkey, p))), 5) AS first, count(*) AS n FROM l GROUP BY 1, 2""", PV)
 def a35_line_logprob(v):
     p = F.least(F.lit(0.99), F.greatest(F.lit(0.01), (F.col("l_partkey") % 97) / 97.0))
-    l = v("positions").select("game_id", (F.col("l_suppkey") % 3).cast("int").alias("level"), "ply_no", p.alias("p"), "l_partkey")
+    l = v("moves").select("game_id", (F.col("l_suppkey") % 3).cast("int").alias("level"), "ply_no", p.alias("p"), "l_partkey")
     return l.groupBy("game_id", "level").agg(F.round(F.sum(F.log("p")), 5).alias("total"), F.round(F.log(F.min_by("p", F.struct("ply_no", "l_partkey", "p"))), 5).alias("first"), F.count("*").alias("n"))
 
 
@@ -133,7 +133,7 @@ def m18_baseline_with_sd(v):
 @query("""WITH p AS (SELECT avg(best_cp) FILTER (WHERE l_partkey % 3 = 0) AS low, avg(best_cp) FILTER (WHERE l_partkey % 3 = 1) AS mid, avg(best_cp) FILTER (WHERE l_partkey % 3 = 2) AS high FROM positions) SELECT round(CASE WHEN high - low > 0 THEN (mid - low) / (high - low) END, 6) AS gap FROM p""", PV)
 def m20_gap_closed(v):
     of = lambda k: F.avg(F.when(F.col("l_partkey") % 3 == k, F.col("best_cp")))
-    p = v("positions").agg(of(0).alias("low"), of(1).alias("mid"), of(2).alias("high"))
+    p = v("moves").agg(of(0).alias("low"), of(1).alias("mid"), of(2).alias("high"))
     return p.select(F.round(F.when(F.col("high") > F.col("low"), (F.col("mid") - F.col("low")) / (F.col("high") - F.col("low"))), 6).alias("gap"))
 
 

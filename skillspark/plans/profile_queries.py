@@ -36,7 +36,7 @@ def r(*names: str) -> dict:
 
 
 def _stats(v):
-    return O.opportunity_stats(v("games"), O.graded(v("positions")))
+    return O.opportunity_stats(v("games"), O.graded(v("moves")))
 
 
 @query(f"WITH {STATS} SELECT player_id, category, rank::INT AS rank, round(rate, 5) AS rate, raw_n FROM (SELECT s.*, row_number() OVER (PARTITION BY player_id ORDER BY round(rate, 9), arm_id) AS rank FROM s JOIN arms a ON a.category = s.category AND a.arm_id < 23) WHERE rank <= 3", GP)
@@ -47,7 +47,7 @@ def flagship_top_weaknesses(v):
 
 @query(f"WITH {GRADED} SELECT game_id, ply_no, l_partkey, l_suppkey, round(wp_loss, 5) AS wp_loss, cp_loss, critical, hit, severity FROM g", GP)
 def p32_grade_move(v):
-    return O.graded(v("positions")).select("game_id", "ply_no", "l_partkey", "l_suppkey", F.round("wp_loss", 5).alias("wp_loss"), "cp_loss", "critical", "hit", "severity")
+    return O.graded(v("moves")).select("game_id", "ply_no", "l_partkey", "l_suppkey", F.round("wp_loss", 5).alias("wp_loss"), "cp_loss", "critical", "hit", "severity")
 
 
 @query(f"WITH {WEIGHTS} SELECT game_id, rank, round(weight, 6) AS weight FROM w", GP)
@@ -67,7 +67,7 @@ NORMS = "norms AS (SELECT category, ((arm_id % 7) - 3) * 0.2::DOUBLE AS \"offset
 FROM (SELECT *, least(0.98, greatest(0.02, baseline))::DOUBLE AS b FROM s) s LEFT JOIN norms USING (category)""", GP)
 def j6_norms_join(v):
     norms = v("arms").where("arm_id < 15").select("category", ((F.col("arm_id") % 7 - 3) * 0.2).alias("offset"))
-    return O.opportunity_stats(v("games"), O.graded(v("positions")), norms).select("player_id", "category", F.round("expected", 5).alias("expected"))
+    return O.opportunity_stats(v("games"), O.graded(v("moves")), norms).select("player_id", "category", F.round("expected", 5).alias("expected"))
 
 
 @query(f"WITH {GRID} SELECT player_id, category, round(1 - rate, 5) AS weakness FROM grid WHERE raw_total >= 10", GP)
@@ -161,7 +161,7 @@ def a33_band_census(v):
 
 @query(f"SELECT game_id, ply_no, l_partkey, l_suppkey, round({_wp('best_cp')}, 6) AS wp, greatest(-9000, least(9000, best_cp)) AS cp FROM positions", GP)
 def p30_win_percent(v):
-    return v("positions").select("game_id", "ply_no", "l_partkey", "l_suppkey", F.round(G.win_percent(F.col("best_cp")), 6).alias("wp"), F.greatest(F.lit(-9000), F.least(F.lit(9000), "best_cp")).alias("cp"))
+    return v("moves").select("game_id", "ply_no", "l_partkey", "l_suppkey", F.round(G.win_percent(F.col("best_cp")), 6).alias("wp"), F.greatest(F.lit(-9000), F.least(F.lit(9000), "best_cp")).alias("cp"))
 
 
 FEN = "(SELECT puzzle_id, fen, split_part(fen, ' ', 1) AS b FROM puzzles WHERE fen IS NOT NULL)"

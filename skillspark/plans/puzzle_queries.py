@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import puzzles as P
 from ..operators import puzzles as O
-from ..taxonomy import ARMS, PRIORITY, TAG_CATEGORIES, TIERS
+from ..taxonomy import ARMS, PRIORITY, TAG_CATEGORIES, THEMES, TIERS
 from .registry import query
 
 V = ("puzzles",)
@@ -48,13 +48,12 @@ def p5_mined_tier(v):
     return v("puzzles").select("puzzle_id", P.mined_tier(F.col("rating")).alias("tier"))
 
 
-@query(f"WITH {E} SELECT puzzle_id, theme, CAST(list_contains(tags, theme) AS INT) AS hot FROM e, (SELECT DISTINCT unnest(tags) AS theme FROM e)", V)
+@query(f"""WITH {E}, h AS (SELECT puzzle_id, list_transform({_list(THEMES)}, lambda t: list_contains(tags, t)::INT) AS hot FROM e)
+SELECT puzzle_id, array_to_string(hot, '') AS hot, list_sum(hot)::BIGINT AS n FROM h""", V)
 def p7_theme_multihot(v):
-    df = v("puzzles").select("puzzle_id", P.tokens(F.col("themes")).alias("tags"))
-    themes = df.select(F.explode("tags").alias("theme")).distinct()
-    # The dimension is the theme vocabulary, a fixed number of tags.
-    dim = themes.agg(F.array_sort(F.collect_set("theme")).alias("themes"))
-    return df.crossJoin(F.broadcast(dim)).select("puzzle_id", F.explode("themes").alias("theme"), "tags").select("puzzle_id", "theme", F.array_contains("tags", F.col("theme")).cast("int").alias("hot"))
+    hot = v("puzzles").select("puzzle_id", P.theme_multihot(P.tokens(F.col("themes"))).alias("hot"))
+    n = F.aggregate("hot", F.lit(0).cast("long"), lambda a, x: a + x)
+    return hot.select("puzzle_id", F.array_join(F.transform("hot", lambda x: x.cast("string")), "").alias("hot"), n.alias("n"))
 
 
 @query("SELECT puzzle_id, CASE WHEN b < 2 THEN 'val' WHEN b < 5 THEN 'test' ELSE 'train' END AS split FROM (SELECT puzzle_id, ('0x' || substring(md5(puzzle_id), 1, 8))::BIGINT % 100 AS b FROM puzzles)", V)

@@ -91,7 +91,7 @@ CUT = "cut AS (SELECT l_suppkey % 3 AS condition, p.category AS t, CASE WHEN l_p
 SELECT n.condition, n, round(po, 6) AS accuracy, round((po - tp / (n::DOUBLE * n)) / (1 - tp / (n::DOUBLE * n)), 6) AS kappa FROM n JOIN e USING (condition)""", PV)
 def a26_pv_cut_report(v):
     other = v("arms").select(F.col("arm_id").alias("id"), F.col("category").alias("o"))
-    rows = v("positions").join(F.broadcast(other), F.col("l_suppkey") % 24 == F.col("id"))
+    rows = v("moves").join(F.broadcast(other), F.col("l_suppkey") % 24 == F.col("id"))
     rows = rows.select((F.col("l_suppkey") % 3).alias("condition"), F.col("category").alias("t"), F.when(F.col("l_partkey") % 4 > 0, F.col("category")).otherwise(F.col("o")).alias("p"))
     return r(R.agreement_by(rows, "condition", "t", "p"), "accuracy", "kappa", n=6)
 
@@ -257,7 +257,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY seq) AS rn FROM
 SELECT seq, category, eval_drop, n_plies::INT AS n_plies, rating, CASE WHEN rating < 1000 THEN 'Beginner' WHEN rating < 1300 THEN 'Easy' WHEN rating < 1600 THEN 'Intermediate' WHEN rating < 1900 THEN 'Advanced' ELSE 'Expert' END AS tier FROM m ORDER BY category NOT IN ('Fork', 'Pin'), seq LIMIT 60""", PV)
 def r18_mine_puzzles(v):
     seq = F.col("game_id") * 1000000 + F.col("l_partkey") * 10 + F.col("ply_no")
-    p = MI.candidate_gates(v("positions")).groupBy(seq.alias("seq")).agg(F.min("game_id").alias("game_id"), F.min("category").alias("category"), F.min("eval_drop").alias("drop"), F.min("l_partkey").alias("l_partkey"))
+    p = MI.candidate_gates(v("moves")).groupBy(seq.alias("seq")).agg(F.min("game_id").alias("game_id"), F.min("category").alias("category"), F.min("eval_drop").alias("drop"), F.min("l_partkey").alias("l_partkey"))
     # The gates have been passed: one row a puzzle, with evaluations that say the same.
     p = p.select("seq", "game_id", "category", "l_partkey", F.concat(F.lit("f"), (F.col("l_partkey") % 700).cast("string")).alias("fen"), F.lit(0).alias("best_cp"), F.lit(None).cast("int").alias("second_cp"), (-F.col("drop")).alias("after_cp"))
     p = p.withColumn("line_id", F.col("game_id") * 1000000 + F.col("l_partkey") * 10 + F.col("seq") % 10)
@@ -332,7 +332,7 @@ def l10_human_difficulty(v):
 
 @query()
 def l12_tactic_classifier(v):
-    p = v("positions").select("game_id", "ply_no", "category", (800 + F.col("l_partkey") % 1200).cast("double").alias("rating"), F.col("best_cp").cast("double").alias("best"), (F.col("best_cp") - F.col("after_cp")).cast("double").alias("drop"), (F.col("l_partkey") % 24).cast("double").alias("motif"), F.col("ply_no").cast("double").alias("ply"))
+    p = v("moves").select("game_id", "ply_no", "category", (800 + F.col("l_partkey") % 1200).cast("double").alias("rating"), F.col("best_cp").cast("double").alias("best"), (F.col("best_cp") - F.col("after_cp")).cast("double").alias("drop"), (F.col("l_partkey") % 24).cast("double").alias("motif"), F.col("ply_no").cast("double").alias("ply"))
     out = ML.tactic_classifier(p.where("game_id % 4 <> 0"), p.where("game_id % 4 = 0"), ("best", "drop", "motif", "ply"))
     return r(M.classification(out, "category", "predicted"), "recall", "precision", "f1", n=4)
 

@@ -16,13 +16,13 @@ KEY = ("game_id", "ply_no", "l_partkey", "l_suppkey")
 @query("SELECT game_id, ply_no, l_partkey, l_suppkey, CASE WHEN l_suppkey % 4 = 1 THEN 9000 WHEN l_suppkey % 4 IN (0, 2) THEN -9000 ELSE best_cp END::DOUBLE AS cp FROM positions", PV)
 def p34_mate_to_cp(v):
     mate = F.when(F.col("l_suppkey") % 4 == 1, 2).when((F.col("l_suppkey") % 4).isin(0, 2), -1)
-    return v("positions").select(*KEY, G.mate_to_cp(mate, F.col("best_cp")).alias("cp"))
+    return v("moves").select(*KEY, G.mate_to_cp(mate, F.col("best_cp")).alias("cp"))
 
 
 @query("SELECT game_id, ply_no, l_partkey, l_suppkey, round(CASE WHEN x <= 0 THEN 100 ELSE greatest(0, least(100, 103.1668::DOUBLE * exp(-0.04354::DOUBLE * x) - 3.1669::DOUBLE)) END, 5)::DOUBLE AS accuracy FROM (SELECT *, CASE WHEN l_partkey % 3 = 0 AND l_suppkey % 50 > 0 THEN (l_suppkey % 50) * 0.092::DOUBLE ELSE (l_partkey % 3) * 7.5::DOUBLE END AS x FROM positions)", PV)
 def p35_accuracy_estimate(v):
     wp, cp = (F.col("l_partkey") % 3) * F.lit(7.5), F.col("l_suppkey") % 50
-    return v("positions").select(*KEY, F.round(G.accuracy_estimate(wp, cp), 5).alias("accuracy"))
+    return v("moves").select(*KEY, F.round(G.accuracy_estimate(wp, cp), 5).alias("accuracy"))
 
 
 @query("""SELECT player_id, round((rating - 1500) / (400 / ln(10)), 6) AS z, round(1 / (1 + exp(-(rating - 1500) / (400 / ln(10)))), 6) AS s, round(1 / sqrt(1 + 3 * (rating / 1000.0) / (pi() * pi())), 6) AS k,
@@ -82,7 +82,7 @@ def p22_termination_class(v):
 @query("SELECT game_id, ply_no, l_partkey, l_suppkey, CASE WHEN l_partkey % 3 = 0 THEN best_cp WHEN l_partkey % 3 = 1 THEN coalesce(second_cp, -after_cp) ELSE -after_cp END AS played FROM positions", PV)
 def p33_played_eval(v):
     k = F.col("l_partkey") % 3
-    return v("positions").select(*KEY, F.when(k == 0, F.col("best_cp")).when(k == 1, F.coalesce("second_cp", -F.col("after_cp"))).otherwise(-F.col("after_cp")).alias("played"))
+    return v("moves").select(*KEY, F.when(k == 0, F.col("best_cp")).when(k == 1, F.coalesce("second_cp", -F.col("after_cp"))).otherwise(-F.col("after_cp")).alias("played"))
 
 
 @query("SELECT a.category AS a, b.category AS b, round(CASE WHEN a.arm_id = b.arm_id THEN 0.36::DOUBLE ELSE 0.45::DOUBLE * 0.36 END, 6) AS cov FROM arms a JOIN arms b ON a.arm_id % 6 = b.arm_id % 6 WHERE a.arm_id < 23 AND b.arm_id < 23", ("arms",))
@@ -110,14 +110,14 @@ def w14_moving_average(v):
 
 @query("""WITH x AS (SELECT game_id AS run, ply_no AS step, avg(best_cp) AS m FROM positions GROUP BY 1, 2) SELECT step, count(*) AS n, round(avg(m), 4) AS mean, round(coalesce(stddev_pop(m), 0), 4)::DOUBLE AS sd FROM x GROUP BY 1""", PV)
 def m19_episode_summary(v):
-    x = v("positions").groupBy(F.col("game_id").alias("run"), F.col("ply_no").alias("step")).agg(F.avg("best_cp").alias("m"))
+    x = v("moves").groupBy(F.col("game_id").alias("run"), F.col("ply_no").alias("step")).agg(F.avg("best_cp").alias("m"))
     return x.groupBy("step").agg(F.count("*").alias("n"), F.round(F.avg("m"), 4).alias("mean"), F.round(F.stddev_pop("m"), 4).alias("sd"))
 
 
 @query("SELECT phase, count(*) AS n, round(avg(best_cp - after_cp), 4) AS mean, round(avg(best_cp - after_cp) - 1.96::DOUBLE * stddev_samp(best_cp - after_cp) / sqrt(count(*)), 4) AS low FROM positions GROUP BY 1", PV)
 def m14_mean_ci(v):
     d = F.col("best_cp") - F.col("after_cp")
-    return v("positions").groupBy("phase").agg(F.count("*").alias("n"), F.round(F.avg(d), 4).alias("mean"), F.round(F.avg(d) - 1.96 * F.stddev_samp(d) / F.sqrt(F.count("*")), 4).alias("low"))
+    return v("moves").groupBy("phase").agg(F.count("*").alias("n"), F.round(F.avg(d), 4).alias("mean"), F.round(F.avg(d) - 1.96 * F.stddev_samp(d) / F.sqrt(F.count("*")), 4).alias("low"))
 
 
 @query("""SELECT CASE WHEN rating < 1000 THEN 0 WHEN rating < 1400 THEN 1 WHEN rating < 1800 THEN 2 WHEN rating < 2200 THEN 3 ELSE 4 END AS band, count(*) AS n, round(avg(solved::INT - 0.5::DOUBLE), 6) AS bias, round(avg(abs(solved::INT - 0.5::DOUBLE)), 6) AS mae FROM attempts GROUP BY 1""", ("attempts",))
@@ -157,6 +157,6 @@ def a10_a11_style_profile(v):
 
     k = F.col("game_id") % 4
     games = v("games").select("player_id", "game_id", "won", F.when(k == 0, "checkmate").when(k == 1, "resignation").when(k == 2, "timeout").otherwise("other").alias("termination"), (F.col("game_id") % 5).alias("eco"))
-    moves = v("positions").select("game_id", (F.col("l_partkey") % 200).alias("clock"), (F.col("l_suppkey") % 10 * 100).alias("attacker"), (F.col("l_partkey") % 4 * 100).alias("captured"))
+    moves = v("moves").select("game_id", (F.col("l_partkey") % 200).alias("clock"), (F.col("l_suppkey") % 10 * 100).alias("attacker"), (F.col("l_partkey") % 4 * 100).alias("captured"))
     out = style_profile(games, moves).drop("mate_share", "resigned_share")
     return out.withColumns({c: F.round(c, 6) for c in ("win_rate", "pressure", "sacrifice_rate")})

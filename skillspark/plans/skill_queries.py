@@ -74,7 +74,7 @@ def r16_recommend_next(v):
     a = v("attempts")
     counts = a.groupBy("player_id", "category").agg(F.count("*").alias("cnt"))
     choice = counts.groupBy("player_id").agg(F.min(F.struct("cnt", "category")).alias("x")).select("player_id", "x.category")
-    first = v("positions").where("ply_no = 1 and game_id % 4 = 0").select("game_id", "category", (700 + F.col("game_id") * 37 % 1500).alias("rating"))
+    first = v("moves").where("ply_no = 1 and game_id % 4 = 0").select("game_id", "category", (700 + F.col("game_id") * 37 % 1500).alias("rating"))
     own = first.join(v("games").select("game_id", "player_id"), "game_id").groupBy("player_id", F.concat(F.lit("gen_"), F.col("game_id").cast("string")).alias("puzzle_id")).agg(F.min("category").alias("category"), F.min("rating").alias("rating"))
     return S.recommend(choice, v("players").select("player_id", F.col("rating").alias("target")), P.enrich(v("puzzles")), a, own, own_share=0)
 

@@ -57,3 +57,11 @@ TIERS = (("Beginner", 0, 999), ("Easy", 1000, 1199), ("Intermediate", 1200, 1499
 TOP_TIER = "Master"
 # Tags of puzzles that aren't served.
 UNSERVED = ("equality", "defensiveMove")
+# The themes that a classifier predicts; tags of source and length aren't among them.
+THEMES = (
+    "advancedPawn", "advantage", "anastasiaMate", "arabianMate", "attackingF2F7", "attraction", "backRankMate", "balestraMate", "bishopEndgame", "blindSwineMate", "bodenMate", "capturingDefender", "castling",
+    "clearance", "collinearMove", "cornerMate", "crushing", "defensiveMove", "deflection", "discoveredAttack", "discoveredCheck", "doubleBishopMate", "doubleCheck", "dovetailMate", "enPassant", "endgame",
+    "epauletteMate", "equality", "exposedKing", "fork", "hangingPiece", "hookMate", "interference", "intermezzo", "killBoxMate", "kingsideAttack", "knightEndgame", "mate", "mateIn1", "mateIn2", "mateIn3",
+    "mateIn4", "mateIn5", "middlegame", "morphysMate", "opening", "operaMate", "pawnEndgame", "pillsburysMate", "pin", "promotion", "queenEndgame", "queenRookEndgame", "queensideAttack", "quietMove",
+    "rookEndgame", "sacrifice", "skewer", "smotheredMate", "swallowstailMate", "trappedPiece", "triangleMate", "underPromotion", "vukovicMate", "xRayAttack", "zugzwang",
+)
