@@ -29,13 +29,22 @@ def base_rates(counts: DataFrame) -> DataFrame:
     return rows.join(by_category, "category").join(by_player, "player_id").select(*counts.columns, "g", "cat", "player")
 
 
-def fit_strength(rated: DataFrame, strengths: tuple[float, ...] = STRENGTHS) -> DataFrame:
-    """One row: the strength whose shrunk rates give the smallest log loss of (test_misses, test_n), all tried in one aggregate."""
+def shrunk_losses(rated: DataFrame, keys: tuple[str, ...], strengths: tuple[float, ...] = STRENGTHS) -> DataFrame:
+    """(keys, s, loss, n): summed log loss of (test_misses, test_n) under rates shrunk to sigmoid(logit(player) + logit(cat) - logit(g)) by each strength s, all tried in one aggregate."""
     prior = sigmoid(logit(F.col("player")) + logit(F.col("cat")) - logit(F.col("g")))
     tried = rated.withColumn("s", F.explode(F.array(*map(F.lit, strengths))))
     p = F.least(F.greatest((F.col("misses") + F.col("s") * prior) / (F.col("n") + F.col("s")), F.lit(1e-4)), F.lit(1 - 1e-4))
     loss = -(F.col("test_misses") * F.log(p) + (F.col("test_n") - F.col("test_misses")) * F.log(1 - p))
-    return tried.groupBy("s").agg((F.sum(loss) / F.sum("test_n")).alias("log_loss")).orderBy("log_loss", "s").limit(1)
+    return tried.groupBy(*keys, "s").agg(F.sum(loss).alias("loss"), F.sum("test_n").alias("n"))
+
+
+def strength_by_fold(rated: DataFrame, fold: str = "fold", strengths: tuple[float, ...] = STRENGTHS) -> DataFrame:
+    """(fold, s, log_loss): for each fold of players the strength that is best on the other folds, and its log loss on this one."""
+    own = shrunk_losses(rated, (fold,), strengths)
+    every = own.groupBy("s").agg(F.sum("loss").alias("all_loss"), F.sum("n").alias("all_n"))
+    others = (F.col("all_loss") - F.col("loss")) / (F.col("all_n") - F.col("n"))
+    best = own.join(F.broadcast(every), "s").groupBy(fold).agg(F.min_by(F.struct("s", (F.col("loss") / F.col("n")).alias("log_loss")), F.struct(F.round(others, 9), "s")).alias("x"))
+    return best.select(fold, "x.s", "x.log_loss")
 
 
 def isotonic(df: DataFrame, score: str = "score", y: str = "y", weight: str = "w") -> DataFrame:

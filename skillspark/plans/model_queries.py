@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
@@ -28,12 +29,18 @@ def _lg(x):
     return f"ln(least(0.98, greatest(0.02, {x}))::DOUBLE / (1 - least(0.98, greatest(0.02, {x}))::DOUBLE))"
 
 
-@query(f"""WITH {RATES}, t AS (SELECT b.*, s, 1 / (1 + exp(-({_lg('player')} + {_lg('cat')} - {_lg('g')}))) AS prior FROM b CROSS JOIN (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512])::DOUBLE AS s)),
-p AS (SELECT *, least(greatest((misses + s * prior) / (n + s), 1e-4), 1 - 1e-4) AS p FROM t)
-SELECT s, round(sum(-((n - misses) * ln(p) + misses * ln(1 - p))) / sum(n), 6) AS log_loss FROM p GROUP BY 1 ORDER BY 2, 1 LIMIT 1""", A)
+@query(f"""WITH h AS (SELECT player_id, category, solved, (row_number() OVER (PARTITION BY player_id ORDER BY ts, attempt_id) - 1) % 2 AS half FROM attempts), c AS (SELECT player_id, category, sum(1 - solved::INT) AS misses, count(*) AS n FROM h WHERE half = 0 GROUP BY 1, 2), e AS (SELECT player_id, category, sum(1 - solved::INT) AS test_misses, count(*) AS test_n FROM h WHERE half = 1 GROUP BY 1, 2),
+x AS (SELECT *, (SELECT sum(misses) / sum(n)::DOUBLE FROM c) AS g FROM c), b AS (SELECT *, (sum(misses) OVER (PARTITION BY category) + 2 * g) / (sum(n) OVER (PARTITION BY category) + 2) AS cat, (sum(misses) OVER (PARTITION BY player_id) + 4 * g) / (sum(n) OVER (PARTITION BY player_id) + 4) AS player FROM x),
+t AS (SELECT b.*, test_misses, test_n, s, 1 / (1 + exp(-({_lg('player')} + {_lg('cat')} - {_lg('g')}))) AS prior FROM b JOIN e USING (player_id, category) CROSS JOIN (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512])::DOUBLE AS s)),
+p AS (SELECT *, least(greatest((misses + s * prior) / (n + s), 1e-4), 1 - 1e-4) AS p FROM t), l AS (SELECT player_id % 3 AS fold, s, sum(-(test_misses * ln(p) + (test_n - test_misses) * ln(1 - p))) AS loss, sum(test_n) AS n FROM p GROUP BY 1, 2),
+o AS (SELECT *, (sum(loss) OVER (PARTITION BY s) - loss) / (sum(n) OVER (PARTITION BY s) - n) AS others FROM l) SELECT fold, s, round(loss / n, 6) AS log_loss FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(others, 9), s) AS rn FROM o) WHERE rn = 1""", A)
 def l2_hierarchical_eb(v):
-    rated = O.base_rates(_counts(v)).withColumns({"test_misses": F.col("n") - F.col("misses"), "test_n": F.col("n")})
-    return O.fit_strength(rated).select("s", F.round("log_loss", 6).alias("log_loss"))
+    w = Window.partitionBy("player_id").orderBy("ts", "attempt_id")
+    h = v("attempts").select("player_id", "category", (1 - F.col("solved").cast("int")).alias("miss"), ((F.row_number().over(w) - 1) % 2).alias("half"))
+    train = h.where("half = 0").groupBy("player_id", "category").agg(F.sum("miss").alias("misses"), F.count("*").alias("n"))
+    test = h.where("half = 1").groupBy("player_id", "category").agg(F.sum("miss").alias("test_misses"), F.count("*").alias("test_n"))
+    rated = O.base_rates(train).join(test, ["player_id", "category"]).withColumn("fold", F.col("player_id") % 3)
+    return O.strength_by_fold(rated).select("fold", "s", F.round("log_loss", 6).alias("log_loss"))
 
 
 @query()
@@ -110,8 +117,6 @@ d AS (SELECT a.category, a.rate - oa.own AS x, b.rate - ob.own AS y FROM h a JOI
 c AS (SELECT category, count(*) AS n, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0) AS r FROM d GROUP BY 1)
 SELECT category, n, round(r, 5) AS r, round(2 * r / nullif(1 + r, 0), 5) AS spearman_brown FROM c WHERE n >= 5""", A)
 def a27_split_half(v):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("player_id").orderBy("ts", "attempt_id")
     r = v("attempts").select("player_id", ((F.row_number().over(w) - 1) % 2).alias("half"), "category", F.col("solved").cast("int").alias("s"))
     own = F.avg("s")
