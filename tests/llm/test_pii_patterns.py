@@ -56,14 +56,14 @@ def test_all_kinds_equal_a_search():
 
 def test_terms_equal_plain_counts(spark):
     rng = random.Random(10)
-    words = [f"w{k}" for k in range(300)]
+    words = [f"w{k}" for k in range(3000)]
     entities = [f"user{k}@x.org" for k in range(12)]
     texts = []
     for k in range(200):
         row = [rng.choice(words) for _ in range(30)]
         if k % 3 == 0:
             row.insert(rng.randrange(len(row)), entities[rng.randrange(12)])
-            row.insert(rng.randrange(len(row)), f"Name{k % 7}")
+            row.insert(rng.randrange(len(row)), f"Name{k % 67}")
         texts.append(" ".join(row))
     n, n_e, n_t, n_et, near = len(texts), Counter(), Counter(), Counter(), {}
     for i, text in enumerate(texts):
