@@ -192,6 +192,11 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _gathered(df: DataFrame, rows: int) -> DataFrame:
+    """A table of so many short rows in no more partitions than they need."""
+    return df.coalesce(rows // 50_000 + 1)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that can be reached, for each node of `edges` (a, b long).
 
@@ -200,6 +205,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     said = lambda e: e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
     before = said(edges)
+    edges = _gathered(edges, before[0])
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -209,6 +215,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = cut(small.where("u <> v").distinct())
         now = said(edges)
+        edges = _gathered(edges, now[0])
         if now == before:
             break
         before = now
@@ -405,7 +412,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in little. That isn't enough at 0.8, where fingerprints differ by some ten bits, so that texts also meet under their
     rarest shingles: those of the similarity share one of the first of each (see _sketched; which shingles are frequent is estimated on a
     sample, but decides the order only). Candidates within WIDE bits and with like sketches are verified by their whole sets. First a text is
-    compared with that of its neighbours under a key that is most like it, then all pairs are that these links haven't
+    compared with that of its neighbours under all keys whose fingerprint is nearest, then all pairs are that these links haven't
     joined, so that a large group of near copies doesn't make all its pairs.
     """
     spark = docs.sparkSession
@@ -427,13 +434,10 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     crowded = met.groupBy("h").agg(F.count("*").alias("same")).where(F.col("same") > BLOCK)
     met = met.join(crowded, "h", "left").withColumn("blocks", F.ceil(F.coalesce("same", F.lit(1)) / BLOCK)).drop("same")
 
-    def verified(pairs: DataFrame, best: bool) -> DataFrame:
-        """The pairs (a < b) that are similar; with best, of each b only that with the a most like it is looked at."""
-        likely = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a < b) that are similar."""
         least = sketches.groupBy("node").agg(F.any_value("least").alias("least"), F.any_value("n").alias("n"))
-        likely = likely.join(least.toDF("a", "xleast", "xn"), "a").join(least.toDF("b", "yleast", "yn"), "b").mapInArrow(_similar_sketches(similarity), "a long, b long, whole boolean, share double")
-        if best:
-            likely = likely.groupBy("b").agg(F.max_by(F.struct("a", "whole"), F.struct("share", "a")).alias("x")).select("x.a", "b", "x.whole")
+        likely = pairs.join(least.toDF("a", "xleast", "xn"), "a").join(least.toDF("b", "yleast", "yn"), "b").mapInArrow(_similar_sketches(similarity), "a long, b long, whole boolean, share double")
         likely = cut(likely)
         rest = likely.where("not whole").select("a", "b")
         asked = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -445,12 +449,16 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Fingerprints that the Golay keys link, by a text of each; and the texts of one fingerprint with the first of them.
     hubs = info.groupBy("fp").agg(F.min("node").alias("hub"))
     near = links(hubs.select("fp"), 3)
-    golay = near.join(hubs.toDF("a", "x"), "a").join(hubs.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    golay = golay.unionByName(info.join(hubs, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    pair = lambda x, y, d: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), d.alias("d"))
+    golay = near.join(hubs.toDF("a", "x"), "a").join(hubs.toDF("b", "y"), "b").select(*pair("x", "y", _apart(F.col("a"), F.col("b"))))
+    golay = golay.unionByName(info.join(hubs, "fp").where("node <> hub").select(*pair("hub", "node", F.lit(0))))
     line = Window.partitionBy("h", F.pmod(F.xxhash64("node"), "blocks")).orderBy("n", "node")
     before = met.select("node", "n", "fp", "p", F.lag(F.struct("node", "n", "fp", "p")).over(line).alias("x")).where("x is not null")
-    before = before.select("x", F.struct("node", "n", "fp", "p").alias("y")).where(_possible(similarity) & (F.col("x.node") != F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    found = verified(golay.unionByName(before), True)
+    before = before.select("x", F.struct("node", "n", "fp", "p").alias("y")).where(_possible(similarity) & (F.col("x.node") != F.col("y.node"))).select(*pair("x.node", "y.node", _apart(F.col("x.fp"), F.col("y.fp"))))
+    # Of all that a text meets here, only that with the nearest fingerprint is looked at, so that the pairs are as many as the texts.
+    nearest = golay.unionByName(before).groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b")
+    found = verified(nearest)
+    found = _gathered(found, found.count())
     roots = components(found)
     # Now all pairs of one shingle that lie apart: those outside its largest group with all others.
     rest = met.join(roots, "node", "left").select("h", "node", "n", "fp", "p", "blocks", F.coalesce("root", "node").alias("root"))
@@ -462,7 +470,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A pair of two texts outside the largest group meets in either order; once is enough.
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     pairs = x.join(y, on[0] & on[1] & on[2] & (F.col("x.root") != F.col("y.root")) & once & _possible(similarity))
-    more = verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), False)
+    more = verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     return components(found.unionByName(more))
 
 
