@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: One text in SAMPLE is counted to learn which shingles are frequent; at most FREQUENT of them are kept.
 SAMPLE, FREQUENT = 32, 500_000
-#: Shingle hashes of a sketch, and how many of the least 2 * SKETCH of two texts' together may differ: texts of similarity 0.8 have fewer
+#: Shingle hashes of a sketch (their upper 32 bits), and how many of the least 2 * SKETCH of two texts' together may differ: texts of similarity 0.8 have fewer
 #: than half in common with a chance below 1e-8.
 SKETCH = 64
 #: Differing fingerprint bits beyond which a pair isn't looked at: at similarity 0.8 they are 9.7 on average, with a deviation of 2.9.
@@ -302,7 +302,7 @@ def _sketched(width: int, similarity: float, frequent):
                 node.append(key)
                 size.append(len(h))
                 bits.append(_sign_bits(h))
-                least.append(h[:SKETCH].view(np.int64))
+                least.append((h[:SKETCH] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 known = 0
                 keep = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
                 if len(often):
@@ -314,7 +314,7 @@ def _sketched(width: int, similarity: float, frequent):
                 rare.append(keep - known)
             long = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.int64()), pa.array(rare, pa.int32()), pa.array(first, long), pa.array(least, long)],
+                [pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.int64()), pa.array(rare, pa.int32()), pa.array(first, long), pa.array(least, pa.list_(pa.int32()))],
                 names=["node", "n", "fp", "rare", "first", "least"],
             )
 
@@ -362,7 +362,7 @@ def _similar_sketches(similarity: float):
         for batch in batches:
             keep, share, whole = [], [], []
             for x, y, n, m in zip(batch.column("xleast"), batch.column("yleast"), batch.column("xn").to_pylist(), batch.column("yn").to_pylist()):
-                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+                x, y = x.values.to_numpy().view(np.uint32), y.values.to_numpy().view(np.uint32)
                 both = _shared(x, y)
                 if full := n <= SKETCH and m <= SKETCH:
                     part = len(both) / (n + m - len(both))
@@ -423,7 +423,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often, rank = np.asarray(top["h"]).astype(np.int64).view(np.uint64), np.asarray(top["n"]).astype(np.int64)
     order = np.argsort(often)
     frequent = spark.sparkContext.broadcast((often[order], rank[order]))
-    sketches = cut(full.mapInArrow(_sketched(width, similarity, frequent), "node long, n int, fp long, rare int, first array<long>, least array<long>"))
+    sketches = cut(full.mapInArrow(_sketched(width, similarity, frequent), "node long, n int, fp long, rare int, first array<long>, least array<int>"))
     info = sketches.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("fp").alias("fp"))
     keys = sketches.select("node", "rare", F.posexplode("first").alias("p", "h"))
     # Shingles that are known as frequent are shared; of the others, of which none has many texts, those of one text only go.
