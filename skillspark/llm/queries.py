@@ -1,4 +1,4 @@
-"""The queries of the ten operators, over whole tables with production parameters, and their SQL where there is one."""
+"""The queries of the thirteen operators, over whole tables with production parameters, and their SQL where there is one."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hpyp, langid, pii, sentencepiece_fst, simhash, substring, token_counts, topk, warc
+from . import centroids, decontaminate, fill_in_middle, hpyp, langid, mixture, pii, sentencepiece_fst, simhash, substring, token_counts, topk, warc
 from .common import table
 
 
@@ -54,6 +54,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ns_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.amounts(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,11 +76,38 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_topk, op3_warc, op4_langid, op5_token_counts, op6_substring_dedup, op7_sentencepiece, op8_hpyp, op9_pii, op10_decontaminate, pipeline)
+    for f in (op1_simhash, op2_topk, op3_warc, op4_langid, op5_token_counts, op6_substring_dedup, op7_sentencepiece, op8_hpyp, op9_pii, op10_decontaminate, op11_ns_kmeans, op12_mixture, op13_fill_in_middle, pipeline)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+def _kmeans_sql(k: int = 8, rounds: int = 10) -> str:
+    """Each round as a table of its assignment and one of its centroids."""
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""
+a{t} AS (
+  SELECT r, vec_id, q, d % {k} AS cluster, d // {k} AS distance
+  FROM (SELECT v.*, (SELECT min({k} * list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) + c.j) FROM c{t} c) AS d FROM v)
+)""")
+        if t < rounds:
+            steps.append(f"""
+s{t} AS (SELECT cluster, i, sum(q[i]) AS s, count(*) AS n FROM a{t}, range(1, 65) g(i) GROUP BY ALL),
+c{t + 1} AS (
+  SELECT c.j, coalesce(list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) FILTER (i IS NOT NULL), any_value(c.q)) AS q
+  FROM c{t} c LEFT JOIN s{t} ON cluster = j GROUP BY c.j
+)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS j, q FROM v QUALIFY j < {k}),{",".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in steps)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.j = cluster"""
+
+
 ORACLES = {
     "op2_topk": """
 WITH v AS (
@@ -92,4 +133,34 @@ x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d
 kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM x ANTI JOIN k ON x.doc_id = k.doc_id AND x.i = k.i GROUP BY x.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op11_ns_kmeans": _kmeans_sql(),
+    "op12_mixture": f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [1, 2, 3][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w FROM d GROUP BY source
+), f AS (
+  SELECT *, sum(source_size) OVER () AS t, coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
+    sum(w) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS h FROM s
+), g AS (SELECT *, 3 * source_size * h <= (t - b) * w AS stops FROM f),
+o AS (SELECT *, t - coalesce(sum(CASE WHEN stops THEN 3 * source_size END) OVER (), 0) AS rest, sum(CASE WHEN NOT stops THEN w END) OVER () AS heavy FROM g),
+e AS (
+  SELECT source, source_size, CASE WHEN stops THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(rest AS DOUBLE) * w / heavy END AS target,
+    CASE WHEN stops THEN 3 * source_size ELSE rest * w // heavy END AS words FROM o
+), c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS copy FROM d),
+p AS (
+  SELECT c.*, e.source_size, e.target, e.words, p, p * e.source_size + coalesce(sum(size) OVER (
+    PARTITION BY c.source, p ORDER BY md5('12:' || p || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy || ':' || size) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source, range(3) r(p)
+)
+SELECT doc_id, size, source_size, target, CAST(sum(greatest(least(a + size, words) - a, 0)) AS BIGINT) AS taken FROM p GROUP BY doc_id, source, copy, size, source_size, target""",
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, list_transform(range(4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS INTEGER), 8) AS BIGINT)) AS g FROM d),
+c AS (
+  SELECT *, len(u) AS n, least(g[1] % (len(u) + 1), g[2] % (len(u) + 1)) AS a, greatest(g[1] % (len(u) + 1), g[2] % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 100 THEN 'plain' WHEN g[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u
+), x AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(pre) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN length(mid) END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM x""",
 }
