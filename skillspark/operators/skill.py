@@ -1,4 +1,4 @@
-"""Skill models over attempts: a Gaussian state of ability and category offsets, and Glicko-2 ratings.
+"""Skill models over attempts: a Gaussian state of ability and category offsets, selection and recommendation.
 
 The updates of one player follow each other, and players are independent: attempts are dealt out by player, sorted, and streamed through a task that
 holds the state of one player at a time, so that memory doesn't grow with a history.
@@ -20,7 +20,6 @@ from ..taxonomy import ARMS
 
 THETA_SD, SEEDED_SD, DELTA_SD, PUZZLE_RD = 350 / SCALE, 250 / SCALE, 0.6, 75.0
 DRIFT_THETA, DRIFT_DELTA = 0.02**2, 0.04**2
-TAU, GLICKO_SCALE = 0.5, 173.7178
 _PLACE = {c: i + 1 for i, c in enumerate(ARMS)}
 
 
@@ -62,20 +61,20 @@ class Skill:
         return predicted
 
 
-def _seeded(attempts: DataFrame, players: DataFrame | None, *columns: str) -> DataFrame:
-    """Attempts of a player together and in order of time, with the player's known rating as `seed`."""
+def seeded(attempts: DataFrame, players: DataFrame | None, *columns: str, dealt: bool = True) -> DataFrame:
+    """Attempts with the player's known rating as `seed`; dealt, those of a player are together and in order of time."""
     rows = attempts.select("player_id", "attempt_id", "ts", "rating", "solved", *columns)
     if players is None:
         rows = rows.withColumn("seed", F.lit(None).cast("double"))
     else:
         rows = rows.join(players.select("player_id", F.col("rating").cast("double").alias("seed")), "player_id", "left")
-    return rows.repartition("player_id").sortWithinPartitions("player_id", "ts", "attempt_id")
+    return rows.repartition("player_id").sortWithinPartitions("player_id", "ts", "attempt_id") if dealt else rows
 
 
 def fit_skill(attempts: DataFrame, players: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(attempt_id, player_id, predicted) of every attempt, and (player_id, mean, sd, n) after the last one. Attempts may have a column rd of their puzzles' deviations."""
     rd = ["rd"] if "rd" in attempts.columns else []
-    rows = _seeded(attempts, players, "category", *rd)
+    rows = seeded(attempts, players, "category", *rd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         player, skill, n = None, None, 0
@@ -123,94 +122,7 @@ def fit_ability(attempts: DataFrame) -> DataFrame:
     def _columns(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.float64()))], names=["player_id", "theta", "variance"])
 
-    return _seeded(attempts, None).mapInArrow(run, "player_id long, theta double, variance double")
-
-
-def volatility(surprise: np.ndarray, phi: np.ndarray, v: np.ndarray, sigma: np.ndarray) -> np.ndarray:
-    """The new volatilities of many ratings at once: the roots of the periods' likelihoods, in log variance, each between ends of unlike sign that are halved together."""
-    start, room = np.log(sigma**2), surprise - phi**2 - v
-
-    def slope(x: np.ndarray) -> np.ndarray:
-        e = np.exp(x)
-        return e * (room - e) / (2 * (phi**2 + v + e) ** 2) - (x - start) / TAU**2
-
-    low, high = start.copy(), np.where(room > 0, np.log(np.maximum(room, 1e-300)), start)
-    step = np.where(room > 0, 0.0, TAU)
-    low = np.minimum(low, high)
-    while (open_ := (slope(low) < 0)).any():  # the slope falls with x: down until it is positive
-        low = np.where(open_, low - np.maximum(step, TAU), low)
-    high = np.maximum(high, start)
-    for _ in range(40):
-        middle = (low + high) / 2
-        up = slope(middle) > 0
-        low, high = np.where(up, middle, low), np.where(up, high, middle)
-    return np.exp((low + high) / 4)
-
-
-def one_game(mu: float, phi: float, sigma: float, mu_j: float, phi_j: float, score: float) -> tuple[float, float, float]:
-    """A rating (centre, deviation, volatility) after a period of one game."""
-    g = shrink(phi_j**2)
-    e = sigmoid(g * (mu - mu_j))
-    info = max(g * g * e * (1 - e), 1e-12)
-    sigma = float(volatility(*(np.array([x]) for x in ((g * (score - e) / info) ** 2, phi, 1 / info, sigma)))[0])
-    phi = 1 / math.sqrt(1 / (phi**2 + sigma**2) + info)
-    return mu + phi**2 * g * (score - e), phi, sigma
-
-
-def glicko2_period(entities: DataFrame, results: DataFrame) -> DataFrame:
-    """New rating, deviation and volatility of every entity (id, rating, rd, volatility) after results (id, opponent_rating, opponent_rd, score).
-
-    Sums over an entity's results are Spark's; only the root of the volatility runs on the summed rows, a batch at a time. Without results the deviation grows.
-    """
-    mine = entities.select("id", ((F.col("rating") - 1500) / GLICKO_SCALE).alias("mu"), (F.col("rd") / GLICKO_SCALE).alias("phi"), "volatility")
-    phi_j, mu_j = F.col("opponent_rd") / GLICKO_SCALE, (F.col("opponent_rating") - 1500) / GLICKO_SCALE
-    g = 1 / F.sqrt(1 + 3 * phi_j**2 / math.pi**2)
-    games = results.join(mine.select("id", "mu"), "id").withColumns({"g": g, "e": 1 / (1 + F.exp(-g * (F.col("mu") - mu_j)))})
-    sums = games.groupBy("id").agg(F.sum(F.col("g") ** 2 * F.col("e") * (1 - F.col("e"))).alias("information"), F.sum(F.col("g") * (F.col("score") - F.col("e"))).alias("surprise"))
-    rows = mine.join(sums, "id", "left")
-
-    def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            mu, phi, sigma, info, surprise = (b[c].to_numpy(np.float64, na_value=0.0) for c in ("mu", "phi", "volatility", "information", "surprise"))
-            played = np.flatnonzero(info > 0)
-            new, info = sigma.copy(), np.where(info > 0, info, 0.0)
-            if len(played):
-                v = 1 / info[played]
-                new[played] = volatility((v * surprise[played]) ** 2, phi[played], v, sigma[played])
-            wide = np.sqrt(phi**2 + new**2)
-            phi = np.where(info > 0, 1 / np.sqrt(1 / wide**2 + info), wide)
-            mu = mu + np.where(info > 0, phi**2 * surprise, 0.0)
-            yield pd.DataFrame({"id": b["id"], "rating": 1500 + GLICKO_SCALE * mu, "rd": GLICKO_SCALE * phi, "volatility": new})
-
-    return rows.mapInPandas(update, "id long, rating double, rd double, volatility double")
-
-
-def glicko2_replay(attempts: DataFrame, seeds: DataFrame | None = None, pool_rd: float = 75.0, mined_rd: float = 300.0, mined: str = "gen_") -> DataFrame:
-    """(attempt_id, player_id, predicted): one period an attempt in time order, with the probability before the result is seen.
-
-    Puzzles of the pool keep their ratings. Those mined from the player's own games (ids that begin with `mined`) begin at mined_rd and are rated with the
-    player, by the player's attempts; so players are independent.
-    """
-    rows = _seeded(attempts, seeds, "puzzle_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        player, me, own = None, None, {}
-        for batch in batches:
-            columns, out = batch.to_pydict(), []
-            for who, puzzle, rating, solved, seed in zip(*(columns[c] for c in ("player_id", "puzzle_id", "rating", "solved", "seed"))):
-                if who != player:
-                    player, own = who, {}
-                    me = (0.0, 350 / GLICKO_SCALE, 0.06) if seed is None else ((seed - 1500) / GLICKO_SCALE, 200 / GLICKO_SCALE, 0.06)
-                is_own = puzzle.startswith(mined)
-                other = own.get(puzzle) or ((rating - 1500) / GLICKO_SCALE, (mined_rd if is_own else pool_rd) / GLICKO_SCALE, 0.06)
-                out.append(sigmoid(shrink(other[1] ** 2) * (me[0] - other[0])))
-                before = me
-                me = one_game(*me, *other[:2], float(solved))
-                if is_own:
-                    own[puzzle] = one_game(*other, *before[:2], 1.0 - float(solved))
-            yield pa.RecordBatch.from_arrays([batch.column("attempt_id"), batch.column("player_id"), pa.array(out, pa.float64())], names=["attempt_id", "player_id", "predicted"])
-
-    return rows.mapInArrow(run, "attempt_id long, player_id long, predicted double")
+    return seeded(attempts, None).mapInArrow(run, "player_id long, theta double, variance double")
 
 
 def snapshot(states: DataFrame, categories: tuple[str, ...] = ARMS) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import mining as MI
 from ..operators import models as ML
 from ..operators import profile as PR
 from ..operators import reports as R
+from ..operators import ratings as RT
 from ..operators import skill as S
 from ..taxonomy import ARMS
 from .attempt_queries import PRED, _pred
@@ -199,7 +200,7 @@ def _replays(v):
         "static": with_rating.select("attempt_id", G.static_elo(F.col("rating"), F.col("player_rating")).alias("p")),
         "ability": of(S.fit_skill(general, players)[0], "predicted"),
         "ability and categories": of(S.fit_skill(a, players)[0], "predicted"),
-        "ratings": of(S.glicko2_replay(a, players), "predicted"),
+        "ratings": of(RT.glicko2_replay(a, players), "predicted"),
     }
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import games as G
 from ..operators import attempts as A
 from ..operators import puzzles as P
+from ..operators import ratings as RT
 from ..operators import skill as S
 from .puzzle_queries import E as ENRICHED
 from .registry import query
@@ -43,17 +44,38 @@ def r6_irt_theta_fit(v):
     return r(S.fit_ability(v("attempts")), "theta", "variance")
 
 
-@query()
+#: The volatility by the steps of operators.ratings: halving between the same ends.
+PERIOD = """WITH RECURSIVE g AS (SELECT player_id AS id, 1 / sqrt(1 + 3 * pow(75.0::DOUBLE / 173.7178, 2) / (pi() * pi())) AS g, (rating - 1500) / 173.7178 AS mu_j, solved::INT AS y FROM attempts WHERE rating IS NOT NULL),
+e AS (SELECT id, g, y, 1 / (1 + exp(g * mu_j)) AS e FROM g), s AS (SELECT id, sum(g * g * e * (1 - e)) AS info, sum(g * (y - e)) AS surprise FROM e GROUP BY 1),
+b AS (SELECT *, pow(surprise / info, 2) AS sq, 350.0::DOUBLE / 173.7178 AS phi, 1 / info AS v, 2 * ln(0.06::DOUBLE) AS a FROM s), d AS (SELECT *, phi * phi + v AS d FROM b),
+f AS (SELECT id, 0 AS i, a - 0.125::DOUBLE AS low, CASE WHEN sq > d THEN a + least(0.25 * sq / (8 * d), greatest(0, ln(sq - d) - a)) ELSE a END AS high FROM d
+UNION ALL SELECT id, i + 1, CASE WHEN up THEN m ELSE low END, CASE WHEN up THEN high ELSE m END FROM (SELECT f.*, (low + high) / 2 AS m, exp((low + high) / 2) * (sq - d - exp((low + high) / 2)) / (2 * pow(d + exp((low + high) / 2), 2)) - ((low + high) / 2 - a) / 0.25 > 0 AS up FROM f JOIN d USING (id) WHERE i < 60)),
+n AS (SELECT id, exp((low + high) / 4) AS sigma FROM f WHERE i = 60), o AS (SELECT d.*, sigma, 1 / (1 / (phi * phi + sigma * sigma) + info) AS phi2 FROM d JOIN n USING (id))
+SELECT id, round(1500 + 173.7178 * phi2 * surprise, 5) AS rating, round(173.7178 * sqrt(phi2), 5) AS rd, round(sigma, 5) AS volatility FROM o"""
+
+
+@query(PERIOD, AP)
 def r13_glicko2_period(v):
     a = v("attempts").where("rating is not null")
     players = a.select("player_id").distinct().select(F.col("player_id").alias("id"), F.lit(1500.0).alias("rating"), F.lit(350.0).alias("rd"), F.lit(0.06).alias("volatility"))
     results = a.select(F.col("player_id").alias("id"), F.col("rating").cast("double").alias("opponent_rating"), F.lit(75.0).alias("opponent_rd"), F.col("solved").cast("double").alias("score"))
-    return r(S.glicko2_period(players, results), "rating", "rd", "volatility")
+    return r(RT.glicko2_period(players, results), "rating", "rd", "volatility")
 
 
 @query()
 def r14_glicko2_replay(v):
-    return r(S.glicko2_replay(v("attempts"), v("players")), "predicted")
+    return r(RT.glicko2_replay(v("attempts"), v("players")), "predicted")
+
+
+@query()
+def r14_symmetric_predictions(v):
+    return r(RT.glicko2_symmetric(v("attempts"), v("players"))[0], "predicted", n=4)
+
+
+@query()
+def r14_symmetric_ratings(v):
+    """The graph here is one component; beyond 5,000 attempts it is replayed in slices."""
+    return r(RT.glicko2_symmetric(v("attempts"), v("players"), most=5000)[1], "rating", "rd", "volatility", n=2)
 
 
 @query()

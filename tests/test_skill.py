@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skillspark.operators import attempts as A
+from skillspark.operators import ratings as RT
 from skillspark.operators import skill as S
 from skillspark.plans.bindings import view
 from skillspark.streaming import attempts as X
@@ -15,7 +16,7 @@ from skillspark.streaming import attempts as X
 def test_glicko2_published_example(spark):
     players = spark.createDataFrame([(1, 1500.0, 200.0, 0.06), (2, 1600.0, 50.0, 0.06)], "id long, rating double, rd double, volatility double")
     results = spark.createDataFrame([(1, 1400.0, 30.0, 1.0), (1, 1550.0, 100.0, 0.0), (1, 1700.0, 300.0, 0.0)], "id long, opponent_rating double, opponent_rd double, score double")
-    rows = {r.id: r for r in S.glicko2_period(players, results).collect()}
+    rows = {r.id: r for r in RT.glicko2_period(players, results).collect()}
     assert rows[1].rating == pytest.approx(1464.06, abs=0.01) and rows[1].rd == pytest.approx(151.52, abs=0.01) and rows[1].volatility == pytest.approx(0.05999, abs=1e-5)
     assert rows[2].rating == 1600 and rows[2].rd > 50
 
@@ -126,7 +127,7 @@ def test_replay_of_ratings_equals_a_plain_loop(spark, sf_dir):
         me[r.player_id] = one_game(mine, other, float(r.solved))
         if mined:
             own[r.player_id, r.puzzle_id] = one_game(other, mine, 1 - float(r.solved))
-    got = {r.attempt_id: r.predicted for r in S.glicko2_replay(attempts.repartition(5), players).collect()}
+    got = {r.attempt_id: r.predicted for r in RT.glicko2_replay(attempts.repartition(5), players).collect()}
     assert got == pytest.approx(want, abs=1e-5)
 
 
