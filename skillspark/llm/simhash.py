@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..operators.store import Store
 from .common import as_bytes, cut, hashes, mix, need, slices, small_batches, words_of
 
 SEED = 42
@@ -192,39 +194,6 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _gathered(df: DataFrame, rows: int) -> DataFrame:
-    """A table of so many short rows in no more partitions than they need."""
-    return df.coalesce(rows // 50_000 + 1)
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that can be reached, for each node of `edges` (a, b long).
-
-    Large-star and small-star in turn until the links stand still; each round is written to the shared folder.
-    """
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    said = lambda e: e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-    before = said(edges)
-    edges = _gathered(edges, before[0])
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
-        now = said(edges)
-        edges = _gathered(edges, now[0])
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components still change after {rounds} rounds")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id.
 
@@ -249,6 +218,9 @@ SAMPLE, FREQUENT = 32, 500_000
 SKETCH = 64
 #: Differing fingerprint bits beyond which a pair isn't looked at: at similarity 0.8 they are 9.7 on average, with a deviation of 2.9.
 WIDE = 27
+#: Texts that share a shingle and aren't all linked are a crowd if their pairs are over CROWD^2; TRIES members of its main group are tried by each of the others, of SOME beside it under a shingle and
+#: twice as many in each further turn, of which there are TURNS at most.
+CROWD, TRIES, SOME, TURNS = 64, 8, 8, 5
 #: Bits of the map of the texts whose whole sets are asked for; its size doesn't grow with the documents.
 MAP_BITS = 1 << 23
 
@@ -412,8 +384,8 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in little. That isn't enough at 0.8, where fingerprints differ by some ten bits, so that texts also meet under their
     rarest shingles: those of the similarity share one of the first of each (see _sketched; which shingles are frequent is estimated on a
     sample, but decides the order only). Candidates within WIDE bits and with like sketches are verified by their whole sets. First a text is
-    compared with that of its neighbours under all keys whose fingerprint is nearest, then all pairs are that these links haven't
-    joined, so that a large group of near copies doesn't make all its pairs.
+    compared with that of its neighbours under all keys whose fingerprint is nearest, then texts of large groups with a few of the group that they aren't
+    linked to yet, and at last all pairs are that these links haven't joined, so that a large group of near copies doesn't make all its pairs.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -423,14 +395,14 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often, rank = np.asarray(top["h"]).astype(np.int64).view(np.uint64), np.asarray(top["n"]).astype(np.int64)
     order = np.argsort(often)
     frequent = spark.sparkContext.broadcast((often[order], rank[order]))
-    sketches = cut(full.mapInArrow(_sketched(width, similarity, frequent), "node long, n int, fp long, rare int, first array<long>, least array<int>"))
+    store = Store(spark)
+    sketches, sketches_path = store.put(full.mapInArrow(_sketched(width, similarity, frequent), "node long, n int, fp long, rare int, first array<long>, least array<int>"))
     info = sketches.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("fp").alias("fp"))
     keys = sketches.select("node", "rare", F.posexplode("first").alias("p", "h"))
     # Shingles that are known as frequent are shared; of the others, of which none has many texts, those of one text only go.
     here = Window.partitionBy("h")
     shared = keys.where("p < rare").select("h", "node", "p").withColumns({"a": F.min("node").over(here), "b": F.max("node").over(here)}).where("a < b").select("h", "node", "p")
-    met = shared.unionByName(keys.where("p >= rare").select("h", "node", "p")).join(info, "node")
-    met = cut(met)
+    met, met_path = store.put(shared.unionByName(keys.where("p >= rare").select("h", "node", "p")).join(info, "node"))
     crowded = met.groupBy("h").agg(F.count("*").alias("same")).where(F.col("same") > BLOCK)
     met = met.join(crowded, "h", "left").withColumn("blocks", F.ceil(F.coalesce("same", F.lit(1)) / BLOCK)).drop("same")
 
@@ -438,39 +410,68 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """The pairs (a < b) that are similar."""
         least = sketches.groupBy("node").agg(F.any_value("least").alias("least"), F.any_value("n").alias("n"))
         likely = pairs.join(least.toDF("a", "xleast", "xn"), "a").join(least.toDF("b", "yleast", "yn"), "b").mapInArrow(_similar_sketches(similarity), "a long, b long, whole boolean, share double")
-        likely = cut(likely)
+        likely, likely_path = store.put(likely)
         rest = likely.where("not whole").select("a", "b")
-        asked = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked, asked_path = store.put(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         wanted = spark.sparkContext.broadcast(_wanted(asked))
         sets = full.mapInArrow(_sets(width, wanted), "node long, set array<long>").join(asked, "node", "left_semi").groupBy("node").agg(F.any_value("set").alias("set"))
         both = rest.join(sets.toDF("a", "xset"), "a").join(sets.toDF("b", "yset"), "b")
-        return cut(likely.where("whole").select("a", "b").unionByName(both.where(_similar(F.col("xset"), F.col("yset"), similarity)).select("a", "b")))
+        found, _ = store.put(likely.where("whole").select("a", "b").unionByName(both.where(_similar(F.col("xset"), F.col("yset"), similarity)).select("a", "b")))
+        store.discard(likely_path)
+        store.discard(asked_path)
+        return found
 
     # Fingerprints that the Golay keys link, by a text of each; and the texts of one fingerprint with the first of them.
     hubs = info.groupBy("fp").agg(F.min("node").alias("hub"))
     near = links(hubs.select("fp"), 3)
     pair = lambda x, y, d: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), d.alias("d"))
-    golay = near.join(hubs.toDF("a", "x"), "a").join(hubs.toDF("b", "y"), "b").select(*pair("x", "y", _apart(F.col("a"), F.col("b"))))
-    golay = golay.unionByName(info.join(hubs, "fp").where("node <> hub").select(*pair("hub", "node", F.lit(0))))
+    golay = near.join(hubs.toDF("a", "x"), "a").join(hubs.toDF("b", "y"), "b").select(*pair("x", "y", _apart(F.col("a"), F.col("b"))), F.lit(False).alias("hub"))
+    golay = golay.unionByName(info.join(hubs, "fp").where("node <> hub").select(*pair("hub", "node", F.lit(0)), F.lit(False).alias("hub")))
+    # Under a shingle a text meets the one before it, and the first of all.
     line = Window.partitionBy("h", F.pmod(F.xxhash64("node"), "blocks")).orderBy("n", "node")
-    before = met.select("node", "n", "fp", "p", F.lag(F.struct("node", "n", "fp", "p")).over(line).alias("x")).where("x is not null")
-    before = before.select("x", F.struct("node", "n", "fp", "p").alias("y")).where(_possible(similarity) & (F.col("x.node") != F.col("y.node"))).select(*pair("x.node", "y.node", _apart(F.col("x.fp"), F.col("y.fp"))))
-    # Of all that a text meets here, only that with the nearest fingerprint is looked at, so that the pairs are as many as the texts.
-    nearest = golay.unionByName(before).groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b")
+    mine = F.struct("node", "n", "fp", "p")
+    before = met.select(mine.alias("y"), F.lag(mine).over(line).alias("last"), F.first(mine).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("first")).where("first is not null")
+    before = before.select("y", F.explode(F.array(F.struct(F.col("last").alias("x"), F.lit(False).alias("hub")), F.struct(F.col("first").alias("x"), F.lit(True).alias("hub")))).alias("z")).select("y", "z.x", "z.hub")
+    before = before.where(_possible(similarity) & (F.col("x.node") != F.col("y.node"))).select(*pair("x.node", "y.node", _apart(F.col("x.fp"), F.col("y.fp"))), "hub")
+    # Of all that a text meets here, only those with the nearest fingerprint are looked at, one of each kind, so that the pairs are at most twice as many as the texts.
+    nearest = golay.unionByName(before).groupBy("b", "hub").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b").distinct()
     found = verified(nearest)
-    found = _gathered(found, found.count())
-    roots = components(found)
+    n_texts, rest_path, stalled = info.count(), "", False
+    for turn in range(TURNS + 1):
+        # Of the texts of one shingle that aren't all linked, the largest linked group is its main one.
+        rest = met.join(components(found), "node", "left").select("h", "node", "n", "fp", "p", "blocks", F.coalesce("root", "node").alias("root"))
+        groups = rest.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
+        rest, new = store.put(rest.join(groups, "h"))
+        if rest_path:
+            store.discard(rest_path)
+        rest_path = new
+        crowds = rest.where(F.col("all") * F.col("others") > CROWD**2)
+        load = crowds.agg(F.coalesce(F.sum(F.when(F.col("root") != F.col("main"), F.col("all"))), F.lit(0)).alias("n")).first().n
+        if stalled or turn == TURNS or load <= n_texts:
+            break
+        # Before all pairs of a crowd are taken, each text outside its main group tries a few members of that: those with the nearest fingerprints of some, of more in each turn.
+        line = Window.partitionBy("h", F.pmod(F.xxhash64("node"), "blocks")).orderBy(F.xxhash64("node", "h", F.lit(turn)), "node")
+        member = F.collect_list(F.when(F.col("root") == F.col("main"), mine)).over(line.rowsBetween(-SOME << turn, SOME << turn))
+        tries = crowds.select("root", "main", mine.alias("y"), member.alias("x")).where("root <> main").select("y", F.explode("x").alias("x"))
+        tries = tries.where(_possible(similarity)).select(F.col("y.node").alias("y"), F.col("x.node").alias("x"), _apart(F.col("x.fp"), F.col("y.fp")).alias("d")).distinct()
+        tries = tries.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy("d", "x"))).where(F.col("place") <= TRIES)
+        linked = verified(tries.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        found = found.unionByName(linked)
+        stalled = linked.count() * TRIES < tries.select("y").distinct().count()  # the texts that are left have few links, if any
+    store.discard(met_path)
     # Now all pairs of one shingle that lie apart: those outside its largest group with all others.
-    rest = met.join(roots, "node", "left").select("h", "node", "n", "fp", "p", "blocks", F.coalesce("root", "node").alias("root"))
-    groups = rest.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    rest = rest.join(groups.select("h", "main"), "h").withColumns({"own": F.pmod(F.xxhash64("node"), "blocks"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    rest = rest.withColumns({"own": F.pmod(F.xxhash64("node"), "blocks"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
     x = rest.where("root <> main").select("h", "node", "n", "fp", "p", "root", "main", F.col("own").alias("i"), F.col("other").alias("j")).alias("x")
     y = rest.select("h", "node", "n", "fp", "p", "root", "main", F.col("other").alias("i"), F.col("own").alias("j")).alias("y")
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in "hij"]
     # A pair of two texts outside the largest group meets in either order; once is enough.
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     pairs = x.join(y, on[0] & on[1] & on[2] & (F.col("x.root") != F.col("y.root")) & once & _possible(similarity))
-    more = verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    pairs, pairs_path = store.put(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    store.discard(rest_path)
+    more = verified(pairs)
+    store.discard(pairs_path)
+    store.discard(sketches_path)
     return components(found.unionByName(more))
 
 
