@@ -31,6 +31,13 @@ def shrink(variance: float) -> float:
     return 1 / math.sqrt(1 + 3 * variance / math.pi**2)
 
 
+def symmetric(values: list[float], n: int) -> np.ndarray:
+    """The matrix whose upper triangle, row by row, has these values."""
+    out = np.zeros((n, n))
+    out[np.triu_indices(n)] = values
+    return out + np.triu(out, 1).T
+
+
 class Skill:
     """Mean and covariance of [ability, offset of each arm], on the logit scale of ratings."""
 
@@ -71,31 +78,42 @@ def seeded(attempts: DataFrame, players: DataFrame | None, *columns: str, dealt:
     return rows.repartition("player_id").sortWithinPartitions("player_id", "ts", "attempt_id") if dealt else rows
 
 
-def fit_skill(attempts: DataFrame, players: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(attempt_id, player_id, predicted) of every attempt, and (player_id, mean, sd, n) after the last one. Attempts may have a column rd of their puzzles' deviations."""
+def fit_skill(attempts: DataFrame, players: DataFrame | None = None, states: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(attempt_id, player_id, predicted) of every attempt, and (player_id, mean, sd, cov, n) after the last one. Attempts may have a column rd of their puzzles' deviations.
+
+    Players go on from their states (player_id, mean, cov, n; see operators.states), those without from their known rating in players. A player's state comes before the attempts in the stream, so that it is sent once;
+    a player with a state and no attempts keeps it. cov is the upper triangle of the covariance, row by row.
+    """
+    n_dims = len(ARMS) + 1
+    upper = np.triu_indices(n_dims)
     rd = ["rd"] if "rd" in attempts.columns else []
-    rows = seeded(attempts, players, "category", *rd)
+    rows = seeded(attempts, players, "category", *rd, dealt=False).withColumns({"kind": F.lit(1), "mean": F.lit(None).cast("array<double>"), "cov": F.lit(None).cast("array<double>"), "n": F.lit(0).cast("long")})
+    if states is not None:
+        rows = rows.unionByName(states.select("player_id", "mean", "cov", F.col("n").cast("long").alias("n"), F.lit(0).alias("kind")), allowMissingColumns=True)
+    rows = rows.repartition("player_id").sortWithinPartitions("player_id", "kind", "ts", "attempt_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         player, skill, n = None, None, 0
-        kinds = {"attempt_id": pa.int64(), "player_id": pa.int64(), "predicted": pa.float64(), "mean": pa.list_(pa.float64()), "sd": pa.list_(pa.float64()), "n": pa.int64()}
+        kinds = {"attempt_id": pa.int64(), "player_id": pa.int64(), "predicted": pa.float64(), "mean": pa.list_(pa.float64()), "sd": pa.list_(pa.float64()), "cov": pa.list_(pa.float64()), "n": pa.int64()}
         frame = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], names=list(kinds))
-        state = lambda: (None, player, None, skill.mean.tolist(), np.sqrt(np.diag(skill.cov)).tolist(), n)
+        state = lambda: (None, player, None, skill.mean.tolist(), np.sqrt(np.diag(skill.cov)).tolist(), skill.cov[upper].tolist(), n)
         for batch in batches:
             out, columns = [], batch.to_pydict()
-            for who, attempt, category, rating, solved, seed, dev in zip(*(columns[c] for c in ("player_id", "attempt_id", "category", "rating", "solved", "seed")), columns.get("rd") or [PUZZLE_RD] * batch.num_rows):
+            names = ("player_id", "attempt_id", "category", "rating", "solved", "seed", "kind", "mean", "cov", "n")
+            for who, attempt, category, rating, solved, seed, kind, mean, cov, before, dev in zip(*(columns[c] for c in names), columns.get("rd") or [PUZZLE_RD] * batch.num_rows):
                 if who != player:
                     if skill:
                         out.append(state())
-                    player, skill, n = who, Skill(seed), 0
-                out.append((attempt, who, skill.attempt(category, rating, solved, dev), None, None, None))
-                n += 1
+                    player, skill, n = who, Skill(seed) if kind else Skill(mean=np.array(mean), cov=symmetric(cov, n_dims)), before
+                if kind:
+                    out.append((attempt, who, skill.attempt(category, rating, solved, dev), None, None, None, None))
+                    n += 1
             yield frame(out)
         if skill:
             yield frame([state()])
 
-    done = rows.mapInArrow(run, "attempt_id long, player_id long, predicted double, mean array<double>, sd array<double>, n long")
-    return done.where("mean is null").select("attempt_id", "player_id", "predicted"), done.where("mean is not null").select("player_id", "mean", "sd", "n")
+    done = rows.mapInArrow(run, "attempt_id long, player_id long, predicted double, mean array<double>, sd array<double>, cov array<double>, n long")
+    return done.where("mean is null").select("attempt_id", "player_id", "predicted"), done.where("mean is not null").select("player_id", "mean", "sd", "cov", "n")
 
 
 def fit_ability(attempts: DataFrame) -> DataFrame:
@@ -125,46 +143,6 @@ def fit_ability(attempts: DataFrame) -> DataFrame:
     return seeded(attempts, None).mapInArrow(run, "player_id long, theta double, variance double")
 
 
-def snapshot(states: DataFrame, categories: tuple[str, ...] = ARMS) -> DataFrame:
-    """Skill states (player_id, mean, sd, n) as they are stored: means to 6 decimals and sds to 8, with the list of categories that they are of."""
-    rounded = lambda c, n: F.transform(c, lambda x: F.round(x, n))
-    return states.select("player_id", F.array(*map(F.lit, categories)).alias("categories"), rounded("mean", 6).alias("mean"), rounded("sd", 8).alias("sd"), "n")
-
-
-def restore(saved: DataFrame, players: DataFrame, categories: tuple[str, ...] = ARMS) -> DataFrame:
-    """(player_id, mean, sd, n, fresh) of every player: the stored state, or the prior where there is none or it is of another list of categories."""
-    k = len(categories)
-    fits = F.coalesce((F.col("categories") == F.array(*map(F.lit, categories))) & (F.size("mean") == k + 1) & (F.size("sd") == k + 1), F.lit(False))
-    seeded = F.col("seed").isNotNull()
-    prior_mean = F.concat(F.array(F.when(seeded, (F.col("seed") - 1500) / SCALE).otherwise(0.0)), F.array_repeat(F.lit(0.0), k))
-    prior_sd = F.concat(F.array(F.when(seeded, F.lit(SEEDED_SD)).otherwise(THETA_SD)), F.array_repeat(F.lit(DELTA_SD), k))
-    rows = players.select("player_id", F.col("rating").cast("double").alias("seed")).join(saved, "player_id", "left")
-    return rows.select("player_id", F.when(fits, F.col("mean")).otherwise(prior_mean).alias("mean"), F.when(fits, F.col("sd")).otherwise(prior_sd).alias("sd"), F.when(fits, F.col("n")).otherwise(F.lit(0)).cast("long").alias("n"), (~fits).alias("fresh"))
-
-
-def snapshot_arms(posterior: DataFrame) -> DataFrame:
-    """Arms of a player (category, alpha, beta) as they are stored: one row, a map with 4 decimals."""
-    entry = F.struct("category", F.struct(F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta")).alias("arm"))
-    return posterior.groupBy("player_id").agg(F.map_from_entries(F.collect_list(entry)).alias("arms"))
-
-
-def restore_arms(saved: DataFrame, arms: DataFrame) -> DataFrame:
-    """(player_id, category, alpha, beta) of every stored player and known arm: 1 and 1 where the arm wasn't stored; stored categories that aren't arms are left out."""
-    grid = saved.crossJoin(F.broadcast(arms.where(F.col("category").isin(*ARMS)).select("category")))
-    arm = F.try_element_at("arms", F.col("category"))
-    return grid.select("player_id", "category", F.coalesce(arm["alpha"], F.lit(1.0)).alias("alpha"), F.coalesce(arm["beta"], F.lit(1.0)).alias("beta"))
-
-
-def initial_states(saved: DataFrame, replayed: DataFrame, players: DataFrame) -> DataFrame:
-    """(player_id, source, mean, sd, n): a player's state is the saved one, else that of the replayed history, else the prior."""
-    stored = restore(saved, players).where("not fresh").drop("fresh").withColumn("source", F.lit("saved"))
-    prior = restore(saved.limit(0), players).drop("fresh")
-    pick = lambda c: F.coalesce(F.col(f"s.{c}"), F.col(f"r.{c}"), F.col(f"p.{c}")).alias(c)
-    rows = prior.alias("p").join(stored.alias("s"), "player_id", "left").join(replayed.alias("r"), "player_id", "left")
-    source = F.when(F.col("s.source").isNotNull(), "saved").when(F.col("r.n").isNotNull(), "replayed").otherwise("prior")
-    return rows.select("player_id", source.alias("source"), pick("mean"), pick("sd"), pick("n"))
-
-
 def thompson_select(posterior: DataFrame, step: int = 0, seed: int = 0, draws: int = 200) -> DataFrame:
     """(player_id, category, probability): of `draws` samples of all arms of a player, how often each arm is the lowest."""
 

@@ -13,11 +13,13 @@ from ..operators import profile as PR
 from ..operators import reports as R
 from ..operators import ratings as RT
 from ..operators import skill as S
+from ..operators import states as ST
 from ..taxonomy import ARMS
 from .attempt_queries import PRED, _pred
 from .mining_queries import LINES, _lines
 from .profile_queries import COUNTS, PGN, _pgn, _tag
 from .registry import query
+from .skill_queries import LAST, fit_sql
 
 PV, AT = ("positions", "arms"), ("attempts",)
 
@@ -215,9 +217,9 @@ SELECT player_id, CASE WHEN stored AND NOT stale THEN 'saved' WHEN k IS NOT NULL
 def r20_init_skill_state(v):
     k = len(ARMS)
     names = F.when(F.col("player_id") % 6 == 0, F.array(F.lit("another list"))).otherwise(F.array(*map(F.lit, ARMS)))
-    saved = v("players").where("player_id % 3 = 0").select("player_id", names.alias("categories"), F.array_repeat(F.lit(0.5), k + 1).alias("mean"), F.array_repeat(F.lit(0.25), k + 1).alias("sd"), F.lit(5).cast("long").alias("n"))
+    saved = v("players").where("player_id % 3 = 0").select("player_id", names.alias("categories"), F.lit(1).alias("version"), F.array_repeat(F.lit(0.5), k + 1).alias("mean"), F.array_repeat(F.lit(0.25), (k + 1) * (k + 2) // 2).alias("cov"), F.lit(5).cast("long").alias("n"))
     replayed = S.fit_skill(v("attempts"), v("players"))[1]
-    out = S.initial_states(saved, replayed, v("players"))
+    out = ST.initial_states(saved, replayed, v("players"))
     return out.select("player_id", "source", "n", F.when(F.col("source") != "replayed", F.round(F.col("mean")[0], 6)).alias("theta"))
 
 
@@ -226,17 +228,48 @@ SELECT p.player_id, x.category, coalesce(a, 1)::DOUBLE AS alpha, coalesce(b, 1):
 def k11_snapshot_arms(v):
     arms = v("arms")
     some = A.beta_posterior(v("attempts").join(F.broadcast(arms.where("arm_id < 12").select("category")), "category", "left_semi"), arms).where("n > 0")
-    return S.restore_arms(S.snapshot_arms(some), arms)
+    return ST.restore_arms(ST.snapshot_arms(some))
 
 
-@query()
+@query(f"""WITH RECURSIVE {fit_sql()}, {LAST} SELECT p.player_id, coalesce(n, 0) AS n, n IS NULL AS fresh, round(coalesce(m[1], (rating - 1500) / (400 / ln(10))), 6) AS theta,
+  round(coalesce(round(c[1], 8), pow(250 / (400 / ln(10)), 2)), 6) AS variance, round(coalesce(round(c[2], 8), 0), 6) AS covariance FROM players p LEFT JOIN e USING (player_id)""", ("attempts", "players", "arms"))
 def k11_snapshot_states(v):
     states = S.fit_skill(v("attempts"), v("players"))[1]
-    out = S.restore(S.snapshot(states), v("players"))
-    return out.select("player_id", "n", "fresh", F.round(F.col("mean")[0], 5).alias("theta"), F.round(F.col("sd")[0], 5).alias("sd"))
+    out = ST.restore(ST.snapshot(states), v("players"))
+    return out.select("player_id", "n", "fresh", F.round(F.col("mean")[0], 6).alias("theta"), F.round(F.col("cov")[0], 6).alias("variance"), F.round(F.col("cov")[1], 6).alias("covariance"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {fit_sql()}, {LAST} SELECT player_id, n, arm_id, round(m[1] + m[arm_id + 2], 5) AS ability, round(c[1] + 2 * c[arm_id + 2] + c[(arm_id + 1) * 25 + 1], 5) AS variance FROM e, arms WHERE arm_id < 23""", ("attempts", "players", "arms"))
+def k11_resumed_states(v):
+    """The fit of all attempts, from the state after those of the first part of the log."""
+    a = v("attempts")
+    middle = a.agg(F.percentile_approx("ts", 0.5).alias("t")).first().t
+    first = S.fit_skill(a.where(F.col("ts") < middle), v("players"))[1]
+    begun = ST.initial_states(ST.snapshot(first).limit(0), first, a.select("player_id").distinct().join(v("players"), "player_id", "left").select("player_id", "rating"))
+    done = S.fit_skill(a.where(F.col("ts") >= middle), None, begun)[1]
+    k = len(ARMS) + 1
+    rows = done.select("player_id", "n", "mean", "cov", F.explode(F.sequence(F.lit(0), F.lit(k - 2))).alias("arm_id"))
+    j = F.col("arm_id") + 1
+    diagonal = j * k - F.floor(j * (j - 1) / 2).cast("int")
+    return rows.select("player_id", "n", "arm_id", F.round(F.get("mean", F.lit(0)) + F.get("mean", j), 5).alias("ability"), F.round(F.get("cov", F.lit(0)) + 2 * F.get("cov", j) + F.get("cov", diagonal), 5).alias("variance"))
+
+
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY ts DESC, attempt_id DESC) - 1 AS after FROM attempts JOIN arms USING (category) WHERE arm_id < 23), s AS (SELECT player_id, category, sum(CASE WHEN solved THEN pow(0.9::DOUBLE, after) ELSE 0 END) AS a, sum(CASE WHEN solved THEN 0 ELSE pow(0.9::DOUBLE, after) END) AS b FROM k GROUP BY 1, 2),
+i AS (SELECT *, sum(CASE WHEN solved THEN 0 ELSE 1 END) OVER (PARTITION BY player_id ORDER BY ts, attempt_id) AS island FROM k), t AS (SELECT player_id, island, count(*) FILTER (WHERE solved) AS run FROM i GROUP BY 1, 2), w AS (SELECT player_id, arg_max(run, island) AS streak, max(run) AS best FROM t GROUP BY 1)
+SELECT w.player_id, category, round(1 + coalesce(a, 0), 3) AS alpha, round(1 + coalesce(b, 0), 3) AS beta, streak, best FROM w CROSS JOIN (SELECT category FROM arms WHERE arm_id < 23) LEFT JOIN s USING (player_id, category)""", ("attempts", "arms"))
+def k11_resumed_bandits(v):
+    """Discounted arms and streaks over all attempts, from the stored bandits after those of the first part of the log."""
+    a = v("attempts")
+    middle = a.agg(F.percentile_approx("ts", 0.5).alias("t")).first().t
+    done = ST.bandit(a.where(F.col("ts") >= middle), ST.bandit(a.where(F.col("ts") < middle), discount=0.9), discount=0.9)
+    return ST.arm_rows(done).join(done.select("player_id", "streak", "best"), "player_id").select("player_id", "category", F.round("alpha", 3).alias("alpha"), F.round("beta", 3).alias("beta"), "streak", "best")
+
+
+VALID = "SELECT *, CASE WHEN puzzle_id LIKE 'gen%' THEN 300.0::DOUBLE ELSE 75.0::DOUBLE END AS rd FROM attempts WHERE solved IS NOT NULL AND coalesce(rating, 0) <> 0 AND NOT coalesce(skipped, false)"
+
+
+@query(f"""WITH RECURSIVE valid AS ({VALID}), {fit_sql("valid", "rd")}, {LAST}, b AS (SELECT player_id, category, 1.0::DOUBLE + count(*) FILTER (WHERE solved) AS alpha, 1.0::DOUBLE + count(*) FILTER (WHERE NOT solved) AS beta FROM valid JOIN arms USING (category) WHERE arm_id < 23 GROUP BY 1, 2)
+SELECT player_id, category, alpha, beta, round(m[1], 5) AS theta FROM b JOIN e USING (player_id)""", ("attempts", "players", "arms"))
 def r17_record_result(v):
     a = A.valid(v("attempts")).withColumn("rd", F.when(F.col("puzzle_id").startswith("gen_"), 300.0).otherwise(75.0))
     arms = A.beta_posterior(a, v("arms")).where("n > 0").select("player_id", "category", F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta"))

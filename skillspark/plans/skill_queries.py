@@ -19,12 +19,35 @@ def r(df, *names, n=5):
     return df.withColumns({c: F.round(c, n) for c in names})
 
 
-@query()
+def fit_sql(attempts: str = "attempts", rd: str = "75.0::DOUBLE") -> str:
+    """f: a row for each player and number of attempts so far, with mean, covariance (24 x 24, row by row), and the prediction of the last one. Each step follows from the one before."""
+    s, on = "(400 / ln(10))", "CASE WHEN k IS NULL THEN 0 ELSE {} END"
+    diagonal = "list_transform(range(576), lambda x: CASE WHEN x % 25 > 0 THEN 0.0 WHEN x = 0 THEN {} ELSE {} END)"
+    return f"""o AS (SELECT t.player_id, attempt_id, (t.rating - 1500) / {s} AS z, solved::INT AS y, CASE WHEN arm_id < 23 THEN arm_id END AS k, pow({rd} / {s}, 2) AS noise, row_number() OVER (PARTITION BY t.player_id ORDER BY ts, attempt_id) AS i FROM {attempts} t LEFT JOIN arms USING (category)),
+f AS (SELECT player_id, 0::BIGINT AS i, NULL::BIGINT AS attempt_id, NULL::DOUBLE AS predicted, list_transform(range(24), lambda x: CASE WHEN x = 0 AND coalesce(rating, 0) <> 0 THEN (rating - 1500) / {s} ELSE 0.0 END) AS m,
+  CASE WHEN coalesce(rating, 0) <> 0 THEN {diagonal.format(f"pow(250 / {s}, 2)", "0.36::DOUBLE")} ELSE {diagonal.format(f"pow(350 / {s}, 2)", "0.36::DOUBLE")} END AS c FROM (SELECT DISTINCT player_id FROM o) LEFT JOIN players USING (player_id)
+UNION ALL SELECT player_id, i, attempt_id, predicted, list_transform(list_zip(m, l), lambda x: x[1] + g * (y - p) / (1 + h * q) * x[2]), list_transform(range(576), lambda x: d[x + 1] - h / (1 + h * q) * l[x // 24 + 1] * l[x % 24 + 1])
+  FROM (SELECT *, g * g * p * (1 - p) AS h FROM (SELECT *, 1 / (1 + exp(-w / sqrt(1 + 3 * (q + noise) / (pi() * pi())))) AS predicted, 1 / (1 + exp(-g * w)) AS p
+  FROM (SELECT *, l[1] + {on.format("l[k + 2]")} AS q, m[1] + {on.format("m[k + 2]")} - z AS w, 1 / sqrt(1 + 3 * noise / (pi() * pi())) AS g
+  FROM (SELECT *, list_transform(range(24), lambda x: d[x * 24 + 1] + {on.format("d[x * 24 + k + 2]")}) AS l
+  FROM (SELECT f.player_id, o.i, o.attempt_id, o.z, o.y, o.k, o.noise, f.m, list_transform(range(576), lambda x: c[x + 1] + CASE WHEN x % 25 > 0 THEN 0 WHEN x = 0 THEN 0.0004::DOUBLE ELSE 0.0016::DOUBLE END) AS d FROM f JOIN o ON o.player_id = f.player_id AND o.i = f.i + 1))))))"""
+
+
+#: The state after a player's last attempt.
+LAST = "e AS (SELECT player_id, i AS n, m, c FROM f QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY i DESC) = 1)"
+
+
+@query(f"WITH RECURSIVE {fit_sql()} SELECT attempt_id, player_id, round(predicted, 5) AS predicted FROM f WHERE i > 0", AP)
 def r5_irt_fit(v):
     return r(S.fit_skill(v("attempts"), v("players"))[0], "predicted")
 
 
-@query()
+#: The fit without known ratings.
+UNSEEDED = fit_sql().replace("LEFT JOIN players USING (player_id)", "CROSS JOIN (SELECT NULL::INT AS rating)")
+
+
+@query(f"""WITH RECURSIVE {UNSEEDED}, {LAST}
+SELECT player_id, n, category, round(1500 + 400 / ln(10) * (m[1] + m[arm_id + 2]), 5) AS category_rating, round(1 / (1 + exp(-m[arm_id + 2] / sqrt(1 + 3 * c[(arm_id + 1) * 25 + 1] / (pi() * pi())))), 5) AS strength FROM e, arms WHERE arm_id < 23""", AP)
 def r9_skill_states(v):
     states = S.fit_skill(v("attempts"))[1]
     arms = v("arms").where("arm_id < 23").select((F.col("arm_id") + 1).alias("pos"), "category")

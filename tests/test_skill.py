@@ -145,21 +145,6 @@ def test_skill_fit_equals_a_plain_loop(spark, sf_dir):
     assert S.fit_skill(attempts.limit(0))[0].collect() == [] and S.fit_skill(attempts.limit(0))[1].collect() == []
 
 
-def test_states_are_restored(spark, sf_dir):
-    players = spark.createDataFrame([(1, 1700), (2, None), (3, 1500)], "player_id long, rating int")
-    states = S.fit_skill(view(spark, sf_dir, "attempts"), view(spark, sf_dir, "players"))[1].limit(1)
-    kept = states.withColumn("player_id", F.lit(1).cast("long"))
-    saved = S.snapshot(kept).unionByName(S.snapshot(kept).withColumns({"player_id": F.lit(3).cast("long"), "categories": F.array(F.lit("x"))}))
-    rows = {r.player_id: r for r in S.restore(saved, players).collect()}
-    assert not rows[1].fresh and rows[1].mean == pytest.approx([round(x, 6) for x in kept.collect()[0].mean])
-    assert rows[2].fresh and rows[2].mean[0] == 0 and rows[2].n == 0
-    assert rows[3].fresh and rows[3].mean[0] == 0 and rows[3].sd[0] == pytest.approx(S.SEEDED_SD)
-    arms = view(spark, sf_dir, "arms")
-    stored = S.snapshot_arms(spark.createDataFrame([(1, "Fork", 2.00004, 3.0), (1, "No Arm", 9.0, 9.0)], "player_id long, category string, alpha double, beta double"))
-    back = {r.category: (r.alpha, r.beta) for r in S.restore_arms(stored, arms).collect()}
-    assert len(back) == 23 and back["Fork"] == (2.0, 3.0) and back["Pin"] == (1.0, 1.0)
-
-
 def test_recommendations_fall_to_later_rungs(spark):
     puzzles = spark.createDataFrame([("a", 1000, "Fork"), ("b", 1300, "Fork"), ("c", 1010, "Pin"), ("d", 2900, "Pin")], "puzzle_id string, rating int, primary_category string")
     choices = spark.createDataFrame([(k, "Fork") for k in range(6)], "player_id long, category string")
