@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import games as G
 from ..operators import attempts as O
+from ..operators import serving as SV
 from ..operators import metrics as M
 from .profile_queries import ARM_LIST
 from .registry import query
@@ -97,6 +98,20 @@ def j11_served_to_result(v):
     return O.served_to_result(a.where("attempt_id % 3 = 0").withColumnRenamed("attempt_id", "serve_id"), a.where("attempt_id % 3 <> 1"))
 
 
+#: Each event follows from the open servings before it; ten may be open here, so that some go.
+ONCE = """ev AS (SELECT player_id, puzzle_id, ts, 0 AS is_result, attempt_id AS id FROM attempts WHERE attempt_id % 3 = 0 UNION ALL SELECT player_id, puzzle_id, ts, 1, attempt_id FROM attempts WHERE attempt_id % 3 <> 1),
+e AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY ts, is_result, id) AS i FROM ev),
+f AS (SELECT player_id, 0::BIGINT AS i, []::STRUCT(p VARCHAR, s BIGINT)[] AS held, 0 AS is_result, NULL::BIGINT AS id, NULL::VARCHAR AS puzzle_id, NULL::BIGINT AS serve_id FROM (SELECT DISTINCT player_id FROM e)
+UNION ALL SELECT f.player_id, e.i, CASE WHEN e.is_result = 1 THEN list_filter(held, lambda x: x.p <> e.puzzle_id) WHEN len(list_filter(held, lambda x: x.p = e.puzzle_id)) > 0 THEN list_transform(held, lambda x: {'p': x.p, 's': CASE WHEN x.p = e.puzzle_id THEN e.id ELSE x.s END})
+  ELSE list_append(held, {'p': e.puzzle_id, 's': e.id})[-10:] END, e.is_result, e.id, e.puzzle_id, CASE WHEN e.is_result = 1 THEN list_filter(held, lambda x: x.p = e.puzzle_id)[1].s END FROM f JOIN e ON e.player_id = f.player_id AND e.i = f.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {ONCE} SELECT id AS attempt_id, player_id, puzzle_id, serve_id FROM f WHERE i > 0 AND is_result = 1", AP)
+def j11_served_once(v):
+    a = v("attempts")
+    return SV.served_once(a.where("attempt_id % 3 = 0").withColumnRenamed("attempt_id", "serve_id"), a.where("attempt_id % 3 <> 1"), pending=10)
+
+
 # Predictions: two models of the labels from the documents' length and id.
 PRED = """pred AS (SELECT doc_id, quality AS y, m.model, CASE m.model WHEN 'length' THEN n_chars / (n_chars + 500)::DOUBLE ELSE ((doc_id * 37) % 101) / 101::DOUBLE END AS p,
   n_chars % 400 AS t, (n_chars % 400) * 0.8::DOUBLE + (doc_id % 37) AS mu FROM labels JOIN documents USING (doc_id) CROSS JOIN (SELECT unnest(['length', 'hash']) AS model) m)"""

@@ -157,9 +157,3 @@ def test_recommendations_fall_to_later_rungs(spark):
     own = spark.createDataFrame([(0, "gen_1", "Pin", 1010), (1, "gen_2", "Fork", 1100), (2, "gen_3", "Fork", 1900)], "player_id long, puzzle_id string, category string, rating int")
     rows = {r.player_id: (r.puzzle_id, r.rung) for r in S.recommend(choices, targets, puzzles, attempts, own, own_share=100).collect()}
     assert rows[0] == ("gen_1", 1) and rows[1] == ("gen_2", 0) and rows[2] == ("c", 4)
-
-
-def test_late_attempts_are_told_apart(spark):
-    rows = spark.createDataFrame([(1, "2024-01-01 10:00:00", "2024-01-01 11:00:00"), (2, "2024-01-01 10:00:00", "2024-01-05 10:00:00")], "attempt_id long, ts string, arrived string").selectExpr("attempt_id", "timestamp(ts) ts", "timestamp(arrived) arrived")
-    soon, late = X.late(rows)
-    assert [r.attempt_id for r in soon.collect()] == [1] and [r.attempt_id for r in late.collect()] == [2]
