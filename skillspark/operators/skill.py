@@ -10,7 +10,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,18 +142,6 @@ def fit_ability(attempts: DataFrame) -> DataFrame:
     return seeded(attempts, None).mapInArrow(run, "player_id long, theta double, variance double")
 
 
-def thompson_select(posterior: DataFrame, step: int = 0, seed: int = 0, draws: int = 200) -> DataFrame:
-    """(player_id, category, probability): of `draws` samples of all arms of a player, how often each arm is the lowest."""
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("category")
-        rng = np.random.default_rng((seed, step, int(pdf["player_id"].iloc[0])))
-        low = rng.beta(pdf["alpha"], pdf["beta"], (draws, len(pdf))).argmin(axis=1)
-        return pd.DataFrame({"player_id": pdf["player_id"], "category": pdf["category"], "probability": np.bincount(low, minlength=len(pdf)) / draws})
-
-    return posterior.groupBy("player_id").applyInPandas(choose, "player_id long, category string, probability double")
-
-
 def _blocks(low: Column, high: Column, levels: int) -> Column:
     """The blocks (level, block) of 2 ** level ratings that make up low to high: two of a level at most, as in a segment tree."""
     struct, none = lambda k, b: F.struct(F.lit(k).alias("level"), b.cast("long").alias("block")), F.lit(None).cast("struct<level:int,block:bigint>")

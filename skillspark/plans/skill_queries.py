@@ -8,7 +8,9 @@ from ..functions import games as G
 from ..operators import attempts as A
 from ..operators import puzzles as P
 from ..operators import ratings as RT
+from ..operators import selection as SE
 from ..operators import skill as S
+from ..taxonomy import ARMS
 from .puzzle_queries import E as ENRICHED
 from .registry import query
 
@@ -101,9 +103,30 @@ def r14_symmetric_ratings(v):
     return r(RT.glicko2_symmetric(v("attempts"), v("players"), most=5000)[1], "rating", "rd", "volatility", n=2)
 
 
+#: The quadrature of operators.selection as rows: 256 midpoints a player.
+LOWEST = """k AS (SELECT player_id, category, 1.0::DOUBLE + count(*) FILTER (WHERE solved) AS a, 1.0::DOUBLE + count(*) FILTER (WHERE NOT solved) AS b FROM attempts WHERE category <> 'General' GROUP BY 1, 2),
+p AS (SELECT x.player_id, x.category, coalesce(a, 1.0::DOUBLE) AS a, coalesce(b, 1.0::DOUBLE) AS b FROM (SELECT player_id, category FROM (SELECT DISTINCT player_id FROM k) CROSS JOIN (SELECT category FROM arms WHERE {}) c) x LEFT JOIN k USING (player_id, category)),
+s AS (SELECT *, a / (a + b) AS mean, sqrt(a * b / (a + b + 1)) / (a + b) AS sd FROM p), r AS (SELECT player_id, greatest(0, min(mean - 10 * sd)) AS low, least(1, min(mean + 10 * sd)) AS high FROM s GROUP BY 1),
+g AS (SELECT s.player_id, category, i, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * ln(low + (i + 0.5::DOUBLE) * (high - low) / 256) + (b - 1) * ln(1 - (low + (i + 0.5::DOUBLE) * (high - low) / 256))) * (high - low) / 256 AS m FROM s JOIN r USING (player_id), range(256) t(i)),
+c AS (SELECT *, ln(greatest(1e-300, 1 - coalesce(sum(m) OVER (PARTITION BY player_id, category ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - m / 2)) AS above FROM g), d AS (SELECT *, sum(above) OVER (PARTITION BY player_id, i) AS every FROM c),
+q AS (SELECT player_id, category, sum(m * exp(every - above)) AS chance FROM d GROUP BY 1, 2), pr AS (SELECT player_id, category, chance / sum(chance) OVER (PARTITION BY player_id) AS probability FROM q)"""
+
+
+@query(f"WITH {LOWEST.format('arm_id < 23')} SELECT player_id, category, round(probability, 6) AS probability FROM pr", ("attempts", "arms"))
+def r11_selection_probabilities(v):
+    return r(SE.selection_probabilities(A.beta_posterior(v("attempts"), v("arms"))), "probability", n=6)
+
+
+@query(f"""WITH {LOWEST.format('arm_id < 23 AND arm_id % 2 = 0')}, h AS (SELECT *, sum(probability) OVER (PARTITION BY player_id ORDER BY category) AS upto, CAST('0x' || substr(md5(player_id || ':3:7'), 1, 13) AS BIGINT) / pow(2, 52) AS u FROM pr)
+SELECT player_id, min(category) AS category, round(arg_min(probability, category), 6) AS propensity FROM h WHERE upto > u GROUP BY 1""", ("attempts", "arms"))
+def r10_thompson_draw(v):
+    allowed = v("arms").where("arm_id < 23 and arm_id % 2 = 0").select("category")
+    return r(SE.thompson_draw(A.beta_posterior(v("attempts"), v("arms")), 3, 7, allowed), "propensity", n=6)
+
+
 @query()
-def r10_r11_selection_probabilities(v):
-    return S.thompson_select(A.beta_posterior(v("attempts"), v("arms")))
+def r10_skill_draw(v):
+    return SE.skill_draw(S.fit_skill(v("attempts"), v("players"))[1], 3, 7, tuple(ARMS[:12]))
 
 
 OWN = """own AS (SELECT player_id, 'gen_' || g.game_id::VARCHAR AS puzzle_id, min(category) AS category, min(rating) AS rating FROM (SELECT game_id, category, 700 + (game_id * 37) % 1500 AS rating FROM positions WHERE ply_no = 1 AND game_id % 4 = 0) o JOIN games g ON g.game_id = o.game_id GROUP BY 1, 2)"""
