@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from .skill import symmetric
 
 #: Points of the quadrature, and how many deviations from the means it reaches.
 POINTS, REACH = 256, 10.0
+BLOCK = 16
 
 
 def log_gamma(x: Column) -> Column:
@@ -27,6 +28,11 @@ def log_gamma(x: Column) -> Column:
     return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + (1 / z) * (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) - F.log(low)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once, however often body takes it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _allowed(posterior: DataFrame, allowed: DataFrame | None) -> DataFrame:
     """The arms that may be chosen; all of a player's where none of them may."""
     if allowed is None:
@@ -46,17 +52,19 @@ def selection_probabilities(posterior: DataFrame, allowed: DataFrame | None = No
     mean, spread = F.col("a") / (F.col("a") + F.col("b")), F.sqrt(F.col("a") * F.col("b") / (F.col("a") + F.col("b") + 1)) / (F.col("a") + F.col("b"))
     arms = arms.withColumns({"low": mean - REACH * spread, "high": mean + REACH * spread, "scale": log_gamma(F.col("a") + F.col("b")) - log_gamma(F.col("a")) - log_gamma(F.col("b"))})
     rows = arms.groupBy("player_id").agg(F.array_sort(F.collect_list(F.struct("category", "a", "b", "scale"))).alias("arms"), F.greatest(F.lit(0.0), F.min("low")).alias("low"), F.least(F.lit(1.0), F.min("high")).alias("high"))
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "player_id")  # few and short rows with much work each
     step = (F.col("high") - F.col("low")) / points
-    rows = rows.withColumn("step", step).withColumn("xs", F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("low") + (i + 0.5) * F.col("step")))
-    rows = rows.withColumn("xs", F.transform("xs", lambda x: F.struct(F.log(x).alias("p"), F.log1p(-x).alias("q"))))
-    mass = F.transform("arms", lambda arm: F.transform("xs", lambda x: F.exp(arm["scale"] + (arm["a"] - 1) * x["p"] + (arm["b"] - 1) * x["q"]) * F.col("step")))
+    points_of = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("low") + (i + 0.5) * step)
+    points_of = F.transform(points_of, lambda x: F.struct(F.log(x).alias("p"), F.log1p(-x).alias("q"), step.alias("step")))
     start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("above"))
-    # The logarithms of the chance to be above each point.
-    above = lambda m: F.aggregate(m, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["above"], F.array(F.log(F.greatest(F.lit(1e-300), 1 - s["sum"] - x / 2)))).alias("above")))["above"]
-    rows = rows.withColumn("mass", mass).withColumn("above", F.transform("mass", above))
-    none = F.array_repeat(F.lit(0.0), points)
-    rows = rows.withColumn("all", F.aggregate("above", none, lambda s, x: F.zip_with(s, x, lambda p, q: p + q)))
-    chance = F.zip_with("mass", "above", lambda m, g: F.aggregate(F.zip_with(m, F.zip_with("all", g, lambda p, q: p - q), lambda x, y: x * F.exp(y)), F.lit(0.0), lambda s, x: s + x))
+    masses = lambda xs: F.transform("arms", lambda arm: F.transform(xs, lambda x: F.exp(arm["scale"] + (arm["a"] - 1) * x["p"] + (arm["b"] - 1) * x["q"]) * x["step"]))
+    # The logarithms of an arm's chance to be above each point: running sums in blocks, so that no long array is copied at each point.
+    passed = lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["above"], F.array(F.log(F.greatest(F.lit(1e-300), 1 - s["sum"] - x / 2)))).alias("above"))
+    block = lambda s, m: _let(F.aggregate(m, F.struct(s["sum"].alias("sum"), start["above"].alias("above")), passed), lambda x: F.struct(x["sum"].alias("sum"), F.concat(s["above"], x["above"]).alias("above")))
+    above = lambda m: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit((points - 1) // BLOCK)), lambda i: F.slice(m, i * BLOCK + 1, F.lit(BLOCK))), start, block)["above"]
+    total = lambda above: F.aggregate(above, F.array_repeat(F.lit(0.0), points), lambda s, x: F.zip_with(s, x, lambda p, q: p + q))
+    lowest = lambda m, g, every: F.aggregate(F.zip_with(m, F.zip_with(every, g, lambda p, q: p - q), lambda x, y: x * F.exp(y)), F.lit(0.0), lambda s, x: s + x)
+    chance = _let(points_of, lambda xs: _let(masses(xs), lambda mass: _let(F.transform(mass, above), lambda up: _let(total(up), lambda every: F.zip_with(mass, up, lambda m, g: lowest(m, g, every))))))
     rows = rows.select("player_id", "arms", chance.alias("chance")).withColumn("total", F.aggregate("chance", F.lit(0.0), lambda s, x: s + x))
     out = rows.select("player_id", "total", F.explode(F.arrays_zip(F.transform("arms", lambda x: x["category"]).alias("category"), "chance")).alias("x"))
     return out.select("player_id", F.col("x.category").alias("category"), (F.col("x.chance") / F.col("total")).alias("probability"))
