@@ -96,18 +96,53 @@ def importances(train: DataFrame, features: tuple[str, ...], label: str, seed: i
     return train.sparkSession.createDataFrame([(i + 1, f, float(x)) for i, (f, x) in enumerate(order)], "rank int, feature string, importance double")
 
 
-def permutation_test(df: DataFrame, unit: str, x: str, label: str, times: int = 500, seed: int = 0) -> DataFrame:
-    """One row: the difference of x's means between labels 1 and 0, and the share (1 + as large or larger) / (1 + times) of `times` shuffles of the labels.
+def permuted_labels(df: DataFrame, unit: str, label: str, times: int, seed: int = 0, part: int = 4096) -> DataFrame:
+    """(unit, rep, label): the labels at rep 0, and `times` permutations of them; each has every label as often as the data.
 
-    A shuffle gives a unit label 1 by a hash of unit and shuffle, with the chance that the data have; sums by shuffle are reduced before they are sent.
+    A permutation orders units by a hash and hands labels out in order, as many of each as there are. Places are taken in two steps, sums of ranges of the hash first, so that no task orders all units.
     """
-    share = df.agg(F.avg(F.col(label).cast("double")).alias("_share"))
-    u = F.pmod(F.xxhash64(unit, "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = df.crossJoin(F.broadcast(share)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times))))
-    drawn = drawn.withColumn("one", F.when(F.col("rep") == 0, F.col(label) == 1).otherwise(u < F.col("_share")))
-    means = drawn.groupBy("rep").agg((F.avg(F.when(F.col("one"), F.col(x))) - F.avg(F.when(~F.col("one"), F.col(x)))).alias("d"))
-    real = means.where("rep = 0").select(F.col("d").alias("difference"))
-    return means.where("rep > 0").crossJoin(F.broadcast(real)).groupBy("difference").agg(((1 + F.count_if(F.abs("d") >= F.abs("difference"))) / (1 + F.count("*"))).alias("p"))
+    rows = df.where(F.col(label).isNotNull() & F.col(unit).isNotNull()).select(unit, label)
+    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
+    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    # A row for each label: those before it have places below `begin`.
+    bounds = counts.withColumn("begin", F.sum("n").over(Window.orderBy(label)) - F.col("n")).agg(F.array_sort(F.collect_list(F.struct("begin", F.col(label).alias("label")))).alias("bounds"))
+    drawn = rows.select(unit, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("rep")).withColumn("h", F.xxhash64(unit, "rep", F.lit(seed)))
+    drawn = drawn.withColumn("range", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * max(1, n // part)))
+    sums = drawn.groupBy("rep", "range").agg(F.count("*").alias("k"))
+    sums = sums.select("rep", "range", (F.sum("k").over(Window.partitionBy("rep").orderBy("range")) - F.col("k")).alias("before"))
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("rep", "range").orderBy("h", unit)) - 1).join(sums, ["rep", "range"])
+    own = F.element_at(F.filter("bounds", lambda b: b["begin"] <= F.col("place") + F.col("before")), -1)["label"]
+    drawn = drawn.crossJoin(F.broadcast(bounds)).select(unit, "rep", own.alias(label))
+    return drawn.unionByName(rows.select(unit, F.lit(0).alias("rep"), label))
+
+
+def permutation_scores(df: DataFrame, unit: str, features: tuple[str, ...], label: str, times: int = 500, folds: int = 5, seed: int = 0) -> DataFrame:
+    """(rep, score): the cross-validated accuracy of the nearest class mean of standardised features, at rep 0 with the labels and then with each permutation of them.
+
+    The class means of a fold's training rows are sums of all folds less its own, so that each permutation is summed once.
+    """
+    good = df.where(F.expr(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in features)))
+    stats = good.agg(*[x for i, c in enumerate(features) for x in (F.avg(c).alias(f"m{i}"), F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"s{i}"))])
+    z = F.array(*[(F.col(c).cast("double") - F.col(f"m{i}")) / F.col(f"s{i}") for i, c in enumerate(features)])
+    rows = good.crossJoin(F.broadcast(stats)).select(unit, z.alias("z"), F.pmod(F.xxhash64(unit, F.lit(seed + 1)), F.lit(folds)).alias("fold"))
+    rows = permuted_labels(good, unit, label, times, seed).join(rows, unit).withColumnRenamed(label, "y")
+    sums = rows.groupBy("rep", "fold", "y").agg(F.count("*").alias("n"), *[F.sum(F.col("z")[i]).alias(f"z{i}") for i in range(len(features))])
+    names = ["n", *[f"z{i}" for i in range(len(features))]]
+    whole = sums.groupBy("rep", "y").agg(*[F.sum(c).alias(f"all_{c}") for c in names])
+    every = whole.crossJoin(F.broadcast(sums.sparkSession.range(folds).select(F.col("id").alias("fold")))).join(sums, ["rep", "fold", "y"], "left")
+    rest = lambda c: F.col(f"all_{c}") - F.coalesce(F.col(c), F.lit(0))
+    means = every.where(rest("n") > 0).select("rep", "fold", F.struct("y", F.array(*[rest(f"z{i}") / rest("n") for i in range(len(features))]).alias("mean")).alias("x"))
+    means = means.groupBy("rep", "fold").agg(F.collect_list("x").alias("means"))
+    far = lambda m: F.aggregate(F.zip_with("z", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    nearest = F.array_min(F.transform("means", lambda m: F.struct(far(m["mean"]).alias("d"), m["y"].alias("y"))))["y"]
+    return rows.join(means, ["rep", "fold"]).groupBy("rep").agg(F.avg((nearest == F.col("y")).cast("double")).alias("score"))
+
+
+def permutation_test(df: DataFrame, unit: str, features: tuple[str, ...], label: str, times: int = 500, folds: int = 5, seed: int = 0) -> DataFrame:
+    """One row (score, null_mean, p): the classifier's score, that of `times` permutations of the labels on average, and the share (1 + as good or better) / (1 + times) of them."""
+    scores = permutation_scores(df, unit, features, label, times, folds, seed)
+    real = scores.where("rep = 0").select(F.col("score").alias("real"))
+    return scores.where("rep > 0").crossJoin(F.broadcast(real)).groupBy(F.col("real").alias("score")).agg(F.avg("score").alias("null_mean"), ((1 + F.count_if(F.col("score") >= F.col("real"))) / (1 + F.count("*"))).alias("p"))
 
 
 def weakness_forest(features: DataFrame, scores: DataFrame, columns: tuple[str, ...], folds: int = 3, seed: int = 7) -> DataFrame:

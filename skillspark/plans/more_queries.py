@@ -95,11 +95,12 @@ def _group(names):
 r AS (SELECT player_id, num_moves, won, time_class, coalesce(wp, 0) AS wp, coalesce(cp, 0) AS cp, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("blunder", "mistake", "inaccuracy", "o", "m", "e", "errors", "n_all", "h_all", *(f"{x}_{g}" for g in PR.GROUPS for x in "nh")))} FROM games LEFT JOIN p USING (game_id)),
 s AS (SELECT player_id, count(*)::DOUBLE AS n, avg(wp) AS mean_wp_loss, median(wp) AS median_wp_loss, avg(least(cp, 300)) AS mean_cp_loss, sum(blunder) AS b, sum(mistake) AS mi, sum(inaccuracy) AS ina, sum(o) AS o, sum(m) AS m, sum(e) AS e, greatest(sum(errors), 1)::DOUBLE AS er, sum(n_all) AS n_all, sum(h_all) / greatest(sum(n_all), 1)::DOUBLE AS overall,
   {", ".join(f"sum(n_{g}) AS n_{g}, sum(h_{g}) AS h_{g}" for g in PR.GROUPS)}, avg(num_moves) AS mean_moves, avg((won IS TRUE)::INT) AS win_rate, avg((time_class = 'blitz')::INT) AS share_blitz FROM r GROUP BY 1)
-SELECT player_id, round(mean_wp_loss, 5)::DOUBLE AS mean_wp_loss, round(median_wp_loss, 5)::DOUBLE AS median_wp_loss, round(mean_cp_loss, 5)::DOUBLE AS mean_cp_loss, round(b / n, 5) AS blunders_pg, round(mi / n, 5) AS mistakes_pg, round(ina / n, 5) AS inaccuracies_pg, round(o / er, 5) AS err_share_opening, round(m / er, 5) AS err_share_middlegame, round(e / er, 5) AS err_share_endgame, round(n_all / n, 5) AS opportunities_pg,
-  round(overall, 5) AS hit_rate_all, {", ".join(f"round((h_{g} + 5 * overall) / (n_{g} + 5), 5) AS hit_rate_{g}" for g in PR.GROUPS)}, round(mean_moves, 5) AS mean_moves, round(win_rate, 5) AS win_rate, round(share_blitz, 5) AS share_blitz FROM s""", ("games", "positions", "arms"))
+SELECT player_id, round(mean_wp_loss + 1e-8, 5)::DOUBLE AS mean_wp_loss, round(median_wp_loss + 1e-8, 5)::DOUBLE AS median_wp_loss, round(mean_cp_loss + 1e-8, 5)::DOUBLE AS mean_cp_loss, round(b / n + 1e-8, 5) AS blunders_pg, round(mi / n + 1e-8, 5) AS mistakes_pg, round(ina / n + 1e-8, 5) AS inaccuracies_pg, round(o / er + 1e-8, 5) AS err_share_opening, round(m / er + 1e-8, 5) AS err_share_middlegame, round(e / er + 1e-8, 5) AS err_share_endgame, round(n_all / n + 1e-8, 5) AS opportunities_pg,
+  round(overall + 1e-8, 5) AS hit_rate_all, {", ".join(f"round((h_{g} + 5 * overall) / (n_{g} + 5) + 1e-8, 5) AS hit_rate_{g}" for g in PR.GROUPS)}, round(mean_moves + 1e-8, 5) AS mean_moves, round(win_rate + 1e-8, 5) AS win_rate, round(share_blitz + 1e-8, 5) AS share_blitz FROM s""", ("games", "positions", "arms"))
 def a19_player_features(v):
     out = PR.player_features(v("games").select("player_id", "game_id", "num_moves", "won", "time_class"), PR.graded(v("moves")))
-    return out.select("player_id", *[F.round(c, 5).alias(c) for c in PR.PLAYER_FEATURES])
+    # Averages end in another last bit for another order; a little more keeps the halves among them, exact in binary, from rounding either way.
+    return out.select("player_id", *[F.round(F.col(c) + 1e-8, 5).alias(c) for c in PR.PLAYER_FEATURES])
 
 
 @query("""WITH l AS (SELECT game_id, (l_suppkey % 3)::INT AS level, ply_no, least(0.99, greatest(0.01, (l_partkey % 97) / 97.0))::DOUBLE AS p, l_partkey FROM positions)

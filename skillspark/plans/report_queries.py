@@ -336,10 +336,19 @@ def m17_within_group_rank(v):
     return r(M.within_group_rank(d, "player_id", "arm_id", "predicted", "observed", "n"), "rank_correlation", "top_recall", n=6)
 
 
+def _labelled(v):
+    return v("labels").join(v("documents").select("doc_id", "n_chars", "text"), "doc_id").select("doc_id", F.log1p("n_chars").alias("length"), (F.regexp_count("text", F.lit("[,.;]")) / F.greatest("n_chars", F.lit(1))).alias("marks"), "quality")
+
+
 @query()
 def l7_permutation_test(v):
-    d = v("labels").join(v("documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("x"), F.col("quality").alias("label"))
-    return r(ML.permutation_test(d, "doc_id", "x", "label", 200), "difference", "p")
+    return r(ML.permutation_test(_labelled(v), "doc_id", ("length", "marks"), "quality", 200), "score", "null_mean", "p", n=4)
+
+
+@query("SELECT i AS rep, quality, count(*) AS n FROM labels JOIN documents USING (doc_id), range(201) t(i) WHERE quality IS NOT NULL GROUP BY 1, 2")
+def l7_permuted_counts(v):
+    """Each permutation has each label as often as the data."""
+    return ML.permuted_labels(_labelled(v), "doc_id", "quality", 200).groupBy(F.col("rep").cast("long").alias("rep"), "quality").agg(F.count("*").alias("n"))
 
 
 def _features(v):
