@@ -2,9 +2,10 @@
 
 Protected entities are the values that the patterns find (an address, a number). Over all documents,
 IC(e) = log2(N / n_e) is what naming the entity e tells, and PMI(e; t) = log2(N n_et / (n_e n_t)) what seeing the
-term t near it tells about e; n are documents. A term within `window` words of e discloses it if PMI reaches
-the share `alpha` of IC, which for an entity of one document asks for a term of at most N ** (1 - alpha) documents; a
-higher `support` also asks for so many documents with both. Its occurrences near e are
+term t near it tells about e; n are distinct texts, so that a text says the same however often it is repeated. A term within `window` words of e
+discloses it if PMI reaches the share `alpha` of IC, which for an entity of one text asks for a term of at most N ** (1 - alpha) texts, and if there is
+evidence of `support`: a text with both counts one, and one more if it writes the term as a name or with a digit. So by default a rare word that chance has put beside an entity once
+isn't flagged, a name is, and so is a word that stands beside it in two texts. Its occurrences near e are
 spans too: numbers and names are generalised to a placeholder, other words are removed.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut, need, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
-ALPHA, SUPPORT, WINDOW = 0.8, 1, 8
+ALPHA, SUPPORT, WINDOW = 0.8, 2, 8
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -98,17 +99,17 @@ def _near(text: str, spans: list[tuple[str, int, int]], window: int) -> list[dic
             term = _term(raw.encode())
             if len(term) >= 3:
                 x += raw.index(core) if core else 0
-                out.append({"entity": entity, "term": xxhash.xxh64_intdigest(term) - (1 << 63), "start": x, "end": x + len(core)})
+                out.append({"entity": entity, "term": xxhash.xxh64_intdigest(term) - (1 << 63), "start": x, "end": x + len(core), "cased": core[:1].isupper() or any(c.isdigit() for c in core)})
     return out
 
 
-_NEAR = "array<struct<entity:long,term:long,start:int,end:int>>"
+_NEAR = "array<struct<entity:long,term:long,start:int,end:int,cased:boolean>>"
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
 def _scan(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near_kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+        near_kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("cased", pa.bool_())]))
         span_kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in (x for big in batches for x in slices(big, "text", 4 << 20)):
             spans = [base_spans(x) if x else [] for x in batch.column("text").to_pylist()]
@@ -147,12 +148,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, F.lit(7)).alias("k1"), F.xxhash64(text_col, F.lit(11)).alias("k2"))
     id_type = docs.schema[id_col].dataType.simpleString()
     base = cut(rows.mapInArrow(_scan(window), f"id {id_type}, k1 long, k2 long, base {_SPAN}, near {_NEAR}"))
-    n = base.count()
+    n = base.select("k2").distinct().count()
     near = base.where(F.size("near") > 0).select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.*")
-    pairs = near.groupBy("entity", "term", "k1", "k2").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    pairs = cut(pairs.where(F.col("n_et") >= support))
-    entities = near.groupBy("entity", "k1", "k2").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = need(rows, "text").mapInArrow(_frequencies, "term long, n long")
+    both = near.groupBy("entity", "term", "k2").agg(F.max(F.col("cased").cast("int")).alias("cased"))
+    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.sum(F.col("cased") + 1).alias("evidence"))
+    pairs = cut(pairs.where(F.col("evidence") >= support).drop("evidence"))
+    entities = near.groupBy("entity", "k2").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    # One row of each text: most repeats go before anything is sent.
+    texts = need(rows.where("text is not null"), "k2", "text").dropDuplicates(["k2"])
+    terms = need(texts, "text").mapInArrow(_frequencies, "term long, n long")
     terms = terms.groupBy("term").agg(F.sum("n").alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
     pmi = F.log2(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     flagged = pairs.join(entities, "entity").join(terms, "term").where(pmi >= alpha * F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))).where(F.col("n_e") < n).select("entity", "term")

@@ -31,3 +31,33 @@ def test_terms_are_found_in_the_tables(spark):
     counts = found.agg(F.count_if(F.size("terms") > 0).alias("with_terms"), F.sum(F.size("terms")).alias("terms"), F.count_if(F.size("base") > 0).alias("with_base"), F.count_if((F.size("base") == 0) & (F.size("terms") > 0)).alias("alone")).first()
     print(counts)
     assert counts.terms > 0 and counts.with_terms <= counts.with_base and counts.alone == 0
+
+
+def terms_of(spark, rows):
+    df, texts = spark.createDataFrame(rows, "doc_id long, text string"), {}
+    for i, t in rows:
+        texts[i] = t
+    return {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.terms} for r in pii.find(df).collect()}
+
+
+def test_repeated_rows_and_copies_change_nothing(spark):
+    """A text says the same ten times as once, under one id or under several."""
+    rest = [(100 + i, prose(100 + i, 60)) for i in range(100)]
+    text = f"{prose(1, 20)} Quillon writes to one@x.org {prose(2, 20)}"
+    once = terms_of(spark, [(1, text), *rest])
+    assert "Quillon" in once[1]
+    assert terms_of(spark, [(1, text)] * 10 + rest)[1] == once[1]
+    assert all(x == once[1] for i, x in terms_of(spark, [(i, text) for i in range(10)] + rest).items() if i < 10)
+
+
+def test_chance_neighbours_are_left_alone(spark):
+    """Of 3,000 texts with unrelated words and an address each, next to none loses a word; a word that keeps an address company does go."""
+    rng = random.Random(5)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(30_000)]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    draw = lambda n: " ".join(rng.choices(words, weights, k=n))
+    rows = [(i, f"{draw(20)} user{i}@mail.example.org {draw(20)}") for i in range(3000)]
+    rows += [(5000 + i, f"{draw(20)} zyzzyva wrote from boss@corp.example.org {draw(20)}") for i in range(3)]
+    found = terms_of(spark, rows)
+    assert sum(bool(found[i]) for i in range(3000)) < 30
+    assert all("zyzzyva" in found[5000 + i] for i in range(3))
