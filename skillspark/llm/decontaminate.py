@@ -6,7 +6,10 @@ begins a sentence may be either and is left out on both sides. A window is `widt
 them, however many these are, so that questions that consist of slots for the most part have windows too. Windows are hashed and
 joined with those of the benchmark; a pair of windows counts if the values in its slots correspond one to one, so that a
 question asked again with other values is caught and a chance likeness of slots is not. Items of fewer literals are
-sought whole, with the slots at their ends. DataFrame functions only.
+sought whole, with the slots at their ends.
+
+Text is read in two ways: as it is written, and in lower case, where no word is a name or left out and all of them are literals. The second
+finds what has been asked again in other letter case, with other numbers and units as well. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -37,17 +40,18 @@ _UNIT = "(?i)(\x01num[0-9\x02]*+\x03 )(" + "|".join(sorted(UNITS, key=len, rever
 _SLOT = "\x01[^\x03]*\x03"
 
 
-def _tokens(text: Column, values: bool = False) -> Column:
-    """The literals of a text, each after the slots that stand between it and the literal before; after the last slots an empty one.
+def _tokens(text: Column, values: bool = False, cased: bool = True) -> Column:
+    """The literals of a text, read as it is written or in lower case, each after the slots that stand between it and the literal before; after the last slots an empty one.
 
     With values, \x02 and the value follow each slot's kind; there are as many literals either way.
     """
     value = "\x02$0" if values else ""
-    text = F.regexp_replace(text, "[\x01\x02\x03]", " ")
+    text = F.regexp_replace(text if cased else F.lower(text), "[\x01\x02\x03]", " ")
     if values:  # keeps the parts of a number in one token
         text = F.regexp_replace(text, "(?<=[0-9])[.,:/-](?=[0-9])", "\x02")
-    text = F.regexp_replace(text, _NAME, f"\x01name{value}\x03")
-    text = F.regexp_replace(text, _HEAD, " ")
+    if cased:
+        text = F.regexp_replace(text, _NAME, f"\x01name{value}\x03")
+        text = F.regexp_replace(text, _HEAD, " ")
     text = F.regexp_replace(text, _NUMBER, f"\x01num{value}\x03")
     text = F.regexp_replace(text, _UNIT, "$1\x01unit" + ("\x02$2" if values else "") + "\x03")
     text = F.regexp_replace(F.lower(text), f"\x03[^{_ALNUM}\x01]+", "\x03")  # slots go to the literal that follows
@@ -96,16 +100,21 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col), F.lit(11)).alias("key"))
 
 
-def _pairs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, width: int, least: int) -> DataFrame:
+def _pairs(docs: DataFrame, benchmark: DataFrame, *how) -> DataFrame:
+    """_read in both ways, with the way as the column cased: 1 as written, 0 in lower case."""
+    return _read(docs, benchmark, *how, True).withColumn("cased", F.lit(1)).unionByName(_read(docs, benchmark, *how, False).withColumn("cased", F.lit(0)))
+
+
+def _read(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, width: int, least: int, cased: bool) -> DataFrame:
     """(id, key, item, pos, exact): the places of documents where a window of an item stands; key is the hash of the document's text."""
-    items = _texts(benchmark, item_col, item_text).select("id", "text").distinct().select(F.col("id").alias("item"), _tokens(F.col("text"), True).alias("full"))
+    items = _texts(benchmark, item_col, item_text).select("id", "text").distinct().select(F.col("id").alias("item"), _tokens(F.col("text"), True, cased).alias("full"))
     items = items.select("item", "full", (F.size("full") - F.when(_literal(F.try_element_at("full", F.lit(-1))) == "", 1).otherwise(0)).alias("n")).where(F.col("n") >= least)
     # An item's windows have `width` literals, or all that it has: the short widths are at most width - least in number.
     items = items.select("item", "full", "n", F.least("n", F.lit(width)).alias("w"), F.slice(_kinds(F.col("full")), 1, F.col("n")).alias("tokens"))
     widths = [r.w for r in items.select("w").distinct().orderBy("w").collect()]
     texts = _texts(docs, id_col, text_col)
     ours, theirs = None, None
-    tokens = texts.select("id", "key", _tokens(F.col("text")).alias("tokens"))
+    tokens = texts.select("id", "key", _tokens(F.col("text"), False, cased).alias("tokens"))
     for w in widths or [width]:
         found = _windows(items.where(F.col("w") == w), ["item", "full", "n"], w).where("h is not null").withColumn("w", F.lit(w))
         ours = found if ours is None else ours.unionByName(found)
@@ -124,7 +133,7 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     inner = lambda window: F.concat(F.array(_literal(F.try_element_at(window, F.lit(1)))), F.slice(window, 2, F.greatest(F.size(window) - 1, F.lit(0))))
     ours = ours.withColumn("window", inner(F.col("window"))).distinct()
     hit = texts.join(theirs.groupBy("id", "key").agg(F.collect_set("place").alias("places")), ["id", "key"]).dropDuplicates(["id", "key"])
-    hit = hit.select("id", "key", _tokens(F.col("text"), True).alias("full"), "places").select("id", "key", "full", F.explode("places").alias("place"))
+    hit = hit.select("id", "key", _tokens(F.col("text"), True, cased).alias("full"), "places").select("id", "key", "full", F.explode("places").alias("place"))
     hit = hit.select(
         "id", "key", "place.pos", "place.h", "place.w", inner(F.slice("full", F.col("place.pos") + 1, F.col("place.w"))).alias("text_window"),
         _slots(F.slice("full", F.col("place.pos") + 1, 1)).alias("before"), _slots(F.slice("full", F.col("place.pos") + 1 + F.col("place.w"), 1)).alias("after"),
@@ -141,11 +150,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A window is `width` literals in sequence and the slots between them; items with fewer literals, but `least` of them, are sought
     whole. n_windows counts the places in the document where a window matches with consistent slots, n_exact those with equal values
-    in all slots. Rows of docs or benchmark with a null id or text, and empty texts, match nothing; repeated rows count
+    in all slots; both are of the text as it is written or, where that has none, of the text in lower case. Rows of docs or benchmark with a null id or text, and empty texts, match nothing; repeated rows count
     once, rows with one id and several texts together. Whole texts are searched, however long; empty tables give no rows.
     """
     pairs = _pairs(docs, benchmark, id_col, text_col, item_col, item_text, width, least)
-    return pairs.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.count("*").alias("n_windows"), F.count_if("exact").alias("n_exact"))
+    counts = pairs.groupBy("id", "item", "cased").agg(F.count("*").alias("n_windows"), F.count_if("exact").alias("n_exact"))
+    best = counts.groupBy("id", "item").agg(F.max(F.struct("cased", "n_windows", "n_exact")).alias("x"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "x.n_windows", "x.n_exact")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, least: int = LEAST) -> DataFrame:

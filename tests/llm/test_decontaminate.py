@@ -63,6 +63,11 @@ def brute(docs, items, width=decontaminate.WIDTH, least=decontaminate.LEAST):
     return found
 
 
+def both(docs, items):
+    """As the texts are written and, for pairs that this doesn't find, in lower case."""
+    return brute([(d, t.lower()) for d, t in docs], [(i, t.lower()) for i, t in items]) | brute(docs, items)
+
+
 NAMES = ["Tom", "Ann", "Zoe", "Raj", "Mia", "Ivo"]
 ASKED = [
     "{n} bought {d} pens at {d} dollars each and {d} books at {d} dollars each",
@@ -100,7 +105,7 @@ def test_windows_equal_a_search_of_all_pairs(spark):
         docs.append((k, rng.choice([" ", ". ", "\n"]).join(parts)))
     docs += [(200, "alpha beta gamma delta Ann 9"), (201, "alpha beta gamma delta Ann"), (202, "so Ann alpha beta gamma delta Bob 9 km on")]
     rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    want = brute(docs, items)
+    want = both(docs, items)
     assert {(r.doc_id, r.item_id): (r.n_windows, r.n_exact) for r in rows} == want
     assert (200, 42) in want and (201, 42) not in want and (202, 42) in want and len(want) > 80
 
@@ -125,3 +130,30 @@ def test_rows_with_one_id_are_told_apart(spark):
     docs = spark.createDataFrame([(1, item + " today", "a"), (1, "nothing of the kind", "b"), (2, item * 2000, "c"), (None, item, "d"), (3, None, "e")], "doc_id long, text string, id string")
     kept = decontaminate.drop_contaminated(docs, spark.createDataFrame([(5, item)], "item_id long, text string"))
     assert kept.columns == docs.columns and sorted(r.id for r in kept.collect()) == ["b", "d", "e"]
+
+
+TWO_NAMES = "How many hours does it take Peter to drive 300 km when Mary drives 120 km in 2 hours?"
+
+
+def test_letter_case_hides_nothing(spark):
+    """Of each item, in each kind of case: its copy, and where case leaves its names as they are the same question with other numbers; nine in ten at least of each kind, and clean texts stay clean."""
+    rng = random.Random(6)
+    items = [(k, asked(rng, f)) for k, f in enumerate(ASKED) if f.count("{") < 6 or "bought" in f] + [(50, TWO_NAMES)] + [(60 + k, prose(rng, 20)) for k in range(6)]
+    kinds = {"as it is": str, "lower": str.lower, "upper": str.upper, "title": str.title, "swapped": str.swapcase}
+    docs, want = [], {}
+    for kind, change in kinds.items():
+        for i, text in items:
+            for again in (False, True):
+                new = re.sub(r"(?<![\w.,])[0-9]+(?![\w.,])", lambda m: str(int(m[0]) + 1000), text) if again else text
+                d = len(docs)
+                docs.append((d, f"{prose(rng, 15)} {change(new)} {prose(rng, 15)}"))
+                want[d] = (kind, again, i)
+    docs += [(10_000 + k, rng.choice(list(kinds.values()))(prose(rng, 120))) for k in range(40)]
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in rows}
+    for kind in kinds:
+        for again in (False, True):
+            mine = [(d, i) for d, (k, a, i) in want.items() if (k, a) == (kind, again) and len(re.findall("[A-Za-z]+", dict(items)[i])) >= 6]
+            hits = [(d, i) in found for d, i in mine]
+            assert sum(hits) >= 0.9 * len(hits), (kind, again, sum(hits), len(hits))
+    assert all(d < 10_000 for d, _ in found)
