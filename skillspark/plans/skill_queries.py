@@ -8,8 +8,10 @@ from ..functions import games as G
 from ..operators import attempts as A
 from ..operators import puzzles as P
 from ..operators import ratings as RT
+from ..operators import recommend as RC
 from ..operators import selection as SE
 from ..operators import skill as S
+from ..operators.store import Store
 from ..taxonomy import ARMS
 from .puzzle_queries import E as ENRICHED
 from .registry import query
@@ -132,19 +134,45 @@ def r10_skill_draw(v):
 OWN = """own AS (SELECT player_id, 'gen_' || g.game_id::VARCHAR AS puzzle_id, min(category) AS category, min(rating) AS rating FROM (SELECT game_id, category, 700 + (game_id * 37) % 1500 AS rating FROM positions WHERE ply_no = 1 AND game_id % 4 = 0) o JOIN games g ON g.game_id = o.game_id GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {ENRICHED}, {OWN}, f AS (SELECT player_id, arg_min(category, (cnt, category)) AS category FROM (SELECT player_id, category, count(*) AS cnt FROM attempts GROUP BY 1, 2) GROUP BY 1),
-w AS (SELECT f.player_id, f.category, p.rating AS target FROM f JOIN players p USING (player_id)), s AS (SELECT DISTINCT player_id, puzzle_id FROM attempts),
-c AS (SELECT w.player_id, e.puzzle_id, CASE WHEN e.primary_category = w.category AND abs(e.rating - target) <= 150 THEN 2 WHEN e.primary_category = w.category AND abs(e.rating - target) <= 350 THEN 3 WHEN abs(e.rating - target) <= 150 THEN 4 ELSE 5 END AS rung FROM w, e
-UNION ALL SELECT w.player_id, o.puzzle_id, 0 FROM w JOIN own o ON o.player_id = w.player_id AND o.category = w.category AND abs(o.rating - target) <= 150),
-u AS (SELECT c.* FROM c ANTI JOIN s ON s.player_id = c.player_id AND s.puzzle_id = c.puzzle_id)
-SELECT player_id, puzzle_id, rung, false AS exhausted FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY rung, md5(puzzle_id), puzzle_id) AS rn FROM u) WHERE rn = 1""", ("attempts", "players", "puzzles", "games", "positions"))
-def r16_recommend_next(v):
-    a = v("attempts")
-    counts = a.groupBy("player_id", "category").agg(F.count("*").alias("cnt"))
-    choice = counts.groupBy("player_id").agg(F.min(F.struct("cnt", "category")).alias("x")).select("player_id", "x.category")
+#: Draws among all arms, target ratings at 65 %, and the first rung of the ladder with an unseen puzzle, own ones for 40 % of players.
+LADDER = f"""{fit_sql()}, {LAST.replace("e AS", "le AS")}, {LOWEST.format("arm_id < 23")}, hh AS (SELECT *, sum(probability) OVER (PARTITION BY player_id ORDER BY category) AS upto, CAST('0x' || substr(md5(player_id || ':3:7'), 1, 13) AS BIGINT) / pow(2, 52) AS u FROM pr),
+ch AS (SELECT player_id, min(category) AS category, arg_min(probability, category) AS propensity FROM hh WHERE upto > u GROUP BY 1),
+rw AS (SELECT ch.player_id, ch.category, propensity, arm_id, m, le.c AS cov, 1500 + 400 / ln(10) * (m[1] + m[arm_id + 2] - ln(0.65 / 0.35::DOUBLE)) AS wish FROM ch JOIN le USING (player_id) JOIN arms USING (category)), rt AS (SELECT *, CAST(round(wish) AS BIGINT) AS target FROM rw),
+{ENRICHED}, {OWN}, rs AS (SELECT DISTINCT player_id, puzzle_id FROM attempts),
+rc AS (SELECT rt.player_id, e.puzzle_id, e.rating, e.primary_category AS of_, CASE WHEN e.primary_category = rt.category AND abs(e.rating - target) <= 150 THEN 2 WHEN e.primary_category = rt.category AND abs(e.rating - target) <= 350 THEN 3 WHEN abs(e.rating - target) <= 150 THEN 4 ELSE 5 END AS rung FROM rt, e
+UNION ALL SELECT rt.player_id, x.puzzle_id, x.rating, x.category, CASE WHEN x.category = rt.category THEN 0 ELSE 1 END FROM rt JOIN own x ON x.player_id = rt.player_id AND abs(x.rating - target) <= 150 AND (x.category = rt.category OR CAST('0x' || substr(md5(rt.player_id || ':own:0'), 1, 13) AS BIGINT) / pow(2, 52) * 100 < 40)),
+ru AS (SELECT rc.* FROM rc ANTI JOIN rs ON rs.player_id = rc.player_id AND rs.puzzle_id = rc.puzzle_id), rr AS (SELECT * FROM ru QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY rung, md5(puzzle_id), puzzle_id) = 1)"""
+
+
+def _choices(v):
+    """A drawn arm of each player with its propensity, skill states, target ratings, and puzzles of the players' own."""
+    store = Store(v("attempts").sparkSession)
+    draw, _ = store.put(SE.thompson_draw(A.beta_posterior(v("attempts"), v("arms")), 3, 7))
+    states, _ = store.put(S.fit_skill(v("attempts"), v("players"))[1])
     first = v("moves").where("ply_no = 1 and game_id % 4 = 0").select("game_id", "category", (700 + F.col("game_id") * 37 % 1500).alias("rating"))
     own = first.join(v("games").select("game_id", "player_id"), "game_id").groupBy("player_id", F.concat(F.lit("gen_"), F.col("game_id").cast("string")).alias("puzzle_id")).agg(F.min("category").alias("category"), F.min("rating").alias("rating"))
-    return S.recommend(choice, v("players").select("player_id", F.col("rating").alias("target")), P.enrich(v("puzzles")), a, own, own_share=0)
+    return draw, states, RC.target_rating(states, draw), own
+
+
+R16 = ("attempts", "players", "arms", "puzzles", "games", "positions")
+
+
+@query(f"WITH RECURSIVE {LADDER} SELECT player_id, puzzle_id, rung, false AS exhausted FROM rr", R16)
+def r16_recommend_next(v):
+    draw, _, target, own = _choices(v)
+    return RC.recommend(draw.select("player_id", "category"), target, P.enrich(v("puzzles")), v("attempts"), own)
+
+
+@query(f"""WITH RECURSIVE {LADDER}, z AS (SELECT rr.*, rt.category AS selected, CASE WHEN rung IN (0, 2, 3) THEN rt.category ELSE of_ END AS category, wish, propensity, m, cov, CASE WHEN rung < 2 THEN 300.0::DOUBLE ELSE 75.0::DOUBLE END AS rd FROM rr JOIN rt USING (player_id)),
+y AS (SELECT z.*, CASE WHEN a.arm_id < 23 THEN a.arm_id END AS k FROM z LEFT JOIN arms a USING (category)), x AS (SELECT *, m[1] + CASE WHEN k IS NULL THEN 0 ELSE m[k + 2] END AS ability, cov[1] + CASE WHEN k IS NULL THEN 0 ELSE 2 * cov[k + 2] + cov[(k + 1) * 25 + 1] END AS variance FROM y)
+SELECT player_id, puzzle_id, CASE WHEN rung < 2 THEN 'own' ELSE 'pool' END AS source, selected, category, category <> selected AS relabelled, round(wish, 4) AS target, round(1 / (1 + exp(-(ability - (rating - 1500) / (400 / ln(10))) / sqrt(1 + 3 * (variance + pow(rd / (400 / ln(10)), 2)) / (pi() * pi())))), 5) AS predicted,
+  round(1500 + 400 / ln(10) * ability, 4) AS category_rating, round(400 / ln(10) * sqrt(variance), 4) AS category_rd, round(propensity, 6) AS propensity FROM x""", R16)
+def r16_servings(v):
+    draw, states, target, own = _choices(v)
+    puzzles = P.enrich(v("puzzles"))
+    chosen = RC.recommend(draw.select("player_id", "category"), target, puzzles, v("attempts"), own)
+    out = RC.servings(chosen, draw, target, puzzles, states, own)
+    return out.select("player_id", "puzzle_id", "source", "selected", "category", "relabelled", F.round("target", 4).alias("target"), F.round("predicted", 5).alias("predicted"), F.round("category_rating", 4).alias("category_rating"), F.round("category_rd", 4).alias("category_rd"), F.round("propensity", 6).alias("propensity"))
 
 
 @query("SELECT DISTINCT player_id, puzzle_id FROM (SELECT player_id, puzzle_id FROM attempts WHERE solved UNION SELECT player_id, puzzle_id FROM attempts WHERE NOT solved)", AP)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skillspark.operators import attempts as A
 from skillspark.operators import ratings as RT
+from skillspark.operators import recommend as RC
 from skillspark.operators import skill as S
 from skillspark.plans.bindings import view
 from skillspark.streaming import attempts as X
@@ -151,9 +152,9 @@ def test_recommendations_fall_to_later_rungs(spark):
     targets = spark.createDataFrame([(k, 5000 if k == 5 else 1000) for k in range(6)], "player_id long, target int")
     seen = ((1, "a"), (2, "a"), (2, "b"), (3, "a"), (3, "b"), (3, "c"), (4, "a"), (4, "b"), (4, "c"), (4, "d"), (5, "a"), (5, "b"), (5, "c"), (5, "d"))
     attempts = spark.createDataFrame(seen, "player_id long, puzzle_id string")
-    rows = {r.player_id: (r.puzzle_id, r.rung, r.exhausted) for r in S.recommend(choices, targets, puzzles, attempts).collect()}
+    rows = {r.player_id: (r.puzzle_id, r.rung, r.exhausted) for r in RC.recommend(choices, targets, puzzles, attempts).collect()}
     assert rows[0] == ("a", 2, False) and rows[1] == ("b", 3, False) and rows[2] == ("c", 4, False) and rows[3] == ("d", 5, False)
     assert rows[4][1:] == (6, True) and rows[4][0] in "ac" and 5 not in rows
     own = spark.createDataFrame([(0, "gen_1", "Pin", 1010), (1, "gen_2", "Fork", 1100), (2, "gen_3", "Fork", 1900)], "player_id long, puzzle_id string, category string, rating int")
-    rows = {r.player_id: (r.puzzle_id, r.rung) for r in S.recommend(choices, targets, puzzles, attempts, own, own_share=100).collect()}
+    rows = {r.player_id: (r.puzzle_id, r.rung) for r in RC.recommend(choices, targets, puzzles, attempts, own, own_share=100).collect()}
     assert rows[0] == ("gen_1", 1) and rows[1] == ("gen_2", 0) and rows[2] == ("c", 4)
