@@ -220,7 +220,7 @@ SKETCH = 64
 WIDE = 27
 #: Texts that share a shingle and aren't all linked are a crowd if their pairs are over CROWD^2; TRIES members of its main group are tried by each of the others, of SOME beside it under a shingle and
 #: twice as many in each further turn, of which there are TURNS at most.
-CROWD, TRIES, SOME, TURNS = 64, 8, 8, 5
+CROWD, TRIES, SOME, TURNS = 64, 8, 8, 6
 #: Bits of the map of the texts whose whole sets are asked for; its size doesn't grow with the documents.
 MAP_BITS = 1 << 23
 
@@ -357,13 +357,14 @@ def _similar(x: Column, y: Column, similarity: float) -> Column:
     return F.size(F.array_intersect(x, y)) * (1 + similarity) >= similarity * (F.size(x) + F.size(y)) - 1e-9
 
 
-def _possible(similarity: float) -> Column:
+def _possible(similarity: float, x: Column | None = None, y: Column | None = None) -> Column:
     """Whether sets of n and m shingles that first meet at their places p and q can have the similarity: exact, as each similar pair passes where it first meets.
 
-    Of longer texts those with fingerprints further apart than WIDE bits are left out as well.
+    Of longer texts those with fingerprints further apart than WIDE bits are left out as well. x and y have n, p and fp; by default they are columns.
     """
-    n, m = F.col("x.n"), F.col("y.n")
-    return (F.lit(1 + similarity) * F.least(n - F.col("x.p"), m - F.col("y.p")) >= F.lit(similarity) * (n + m) - 1e-9) & ((n < 32) | (_apart(F.col("x.fp"), F.col("y.fp")) <= WIDE))
+    x, y = F.col("x") if x is None else x, F.col("y") if y is None else y
+    n, m = x["n"], y["n"]
+    return (F.lit(1 + similarity) * F.least(n - x["p"], m - y["p"]) >= F.lit(similarity) * (n + m) - 1e-9) & ((n < 32) | (_apart(x["fp"], y["fp"]) <= WIDE))
 
 
 def _named(text_col: str) -> Column:
@@ -402,7 +403,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Shingles that are known as frequent are shared; of the others, of which none has many texts, those of one text only go.
     here = Window.partitionBy("h")
     shared = keys.where("p < rare").select("h", "node", "p").withColumns({"a": F.min("node").over(here), "b": F.max("node").over(here)}).where("a < b").select("h", "node", "p")
-    met, met_path = store.put(shared.unionByName(keys.where("p >= rare").select("h", "node", "p")).join(info, "node"))
+    met, met_path, _ = store.few(shared.unionByName(keys.where("p >= rare").select("h", "node", "p")).join(info, "node"))
     crowded = met.groupBy("h").agg(F.count("*").alias("same")).where(F.col("same") > BLOCK)
     met = met.join(crowded, "h", "left").withColumn("blocks", F.ceil(F.coalesce("same", F.lit(1)) / BLOCK)).drop("same")
 
@@ -410,15 +411,14 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """The pairs (a < b) that are similar."""
         least = sketches.groupBy("node").agg(F.any_value("least").alias("least"), F.any_value("n").alias("n"))
         likely = pairs.join(least.toDF("a", "xleast", "xn"), "a").join(least.toDF("b", "yleast", "yn"), "b").mapInArrow(_similar_sketches(similarity), "a long, b long, whole boolean, share double")
-        likely, likely_path = store.put(likely)
+        likely, likely_path, _ = store.few(likely)
         rest = likely.where("not whole").select("a", "b")
-        asked, asked_path = store.put(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        asked = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = spark.sparkContext.broadcast(_wanted(asked))
         sets = full.mapInArrow(_sets(width, wanted), "node long, set array<long>").join(asked, "node", "left_semi").groupBy("node").agg(F.any_value("set").alias("set"))
         both = rest.join(sets.toDF("a", "xset"), "a").join(sets.toDF("b", "yset"), "b")
-        found, _ = store.put(likely.where("whole").select("a", "b").unionByName(both.where(_similar(F.col("xset"), F.col("yset"), similarity)).select("a", "b")))
+        found, _, _ = store.few(likely.where("whole").select("a", "b").unionByName(both.where(_similar(F.col("xset"), F.col("yset"), similarity)).select("a", "b")))
         store.discard(likely_path)
-        store.discard(asked_path)
         return found
 
     # Fingerprints that the Golay keys link, by a text of each; and the texts of one fingerprint with the first of them.
@@ -435,13 +435,15 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before = before.where(_possible(similarity) & (F.col("x.node") != F.col("y.node"))).select(*pair("x.node", "y.node", _apart(F.col("x.fp"), F.col("y.fp"))), "hub")
     # Of all that a text meets here, only those with the nearest fingerprint are looked at, one of each kind, so that the pairs are at most twice as many as the texts.
     nearest = golay.unionByName(before).groupBy("b", "hub").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b").distinct()
+    nearest, nearest_path, _ = store.few(nearest)
     found = verified(nearest)
+    store.discard(nearest_path)
     n_texts, rest_path, stalled = info.count(), "", False
     for turn in range(TURNS + 1):
         # Of the texts of one shingle that aren't all linked, the largest linked group is its main one.
         rest = met.join(components(found), "node", "left").select("h", "node", "n", "fp", "p", "blocks", F.coalesce("root", "node").alias("root"))
         groups = rest.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
-        rest, new = store.put(rest.join(groups, "h"))
+        rest, new, _ = store.few(rest.join(groups, "h"))
         if rest_path:
             store.discard(rest_path)
         rest_path = new
@@ -452,12 +454,14 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # Before all pairs of a crowd are taken, each text outside its main group tries a few members of that: those with the nearest fingerprints of some, of more in each turn.
         line = Window.partitionBy("h", F.pmod(F.xxhash64("node"), "blocks")).orderBy(F.xxhash64("node", "h", F.lit(turn)), "node")
         member = F.collect_list(F.when(F.col("root") == F.col("main"), mine)).over(line.rowsBetween(-SOME << turn, SOME << turn))
-        tries = crowds.select("root", "main", mine.alias("y"), member.alias("x")).where("root <> main").select("y", F.explode("x").alias("x"))
-        tries = tries.where(_possible(similarity)).select(F.col("y.node").alias("y"), F.col("x.node").alias("x"), _apart(F.col("x.fp"), F.col("y.fp")).alias("d")).distinct()
+        near_by = F.transform(F.filter("them", lambda x: _possible(similarity, x, F.col("me"))), lambda x: F.struct(_apart(x["fp"], F.col("me.fp")).alias("d"), x["node"].alias("x")))
+        tries = crowds.select("root", "main", mine.alias("me"), member.alias("them")).where("root <> main").select(F.col("me.node").alias("y"), F.explode(F.slice(F.array_sort(near_by), 1, 2)).alias("z")).select("y", "z.x", "z.d").distinct()
         tries = tries.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy("d", "x"))).where(F.col("place") <= TRIES)
+        tries, tries_path, _ = store.few(tries.select("x", "y"))
         linked = verified(tries.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         found = found.unionByName(linked)
         stalled = linked.count() * TRIES < tries.select("y").distinct().count()  # the texts that are left have few links, if any
+        store.discard(tries_path)
     store.discard(met_path)
     # Now all pairs of one shingle that lie apart: those outside its largest group with all others.
     rest = rest.withColumns({"own": F.pmod(F.xxhash64("node"), "blocks"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
@@ -466,13 +470,14 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in "hij"]
     # A pair of two texts outside the largest group meets in either order; once is enough.
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    pairs = x.join(y, on[0] & on[1] & on[2] & (F.col("x.root") != F.col("y.root")) & once & _possible(similarity))
-    pairs, pairs_path = store.put(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    pairs = x.join(y, on[0] & on[1] & on[2] & (F.col("x.root") != F.col("y.root")) & once & _possible(similarity, *[F.struct(*[F.col(f"{t}.{c}").alias(c) for c in ("n", "p", "fp")]) for t in "xy"]))
+    pairs, pairs_path, _ = store.few(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     store.discard(rest_path)
     more = verified(pairs)
     store.discard(pairs_path)
     store.discard(sketches_path)
-    return components(found.unionByName(more))
+    roots, _, _ = store.few(components(found.unionByName(more)))
+    return roots
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
