@@ -15,18 +15,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     store = Store(edges.sparkSession)
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links, path = store.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = lambda e: e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-    before = state(links)
+    links, path, n = store.few(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    state = lambda e, n: (n, e.agg(F.expr("bit_xor(xxhash64(u, v))")).first()[0])
+    before = state(links, n)
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         above = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = above.groupBy("u").agg(F.min("v").alias("m"))
         below = above.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links, new = store.put(below.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        links, new, n = store.few(below.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         store.discard(path)
-        now, path = state(links), new
+        now, path = state(links, n), new
         if now == before:
             break
         before = now
