@@ -57,7 +57,10 @@ def caps(puzzles: DataFrame, total: int, per_game: int = PER_GAME, targets: tupl
 
 
 def quality_score(df: DataFrame, clarity: int = 150, depth: int = 3, fit: int = 300) -> DataFrame:
-    """score and issues of puzzles with engine_agrees, clarity_cp, solution_moves, trivial and rating_gap."""
+    """score, issues and passed of puzzles with engine_agrees, clarity_cp, solution_moves, trivial and rating_gap.
+
+    A puzzle with under two moves in all (column n_moves, if there is one), or whose first move can't be played (first_legal), has score 0 and that issue alone.
+    """
     c = F.col("clarity_cp")
     parts = {
         "engine disagrees": (F.col("engine_agrees"), 0.30), "too shallow": (F.col("solution_moves") >= depth, 0.20), "trivial": (~F.col("trivial"), 0.15), "off difficulty": (F.abs(F.col("rating_gap")) <= fit, 0.10),
@@ -66,6 +69,9 @@ def quality_score(df: DataFrame, clarity: int = 150, depth: int = 3, fit: int =
     for good, weight in parts.values():
         score = score + F.when(good, weight).otherwise(0.0)
     issues = F.array_compact(F.array(F.when(c < clarity, "unclear"), *[F.when(~good, name) for name, (good, _) in parts.items()]))
+    guards = [(n, ~good) for n, c, good in (("fewer than 2 moves", "n_moves", F.coalesce(F.col("n_moves"), F.lit(0)) >= 2), ("illegal first move", "first_legal", F.coalesce(F.col("first_legal"), F.lit(False)))) if c in df.columns]
+    for name, bad in guards[::-1]:
+        score, issues = F.when(bad, 0.0).otherwise(score), F.when(bad, F.array(F.lit(name))).otherwise(issues)
     return df.withColumns({"score": score, "issues": issues, "passed": F.round(score, 9) >= 0.60})
 
 

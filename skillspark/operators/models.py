@@ -18,6 +18,16 @@ from ..functions.games import logit, sigmoid
 STRENGTHS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0)
 
 
+def baselines(stats: DataFrame) -> DataFrame:
+    """(player_id, category, model, p): the miss probabilities of the simple models side by side, from base_rates with a player's shrunk hit rates (column rate, null where there is none; overall).
+
+    `empirical` is one less the rate of the category that is shrunk to the player's own, or to the overall rate where the player hasn't met it.
+    """
+    empirical = 1 - F.coalesce("rate", F.nullif("overall", F.lit(0.0)), F.lit(0.5))
+    kinds = F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("p")) for n, c in (("global", "g"), ("category", "cat"), ("player", "player"))], F.struct(F.lit("empirical").alias("model"), empirical.alias("p")))
+    return stats.select("player_id", "category", F.explode(kinds).alias("x")).select("player_id", "category", "x.model", "x.p")
+
+
 def base_rates(counts: DataFrame) -> DataFrame:
     """Adds g, cat and player miss rates to (player_id, category, misses, n): global, smoothed by 2 and by 4 global pseudo-counts."""
     everyone = counts.agg((F.sum("misses") / F.sum("n")).alias("g"))

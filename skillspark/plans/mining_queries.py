@@ -64,12 +64,17 @@ def w9_t3_mining_caps(v):
 QUALITY = """q AS (SELECT game_id, ply_no, l_partkey, l_suppkey, best_cp > 0 AS engine_agrees, best_cp - second_cp AS clarity_cp, ply_no % 5 AS solution_moves, best_cp > 700 AS trivial, best_cp - 300 AS rating_gap FROM positions WHERE second_cp IS NOT NULL)"""
 
 
-@query(f"""WITH {QUALITY} SELECT game_id, ply_no, l_partkey, l_suppkey, round(s, 4)::DOUBLE AS score, round(s, 9) >= 0.60 AS passed FROM (SELECT *, CASE WHEN engine_agrees THEN 0.30 ELSE 0 END + CASE WHEN clarity_cp >= 150 THEN 0.25 WHEN clarity_cp >= 80 THEN 0.12 ELSE 0 END
- + CASE WHEN solution_moves >= 3 THEN 0.20 ELSE 0 END + CASE WHEN NOT trivial THEN 0.15 ELSE 0 END + CASE WHEN abs(rating_gap) <= 300 THEN 0.10 ELSE 0 END AS s FROM q)""", PV)
+@query(f"""WITH {QUALITY}, s AS (SELECT *, CASE WHEN engine_agrees THEN 0.30 ELSE 0 END + CASE WHEN clarity_cp >= 150 THEN 0.25 WHEN clarity_cp >= 80 THEN 0.12 ELSE 0 END
+ + CASE WHEN solution_moves >= 3 THEN 0.20 ELSE 0 END + CASE WHEN NOT trivial THEN 0.15 ELSE 0 END + CASE WHEN abs(rating_gap) <= 300 THEN 0.10 ELSE 0 END AS s, l_partkey % 7 AS n_moves, l_suppkey % 11 <> 0 AS legal FROM q)
+SELECT game_id, ply_no, l_partkey, l_suppkey, CASE WHEN n_moves < 2 OR NOT legal THEN 0 ELSE round(s, 4)::DOUBLE END AS score, n_moves >= 2 AND legal AND round(s, 9) >= 0.60 AS passed,
+  CASE WHEN n_moves < 2 THEN 'fewer than 2 moves' WHEN NOT legal THEN 'illegal first move' ELSE concat_ws('; ', CASE WHEN clarity_cp < 150 THEN 'unclear' END, CASE WHEN NOT engine_agrees THEN 'engine disagrees' END, CASE WHEN solution_moves < 3 THEN 'too shallow' END, CASE WHEN trivial THEN 'trivial' END, CASE WHEN abs(rating_gap) > 300 THEN 'off difficulty' END) END AS issues FROM s""", PV)
 def p44_quality_score(v):
     b = F.col("best_cp")
-    q = v("moves").where("second_cp is not null").select(*KEY, (b > 0).alias("engine_agrees"), (b - F.col("second_cp")).alias("clarity_cp"), (F.col("ply_no") % 5).alias("solution_moves"), (b > 700).alias("trivial"), (b - 300).alias("rating_gap"))
-    return O.quality_score(q).select(*KEY, F.round("score", 4).alias("score"), "passed")
+    q = v("moves").where("second_cp is not null").select(
+        *KEY, (b > 0).alias("engine_agrees"), (b - F.col("second_cp")).alias("clarity_cp"), (F.col("ply_no") % 5).alias("solution_moves"), (b > 700).alias("trivial"), (b - 300).alias("rating_gap"),
+        (F.col("l_partkey") % 7).alias("n_moves"), (F.col("l_suppkey") % 11 != 0).alias("first_legal"),
+    )
+    return O.quality_score(q).select(*KEY, F.round("score", 4).alias("score"), "passed", F.array_join("issues", "; ").alias("issues"))
 
 
 @query("""WITH m AS (SELECT game_id AS line_id, ply_no - 1 AS move_no, category, arm_id, best_cp > 850 AS mate, l_suppkey % 3 = 0 AS is_key FROM positions JOIN arms USING (category)),
@@ -104,6 +109,17 @@ def k10_apply_puzzle_edits(v):
     return apply_edits(a.select("player_id", "puzzle_id").distinct().withColumn("feedback", F.lit("old")), e)
 
 
+@query("""WITH e AS (SELECT attempt_id AS seq, player_id, puzzle_id, CASE WHEN attempt_id % 5 = 0 THEN 'delete' ELSE 'feedback' END AS action FROM attempts WHERE attempt_id % 4 = 0), s AS (SELECT DISTINCT player_id, puzzle_id FROM attempts WHERE attempt_id % 3 = 0), d AS (SELECT player_id, puzzle_id, min(seq) AS gone FROM e WHERE action = 'delete' GROUP BY 1, 2)
+SELECT e.player_id, e.puzzle_id, seq, action, 'unknown puzzle' AS error FROM e LEFT JOIN s ON s.player_id = e.player_id AND s.puzzle_id = e.puzzle_id LEFT JOIN d ON d.player_id = e.player_id AND d.puzzle_id = e.puzzle_id WHERE s.player_id IS NULL OR seq > gone""", ("attempts",))
+def k10_edit_errors(v):
+    from ..sources.writers import edit_errors
+
+    a = v("attempts")
+    m = F.col("attempt_id")
+    e = a.where(m % 4 == 0).select(m.alias("seq"), "player_id", "puzzle_id", F.when(m % 5 == 0, "delete").otherwise("feedback").alias("action"), F.lit(None).cast("string").alias("feedback"))
+    return edit_errors(a.where(m % 3 == 0).select("player_id", "puzzle_id").distinct(), e)
+
+
 @query("SELECT category, count(*) AS n, round(100.0 * count(*) / (sum(count(*)) OVER ()), 4)::DOUBLE AS pct FROM attempts WHERE starts_with(puzzle_id, 'gen_') GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5", ("attempts",))
 def a12_missed_tactics(v):
     n = v("attempts").where(F.col("puzzle_id").startswith("gen_")).groupBy("category").agg(F.count("*").alias("n"))

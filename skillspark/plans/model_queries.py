@@ -25,6 +25,16 @@ def a18_l3_base_rates(v):
     return O.base_rates(_counts(v)).select("player_id", "category", *[F.round(c, 9).alias(c) for c in ("g", "cat", "player")])
 
 
+@query(f"""WITH {RATES}, t AS (SELECT player_id, sum(misses) AS m, sum(n) AS k FROM b GROUP BY 1), e AS (SELECT b.*, CASE WHEN n >= 3 THEN (n - misses + 8 * (1 - m / k::DOUBLE)) / (n + 8) END AS rate, 1 - m / k::DOUBLE AS overall FROM b JOIN t USING (player_id))
+SELECT player_id, category, x.model, round(x.p, 9) AS p FROM (SELECT player_id, category, unnest([{{'model': 'global', 'p': g}}, {{'model': 'category', 'p': cat}}, {{'model': 'player', 'p': player}}, {{'model': 'empirical', 'p': 1 - coalesce(rate, nullif(overall, 0), 0.5)}}]) AS x FROM e)""", A)
+def l3_baselines(v):
+    """Rates of categories with three attempts are shrunk to the player's own with a strength of 8."""
+    rows = O.base_rates(_counts(v))
+    own = rows.groupBy("player_id").agg((1 - F.sum("misses") / F.sum("n")).alias("overall"))
+    rate = F.when(F.col("n") >= 3, (F.col("n") - F.col("misses") + 8 * F.col("overall")) / (F.col("n") + 8))
+    return O.baselines(rows.join(own, "player_id").withColumn("rate", rate)).select("player_id", "category", "model", F.round("p", 9).alias("p"))
+
+
 def _lg(x):
     return f"ln(least(0.98, greatest(0.02, {x}))::DOUBLE / (1 - least(0.98, greatest(0.02, {x}))::DOUBLE))"
 

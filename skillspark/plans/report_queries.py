@@ -12,6 +12,7 @@ from ..operators import models as ML
 from ..operators import profile as PR
 from ..operators import reports as R
 from ..operators import ratings as RT
+from ..operators import recommend as RC
 from ..operators import skill as S
 from ..operators import states as ST
 from ..taxonomy import ARMS
@@ -142,7 +143,7 @@ def j4_positions_with_game(v):
 SELECT player_id, CASE WHEN a <= b THEN a ELSE low END AS low, CASE WHEN a <= b THEN b ELSE high END AS high, count(puzzle_id) AS candidates FROM c LEFT JOIN puzzles z ON z.rating BETWEEN CASE WHEN a <= b THEN a ELSE low END AND CASE WHEN a <= b THEN b ELSE high END GROUP BY 1, 2, 3""", ("players", "puzzles"))
 def j8_candidates_by_target(v):
     want = v("players").select("player_id", (300 + F.col("player_id") * 53 % 2900).alias("target"), (F.col("rating") - 200).alias("low"), (F.col("rating") + 200).alias("high"))
-    return S.candidates_in_range(want, v("puzzles"))
+    return RC.candidates_in_range(want, v("puzzles"))
 
 
 @query(f"""WITH {PGN}, t AS (SELECT game_id, {_tag('White')} AS w, {_tag('Black')} AS b, rtrim({_tag('ECOUrl')}, '/') AS url, {_tag('Opening')} AS o, {_tag('TimeControl')} AS tc FROM pgn)

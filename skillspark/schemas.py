@@ -14,7 +14,7 @@ ARCHIVE = (
 
 COHORT = (
     "id string, band int, rating double, time_class string, "
-    "games array<struct<end_time: long, time_class: string, opportunities: array<struct<category: string, hit: boolean, wp_loss: double, phase: string, ply: int>>, errors: array<struct<category: string, severity: string, phase: string>>>>"
+    "games array<struct<end_time: long, time_class: string, opportunities: array<struct<category: string, hit: boolean, wp_loss: double, phase: string, ply: int>>, errors: array<struct<category: string, severity: string, phase: string, wp_loss: double>>>>"
 )
 
 MINED = "PuzzleId string, FEN string, Moves string, Rating int, RatingDeviation int, PrimaryCategory string, evalDrop int, clarityCp int, playerMoves int, generatedBy string, source string"

@@ -64,6 +64,13 @@ def cohort(spark: SparkSession, path: str) -> DataFrame:
     return games.select("id", "band", "rating", "game", F.col("g.end_time").alias("end_time"), F.posexplode("g.opportunities").alias("place", "o")).select("id", "band", "rating", "game", "end_time", "place", "o.*")
 
 
+def cohort_errors(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each error of each game of each player of the same files."""
+    players = spark.read.schema(schemas.COHORT).option("multiLine", True).json(path)
+    games = players.select("id", "band", "rating", F.posexplode("games").alias("game", "g"))
+    return games.select("id", "band", "rating", "game", F.col("g.end_time").alias("end_time"), F.posexplode("g.errors").alias("place", "e")).select("id", "band", "rating", "game", "end_time", "place", "e.*")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...]) -> DataFrame:
     """Lines that parse; a line that is cut short goes, and of equal keys the first in the file stays."""
     rows = spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"), F.monotonically_increasing_id().alias("_place"), F.col("_metadata.file_name").alias("_file"))
@@ -73,6 +80,6 @@ def json_lines(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...
 
 
 def norms(spark: SparkSession, path: str) -> DataFrame:
-    """(category, offset) of a norms file; no rows where it can't be read."""
+    """(category, offset, shrink_strength) of a norms file, the strength null where it has none; no rows where it can't be read."""
     docs = spark.read.schema("offsets map<string, double>, shrink_strength double").option("multiLine", True).json(path)
-    return docs.where("offsets is not null").select(F.explode("offsets").alias("category", "offset"))
+    return docs.where("offsets is not null").select(F.explode("offsets").alias("category", "offset"), "shrink_strength")

@@ -49,3 +49,13 @@ def apply_edits(stored: DataFrame, edits: DataFrame) -> DataFrame:
     out = stored.join(last, ["player_id", "puzzle_id"], "left").join(everything, "player_id", "left")
     kept = F.col("cleared").isNull() & (F.col("e.action").isNull() | (F.col("e.action") != "delete"))
     return out.where(kept).withColumn("feedback", F.when(F.col("e.action") == "feedback", F.col("e.feedback")).otherwise(F.col("feedback"))).drop("e", "cleared")
+
+
+def edit_errors(stored: DataFrame, edits: DataFrame) -> DataFrame:
+    """(player_id, puzzle_id, seq, action, error) of the edits that meet no puzzle: it was never stored, or an earlier edit has deleted it or all of the player's."""
+    one = edits.where("puzzle_id <> '*'").select("player_id", "puzzle_id", "seq", "action")
+    gone = edits.where("action = 'delete' and puzzle_id <> '*'").groupBy("player_id", "puzzle_id").agg(F.min("seq").alias("gone"))
+    cleared = edits.where("action = 'delete' and puzzle_id = '*'").groupBy("player_id").agg(F.min("seq").alias("cleared"))
+    rows = one.join(stored.select("player_id", "puzzle_id", F.lit(True).alias("known")).distinct(), ["player_id", "puzzle_id"], "left").join(gone, ["player_id", "puzzle_id"], "left").join(cleared, "player_id", "left")
+    bad = F.col("known").isNull() | F.coalesce(F.col("seq") > F.col("gone"), F.lit(False)) | F.coalesce(F.col("seq") > F.col("cleared"), F.lit(False))
+    return rows.where(bad).select("player_id", "puzzle_id", "seq", "action", F.lit("unknown puzzle").alias("error"))

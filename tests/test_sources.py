@@ -30,10 +30,13 @@ def test_cohort_lines_and_norms(spark, tmp_path):
     o = {"category": "Pin", "hit": True, "wp_loss": 1.0, "phase": "opening", "ply": 9}
     dump(tmp_path / "c" / "p.json", {"id": "p", "band": 1, "rating": 1200, "games": [{"end_time": 5, "opportunities": [o, {**o, "hit": False}]}, {"end_time": 6, "opportunities": []}]})
     assert [(r.game, r.place, r.hit) for r in readers.cohort(spark, str(tmp_path / "c")).orderBy("place").collect()] == [(0, 0, True), (0, 1, False)]
+    e = {"category": "Fork", "severity": "blunder", "phase": "endgame", "wp_loss": 31.5}
+    dump(tmp_path / "e" / "p.json", {"id": "p", "band": 1, "rating": 1200, "games": [{"end_time": 5, "errors": []}, {"end_time": 6, "errors": [e, {**e, "category": "Pin"}]}, {"end_time": 7}]})
+    assert [(r.id, r.game, r.place, r.category, r.wp_loss) for r in readers.cohort_errors(spark, str(tmp_path / "e")).orderBy("place").collect()] == [("p", 1, 0, "Fork", 31.5), ("p", 1, 1, "Pin", 31.5)]
     dump(tmp_path / "l.jsonl", '{"player": "a", "game": 1, "x": 1}\n{"player": "a", "game": 1, "x": 2}\n{"player": "b", "ga')
     assert [(r.player, r.x) for r in readers.json_lines(spark, str(tmp_path / "l.jsonl"), "player string, game int, x int", ("player", "game")).collect()] == [("a", 1)]
     dump(tmp_path / "n.json", {"offsets": {"Fork": 1.0}, "shrink_strength": 4})
-    assert [tuple(r) for r in readers.norms(spark, str(tmp_path / "n.json")).collect()] == [("Fork", 1.0)]
+    assert [tuple(r) for r in readers.norms(spark, str(tmp_path / "n.json")).collect()] == [("Fork", 1.0, 4.0)]
     dump(tmp_path / "bad.json", "[")
     assert readers.norms(spark, str(tmp_path / "bad.json")).collect() == []
 
