@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, need, slices, small_batches
+from .simhash import MAP_BITS, _wanted
 
 KINDS = ("email", "ip", "card", "phone", "term")
 ALPHA, SUPPORT, WINDOW = 0.8, 2, 8
@@ -138,6 +139,33 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _rows_in(marked, wanted: bool):
+    """The rows (k2, text) whose key is, or isn't, on the map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked.value[batch.column(0).to_numpy() % MAP_BITS] == wanted))
+
+    return run
+
+
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """(term, n_t): in how many distinct texts each term is. rows: k2, text.
+
+    Only texts that are there more than once, and a few others on the same bits of a map of fixed size, are sent to meet their repeats; all others are counted where they are.
+    """
+    again = rows.groupBy("k2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k2").alias("node"))
+    marked = rows.sparkSession.sparkContext.broadcast(_wanted(again))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _frequencies(x.select(["text"]) for x in _rows_in(marked, False)(batches))
+
+    # The first row of each repeated text: most repeats go before anything is sent.
+    first = rows.mapInArrow(_rows_in(marked, True), "k2 long, text string").dropDuplicates(["k2"]).select("text")
+    counts = rows.mapInArrow(once, "term long, n long").unionByName(first.mapInArrow(_frequencies, "term long, n long"))
+    return counts.groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT, window: int = WINDOW) -> DataFrame:
     """(id, k1, k2, base, terms) for every row of docs: the patterns' spans and those of disclosing terms, in code points.
 
@@ -154,10 +182,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.sum(F.col("cased") + 1).alias("evidence"))
     pairs = cut(pairs.where(F.col("evidence") >= support).drop("evidence"))
     entities = near.groupBy("entity", "k2").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    # One row of each text: most repeats go before anything is sent.
-    texts = need(rows.where("text is not null"), "k2", "text").dropDuplicates(["k2"])
-    terms = need(texts, "text").mapInArrow(_frequencies, "term long, n long")
-    terms = terms.groupBy("term").agg(F.sum("n").alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
+    terms = _term_counts(need(rows.where("text is not null"), "k2", "text")).join(pairs.select("term").distinct(), "term", "left_semi")
     pmi = F.log2(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     flagged = pairs.join(entities, "entity").join(terms, "term").where(pmi >= alpha * F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))).where(F.col("n_e") < n).select("entity", "term")
     hits = near.join(flagged, ["entity", "term"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "end"))).alias("terms"))
