@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.puzzles import mined_rating, mined_tier
+from ..functions.puzzles import mined_puzzle_id, mined_rating, mined_tier
 
 DROP, MARGIN, FORCED, LEVEL = 150, 100, 80, 800
 PLIES, PER_GAME = 6, 5
@@ -92,7 +92,7 @@ def resolve_label(motifs: DataFrame, allowed: dict[int, tuple[str, ...]] | None
 def mine(positions: DataFrame, lines: DataFrame, again: DataFrame, total: int, per_game: int = PER_GAME, targets: tuple[str, ...] = ()) -> DataFrame:
     """Puzzles from evaluated positions (line_id, seq, game_id, fen, ply_no, category, evaluations): gates, forced continuation, a second look at the first move, rating and tier, caps, target categories first.
 
-    lines: (line_id, ply, gap) of the plies after the first move; again: (line_id, first_choice, gap) of the first move on the second look.
+    positions may have the moves of their line (moves), which give a puzzle its id. lines: (line_id, ply, gap) of the plies after the first move; again: (line_id, first_choice, gap) of the first move on the second look.
     """
     found = candidate_gates(positions)
     forced = forced_prefix(lines).withColumnRenamed("n_plies", "more")
@@ -101,5 +101,6 @@ def mine(positions: DataFrame, lines: DataFrame, again: DataFrame, total: int, p
     # The line ends with the player's move: a last reply of the opponent goes.
     rows = rows.withColumn("n_plies", F.col("n_plies") - F.when(F.col("n_plies") % 2 == 0, 1).otherwise(0))
     rating = mined_rating(F.col("eval_drop"), F.col("n_plies") + 1)
-    rows = rows.select("seq", "game_id", "fen", "category", "eval_drop", F.col("n_plies").cast("int").alias("n_plies"), rating.alias("rating"), mined_tier(rating).alias("tier"))
+    known = [mined_puzzle_id(F.col("fen"), F.col("moves")).alias("puzzle_id")] if "moves" in rows.columns else []
+    rows = rows.select(*known, "seq", "game_id", "fen", "category", "eval_drop", F.col("n_plies").cast("int").alias("n_plies"), rating.alias("rating"), mined_tier(rating).alias("tier"))
     return caps(rows, total, per_game, targets)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import games as G
@@ -286,19 +287,20 @@ def r17_record_result_arms(v):
 
 @query(f"""WITH {LINES}, h AS (SELECT *, CASE WHEN ply % 2 = 1 THEN coalesce(gap >= 100, true) ELSE coalesce(gap >= 80, true) END AS holds FROM lines WHERE ply < 6), w AS (SELECT *, bool_and(holds) OVER (PARTITION BY line_id ORDER BY ply) AS whole FROM h),
 c AS (SELECT line_id, count(*) FILTER (WHERE whole) AS n, min(ply) FILTER (WHERE NOT whole) AS broken FROM w GROUP BY 1), f AS (SELECT line_id, n - CASE WHEN broken % 2 = 1 AND n > 0 THEN 1 ELSE 0 END AS more FROM c),
-p AS (SELECT game_id * 1000000 + l_partkey * 10 + ply_no AS seq, min(game_id) AS game_id, min(category) AS category, min(best_cp - after_cp) AS eval_drop, min(l_partkey) AS l_partkey FROM positions WHERE abs(best_cp) <= 800 AND (second_cp IS NULL OR best_cp - second_cp >= 100) AND best_cp - after_cp >= 150 GROUP BY 1),
-a AS (SELECT p.*, 1 + coalesce(more, 0) AS k FROM p LEFT JOIN f ON f.line_id = p.game_id WHERE l_partkey % 6 <> 0), b AS (SELECT *, k - CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS n_plies FROM a),
+r AS (SELECT *, game_id * 1000000 + l_partkey * 10 + ply_no AS seq FROM positions QUALIFY row_number() OVER (PARTITION BY seq ORDER BY after_cp, best_cp, coalesce(second_cp, -99999), l_suppkey, category) = 1),
+p AS (SELECT *, best_cp - after_cp AS eval_drop FROM r WHERE abs(best_cp) <= 800 AND (second_cp IS NULL OR best_cp - second_cp >= 100) AND best_cp - after_cp >= 150),
+a AS (SELECT p.*, 1 + coalesce(more, 0) AS k FROM p LEFT JOIN f ON f.line_id = p.game_id WHERE l_partkey % 6 <> 0 AND coalesce(best_cp - second_cp - l_suppkey % 3 * 40 >= 100, true)), b AS (SELECT *, k - CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS n_plies FROM a),
 g AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY seq) AS rn FROM b), d AS (SELECT *, row_number() OVER (PARTITION BY l_partkey % 700 ORDER BY seq) AS place FROM g WHERE rn <= 5), m AS (SELECT *, least(2400, greatest(700, trunc(800 + 0.6::DOUBLE * least(eval_drop - 150, 700) + 150 * (n_plies + 1 - 2))))::INT AS rating FROM d WHERE place = 1)
-SELECT seq, category, eval_drop, n_plies::INT AS n_plies, rating, CASE WHEN rating < 1000 THEN 'Beginner' WHEN rating < 1300 THEN 'Easy' WHEN rating < 1600 THEN 'Intermediate' WHEN rating < 1900 THEN 'Advanced' ELSE 'Expert' END AS tier FROM m ORDER BY category NOT IN ('Fork', 'Pin'), seq LIMIT 60""", PV)
+SELECT 'gen_' || substr(md5('f' || l_partkey % 700 || 'm' || l_suppkey || 'n' || ply_no), 1, 8) AS puzzle_id, seq, category, eval_drop, n_plies::INT AS n_plies, rating, CASE WHEN rating < 1000 THEN 'Beginner' WHEN rating < 1300 THEN 'Easy' WHEN rating < 1600 THEN 'Intermediate' WHEN rating < 1900 THEN 'Advanced' ELSE 'Expert' END AS tier FROM m ORDER BY category NOT IN ('Fork', 'Pin'), seq LIMIT 60""", PV)
 def r18_mine_puzzles(v):
     seq = F.col("game_id") * 1000000 + F.col("l_partkey") * 10 + F.col("ply_no")
-    p = MI.candidate_gates(v("moves")).groupBy(seq.alias("seq")).agg(F.min("game_id").alias("game_id"), F.min("category").alias("category"), F.min("eval_drop").alias("drop"), F.min("l_partkey").alias("l_partkey"))
-    # The gates have been passed: one row a puzzle, with evaluations that say the same.
-    p = p.select("seq", "game_id", "category", "l_partkey", F.concat(F.lit("f"), (F.col("l_partkey") % 700).cast("string")).alias("fen"), F.lit(0).alias("best_cp"), F.lit(None).cast("int").alias("second_cp"), (-F.col("drop")).alias("after_cp"))
-    p = p.withColumn("line_id", F.col("game_id") * 1000000 + F.col("l_partkey") * 10 + F.col("seq") % 10)
+    first = Window.partitionBy("seq").orderBy("after_cp", "best_cp", F.coalesce("second_cp", F.lit(-99999)), "l_suppkey", "category")
+    p = v("moves").withColumn("seq", seq).withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
+    text = lambda *x: F.concat(*[F.lit(c) if isinstance(c, str) else c.cast("string") for c in x])
+    p = p.withColumns({"line_id": F.col("seq"), "fen": text("f", F.col("l_partkey") % 700), "moves": text("m", F.col("l_suppkey"), " n", F.col("ply_no"))})
     lines = p.select("line_id", "game_id").join(_lines(v).withColumnRenamed("line_id", "game_id"), "game_id").select("line_id", "ply", "gap")
-    again = p.select("line_id", (F.col("l_partkey") % 6 != 0).alias("first_choice"), F.lit(100).alias("gap"))
-    return MI.mine(p, lines, again, 60, 5, ("Fork", "Pin")).select("seq", "category", "eval_drop", "n_plies", "rating", "tier")
+    again = p.select("line_id", (F.col("l_partkey") % 6 != 0).alias("first_choice"), (F.col("best_cp") - F.col("second_cp") - F.col("l_suppkey") % 3 * 40).alias("gap"))
+    return MI.mine(p, lines, again, 60, 5, ("Fork", "Pin")).select("puzzle_id", "seq", "category", "eval_drop", "n_plies", "rating", "tier")
 
 
 @query()
