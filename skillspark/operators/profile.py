@@ -113,7 +113,7 @@ def opening_repertoire(games: DataFrame, top: int = 10) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-#: Categories that a short loss, or a long one, speaks for.
+# Categories that a short loss, or a long one, speaks for.
 SHARP = ("Fork", "Pin", "Hanging Piece", "Discovered Attack", "Skewer", "Deflection", "King Safety", "Mating Pattern")
 
 

@@ -9,7 +9,7 @@ from ..functions.games import clamp_rating, logit
 from ..functions.puzzles import difficulty_tier
 from . import metrics as M
 
-#: Categories that count as tactical in the quality of mined puzzles.
+# Categories that count as tactical in the quality of mined puzzles.
 TACTICAL = ("Fork", "Pin", "Skewer", "Discovered Attack", "Mating Pattern", "Sacrifice", "Promotion", "Hanging Piece", "X-Ray Attack", "King Safety")
 
 

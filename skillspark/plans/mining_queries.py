@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import mining as O
+from ..operators.metrics import running
 from .registry import query
 
 PV = ("positions", "arms")
@@ -143,7 +144,8 @@ def w13_band_interleave(v):
     from ..functions.games import rating_band
 
     b = v("players").select("player_id", F.coalesce(rating_band(F.col("rating")), F.lit(4)).alias("band"))
-    b = b.withColumn("rn", F.row_number().over(Window.partitionBy("band").orderBy("player_id")))
+    # A band's players are ranked in ranges of ids, as there are five bands only.
+    b = running(b.withColumn("one", F.lit(1).cast("long")), ("band",), "player_id", {"earlier": "one"}).select("player_id", "band", (F.col("earlier") + 1).alias("rn"))
     # Place = all of earlier rounds, and bands before this one in this round: from the bands' sizes, five numbers.
     sizes = b.groupBy("band").agg(F.count("*").alias("size")).agg(F.map_from_entries(F.collect_list(F.struct("band", "size"))).alias("sizes"))
     n = F.col("rn")
