@@ -220,7 +220,7 @@ SKETCH = 64
 WIDE = 27
 #: Texts that share a shingle and aren't all linked are a crowd if their pairs are over CROWD^2; TRIES members of its main group are tried by each of the others, of SOME beside it under a shingle and
 #: twice as many in each further turn, of which there are TURNS at most.
-CROWD, TRIES, SOME, TURNS = 64, 8, 8, 6
+CROWD, TRIES, SOME, TURNS = 64, 8, 8, 8
 #: Bits of the map of the texts whose whole sets are asked for; its size doesn't grow with the documents.
 MAP_BITS = 1 << 23
 
@@ -455,7 +455,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         line = Window.partitionBy("h", F.pmod(F.xxhash64("node"), "blocks")).orderBy(F.xxhash64("node", "h", F.lit(turn)), "node")
         member = F.collect_list(F.when(F.col("root") == F.col("main"), mine)).over(line.rowsBetween(-SOME << turn, SOME << turn))
         near_by = F.transform(F.filter("them", lambda x: _possible(similarity, x, F.col("me"))), lambda x: F.struct(_apart(x["fp"], F.col("me.fp")).alias("d"), x["node"].alias("x")))
-        tries = crowds.select("root", "main", mine.alias("me"), member.alias("them")).where("root <> main").select(F.col("me.node").alias("y"), F.explode(F.slice(F.array_sort(near_by), 1, 2)).alias("z")).select("y", "z.x", "z.d").distinct()
+        tries = crowds.select("root", "main", mine.alias("me"), member.alias("them")).where("root <> main").select(F.col("me.node").alias("y"), F.explode(F.slice(F.array_sort(near_by), 1, TRIES // 2)).alias("z")).select("y", "z.x", "z.d").distinct()
         tries = tries.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy("d", "x"))).where(F.col("place") <= TRIES)
         tries, tries_path, _ = store.few(tries.select("x", "y"))
         linked = verified(tries.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
