@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, hashes, mix, need, slices, small_batches, words_of
+from ..operators.store import Store
+from .common import as_bytes, hashes, mix, need, slices, small_batches, words_of
 
 LENGTH, K, HOT = 35, 8, 10_000
 #: Hot anchors that are broadcast at most.
@@ -193,7 +194,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, F.lit(7)).alias("k1"), F.xxhash64(text_col, F.lit(11)).alias("k2"))
     found = need(rows, "k1", "k2", "text").mapInArrow(_anchor_rows(length, k), "anchor long, k1 long, k2 long, at int")
-    again = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    store = Store(docs.sparkSession)
+    again, _ = store.put(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     # Rows of hot anchors are known by these alone, if they are few enough to be broadcast, and are dealt out by place; the others meet their counts by anchor.
     often = again.where(F.col("n") > hot).select("anchor", F.lit(True).alias("often"))
     marked = found.join(F.broadcast(often), "anchor", "left") if often.count() <= MOST_BROADCAST else found.withColumn("often", F.lit(None).cast("boolean"))
@@ -201,7 +203,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = marked.join(again.withColumnRenamed("anchor", "key"), "key", "left").where("often or n is not null")
     places = met.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("often") | (F.col("n") > hot), -1 - F.col("at")).otherwise(F.col("at"))).alias("places"))
     # Both joins take the same columns of rows, so that its texts are shuffled once.
-    keyed = rows.join(cut(places), ["k1", "k2"]).select("id", "k1", "k2", "text", "places")
+    places, _ = store.put(places)
+    keyed = rows.join(places, ["k1", "k2"]).select("id", "k1", "k2", "text", "places")
     blocks = keyed.mapInArrow(_block_rows(length, k), "part long, anchor long, wins array<long>, k1 long, k2 long, first int")
     blocks = blocks.withColumn("block", F.xxhash64("anchor", "wins"))
     ref = F.shiftleft(F.col("k1").bitwiseXOR(F.col("k2")).bitwiseAND(F.lit((1 << 39) - 1)), 24) + F.col("first")
