@@ -22,9 +22,13 @@ def _place(df: DataFrame) -> str:
     return f"{shared_folder(df.sparkSession)}/files-{uuid.uuid4().hex}"
 
 
-def _documents(rows: DataFrame, key: str, *columns: Column, files: int = 16) -> str:
-    """Writes the rows as documents, an array of them in each of some files; the folder."""
-    place = _place(rows)
+#: Entries (attempts, games, moves) of a file of documents, which its reader holds as one array.
+ENTRIES = 20_000
+
+
+def _documents(rows: DataFrame, key: str, *columns: Column, entries: int) -> str:
+    """Writes the rows as documents, an array of them in each of as many files as so many entries need; the folder."""
+    place, files = _place(rows), max(16, entries // ENTRIES)
     text = rows.select(F.pmod(F.xxhash64(key), F.lit(files)).alias("bucket"), F.to_json(F.struct(*columns)).alias("doc")).groupBy("bucket").agg(F.concat(F.lit("["), F.array_join(F.collect_list("doc"), ","), F.lit("]")).alias("value"))
     text.write.partitionBy("bucket").text(place)
     return place
@@ -51,7 +55,7 @@ def _sessions(v) -> tuple[DataFrame, str]:
     a = v("attempts")
     entry = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.col("puzzle_id").alias("puzzleId"), "category", F.col("rating").cast("double").alias("rating"), "solved")
     docs = a.groupBy("player_id").agg(F.collect_list(entry).alias("history")).join(v("players").select("player_id", F.col("rating").cast("double").alias("estimatedElo")), "player_id", "left")
-    return a, _documents(docs, "player_id", F.concat(F.lit("u"), F.col("player_id").cast("string")).alias("username"), F.when(F.col("player_id") % 3 > 0, F.col("estimatedElo")).alias("estimatedElo"), F.col("history"))
+    return a, _documents(docs, "player_id", F.concat(F.lit("u"), F.col("player_id").cast("string")).alias("username"), F.when(F.col("player_id") % 3 > 0, F.col("estimatedElo")).alias("estimatedElo"), F.col("history"), entries=a.count())
 
 
 @query("SELECT 'u' || player_id AS username, puzzle_id, category, rating::DOUBLE AS rating, solved FROM attempts WHERE rating <> 0 AND solved IS NOT NULL", ("attempts",))
@@ -73,7 +77,7 @@ def s7_read_game_archives(v):
         F.when(F.col("game_id") % 10 != 0, F.concat(F.lit("g"), F.col("game_id").cast("string"))).otherwise("").alias("pgn"), F.lit(True).alias("rated"), "time_class",
         F.struct(F.col("num_moves").cast("double").alias("white"), (100 - F.col("num_moves")).cast("double").alias("black")).alias("accuracies"), F.struct(F.when(F.col("color") == "white", "The Hero").otherwise("Another").alias("username")).alias("white"),
     )
-    place = _documents(g.groupBy("player_id").agg(F.collect_list(game).alias("games")), "player_id", F.col("games"))
+    place = _documents(g.groupBy("player_id").agg(F.collect_list(game).alias("games")), "player_id", F.col("games"), entries=g.count())
     return readers.game_archives(g.sparkSession, place, "hero").select("pgn", "time_class", "accuracy")
 
 
@@ -83,7 +87,7 @@ def _cohort(v) -> tuple[DataFrame, str]:
     error = F.struct("category", "severity", "phase", F.round("wp_loss", 6).alias("wp_loss"))
     by = p.groupBy("game_id").agg(F.collect_list(F.when(F.col("critical"), seen)).alias("opportunities"), F.collect_list(F.when(F.col("severity").isNotNull(), error)).alias("errors"))
     games = v("games").select("game_id", "player_id").join(by, "game_id").groupBy("player_id").agg(F.collect_list(F.struct(F.col("game_id").alias("end_time"), "opportunities", "errors")).alias("games"))
-    return p, _documents(games, "player_id", F.col("player_id").cast("string").alias("id"), F.lit(1).alias("band"), F.col("games"))
+    return p, _documents(games, "player_id", F.col("player_id").cast("string").alias("id"), F.lit(1).alias("band"), F.col("games"), entries=v("moves").count())
 
 
 @query(f"WITH {GRADED} SELECT player_id::VARCHAR AS id, game_id AS end_time, category, count(*) AS n, count(*) FILTER (WHERE hit) AS hits FROM g WHERE critical GROUP BY 1, 2, 3", ("games", "positions"))
