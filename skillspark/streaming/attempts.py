@@ -140,6 +140,33 @@ def skill(attempts: DataFrame, states: DataFrame | None = None) -> DataFrame:
     return attempts.groupBy("player_id").transformWithStateInPandas(_SkillProcessor(), "attempt_id long, player_id long, predicted double, best int, current int", "append", "None", held)
 
 
+class _Streaks(StatefulProcessor):
+    """A player's streak and the longest one; an attempt of another category than the arms leaves both."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("streaks", "current int, best int")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = self.state.get()
+        current, best = held if held is not None else (0, 0)
+        parts = [(x["ts"].to_numpy(), x["attempt_id"].to_numpy(), x["solved"].to_numpy()) for x in rows]
+        ts, ids, solved = (np.concatenate(c) for c in zip(*parts))
+        for hit in solved[np.lexsort((ids, ts))].tolist():
+            current = current + 1 if hit else 0
+            best = max(best, current)
+        self.state.update((current, best))
+        yield pd.DataFrame({"player_id": [key[0]], "current": [current], "best": [best]})
+
+    def close(self) -> None:
+        pass
+
+
+def streaks(attempts: DataFrame) -> DataFrame:
+    """(player_id, current, best) of each player of a batch after it: solves in a row now and at most, over attempts of the arms; needs the RocksDB state store."""
+    known = attempts.where(F.col("category").isin(*ARMS)).select("player_id", "ts", "attempt_id", "solved")
+    return known.groupBy("player_id").transformWithStateInPandas(_Streaks(), "player_id long, current int, best int", "append", "None")
+
+
 class _OrderedSkill(_SkillProcessor):
     """Attempts wait until the watermark has passed them and then go in order of time; those that come after it are late."""
 
