@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,9 +123,9 @@ def glicko2_replay(attempts: DataFrame, seeds: DataFrame | None = None, pool_rd:
     return rows.mapInArrow(run, "attempt_id long, player_id long, predicted double")
 
 
-_SIDES = {"player": ("a_mu", "a_phi", "a_sigma"), "puzzle": ("b_mu", "b_phi", "b_sigma")}
-_START = {side: tuple(f"{c}_start" for c in names) for side, names in _SIDES.items()}
-_EVENT = "attempt_id long, player_id long, puzzle_id string, ts timestamp, solved boolean"
+_START = {side: tuple(f"{c}_{x}_start" for x in ("mu", "phi", "sigma")) for side, c in (("player", "a"), ("puzzle", "b"))}
+#: Rounds of a large component that run before it is looked whether any state has changed, rows of a task at a time, and tasks' rows; chains that are replayed one by one where fewer stand side by side.
+ROUNDS, BUFFER, TASK, FEW = 4, 100_000, 20_000, 24
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -165,83 +166,162 @@ def _in_order(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "attempt_id long, player_id long, predicted double, side string, id string, mu double, phi double, sigma double")
 
 
-def _replayed(rows: DataFrame, side: str) -> DataFrame:
-    """Events with the states of one side before them, each of its chains replayed against the other side's states as they stand; `change` is the largest so far of a round."""
-    key, other = f"{side}_id", "puzzle" if side == "player" else "player"
-    mine, start, theirs = _SIDES[side], _START[side], _SIDES[other]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, me = None, (0.0, 1.0, VOLATILITY)
-        for batch in batches:
-            get = lambda c: batch.column(c).to_pylist()
-            out, change = [], []
-            for k, solved, mu_j, phi_j, old_mu, old_phi, far, *begin in zip(get(key), get("solved"), get(theirs[0]), get(theirs[1]), get(mine[0]), get(mine[1]), get("change"), *map(get, start)):
-                if k != here:
-                    here, me = k, tuple(begin)
-                out.append(me)
-                change.append(max(far, abs(me[0] - old_mu), abs(me[1] - old_phi)))
-                me = one_game(*me, mu_j, phi_j, float(solved) if side == "player" else 1.0 - float(solved))
-            new = dict(zip(mine, zip(*out))) if out else dict.fromkeys(mine, ())
-            new["change"] = change
-            yield pa.RecordBatch.from_arrays([pa.array(new[c], pa.float64()) if c in new else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
-
-    return rows.repartition(key).sortWithinPartitions(key, "ts", "attempt_id").mapInArrow(run, rows.schema)
-
-
-def _ends(rows: DataFrame, side: str) -> DataFrame:
-    """(side, id, mu, phi, sigma) after the last event of each of a side's chains."""
-    other = "puzzle" if side == "player" else "player"
-    names = (*_SIDES[side], *_SIDES[other][:2])
-    score = F.col("solved").cast("double") if side == "player" else 1 - F.col("solved").cast("double")
-    last = rows.groupBy(F.col(f"{side}_id").cast("string").alias("id")).agg(F.max_by(F.struct(*names, score.alias("score")), F.struct("ts", "attempt_id")).alias("x")).select("id", *[F.col(f"x.{c}") for c in (*names, "score")])
+def games(mu: np.ndarray, phi: np.ndarray, sigma: np.ndarray, mu_j: np.ndarray, phi_j: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`one_game` of many at once."""
+    g = 1 / np.sqrt(1 + 3 * phi_j * phi_j / math.pi**2)
+    p = 1 / (1 + np.exp(-g * (mu - mu_j)))
+    info = np.maximum(g * g * p * (1 - p), 1e-12)
+    square, start, d, t = (g * (score - p) / info) ** 2, 2 * np.log(sigma), phi * phi + 1 / info, TAU * TAU
+    room = square - d
+    low, x = start - t / 2, start
+    high = np.where(room > 0, start + np.minimum(t * square / (8 * d), np.maximum(0.0, np.log(np.where(room > 0, room, 1.0)) - start)), start)
+    for _ in range(100):
+        e = np.exp(x)
+        s = d + e
+        slope = e * (square - s) / (2 * s * s) - (x - start) / t
+        low, high = np.where(slope > 0, x, low), np.where(slope > 0, high, x)
+        bend = e * (square * (d - e) - d * s) / (2 * s * s * s) - 1 / t
+        new = np.where(bend < 0, x - slope / np.where(bend < 0, bend, -1.0), low - 1)
+        new = np.where((low <= new) & (new <= high), new, (low + high) / 2)
+        far = np.abs(new - x).max()
+        x = new
+        if far < 1e-13:
+            break
+    sigma = np.exp(x / 2)
+    phi = 1 / np.sqrt(1 / (phi * phi + sigma * sigma) + info)
+    return mu + phi * phi * g * (score - p), phi, sigma
+
+
+def _along(first: np.ndarray, length: np.ndarray, state: np.ndarray, mu: np.ndarray, phi: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States before each row, and after the last one, of chains of rows: the i-th rows of all chains side by side, and one by one where few chains are left."""
+    before, order = np.zeros((len(mu), 3)), np.argsort(-length, kind="stable")
+    first, length, end = first[order], length[order], state[order]
+    i, most = 0, int(length.max(initial=0))
+    while i < most and (n := int(np.searchsorted(-length, -i, side="left"))) >= FEW:
+        at = first[:n] + i
+        before[at] = end[:n]
+        end[:n] = np.stack(games(*end[:n].T, mu[at], phi[at], score[at]), axis=1)
+        i += 1
+    for k in range(int(np.searchsorted(-length, -i, side="left"))):
+        here, me, out = slice(first[k] + i, first[k] + length[k]), tuple(end[k].tolist()), []
+        for x in zip(mu[here].tolist(), phi[here].tolist(), score[here].tolist()):
+            out.append(me)
+            me = one_game(*me, *x)
+        before[here], end[k] = out, me
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return before, end[back]
+
+
+def _buffers(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _replayed(rows: DataFrame, states: DataFrame, side: str, parts: int, kept: bool = False, ends: bool = False) -> DataFrame:
+    """Events (key, other, at, mu, phi) for the other side: each of a side's chains is replayed against the other side's states mu and phi, and what goes on is its own state before each event.
+
+    at: twice the place of the event in time, and one more if it was solved. Where rows have no mu, chains keep the states that they begin with. kept: with the states far_mu and far_phi that the replay was against, and
+    the largest change so far of a round, if rows have what this side had before as far_mu and far_phi. ends: (side, key, mu, phi, sigma) after the last event of each chain instead.
+    """
+    compared, begun, size = "far_mu" in rows.columns, "mu" in rows.columns, BUFFER
+    if not begun:
+        rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("mu", "phi")})
+    begin = states.where(F.col("side") == side).select("key", F.lit(-1).cast("long").alias("at"), "mu", "phi", "sigma")
+    rows = rows.unionByName(begin, allowMissingColumns=True).repartition(parts, "key").sortWithinPartitions("key", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [one_game(*x) for x in zip(*(batch.column(c).to_pylist() for c in (*names, "score")))]
-            columns = list(zip(*done)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array([side] * batch.num_rows, pa.string()), batch.column("id"), *[pa.array(c, pa.float64()) for c in columns]], names=["side", "id", "mu", "phi", "sigma"])
-
-    return last.mapInArrow(run, "side string, id string, mu double, phi double, sigma double")
-
-
-def _by_slices(rows: DataFrame, number: int, tolerance: float, store: Store) -> tuple[DataFrame, DataFrame]:
+        last, held = None, None
+        for table in _buffers(batches, size):
+            key, at = table.column("key").to_numpy(), table.column("at").to_numpy()
+            get = lambda c: table.column(c).to_numpy()
+            mu, phi, sigma = get("mu"), get("phi"), get("sigma")
+            b = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            fresh, state = at[b] < 0, np.stack([mu[b], phi[b], sigma[b]], axis=1)
+            if not fresh[0]:  # the chain goes on from the rows before
+                state[0] = held
+            first = b + fresh
+            length = np.r_[b[1:], len(key)] - first
+            if begun:
+                won = (at & 1).astype(np.float64)
+                before, end = _along(first, length, state, mu, phi, won if side == "player" else 1.0 - won)
+            else:
+                before, end = np.zeros((len(key), 3)), state
+                before[at >= 0] = np.repeat(state, length, axis=0)
+            if ends:
+                if last is not None and last != key[0]:
+                    yield _state(side, np.array([last]), held[None])
+                yield _state(side, key[b[:-1]], end[:-1])
+            last, held = key[-1], end[-1]
+            if not ends:
+                e = at >= 0
+                new = {"key": table.column("other").filter(pa.array(e)), "other": pa.array(key[e]), "at": pa.array(at[e]), "mu": pa.array(before[e, 0]), "phi": pa.array(before[e, 1])}
+                if kept:
+                    new |= {"far_mu": pa.array(mu[e]), "far_phi": pa.array(phi[e])}
+                    change = np.maximum(np.abs(before[e, 0] - get("far_mu")[e]), np.abs(before[e, 1] - get("far_phi")[e])) if compared else np.zeros(int(e.sum()))
+                    new["change"] = pa.array(np.maximum(change, get("change")[e]) if compared else change)
+                yield from pa.table(new).combine_chunks().to_batches()
+        if ends and last is not None:
+            yield _state(side, np.array([last]), held[None])
+
+    if ends:
+        return rows.mapInArrow(run, "side string, key long, mu double, phi double, sigma double")
+    return rows.mapInArrow(run, "key long, other long, at long, mu double, phi double" + (", far_mu double, far_phi double, change double" if kept else ""))
+
+
+def _state(side: str, key: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([side] * len(key), pa.string()), pa.array(key), *[pa.array(x) for x in state.T]], names=["side", "key", "mu", "phi", "sigma"])
+
+
+def _by_slices(rows: DataFrame, total: int, number: int, tolerance: float, store: Store) -> tuple[DataFrame, DataFrame]:
     """Predictions and final states of large components, slice of time by slice.
 
     In a slice, players are replayed against the puzzles' states as they stand, then puzzles against the players', and so on until no state before an event changes by more than
-    the tolerance (0: until it stands still, which is the replay in order).
+    the tolerance (0: until it stands still, which is the replay in order). Between the two go an event's numbers and one state of two numbers; each ROUNDS rounds are one job, whose last round is compared with the one before.
     """
+    names, _ = store.put(rows.groupBy("puzzle_id").agg(F.min_by(F.struct(*_START["puzzle"]), F.struct("ts", "attempt_id")).alias("x")).select("puzzle_id", F.monotonically_increasing_id().alias("puzzle"), "x.*"))
+    row = lambda df, side, key: df.select(F.lit(side).alias("side"), F.col(key).cast("long").alias("key"), *[F.col(c).alias(x) for c, x in zip(_START[side], ("mu", "phi", "sigma"))])
+    states, states_path = store.put(row(rows.groupBy("player_id").agg(*[F.any_value(c).alias(c) for c in _START["player"]]), "player", "player_id").unionByName(row(names, "puzzle", "puzzle")))
     second = F.unix_micros("ts")
     cuts = rows.select(second.alias("t")).approxQuantile("t", [i / number for i in range(1, number)], 0.2 / number) if number > 1 else []
     bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<long>")
-    rows = rows.withColumn("slice", F.size(F.filter(bounds, lambda b: b <= second)))
-    said, held, held_path = None, None, ""
+    rows = rows.withColumn("slice", F.size(F.filter(bounds, lambda b: b <= second))).join(names.select("puzzle_id", "puzzle"), "puzzle_id").select("slice", "ts", "attempt_id", "player_id", "puzzle", "solved")
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, total // number // TASK + 1))
+    said = None
     for k in range(len(set(cuts)) + 1):
-        here = rows.where(F.col("slice") == k).drop("slice", "root")
-        for side in ("player", "puzzle") if held is not None else ():
-            before = held.where(F.col("side") == side).select(F.col("id").alias("_id"), "mu", "phi", "sigma")
-            here = here.join(before, F.col(f"{side}_id").cast("string") == F.col("_id"), "left")
-            here = here.withColumns({c: F.coalesce(x, F.col(c)) for c, x in zip(_START[side], ("mu", "phi", "sigma"))}).drop("_id", "mu", "phi", "sigma")
-        here = here.withColumns({c: F.col(s) for side in _SIDES for c, s in zip(_SIDES[side], _START[side])} | {"change": F.lit(float("inf"))})
+        here = rows.where(F.col("slice") == k).orderBy("ts", "attempt_id")
+        here, numbered = store.put(here.select((2 * F.monotonically_increasing_id() + F.col("solved").cast("long")).alias("at"), "attempt_id", "player_id", "puzzle"))
+        both = _replayed(here.select(F.col("puzzle").alias("key"), F.col("player_id").alias("other"), "at"), states, "puzzle", parts)
         path, far = "", math.inf
         while far > tolerance:
-            both = _replayed(_replayed(here.withColumn("change", F.lit(0.0)), "player"), "puzzle")
-            here, new = store.put(both)
+            for i in range(ROUNDS):
+                both = _replayed(both, states, "player", parts, kept=i == ROUNDS - 1)
+                both = _replayed(both, states, "puzzle", parts, kept=i >= ROUNDS - 2)
+            done, new = store.put(both)
             if path:
                 store.discard(path)
             path = new
-            far = here.agg(F.max("change")).first()[0] or 0.0
-        predicted = 1 / (1 + F.exp(-(F.col("a_mu") - F.col("b_mu")) / F.sqrt(1 + 3 * F.col("b_phi") ** 2 / math.pi**2)))
-        part, _ = store.put(here.select("attempt_id", "player_id", predicted.alias("predicted")))
+            far = done.agg(F.max("change")).first()[0] or 0.0
+            both = done.select("key", "other", "at", "mu", "phi")
+        predicted = 1 / (1 + F.exp(-(F.col("far_mu") - F.col("mu")) / F.sqrt(1 + 3 * F.col("phi") ** 2 / math.pi**2)))
+        part, _ = store.put(done.select("at", predicted.alias("predicted")).join(here.select("at", "attempt_id", "player_id"), "at").select("attempt_id", "player_id", "predicted"))
         said = part if said is None else said.unionByName(part)
-        now = _ends(here, "player").unionByName(_ends(here, "puzzle"))
-        if held is not None:
-            now = now.unionByName(held.join(now.select("side", "id"), ["side", "id"], "left_anti"))
-        held, new = store.put(now)
-        store.discard(path)
-        if held_path:
-            store.discard(held_path)
-        held_path = new
-    return said, held
+        players = done.select("key", "other", "at", "mu", "phi")
+        puzzles = done.select(F.col("other").alias("key"), F.col("key").alias("other"), "at", F.col("far_mu").alias("mu"), F.col("far_phi").alias("phi"))
+        now, new = store.put(_replayed(players, states, "player", parts, ends=True).unionByName(_replayed(puzzles, states, "puzzle", parts, ends=True)))
+        for old in (path, numbered, states_path):
+            store.discard(old)
+        states, states_path = now, new
+    of = states.where("side = 'player'").select("side", F.col("key").cast("string").alias("id"), "mu", "phi", "sigma")
+    return said, of.unionByName(states.where("side = 'puzzle'").join(names.select(F.col("puzzle").alias("key"), "puzzle_id"), "key").select("side", F.col("puzzle_id").alias("id"), "mu", "phi", "sigma"))
 
 
 def glicko2_symmetric(attempts: DataFrame, seeds: DataFrame | None = None, most: int = 200_000, slice_events: int = 20_000_000, tolerance: float = 1e-7) -> tuple[DataFrame, DataFrame]:
@@ -253,20 +333,23 @@ def glicko2_symmetric(attempts: DataFrame, seeds: DataFrame | None = None, most:
     that component. Larger ones are cut into slices of about `slice_events` attempts by time, see _by_slices; there ratings may differ from a replay in order by an amount of about the tolerance, in units of
     173.7 points. Of attempts without rating or result none takes part. An empty table gives no rows.
     """
-    rows = seeded(attempts.where("rating is not null and solved is not null and puzzle_id is not null and player_id is not null"), seeds, "puzzle_id", dealt=False)
-    rows = _starts(rows.withColumns({"ts": F.col("ts").cast("timestamp"), "solved": F.col("solved").cast("boolean")}))
+    known = attempts.where("rating is not null and solved is not null and puzzle_id is not null and player_id is not null")
+    rows = known.select("attempt_id", "player_id", F.col("puzzle_id").cast("string").alias("puzzle_id"), F.col("ts").cast("timestamp").alias("ts"), "rating", F.col("solved").cast("boolean").alias("solved"))
     node = lambda c, k: F.xxhash64(F.lit(k), F.col(c).cast("string"))
     edges = rows.select(node("player_id", 0).alias("a"), node("puzzle_id", 1).alias("b")).distinct()
     store = Store(attempts.sparkSession)
     # Two nodes of one hash join their components, which changes no result.
-    rows, _ = store.put(rows.withColumn("node", node("player_id", 0)).join(components(edges), "node").drop("node"))
-    sizes = rows.groupBy("root").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > most).select("root")
-    total = sizes.where(F.col("n") > most).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    done = _in_order(rows.join(large, "root", "left_anti") if total else rows)
-    done, _ = store.put(done)
+    players, _ = store.put(rows.groupBy("player_id").agg(F.count("*").alias("n")).withColumn("node", node("player_id", 0)).join(components(edges), "node").drop("node"))
+    # A row for each `most` attempts at most.
+    large = players.groupBy("root").agg(F.sum("n").alias("size")).where(F.col("size") > most).select("root", F.lit(True).alias("large"))
+    players = players.join(F.broadcast(large), "root", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    total = players.where("large").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    seed = seeds.select("player_id", F.col("rating").cast("double").alias("seed")) if seeds is not None else None
+    players = players.drop("n").join(seed, "player_id", "left") if seed is not None else players.drop("n").withColumn("seed", F.lit(None).cast("double"))
+    rows, _ = store.put(_starts(rows.join(players, "player_id")))
+    done, _ = store.put(_in_order(rows.where("not large")))
     said, states = done.where("side is null").select("attempt_id", "player_id", "predicted"), done.where("side is not null").select("side", "id", "mu", "phi", "sigma")
     if total:
-        more, ends = _by_slices(rows.join(large, "root", "left_semi"), -(-total // slice_events), tolerance, store)
+        more, ends = _by_slices(rows.where("large"), total, -(-total // slice_events), tolerance, store)
         said, states = said.unionByName(more), states.unionByName(ends)
     return said, states.select("side", "id", (1500 + GLICKO_SCALE * F.col("mu")).alias("rating"), (GLICKO_SCALE * F.col("phi")).alias("rd"), F.col("sigma").alias("volatility"))
