@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.games import logit, sigmoid
+from .store import Store
 
 #: Strengths of shrinkage that are tried.
 STRENGTHS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0)
+#: Rows of means and cuts that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 20_000
+#: Rows of permutations that a task makes.
+TASK = 100_000
 
 
 def baselines(stats: DataFrame) -> DataFrame:
@@ -106,36 +111,49 @@ def importances(train: DataFrame, features: tuple[str, ...], label: str, seed: i
     return train.sparkSession.createDataFrame([(i + 1, f, float(x)) for i, (f, x) in enumerate(order)], "rank int, feature string, importance double")
 
 
-def permuted_labels(df: DataFrame, unit: str, label: str, times: int, seed: int = 0, part: int = 4096) -> DataFrame:
-    """(unit, rep, label): the labels at rep 0, and `times` permutations of them; each has every label as often as the data.
+def permuted_labels(df: DataFrame, unit: str, label: str, times: int, seed: int = 0, part: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(unit, rep, label, columns of keep): the labels at rep 0, and `times` permutations of them; each has every label as often as the data.
 
-    A permutation orders units by a hash and hands labels out in order, as many of each as there are. Places are taken in two steps, sums of ranges of the hash first, so that no task orders all units.
+    A permutation orders units by a hash and hands labels out in order, as many of each as there are. So a row's label follows from its hash and the hashes at which labels begin. These are found in two steps: rows are
+    counted by ranges of the hash, and only those of a range in which a label begins are ordered. No row of a permutation is sent to another task but these.
     """
-    rows = df.where(F.col(label).isNotNull() & F.col(unit).isNotNull()).select(unit, label)
+    rows = df.where(F.col(label).isNotNull() & F.col(unit).isNotNull()).withColumn("copy", F.row_number().over(Window.partitionBy(unit).orderBy(label))).select(unit, "copy", label, *keep)
+    store = Store(df.sparkSession)
+    rows, _ = store.put(rows)
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))
-    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    n, labels = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    small = F.broadcast if times * labels <= MOST_BROADCAST else lambda x: x
+    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * times // TASK + 1)
+    rows = rows.repartition(parts, unit, "copy")  # few and short rows, of which each makes `times`
     # A row for each label: those before it have places below `begin`.
-    bounds = counts.withColumn("begin", F.sum("n").over(Window.orderBy(label)) - F.col("n")).agg(F.array_sort(F.collect_list(F.struct("begin", F.col(label).alias("label")))).alias("bounds"))
-    drawn = rows.select(unit, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("rep")).withColumn("h", F.xxhash64(unit, "rep", F.lit(seed)))
+    begins = counts.select(F.col(label).alias("_label"), (F.sum("n").over(Window.orderBy(label)) - F.col("n")).alias("begin"))
+    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("h", F.xxhash64(unit, "rep", F.lit(seed)))
     drawn = drawn.withColumn("range", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * max(1, n // part)))
     sums = drawn.groupBy("rep", "range").agg(F.count("*").alias("k"))
-    sums = sums.select("rep", "range", (F.sum("k").over(Window.partitionBy("rep").orderBy("range")) - F.col("k")).alias("before"))
-    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("rep", "range").orderBy("h", unit)) - 1).join(sums, ["rep", "range"])
-    own = F.element_at(F.filter("bounds", lambda b: b["begin"] <= F.col("place") + F.col("before")), -1)["label"]
-    drawn = drawn.crossJoin(F.broadcast(bounds)).select(unit, "rep", own.alias(label))
-    return drawn.unionByName(rows.select(unit, F.lit(0).alias("rep"), label))
+    sums = sums.withColumn("before", F.sum("k").over(Window.partitionBy("rep").orderBy("range")) - F.col("k"))
+    wanted = sums.crossJoin(F.broadcast(begins)).where("begin >= before and begin < before + k").select("rep", "range", "_label", (F.col("begin") - F.col("before") + 1).alias("place"))
+    wanted = wanted.groupBy("rep", "range").agg(F.collect_list(F.struct("place", F.col("_label").alias("label"))).alias("wanted"))
+    place = F.row_number().over(Window.partitionBy("rep", "range").orderBy("h", unit, "copy"))
+    found = drawn.join(small(wanted), ["rep", "range"]).select("rep", "h", unit, "copy", "wanted", place.alias("place")).select("rep", "h", unit, "copy", F.explode(F.filter("wanted", lambda x: x["place"] == F.col("place"))).alias("x"))
+    cuts = found.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("h", F.col(unit).alias("unit"), "copy", "x.label"))).alias("cuts"))
+    cuts, _ = store.put(cuts)
+    here = F.struct("h", F.col(unit).alias("unit"), "copy")
+    own = F.element_at(F.filter("cuts", lambda c: F.struct(c["h"].alias("h"), c["unit"].alias("unit"), c["copy"].alias("copy")) <= here), -1)["label"]
+    drawn = drawn.join(small(cuts), "rep").select(unit, "rep", own.alias(label), *keep)
+    return drawn.unionByName(rows.select(unit, F.lit(0).alias("rep"), label, *keep))
 
 
 def permutation_scores(df: DataFrame, unit: str, features: tuple[str, ...], label: str, times: int = 500, folds: int = 5, seed: int = 0) -> DataFrame:
     """(rep, score): the cross-validated accuracy of the nearest class mean of standardised features, at rep 0 with the labels and then with each permutation of them.
 
-    The class means of a fold's training rows are sums of all folds less its own, so that each permutation is summed once.
+    The class means of a fold's training rows are sums of all folds less its own, so that each permutation is summed once. Rows of permutations are summed and scored where they are made; only sums and means are sent.
     """
-    good = df.where(F.expr(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in features)))
+    good = df.where(F.expr(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in features))).select(unit, label, *features)
+    good, _ = Store(df.sparkSession).put(good)
     stats = good.agg(*[x for i, c in enumerate(features) for x in (F.avg(c).alias(f"m{i}"), F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"s{i}"))])
     z = F.array(*[(F.col(c).cast("double") - F.col(f"m{i}")) / F.col(f"s{i}") for i, c in enumerate(features)])
-    rows = good.crossJoin(F.broadcast(stats)).select(unit, z.alias("z"), F.pmod(F.xxhash64(unit, F.lit(seed + 1)), F.lit(folds)).alias("fold"))
-    rows = permuted_labels(good, unit, label, times, seed).join(rows, unit).withColumnRenamed(label, "y")
+    rows = good.crossJoin(F.broadcast(stats)).select(unit, label, z.alias("z"), F.pmod(F.xxhash64(unit, F.lit(seed + 1)), F.lit(folds)).alias("fold"))
+    rows = permuted_labels(rows, unit, label, times, seed, keep=("z", "fold")).withColumnRenamed(label, "y")
     sums = rows.groupBy("rep", "fold", "y").agg(F.count("*").alias("n"), *[F.sum(F.col("z")[i]).alias(f"z{i}") for i in range(len(features))])
     names = ["n", *[f"z{i}" for i in range(len(features))]]
     whole = sums.groupBy("rep", "y").agg(*[F.sum(c).alias(f"all_{c}") for c in names])
@@ -145,7 +163,7 @@ def permutation_scores(df: DataFrame, unit: str, features: tuple[str, ...], labe
     means = means.groupBy("rep", "fold").agg(F.collect_list("x").alias("means"))
     far = lambda m: F.aggregate(F.zip_with("z", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     nearest = F.array_min(F.transform("means", lambda m: F.struct(far(m["mean"]).alias("d"), m["y"].alias("y"))))["y"]
-    return rows.join(means, ["rep", "fold"]).groupBy("rep").agg(F.avg((nearest == F.col("y")).cast("double")).alias("score"))
+    return rows.join(F.broadcast(means) if times * folds <= MOST_BROADCAST else means, ["rep", "fold"]).groupBy("rep").agg(F.avg((nearest == F.col("y")).cast("double")).alias("score"))
 
 
 def permutation_test(df: DataFrame, unit: str, features: tuple[str, ...], label: str, times: int = 500, folds: int = 5, seed: int = 0) -> DataFrame:
