@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .skill import seeded, shrink, sigmoid
+from .skill import buffers, seeded, shrink, sigmoid
 from .store import Store
 
 TAU, GLICKO_SCALE, VOLATILITY = 0.5, 173.7178, 0.06
@@ -213,18 +213,6 @@ def _along(first: np.ndarray, length: np.ndarray, state: np.ndarray, mu: np.ndar
     return before, end[back]
 
 
-def _buffers(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= size:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held)
-
-
 def _replayed(rows: DataFrame, states: DataFrame, side: str, parts: int, kept: bool = False, ends: bool = False) -> DataFrame:
     """Events (key, other, at, mu, phi) for the other side: each of a side's chains is replayed against the other side's states mu and phi, and what goes on is its own state before each event.
 
@@ -239,7 +227,7 @@ def _replayed(rows: DataFrame, states: DataFrame, side: str, parts: int, kept: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
-        for table in _buffers(batches, size):
+        for table in buffers(batches, size):
             key, at = table.column("key").to_numpy(), table.column("at").to_numpy()
             get = lambda c: table.column(c).to_numpy()
             mu, phi, sigma = get("mu"), get("phi"), get("sigma")
