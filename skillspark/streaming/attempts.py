@@ -7,7 +7,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -42,42 +42,51 @@ def served_join(served: DataFrame, results: DataFrame, within: str = "1 hour", w
 
 
 class _Served(StatefulProcessor):
-    """A player's open servings as a list; event-time timers free those that no result can use any more."""
+    """A player's open servings, the oldest first, and the time of the player's one timer, which frees those that no result can use any more.
+
+    Each call to the state store or for a timer costs a message: a batch of a player reads the state once and writes it once. A timer stays until it fires, which is at most too early, and is then set anew.
+    """
 
     def __init__(self, pending: int, within: int) -> None:
         self.pending, self.within = pending, within
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("pending", "puzzle_id string, serve_id long, at long")
+        self.held = handle.getValueState("open", "puzzle_id array<string>, serve_id array<long>, at array<long>, timer long")
 
-    def _put(self, open_: Pending) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+    def _get(self) -> tuple[Pending, int | None]:
+        held = self.held.get()
+        return Pending(self.pending, self.within, zip(*held[:3]) if held else ()), held[3] if held else None
+
+    def _put(self, open_: Pending, timer: int | None) -> None:
         if open_.open:
-            self.held.put([(k, *x) for k, x in open_.open.items()])
-            self.handle.registerTimer(min(at for _, at in open_.open.values()) // 1000 + self.within // 1000 + 1)
+            due = min(at for _, at in open_.open.values()) // 1000 + self.within // 1000 + 1
+            if timer is None or due < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(due)
+                timer = due
+        if open_.open or timer is not None:
+            serve_id, at = zip(*open_.open.values()) if open_.open else ((), ())
+            self.held.update((list(open_.open), list(serve_id), list(at), timer))
         else:
             self.held.clear()
 
-    def _get(self) -> Pending:
-        return Pending(self.pending, self.within, self.held.get() if self.held.exists() else ())
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        open_, out = self._get(), []
-        for puzzle, is_result, id_, at in pd.concat(list(rows)).sort_values(["at", "is_result", "id"])[["puzzle_id", "is_result", "id", "at"]].itertuples(index=False):
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        open_, timer = self._get()
+        out = []
+        for at, is_result, id_, puzzle in sorted((r.at, r.is_result, r.id, r.puzzle_id) for r in rows):
             if is_result:
-                out.append((id_, key[0], puzzle, open_.take(puzzle, at)))
+                out.append(Row(attempt_id=id_, player_id=key[0], puzzle_id=puzzle, serve_id=open_.take(puzzle, at)))
             else:
-                open_.serve(puzzle, int(id_), int(at))
-        self._put(open_)
-        done = pd.DataFrame(out, columns=["attempt_id", "player_id", "puzzle_id", "serve_id"])
-        yield done.astype({"serve_id": "Int64"})
+                open_.serve(puzzle, id_, at)
+        self._put(open_, timer)
+        return iter(out)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        open_ = self._get()
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        open_, _ = self._get()
         open_.expire(timerValues.getCurrentWatermarkInMs() * 1000)
-        self._put(open_)
+        self._put(open_, None)
         return iter([])
 
     def close(self) -> None:
@@ -87,7 +96,7 @@ class _Served(StatefulProcessor):
 def served_once(served: DataFrame, results: DataFrame, pending: int = PENDING, within_seconds: float = 3600.0, watermark: str = "2 hours") -> DataFrame:
     """The stream of operators.serving.served_once: (attempt_id, player_id, puzzle_id, serve_id), in the order of arrival, by time within a batch; needs the RocksDB state store."""
     rows = events(served, results).where("player_id is not null and puzzle_id is not null and ts is not null").withColumn("at", F.unix_micros("ts")).withWatermark("ts", watermark)
-    return rows.groupBy("player_id").transformWithStateInPandas(_Served(pending, int(within_seconds * 1e6)), "attempt_id long, player_id long, puzzle_id string, serve_id long", "append", "EventTime")
+    return rows.groupBy("player_id").transformWithState(_Served(pending, int(within_seconds * 1e6)), "attempt_id long, player_id long, puzzle_id string, serve_id long", "append", "EventTime")
 
 
 _HELD = "arms string, state array<double>, current int, best int"
