@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import Bucketizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions.games import logit, sigmoid
 from .store import Store
@@ -19,6 +25,10 @@ from .store import Store
 STRENGTHS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0)
 #: Rows of means and cuts that are broadcast at most; more are joined by a shuffle.
 MOST_BROADCAST = 20_000
+#: Bins of a feature, as many as Spark's trees take.
+BINS = 32
+#: Predicted cells that are broadcast at most; more are joined by a shuffle.
+MOST_CELLS = 200_000
 #: Rows of permutations that a task makes.
 TASK = 100_000
 
@@ -229,13 +239,58 @@ def human_difficulty(train: DataFrame, test: DataFrame, levels: tuple[str, ...],
     return out
 
 
-def tactic_classifier(train: DataFrame, test: DataFrame, features: tuple[str, ...], label: str = "category", rating: str = "rating", seed: int = 7) -> DataFrame:
-    """Adds predicted, confidence and predicted_rating to test: a forest over the categories that train has, and a boosted regression of the rating."""
-    index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip", stringOrderType="alphabetAsc")
-    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
-    model = Pipeline(stages=[index, assemble, RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=20, maxDepth=8, seed=seed)]).fit(train)
-    names = model.stages[0].labels
-    done = model.stages[2].transform(assemble.transform(test))
-    done = done.withColumns({"predicted": F.array(*map(F.lit, names))[F.col("prediction").cast("int")], "confidence": F.array_max(vector_to_array("probability"))}).drop("prediction", "rawPrediction", "probability")
-    head = GBTRegressor(featuresCol="features", labelCol=rating, maxIter=10, seed=seed, predictionCol="predicted_rating").fit(assemble.transform(train))
-    return head.transform(done).drop("features")
+def _bins(train: DataFrame, features: tuple[str, ...]) -> Callable[[DataFrame], DataFrame]:
+    """What adds the bins _x0, _x1, ... of the features to a table: the value itself where train has fewer than BINS, else the place among BINS quantiles of train."""
+    x = [F.col(c).cast("double") for c in features]
+    cuts = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
+    seen = train.agg(*[y for i, c in enumerate(x) for y in (F.approx_count_distinct(c, 0.02).alias(f"n{i}"), F.percentile_approx(c, cuts, 1_000).alias(f"q{i}"))]).first()
+    many = [i for i in range(len(x)) if seen[f"n{i}"] >= BINS]
+    place = Bucketizer(inputCols=[f"_v{i}" for i in many], outputCols=[f"_x{i}" for i in many], splitsArray=[[-math.inf, *sorted(set(seen[f"q{i}"])), math.inf] for i in many]) if many else None
+
+    def add(df: DataFrame) -> DataFrame:
+        out = df.withColumns({f"_v{i}" if i in many else f"_x{i}": c for i, c in enumerate(x)})
+        return place.transform(out).drop(*(f"_v{i}" for i in many)) if place else out
+
+    return add
+
+
+def bags(cells: DataFrame, keys: tuple[str, ...], n: str, trees: int, seed: int) -> DataFrame:
+    """Adds _bag: how often each tree's bag takes the n rows of a cell. One row is taken as often as a Poisson draw of mean 1 says, so n rows as often as one of mean n. The draws follow from the keys, wherever the cell lies."""
+
+    def draw(at: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([seed, int(h) & (2**64 - 1)]).poisson(m, trees) for h, m in zip(at, rows)])
+
+    return cells.withColumn("_bag", F.pandas_udf(draw, "array<bigint>")(F.xxhash64(*keys), F.col(n)))
+
+
+def tactic_classifier(train: DataFrame, test: DataFrame, features: tuple[str, ...], label: str = "category", rating: str = "rating", seed: int = 7, trees: int = 20) -> DataFrame:
+    """Adds predicted, confidence and predicted_rating to test: a forest over the categories that train has, and a boosted regression of the rating.
+
+    Trees see no more of a feature than its bin. So rows with equal bins are one cell with a weight: it is fitted and predicted once, and rows are only read to be put into cells. A tree of the forest is fitted to its own bag of each cell's rows.
+    The regression is fitted to the cells' means: rows of a cell are never parted, so gains and leaves are those of the rows.
+    """
+    store, add, keys = Store(train.sparkSession), _bins(train, features), [f"_x{i}" for i in range(len(features))]
+    total = F.sum(F.coalesce(F.col(rating).cast("double"), F.lit(math.nan)))  # a missing rating is an error in the fit
+    cells = add(train).groupBy(*keys, label).agg(F.count("*").alias("_n"), total.alias("_total"))
+    cells, _, _ = store.few(bags(cells, (*keys, label), "_n", trees, seed))
+    asked, _, n_asked = store.few(add(test).select(*keys).distinct())
+    assemble = VectorAssembler(inputCols=keys, outputCol="features")
+    index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip", stringOrderType="alphabetAsc").fit(cells)
+    bagged, done = assemble.transform(index.transform(cells)), assemble.transform(asked)
+
+    def fit(t: int) -> RandomForestClassificationModel:
+        tree = RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt", featuresCol="features", labelCol="_label", weightCol="_weight", maxDepth=8, seed=seed + t, probabilityCol=f"_p{t}")
+        return tree.fit(bagged.withColumn("_weight", F.col("_bag")[t].cast("double")).where("_weight > 0"))
+
+    # Cells are few, so that a fit is mostly waiting: some go side by side.
+    with ThreadPool(4) as pool:
+        forest = pool.map(inheritable_thread_target(train.sparkSession)(fit), range(trees))
+    for tree in forest:
+        done = tree.transform(done).drop("prediction", "rawPrediction")
+    votes = [vector_to_array(f"_p{t}") for t in range(trees)]
+    rated, _, _ = store.few(cells.groupBy(*keys).agg((F.sum("_total") / F.sum("_n")).alias("_rating"), F.sum("_n").cast("double").alias("_weight")))
+    head = GBTRegressor(featuresCol="features", labelCol="_rating", weightCol="_weight", maxIter=10, seed=seed, predictionCol="predicted_rating").fit(assemble.transform(rated))
+    done = head.transform(done).withColumn("_votes", reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), votes))
+    best = F.array_position("_votes", F.array_max("_votes")).cast("int")
+    found, _ = store.put(done.select(*keys, F.element_at(F.array(*map(F.lit, index.labels)), best).alias("predicted"), (F.array_max("_votes") / trees).alias("confidence"), "predicted_rating"))
+    return add(test).join(F.broadcast(found) if n_asked <= MOST_CELLS else found, keys).select(*test.columns, "predicted", "confidence", "predicted_rating")
