@@ -165,7 +165,8 @@ def _met(fps: DataFrame, most: int) -> DataFrame:
     keys = _keys(fps.repartition(tasks, "fp"))
     # Most keys have one fingerprint only, and so no partner. Counting before the join keeps a frequent key out of any single task.
     met = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("stored").alias("n_stored")).where("n_stored > 0 and n_stored < n and (n > 2 or n_stored = 1)")
-    return cut(keys.join(met, "key").select("key", "fp", "stored", "n"))
+    # Spark takes the keys, some 35 a fingerprint, for one row each, and would broadcast them while fingerprints are few enough: both sides are shuffled.
+    return cut(keys.join(met.hint("merge"), "key").select("key", "fp", "stored", "n"))
 
 
 def _close(few: DataFrame, most: int) -> DataFrame:
