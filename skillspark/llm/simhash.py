@@ -467,7 +467,8 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Now all pairs of one shingle that lie apart: those outside its largest group with all others.
     rest = rest.withColumns({"own": F.pmod(F.xxhash64("node"), "blocks"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
     x = rest.where("root <> main").select("h", "node", "n", "fp", "p", "root", "main", F.col("own").alias("i"), F.col("other").alias("j")).alias("x")
-    y = rest.select("h", "node", "n", "fp", "p", "root", "main", F.col("other").alias("i"), F.col("own").alias("j")).alias("y")
+    # Spark doesn't see that a row has become one for each block, so this isn't left to its sizes either.
+    y = rest.select("h", "node", "n", "fp", "p", "root", "main", F.col("other").alias("i"), F.col("own").alias("j")).alias("y").hint("merge")
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in "hij"]
     # A pair of two texts outside the largest group meets in either order; once is enough.
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
